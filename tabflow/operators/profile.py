@@ -83,7 +83,7 @@ def column_kinds(df: DataFrame, target: str | None = None, snapshot: bool = Fals
     spark = df.sparkSession
     sniff = {r["column"]: r for r in sniff_strings(df).collect()}  # one row per string column
     rows = []
-    for f in df.schema.fields:
+    for pos, f in enumerate(df.schema.fields):
         dt = f.dataType
         s = sniff.get(f.name)
         nonnull = s["n_nonnull"] if s else 0
@@ -99,8 +99,8 @@ def column_kinds(df: DataFrame, target: str | None = None, snapshot: bool = Fals
             kind = "text"
         else:
             kind = "categorical"
-        rows.append((f.name, dt.simpleString(), kind))
-    return spark.createDataFrame(rows, "column string, dtype string, kind string")
+        rows.append((f.name, pos, dt.simpleString(), kind))
+    return spark.createDataFrame(rows, "column string, position int, dtype string, kind string")
 
 
 # ----------------------------------------------------------------------------- P06–P13 statistics
@@ -223,7 +223,7 @@ def column_profile(df: DataFrame, target: str | None = None, approx: bool = Fals
     prof = kinds.join(miss, "column").join(dist, "column")
     nonmissing = F.col("n_rows") - F.col("missing_count")
     return prof.select(
-        "column", "dtype", "kind", "missing_count", "missing_pct",
+        "column", "position", "dtype", "kind", "missing_count", "missing_pct",
         F.col("distinct_count").alias("unique_count"),
         F.when(F.col("n_rows") > 0, F.round(F.col("distinct_count") * 100.0 / F.col("n_rows"), 2))
         .otherwise(0.0).alias("unique_pct"),
