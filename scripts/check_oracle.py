@@ -107,8 +107,10 @@ def main():
         else:
             n_bad += 1
             print(f"MISMATCH {name}: spark_rows={len(a)} duck_rows={len(b)}")
-            diff_a = [x for x in a if x not in b][:3]
-            diff_b = [x for x in b if x not in a][:3]
+            from collections import Counter
+            ca, cb = Counter(a), Counter(b)
+            diff_a = list((ca - cb).elements())[:3]
+            diff_b = list((cb - ca).elements())[:3]
             print(f"   cols={sorted(scols)}\n   spark-only={diff_a}\n   duck-only={diff_b}")
     print(f"TOTAL ok={n_ok} bad={n_bad}")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabflow.session import ensure_checkpoint_dir
 
@@ -37,3 +38,42 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "idx", num_part
     return (ranged.join(F.broadcast(bases), "_pid")
             .withColumn(index_col, F.col("_mid") + F.col("_base"))
             .drop("_pid", "_mid", "_base"))
+
+
+def time_chunk(time_col: str, chunk_seconds: int = 7 * 86400):
+    """Monotone chunk number of a date/timestamp: rows of one entity in different chunks are
+    ranked in different tasks."""
+    ts = F.col(time_col).cast("timestamp_ntz").cast("timestamp")
+    return F.floor(F.unix_seconds(ts) / F.lit(chunk_seconds)).cast("bigint")
+
+
+def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col: str = "pos",
+                     count_col: str | None = None) -> DataFrame:
+    """0-based position of every row inside its entity, in ``order_cols`` order.
+
+    A window partitioned by entity alone sends a hot entity (say a third of all rows) to
+    one task. Here rows are ranked inside ``(entity, chunk)`` where ``chunk`` is monotone in
+    the order (e.g. ``time_chunk``), and the chunk's offset comes from a running sum over
+    the small per-chunk count table. ``count_col`` optionally adds the entity's row count."""
+    entity_cols = list(entity_cols)
+    d = df.withColumn("_chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
+    local = d.withColumn("_lpos", F.row_number().over(
+        W.partitionBy(*entity_cols, "_chunk").orderBy(*order_cols)) - 1)
+    counts = d.groupBy(*entity_cols, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ew = W.partitionBy(*entity_cols)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        ew.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    if count_col:
+        offs = offs.withColumn(count_col, F.sum("_n").over(ew))
+    offs = offs.drop("_n")
+    return (local.join(offs, entity_cols + ["_chunk"])
+            .withColumn(pos_col, (F.col("_off") + F.col("_lpos")).cast("bigint"))
+            .drop("_chunk", "_lpos", "_off"))
+
+
+def lag_by_position(df: DataFrame, entity_cols, value_col: str, k: int, out_col: str, pos_col: str = "pos") -> DataFrame:
+    """Value of ``value_col`` k positions earlier in the same entity, by an equi-join on
+    ``(entity, pos)`` (spreads a hot entity over all tasks, unlike a lag window)."""
+    entity_cols = list(entity_cols)
+    prev = df.select(*entity_cols, (F.col(pos_col) + k).alias(pos_col), F.col(value_col).alias(out_col))
+    return df.join(prev, entity_cols + [pos_col], "left")
