@@ -59,13 +59,13 @@ def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col
     d = df.withColumn("_chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
     local = d.withColumn("_lpos", F.row_number().over(
         W.partitionBy(*entity_cols, "_chunk").orderBy(*order_cols)) - 1)
-    counts = d.groupBy(*entity_cols, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    counts = d.groupBy(*entity_cols, "_chunk").agg(F.count(F.lit(1)).alias("_cnt_"))
     ew = W.partitionBy(*entity_cols)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt_").over(
         ew.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     if count_col:
-        offs = offs.withColumn(count_col, F.sum("_n").over(ew))
-    offs = offs.drop("_n")
+        offs = offs.withColumn(count_col, F.sum("_cnt_").over(ew))
+    offs = offs.drop("_cnt_")
     return (local.join(offs, entity_cols + ["_chunk"])
             .withColumn(pos_col, (F.col("_off") + F.col("_lpos")).cast("bigint"))
             .drop("_chunk", "_lpos", "_off"))
