@@ -40,6 +40,29 @@ def global_row_index(df: DataFrame, order_cols, index_col: str = "idx", num_part
             .drop("_pid", "_mid", "_base"))
 
 
+def running_totals(df: DataFrame, order_col: str, sum_cols, partition_cols=(), descending: bool = False,
+                   num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_col`` order (per ``partition_cols``).
+
+    Range-partitioned on the order key: each task sums its own slice, and slice offsets come
+    from a running sum over the per-slice totals (one small row per slice and group)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = list(partition_cols)
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    ranged = df.repartitionByRange(n, o).withColumn("_pid", F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)  # fixes slice boundaries for both uses below
+    w = W.partitionBy(*parts, "_pid").orderBy(o).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.select("*", *[F.sum(c).over(w).alias(f"_run_{c}") for c in sum_cols])
+    tot = ranged.groupBy(*parts, "_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    tw = W.partitionBy(*parts).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offs = tot.select(*parts, "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(tw), F.lit(0)).alias(f"_off_{c}")
+                                        for c in sum_cols])
+    out = local.join(offs, parts + ["_pid"])
+    return out.select(*df.columns, *[(F.col(f"_run_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
+
+
 def time_chunk(time_col: str, chunk_seconds: int = 7 * 86400):
     """Monotone chunk number of a date/timestamp: rows of one entity in different chunks are
     ranked in different tasks."""
