@@ -163,7 +163,7 @@ def validate_input(df: DataFrame, label: str, features) -> DataFrame:
 
 def index_labels(train: DataFrame, label: str, out: str = "label_idx"):
     """Label codes by sorted label (alphabetAsc); the fitted indexer maps back."""
-    idx = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep")
+    idx = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="skip")
     model = idx.fit(train.withColumn(label, F.col(label).cast("string")))
     return model
 
