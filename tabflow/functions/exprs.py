@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 # date/time text formats accepted by the datetime sniffers, tried in order.
 DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
+DATETIME_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
 
 # Plain number (optional sign, decimals, exponent) after trimming.
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -30,7 +31,10 @@ def col_(c) -> Column:
 def parse_datetime_text(c) -> Column:
     """Text → timestamp using the fixed format list; anything else → NULL."""
     c = col_(c)
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATETIME_FORMATS])
+    # cheap shape guard first: failed format parses are expensive, and every accepted
+    # format starts with digits-separator-digits-separator-digits
+    return F.when(c.rlike(DATETIME_SHAPE),
+                  F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATETIME_FORMATS]))
 
 
 def parse_number_text(c) -> Column:
