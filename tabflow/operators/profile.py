@@ -99,8 +99,10 @@ def column_kinds(df: DataFrame, target: str | None = None, snapshot: bool = Fals
             kind = "text"
         else:
             kind = "categorical"
-        rows.append((f.name, pos, dt.simpleString(), kind))
-    return spark.createDataFrame(rows, "column string, position int, dtype string, kind string")
+        looks_numeric = bool(s and nonnull > 0 and s["n_numeric"] == nonnull)
+        rows.append((f.name, pos, dt.simpleString(), kind, looks_numeric))
+    return spark.createDataFrame(rows, "column string, position int, dtype string, kind string, "
+                                       "looks_numeric boolean")
 
 
 # ----------------------------------------------------------------------------- P06–P13 statistics
@@ -223,7 +225,7 @@ def column_profile(df: DataFrame, target: str | None = None, approx: bool = Fals
     prof = kinds.join(miss, "column").join(dist, "column")
     nonmissing = F.col("n_rows") - F.col("missing_count")
     return prof.select(
-        "column", "position", "dtype", "kind", "missing_count", "missing_pct",
+        "column", "position", "dtype", "kind", "looks_numeric", "missing_count", "missing_pct",
         F.col("distinct_count").alias("unique_count"),
         F.when(F.col("n_rows") > 0, F.round(F.col("distinct_count") * 100.0 / F.col("n_rows"), 2))
         .otherwise(0.0).alias("unique_pct"),

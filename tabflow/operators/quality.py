@@ -64,65 +64,78 @@ def iqr_bounds(df: DataFrame, cols, approx: bool = False) -> DataFrame:
                     (F.col("q3") + 1.5 * iqr).alias("upper"))
 
 
-def outlier_counts(df: DataFrame, cols, approx: bool = False) -> DataFrame:
-    """``(column, n, lower, upper, outlier_count, outlier_pct)`` for columns with
-    ≥4 values and a non-zero IQR. Bounds (one row per column) are bound as literals
-    into a second wide pass."""
+def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Q04 + Q05 in two wide passes shared by both checks.
+
+    Pass 1: count, quartiles, min and max per column (one row per column reaches the
+    driver and is bound as literals). Pass 2: outlier counts and, for the min and the
+    max, how often they recur and the mean/std of the remaining values.
+    Returns ``(outliers, sentinels)``."""
+    spark = df.sparkSession
+    empty_out = spark.createDataFrame(
+        [], "column string, n bigint, lower double, upper double, outlier_count bigint, outlier_pct double")
+    empty_sent = spark.createDataFrame([], "column string, value double, count bigint, pct double, z_score double")
     cols = list(cols)
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column string, n bigint, lower double, upper double, outlier_count bigint, outlier_pct double")
-    bounds = iqr_bounds(df, cols, approx).collect()  # one row per column
-    structs = []
-    for b in bounds:
-        if b["n"] < MIN_ROWS_FOR_OUTLIER_CHECK or b["q3"] == b["q1"]:
+        return empty_out, empty_sent
+    first = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        q = (F.percentile_approx(x, [0.25, 0.75], 10000) if approx
+             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
+        first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.cast("array<double>").alias("q"),
+                              F.min(x).alias("mn"), F.max(x).alias("mx")))
+    stats = _inline(df, first).collect()  # one row per column
+    second = []
+    for st in stats:
+        if st["n"] == 0:
             continue
-        x = F.col(b["column"]).cast("double")
-        structs.append(F.struct(F.lit(b["column"]).alias("column"), F.count(x).alias("n"),
-                                F.lit(b["lower"]).alias("lower"), F.lit(b["upper"]).alias("upper"),
-                                F.count(F.when((x < b["lower"]) | (x > b["upper"]), 1)).alias("outlier_count")))
-    if not structs:
-        return df.sparkSession.createDataFrame(
-            [], "column string, n bigint, lower double, upper double, outlier_count bigint, outlier_pct double")
-    return _inline(df, structs).select(
-        "*", F.round(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
+        c, x = st["column"], F.col(st["column"]).cast("double")
+        q1, q3 = st["q"]
+        ok = st["n"] >= MIN_ROWS_FOR_OUTLIER_CHECK and q3 != q1
+        lo, hi = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if ok else (None, None)
+        sides = []
+        for side, v in (("min", st["mn"]), ("max", st["mx"])):
+            rest = F.when(x != v, x)
+            sides.append(F.struct(F.lit(side).alias("side"), F.lit(v).alias("value"),
+                                  F.count(F.when(x == v, 1)).alias("count"), F.count(rest).alias("n_rest"),
+                                  F.avg(rest).alias("rest_mean"), F.stddev_samp(rest).alias("rest_std")))
+        second.append(F.struct(
+            F.lit(c).alias("column"), F.count(x).alias("n"), F.lit(ok).alias("ok"),
+            F.lit(lo).cast("double").alias("lower"), F.lit(hi).cast("double").alias("upper"),
+            (F.count(F.when((x < lo) | (x > hi), 1)) if ok else F.lit(None).cast("bigint")).alias("outlier_count"),
+            F.array(*sides).alias("sides")))
+    if not second:
+        return empty_out, empty_sent
+    both = _inline(df, second).cache()
+    outliers = both.where("ok").select("column", "n", "lower", "upper", "outlier_count",
+                                        F.round(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
+    s = both.select("column", "n", F.inline("sides"))
+    share = F.col("count") / F.col("n")
+    z = F.abs(F.col("rest_mean") - F.col("value")) / F.col("rest_std")
+    valid = ((F.col("n") >= MIN_ROWS_FOR_SENTINEL_CHECK) & (F.col("count") >= MIN_SENTINEL_OCCURRENCES)
+             & (share < SENTINEL_MAX_SHARE) & (F.col("n_rest") >= 5) & F.col("rest_std").isNotNull()
+             & (F.col("rest_std") != 0))
+    cand = s.where(valid).select("column", "side", "value", "count", F.round(share * 100, 2).alias("pct"),
+                                 z.alias("z")).where(F.col("z") >= SENTINEL_Z_SCORE_THRESHOLD)
+    best = cand.groupBy("column").agg(F.max_by(F.struct("value", "count", "pct", "z"),
+                                               F.struct(F.col("z"), F.when(F.col("side") == "min", 1).otherwise(0)))
+                                      .alias("b"))
+    sentinels = best.select("column", "b.value", "b.count", "b.pct", F.round("b.z", 2).alias("z_score"))
+    return outliers, sentinels
+
+
+def outlier_counts(df: DataFrame, cols, approx: bool = False) -> DataFrame:
+    """``(column, n, lower, upper, outlier_count, outlier_pct)`` for columns with
+    ≥4 values and a non-zero IQR."""
+    return numeric_checks(df, cols, approx)[0]
 
 
 def sentinel_candidates(df: DataFrame, cols) -> DataFrame:
     """Q05: the min or max of a numeric column that recurs and sits ≥3 std from the rest.
 
     ``(column, value, count, pct, z_score)``, at most one row per column (larger z)."""
-    cols = list(cols)
-    empty = df.sparkSession.createDataFrame([], "column string, value double, count bigint, pct double, z_score double")
-    if not cols:
-        return empty
-    ext = _inline(df, [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("mn"),
-                                F.max(F.col(c).cast("double")).alias("mx")) for c in cols]).collect()
-    structs = []
-    for e in ext:
-        if e["mn"] is None:
-            continue
-        x = F.col(e["column"]).cast("double")
-        for side, v in (("min", e["mn"]), ("max", e["mx"])):
-            rest = F.when(x != v, x)
-            structs.append(F.struct(
-                F.lit(e["column"]).alias("column"), F.lit(side).alias("side"), F.lit(v).alias("value"),
-                F.count(x).alias("n"), F.count(F.when(x == v, 1)).alias("count"),
-                F.count(rest).alias("n_rest"), F.avg(rest).alias("rest_mean"), F.stddev_samp(rest).alias("rest_std")))
-    if not structs:
-        return empty
-    s = _inline(df, structs)
-    share = F.col("count") / F.col("n")
-    z = F.abs(F.col("rest_mean") - F.col("value")) / F.col("rest_std")
-    ok = ((F.col("n") >= MIN_ROWS_FOR_SENTINEL_CHECK) & (F.col("count") >= MIN_SENTINEL_OCCURRENCES)
-          & (share < SENTINEL_MAX_SHARE) & (F.col("n_rest") >= 5) & F.col("rest_std").isNotNull()
-          & (F.col("rest_std") != 0))
-    cand = s.where(ok).select("column", "side", "value", "count", F.round(share * 100, 2).alias("pct"),
-                              z.alias("z")).where(F.col("z") >= SENTINEL_Z_SCORE_THRESHOLD)
-    best = cand.groupBy("column").agg(
-        F.max_by(F.struct("value", "count", "pct", "z"), F.struct(F.col("z"), F.when(F.col("side") == "min", 1)
-                                                                     .otherwise(0))).alias("b"))
-    return best.select("column", "b.value", "b.count", "b.pct", F.round("b.z", 2).alias("z_score"))
+    return numeric_checks(df, cols)[1]
 
 
 def numeric_text_columns(df: DataFrame, cols) -> DataFrame:
@@ -165,15 +178,16 @@ def quality_issues(df: DataFrame, likely_target: str | None = None, profile: Dat
         _issue(prof.where("is_constant"), F.col("column"), "constant_column", "low"),
         _issue(prof.where("is_near_constant"), F.col("column"), "near_constant_column", "low"),
     ]
-    out = outlier_counts(df, numerical, approx).where(F.col("outlier_count") > 0)
+    out, sent = numeric_checks(df, numerical, approx)
+    out = out.where(F.col("outlier_count") > 0)
     parts.append(_issue(out, F.col("column"), "possible_outliers",
                         F.when(F.col("outlier_pct") >= OUTLIER_MEDIUM_PCT, "medium").otherwise("low"),
                         count=F.col("outlier_count"), pct=F.col("outlier_pct")))
-    sent = sentinel_candidates(df, numerical)
     parts.append(_issue(sent, F.col("column"), "possible_sentinel_missing", "medium", count=F.col("count"),
                         pct=F.col("pct"), value=F.col("value")))
     if categorical:
-        parts.append(_issue(numeric_text_columns(df, categorical), F.col("column"), "invalid_dtype", "medium"))
+        parts.append(_issue(prof.where((F.col("kind") == "categorical") & F.col("looks_numeric")), F.col("column"),
+                            "invalid_dtype", "medium"))
     parts.append(_issue(prof.where((F.col("kind") != "text") & (F.col("unique_pct") >= ID_LIKE_UNIQUE_RATIO * 100)
                                    & (F.col("n_rows") > 1)), F.col("column"), "id_like_column", "low"))
     hint = None
