@@ -23,6 +23,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+            "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "smallint": "SMALLINT",
+            "tinyint": "TINYINT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -99,6 +104,15 @@ def main():
             n_bad += 1
             print(f"COLS {name}: spark={sorted(scols)} duck={sorted(dcols)}")
             continue
+        dtypes = {d[0]: str(d[1]) for d in res.description}
+        bad_types = []
+        for f in sdf.schema.fields:
+            want = TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString())
+            got = dtypes.get(f.name, "?").upper()
+            if want.upper() != got and not (want == "DECIMAL" and got.startswith("DECIMAL")):
+                bad_types.append(f"{f.name}:{f.dataType.simpleString()}/{got}")
+        if bad_types:
+            print(f"TYPES {name}: {bad_types}")
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         exact = a == b
         if exact or close(a, b):

@@ -34,7 +34,8 @@ def parse_datetime_text(c) -> Column:
     # cheap shape guard first: failed format parses are expensive, and every accepted
     # format starts with digits-separator-digits-separator-digits
     return F.when(c.rlike(DATETIME_SHAPE),
-                  F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATETIME_FORMATS]))
+                  F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATETIME_FORMATS])
+                  .cast("timestamp_ntz"))
 
 
 def parse_number_text(c) -> Column:

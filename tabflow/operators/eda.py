@@ -163,7 +163,7 @@ def top_categories(df: DataFrame, cols, k: int = TOP_CATEGORIES) -> DataFrame:
     w = W.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
     tot = W.partitionBy("column")
     return (vc.withColumn("total", F.sum("count").over(tot))
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("column", "rank", "value", "count", F.round(F.col("count") * 100.0 / F.col("total"), 2)
                     .alias("pct")))
 

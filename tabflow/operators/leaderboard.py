@@ -69,7 +69,7 @@ def leaderboard(results: DataFrame, primary: DataFrame) -> DataFrame:
     rankable = (F.col("status") == "success") & F.col("value").isNotNull()
     signed = F.when(F.col("higher_is_better"), F.col("value")).otherwise(-F.col("value"))
     ranked = j.withColumn("_r", rankable).withColumn("rank", F.when(F.col("_r"), F.row_number().over(
-        W.partitionBy("run_id", "_r").orderBy(signed.desc(), F.col("model").asc()))))
+        W.partitionBy("run_id", "_r").orderBy(signed.desc(), F.col("model").asc())).cast("bigint")))
     return ranked.select("run_id", "model", "status", "primary_metric", "value", "rank",
                          F.coalesce(F.col("rank") == 1, F.lit(False)).alias("is_winner"))
 
@@ -77,7 +77,7 @@ def leaderboard(results: DataFrame, primary: DataFrame) -> DataFrame:
 def leaderboard_flat(scores: DataFrame, score_col: str = "score") -> DataFrame:
     """Rank by a single higher-is-better score per run."""
     w = W.partitionBy("run_id").orderBy(F.col(score_col).desc(), F.col("model").asc())
-    return scores.where(F.col(score_col).isNotNull()).withColumn("rank", F.row_number().over(w)).select(
+    return scores.where(F.col(score_col).isNotNull()).withColumn("rank", F.row_number().over(w).cast("bigint")).select(
         "run_id", "model", score_col, "rank", (F.col("rank") == 1).alias("is_winner"))
 
 

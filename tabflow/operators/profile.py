@@ -188,7 +188,7 @@ def text_stats(df: DataFrame, cols=None, top_k: int = 10) -> tuple[DataFrame, Da
     stats = lengths.join(vocab, "column", "left").select(
         "column", F.coalesce("vocab_size", F.lit(0)).alias("vocab_size"), "avg_length")
     w = W.partitionBy("column").orderBy(F.desc("count"), F.asc("token"))
-    top = (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    top = (counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_k)
            .select("column", "rank", "token", "count"))
     return stats, top
 

@@ -119,7 +119,7 @@ def fill_text(spark, sf):
     d = table(spark, sf, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("text")).alias("text"))
     model = C.TableCleaner(text_cols=["text"], encode=False).fit(d)
-    return model.transform(d).select("doc_id", F.length("text").alias("text_length"))
+    return model.transform(d).select("doc_id", F.length("text").cast("bigint").alias("text_length"))
 
 
 @query("drop_missing_target", """SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)

@@ -49,8 +49,9 @@ def entity_filter(spark, sf):
     return FE.entity_filter(table(spark, sf, "events"), "user_id", "7")
 
 
-@query("date_parts", """SELECT o_orderkey, isodow(o_orderdate) - 1 AS o_orderdate_dayofweek,
-  month(o_orderdate) AS o_orderdate_month, day(o_orderdate) AS o_orderdate_day FROM orders""")
+@query("date_parts", """SELECT o_orderkey, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS o_orderdate_dayofweek,
+  CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day
+FROM orders""")
 def date_parts(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return FE.date_parts(o, "o_orderdate").drop("o_orderdate")

@@ -160,7 +160,7 @@ nv AS (SELECT entity, arg_max(y, ds) AS p FROM {SQL_TRAIN} GROUP BY 1),
 r AS (SELECT 'naive' AS model, t.entity, avg(abs(t.y - nv.p)) AS value FROM t JOIN nv USING (entity) GROUP BY 2
       UNION ALL SELECT 'seasonal_naive', entity, avg(abs(y - prediction)) FROM (SELECT s.*, t.y FROM {SEAS_SQL} s
       JOIN t USING (entity, ds)) GROUP BY 2)
-SELECT model, round(avg(value), 4) AS mean_score, 0.0 AS mean_seconds, count(value) AS n_entities_scored,
+SELECT model, round(avg(value), 4) AS mean_score, 0.0::DOUBLE AS mean_seconds, count(value) AS n_entities_scored,
   count(*) AS n_entities FROM r GROUP BY model""")
 def per_entity_aggregate(spark, sf):
     tr, te = _split(spark, sf)

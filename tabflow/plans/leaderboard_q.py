@@ -87,7 +87,7 @@ def _rules_sql():
         parts.append(f"SELECT 'lineitem', 1, '{name}', 'rmse', sqrt(avg((label - prediction) ^ 2)) FROM {src}")
     return f"""(SELECT run_id, CAST(cycle AS INTEGER) AS cycle, model,
   CASE WHEN metric IS NULL THEN 'failed' ELSE 'success' END AS status, metric, round(value, 6) AS value,
-  CASE WHEN metric IS NULL THEN 'empty prediction set: no rows to score' END AS error, 0.0 AS train_seconds
+  CASE WHEN metric IS NULL THEN 'empty prediction set: no rows to score' END AS error, 0.0::DOUBLE AS train_seconds
 FROM ({union_all(parts)}))"""
 
 

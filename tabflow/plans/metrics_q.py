@@ -67,7 +67,7 @@ def m_accuracy(spark, sf):
 
 
 PER_CLASS_SQL = f"""WITH p AS {MULTI_PRED},
-c AS (SELECT cls AS class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(support) AS support FROM (
+c AS (SELECT cls AS class, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, CAST(sum(support) AS BIGINT) AS support FROM (
   SELECT label AS cls, CAST(label = prediction AS INTEGER) AS tp, 0 AS fp, CAST(label <> prediction AS INTEGER) AS fn,
     1 AS support FROM p
   UNION ALL SELECT prediction, 0, CAST(label <> prediction AS INTEGER), 0, 0 FROM p) GROUP BY 1),

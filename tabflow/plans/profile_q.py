@@ -180,7 +180,7 @@ CUST_KIND = {"c_custkey": "numerical", "c_name": "categorical", "c_nationkey": "
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer)) AS duplicate_row_count,
   round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM customer))) * 100.0 / count(*), 2)
     AS duplicate_row_pct,
-  5 AS column_count,
+  CAST(5 AS BIGINT) AS column_count,
   'c_acctbal,c_custkey,c_nationkey' AS numerical_columns,
   CASE WHEN avg(length(c_name)) >= 25 THEN '' ELSE 'c_mktsegment,c_name' END AS categorical_columns,
   '' AS text_columns, '' AS datetime_columns, '' AS boolean_columns,

@@ -118,9 +118,9 @@ def sql_score(issues_sql):
     return f"""SELECT count(*) FILTER (WHERE severity = 'high') AS high_count,
   count(*) FILTER (WHERE severity = 'medium') AS medium_count,
   count(*) FILTER (WHERE severity = 'low') AS low_count,
-  CASE WHEN count(*) FILTER (WHERE issue_type = 'empty_dataset') > 0 THEN 0.0 ELSE
+  CAST(CASE WHEN count(*) FILTER (WHERE issue_type = 'empty_dataset') > 0 THEN 0.0 ELSE
   greatest(0.0, round(100.0 - coalesce(sum(CASE severity WHEN 'high' THEN 15 WHEN 'medium' THEN 7
-    WHEN 'low' THEN 2 ELSE 0 END), 0), 2)) END AS quality_score
+    WHEN 'low' THEN 2 ELSE 0 END), 0), 2)) END AS DOUBLE) AS quality_score
 FROM ({issues_sql})"""
 
 
