@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import is_numeric_type, parse_numeric_or_range
 from tabflow.functions.ordering import time_chunk
+from tabflow.functions.quantiles import quantile_table
 from tabflow.operators.profile import _inline, value_counts
 
 # Fixed values.
@@ -165,15 +166,17 @@ class TableCleaner:
         agg_structs = []
         for c in st.numeric_cols:
             x = F.col(c).cast("double")
-            fields = [F.lit(c).alias("column"),
-                      (F.median(x) if c in need_median else F.lit(None).cast("double")).alias("median")]
+            fields = [F.lit(c).alias("column")]
             if self.cap_outliers:
-                fields += [F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                           F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
+                fields += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
             agg_structs.append(F.struct(*fields))
         if agg_structs and (need_median or self.cap_outliers):
+            qcols = st.numeric_cols if self.cap_outliers else need_median
+            qt = quantile_table(work, qcols, [0.25, 0.5, 0.75])  # exact, sort-based; columns × 3 values
             for r in _inline(work, agg_structs).collect():  # one row per numeric column
                 c = r["column"]
+                r = dict(r.asDict(), median=qt.get((c, 0.5)), q=[qt.get((c, 0.25)), qt.get((c, 0.75))]
+                         if (c, 0.25) in qt else None)
                 if missing[c] > 0:
                     st.numeric_fill[c] = "ffill_bfill" if self.time_col else r["median"]
                 if self.cap_outliers:

@@ -54,17 +54,19 @@ def coerce_numeric_text(df: DataFrame, min_ratio: float = NUMERIC_TEXT_MIN_PARSE
 def distribution_stats(df: DataFrame, cols=None, digits: int = 3) -> DataFrame:
     """Skew, kurtosis (bias-corrected), five numbers, zeros % per numeric column."""
     cols = list(cols) if cols is not None else numeric_cols(df)
+    from tabflow.functions.quantiles import quantile_columns
     structs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         structs.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("n"),
             F.round(skewness_unbiased(x), digits).alias("skew"),
             F.round(kurtosis_unbiased(x), digits).alias("kurtosis"),
-            F.min(x).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max"),
+            F.min(x).alias("min"), F.max(x).alias("max"),
             F.round(F.avg((x == 0).cast("int")) * 100, 2).alias("zeros_pct")))
-    return _inline(df, structs)
+    q = quantile_columns(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    return _inline(df, structs).join(q, "column", "left").select(
+        "column", "n", "skew", "kurtosis", "min", "q1", "median", "q3", "max", "zeros_pct")
 
 
 def correlation_matrix(df: DataFrame, cols=None, digits: int = 3) -> DataFrame:

@@ -139,20 +139,24 @@ def distinct_counts(df: DataFrame, cols=None, approx: bool = False) -> DataFrame
 def numeric_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """min/max/mean/median/std(ddof=1) per numeric column, rounded to 4; std 0 for one row.
 
-    ``median`` is exact (value→count map per task); ``approx=True`` switches to
-    ``percentile_approx`` for very high-cardinality columns."""
+    The exact median is sort-based (``exact_quantiles``); ``approx=True`` uses
+    ``percentile_approx`` inside the single wide pass instead."""
+    from tabflow.functions.quantiles import quantile_columns
     cols = [c for c in _cols(df, cols) if is_numeric_type(df.schema[c].dataType)]
     structs = []
     for c in cols:
         x = F.col(c).cast("double")
-        med = F.percentile_approx(x, 0.5, 10000) if approx else F.median(x)
+        med = F.percentile_approx(x, 0.5, 10000).cast("double") if approx else F.lit(None).cast("double")
         structs.append(F.struct(
             F.lit(c).alias("column"),
             F.min(x).alias("min"), F.max(x).alias("max"),
-            F.round(F.avg(x), 4).alias("mean"),
-            F.round(med.cast("double"), 4).alias("median"),
+            F.round(F.avg(x), 4).alias("mean"), med.alias("median"),
             F.when(F.count(x) == 1, F.lit(0.0)).otherwise(F.round(F.stddev_samp(x), 4)).alias("std")))
-    return _inline(df, structs)
+    wide = _inline(df, structs)
+    if not approx:
+        med = quantile_columns(df, cols, [0.5], ["_m"])
+        wide = wide.join(med, "column", "left").withColumn("median", F.col("_m")).drop("_m")
+    return wide.select("column", "min", "max", "mean", F.round("median", 4).alias("median"), "std")
 
 
 def datetime_range(df: DataFrame, cols=None) -> DataFrame:

@@ -81,11 +81,15 @@ def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame
     first = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.75], 10000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))))
-        first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.cast("array<double>").alias("q"),
+        q = (F.percentile_approx(x, [0.25, 0.75], 10000).cast("array<double>") if approx
+             else F.lit(None).cast("array<double>"))
+        first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.alias("q"),
                               F.min(x).alias("mn"), F.max(x).alias("mx")))
     stats = _inline(df, first).collect()  # one row per column
+    if not approx:
+        from tabflow.functions.quantiles import quantile_table
+        qt = quantile_table(df, cols, [0.25, 0.75])  # columns × 2 values
+        stats = [dict(st.asDict(), q=[qt.get((st["column"], 0.25)), qt.get((st["column"], 0.75))]) for st in stats]
     second = []
     for st in stats:
         if st["n"] == 0:
