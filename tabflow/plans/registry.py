@@ -13,7 +13,7 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 PLAN_MODULES = ("profile_q", "quality_q", "eda_q", "target_q", "clean_q", "features_q", "split_q",
-                "metrics_q", "models_q", "leaderboard_q", "forecast_q", "runs_q", "stream_q")
+                "metrics_q", "models_q", "neighbors_q", "leaderboard_q", "forecast_q", "runs_q", "stream_q")
 
 
 def query(name: str, sql: str | None = None):
