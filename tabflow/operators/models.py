@@ -120,6 +120,7 @@ for _c in [
                                                   smoothing=kw.get("smoothing", 1e-9))),
     Candidate("neural_network", "classification",
               lambda f, y, d, k, **kw: _mlp(f, y, d, k, tuple(kw.get("layers_hidden", [100]))), scaled=True),
+    Candidate("k_nearest_neighbors", "classification", lambda f, y, d, k, **kw: None, scaled=True),
     Candidate("baseline", "regression", lambda f, y, d, k, **kw: None, proba=False),
     Candidate("linear_regression", "regression",
               lambda f, y, d, k, **kw: LinearRegression(featuresCol=f, labelCol=y), proba=False),
@@ -133,6 +134,7 @@ for _c in [
     Candidate("huber_regression", "regression",
               lambda f, y, d, k, **kw: LinearRegression(featuresCol=f, labelCol=y, loss="huber"), scaled=True,
               proba=False),
+    Candidate("k_nearest_neighbors", "regression", lambda f, y, d, k, **kw: None, scaled=True, proba=False),
     Candidate("factorization_machine", "regression",
               lambda f, y, d, k, **kw: FMRegressor(featuresCol=f, labelCol=y, seed=SEED, stepSize=0.01), scaled=True,
               proba=False),
@@ -187,6 +189,37 @@ def balanced_weights(train: DataFrame, label: str, weight_col: str = "weight") -
 
 # ----------------------------------------------------------------------------- fit / predict
 
+def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str, task: str, labels) -> DataFrame:
+    """Exact 5 nearest training rows on features standardised with train mean / population
+    std (std 0 → 1); majority vote (ties → first sorted class) or mean target."""
+    from tabflow.operators import neighbors as N
+    cols = [f"_f_{c}" for c in features]
+    st = tr.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    vec = F.array(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(cols)])
+    spark = tr.sparkSession
+    from tabflow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # Row ids fixed by a checkpoint, so ties and the join back to the test labels are stable.
+    tr_i = tr.select(F.monotonically_increasing_id().alias("_id"), vec.alias("_v"), F.col(y).alias("_y")) \
+        .checkpoint(eager=True)
+    te_i = te.select(F.monotonically_increasing_id().alias("_id"), vec.alias("_v"), F.col(label).alias("_label")) \
+        .checkpoint(eager=True)
+    nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",)), te_i, "_id", F.col("_v"))
+    if task == "classification":
+        vote = N.knn_vote(nb, "_y", classes=[float(i) for i in range(len(labels))])
+        out = te_i.join(vote, te_i["_id"] == vote["qid"], "left").select(
+            F.col("_label").cast("string").alias("label"),
+            F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("prediction").cast("int") + 1).alias("prediction"),
+            F.col("probability"))
+        if len(labels) == 2:
+            out = out.withColumn("prob_pos", F.col("probability")[1])
+        return out
+    mean = N.knn_mean(nb, "_y")
+    return te_i.join(mean, te_i["_id"] == mean["qid"], "left").select(
+        F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double"))
+
+
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
                 params: dict | None = None, weight_col: str | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
@@ -200,6 +233,8 @@ def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, la
         labels, lm = None, None
         tr, te = _prep(train, features, label), _prep(test, features, label)
         y = label
+    if cand.name == "k_nearest_neighbors":
+        return _knn_fit_predict(tr, te, features, y, label, task, labels)
     if cand.name == "baseline":  # M01 / M02
         if task == "classification":
             mode = tr.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).first()[y]
@@ -273,6 +308,17 @@ def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate,
     n, k = train.agg(F.count(F.lit(1)), F.countDistinct(fold_col)).first()
     if k < 2 or n / k < MIN_ROWS_PER_FOLD or cand.name == "baseline":
         return None, {}
+    if cand.name == "k_nearest_neighbors":  # no Estimator: score each held-out fold in turn (k ≤ a few)
+        folds = [r[0] for r in train.select(fold_col).distinct().collect()]
+        scores = []
+        for f in folds:
+            pred = fit_predict(cand, train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f),
+                               features, label, task)
+            if task == "classification":
+                scores.append(pred.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
+            else:
+                scores.append(pred.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0])
+        return float(sum(scores) / len(scores)), {}
     if task == "classification":
         lm = index_labels(train, label)
         d = _prep(train, features, label, lm)
