@@ -194,17 +194,19 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
     std (std 0 → 1); majority vote (ties → first sorted class) or mean target."""
     from tabflow.operators import neighbors as N
     cols = [f"_f_{c}" for c in features]
-    st = tr.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    vec = F.array(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(cols)])
     spark = tr.sparkSession
     from tabflow.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    # Row ids fixed by a checkpoint, so ties and the join back to the test labels are stable.
-    tr_i = tr.select(F.monotonically_increasing_id().alias("_id"), vec.alias("_v"), F.col(y).alias("_y")) \
-        .checkpoint(eager=True)
-    te_i = te.select(F.monotonically_increasing_id().alias("_id"), vec.alias("_v"), F.col(label).alias("_label")) \
+    # Row ids fixed by a checkpoint, so ties and the join back to the test labels are stable; the
+    # inputs are read once each, the scaling statistics come from the written train rows.
+    tr_r = tr.select(F.monotonically_increasing_id().alias("_id"), *cols, F.col(y).alias("_y")).checkpoint(eager=True)
+    te_r = te.select(F.monotonically_increasing_id().alias("_id"), *cols, F.col(label).alias("_label")) \
         .checkpoint(eager=True)
+    st = tr_r.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    vec = F.array(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(cols)])
+    tr_i = tr_r.select("_id", vec.alias("_v"), "_y")
+    te_i = te_r.select("_id", vec.alias("_v"), "_label")
     nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",)), te_i, "_id", F.col("_v"))
     if task == "classification":
         vote = N.knn_vote(nb, "_y", classes=[float(i) for i in range(len(labels))])
@@ -214,10 +216,10 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
             F.col("probability"))
         if len(labels) == 2:
             out = out.withColumn("prob_pos", F.col("probability")[1])
-        return out
+        return out.checkpoint(eager=True)  # one row per test row; every metric reads it, none re-searches
     mean = N.knn_mean(nb, "_y")
     return te_i.join(mean, te_i["_id"] == mean["qid"], "left").select(
-        F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double"))
+        F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double")).checkpoint(eager=True)
 
 
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,

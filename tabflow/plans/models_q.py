@@ -119,11 +119,12 @@ def _reg(name):
 
 for _key, _name in [("clf_logistic", "logistic_regression"), ("clf_forest", "random_forest"),
                     ("clf_gbt", "gradient_boosting"), ("clf_tree", "decision_tree"), ("clf_linear_svc", "svm"),
-                    ("clf_naive_bayes", "naive_bayes"), ("clf_mlp", "neural_network")]:
+                    ("clf_naive_bayes", "naive_bayes"), ("clf_mlp", "neural_network"),
+                    ("clf_knn_scaled", "k_nearest_neighbors")]:
     query(_key)(_clf(_name))
 for _key, _name in [("reg_forest", "random_forest"), ("reg_gbt", "gradient_boosting"), ("reg_tree", "decision_tree"),
                     ("reg_huber", "huber_regression"), ("reg_fm", "factorization_machine"),
-                    ("reg_linear_fit", "linear_regression")]:
+                    ("reg_linear_fit", "linear_regression"), ("reg_knn_scaled", "k_nearest_neighbors")]:
     query(_key)(_reg(_name))
 
 
