@@ -120,24 +120,30 @@ def missing_periods(spark, sf):
     return TS.missing_periods(table(spark, sf, "orders"), "o_orderdate", "D")
 
 
-@query("seasonality_dow", f"""WITH p AS (SELECT ds AS ts, sales AS y FROM {DAILY_ORDERS}),
+SEASON_SQL = f"""WITH p AS (SELECT ds AS ts, sales AS y FROM {DAILY_ORDERS}),
 o AS (SELECT count(*) AS n, stddev_samp(y) AS sd FROM p),
 m AS (SELECT stddev_samp(m) AS sd_dow, count(*) AS n_dow FROM (SELECT isodow(ts) AS dow, avg(y) AS m FROM p GROUP BY 1))
 SELECT n, round(CASE WHEN n >= 14 AND sd <> 0 AND n_dow >= 2 THEN sd_dow / sd END, 6) AS cv,
   coalesce(CASE WHEN n >= 14 AND sd <> 0 AND n_dow >= 2 THEN sd_dow / sd END >= 0.1, false) AS seasonality_detected
-FROM o, m""")
+FROM o, m"""
+
+
+@query("seasonality_dow", SEASON_SQL)
 def seasonality_dow(spark, sf):
     return TS.seasonality_dow(daily_orders(spark, sf), "ds", "sales")
 
 
-@query("trend_corr", f"""WITH p AS (SELECT ds AS ts, sales AS y, row_number() OVER (ORDER BY ds, sales) - 1 AS idx
+TREND_SQL = f"""WITH p AS (SELECT ds AS ts, sales AS y, row_number() OVER (ORDER BY ds, sales) - 1 AS idx
   FROM {DAILY_ORDERS}),
 a AS (SELECT count(*) AS n, stddev_samp(y) AS sd,
   covar_pop(idx, y) / nullif(stddev_pop(idx) * stddev_pop(y), 0) AS r FROM p)
 SELECT n, round(CASE WHEN n >= 5 AND sd <> 0 THEN r END, 6) AS trend_r,
   coalesce(abs(CASE WHEN n >= 5 AND sd <> 0 THEN r END) >= 0.3, false) AS trend_detected,
   CASE WHEN n >= 5 AND sd <> 0 AND r > 0 THEN 'increasing' WHEN n >= 5 AND sd <> 0 AND r < 0 THEN 'decreasing' END
-    AS direction FROM a""")
+    AS direction FROM a"""
+
+
+@query("trend_corr", TREND_SQL)
 def trend_corr(spark, sf):
     return TS.trend_corr(daily_orders(spark, sf), "ds", "sales")
 
@@ -148,6 +154,23 @@ def aligned_pairs(spark, sf):
     return TS.aligned_pairs(orders_text(spark, sf), "o_orderdate", "o_totalprice")
 
 
-@query("timeseries_signals")
+@query("timeseries_signals", f"""WITH p AS (SELECT ds, sales FROM {DAILY_ORDERS}),
+d AS (SELECT DISTINCT CAST(ds AS TIMESTAMP) AS ts FROM p WHERE ds IS NOT NULL),
+g AS (SELECT floor(date_diff('microseconds', ts, lead(ts) OVER (ORDER BY ts)) / 86400000000.0) AS days FROM d),
+m AS (SELECT days FROM g WHERE days IS NOT NULL GROUP BY days ORDER BY count(*) DESC, days ASC LIMIT 1),
+f AS (SELECT CASE WHEN (SELECT count(*) FROM d) < 3 THEN NULL WHEN (SELECT days FROM m) = 1 THEN 'D'
+  WHEN (SELECT days FROM m) = 7 THEN 'W' WHEN (SELECT days FROM m) BETWEEN 28 AND 31 THEN 'M' END AS frequency),
+r AS (SELECT min(CAST(ds AS TIMESTAMP)) AS min, max(CAST(ds AS TIMESTAMP)) AS max,
+  count(DISTINCT CAST(ds AS DATE)) AS distinct_days FROM p),
+e AS (SELECT CAST(unnest(CASE WHEN (SELECT frequency FROM f) = 'M'
+    THEN generate_series(last_day(min(ds)), max(ds), INTERVAL 1 MONTH)
+    ELSE generate_series(min(ds), max(ds), to_days(CASE WHEN (SELECT frequency FROM f) = 'W' THEN 7 ELSE 1 END))
+  END) AS DATE) AS d FROM p),
+mp AS (SELECT count(*) AS expected_periods, count(*) FILTER (WHERE d NOT IN (SELECT CAST(ds AS DATE) FROM p))
+  AS missing_periods FROM e)
+SELECT 'ds' AS datetime_column, CAST(NULL AS VARCHAR) AS item_column, f.frequency, r.min, r.max, r.distinct_days,
+  mp.expected_periods, mp.missing_periods, round(mp.missing_periods * 100.0 / mp.expected_periods, 2)
+    AS missing_periods_pct, s.cv, s.seasonality_detected, t.trend_r, t.trend_detected
+FROM f, r, mp, ({SEASON_SQL}) s, ({TREND_SQL}) t""")
 def timeseries_signals(spark, sf):
     return TS.timeseries_signals(daily_orders(spark, sf), "ds", "sales")
