@@ -197,11 +197,11 @@ def entity_eligibility(df: DataFrame, entity: str, time_col: str, train_frac: fl
               .when(F.col("n_test") < MIN_TEST_ROWS, "too_few_test_rows"))
     out = out.withColumn("skip_reason", reason)
     if max_entities:
-        from pyspark.sql.window import Window as W
-        w = W.orderBy(F.desc("n_rows"), F.asc(entity))  # one row per entity: a small table
-        out = out.withColumn("_r", F.row_number().over(w)).withColumn(
-            "skip_reason", F.when(F.col("skip_reason").isNull() & (F.col("_r") > max_entities), "entity_cap")
-            .otherwise(F.col("skip_reason"))).drop("_r")
+        # The largest max_entities entities: a bounded top-N (no single-task window over all entities).
+        top = out.orderBy(F.desc("n_rows"), F.asc(entity)).limit(max_entities).select(entity, F.lit(True).alias("_top"))
+        out = out.join(F.broadcast(top), entity, "left").withColumn(
+            "skip_reason", F.when(F.col("skip_reason").isNull() & F.col("_top").isNull(), "entity_cap")
+            .otherwise(F.col("skip_reason"))).drop("_top")
     return out.withColumn("eligible", F.col("skip_reason").isNull())
 
 

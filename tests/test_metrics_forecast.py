@@ -129,3 +129,11 @@ def test_decomposition_finds_trend_and_season(spark):
     from tabflow.operators.eda import decomposition_strength
     r = decomposition_strength(df, "ds", "y").first()
     assert r["trend_strength"] > 0.9 and r["seasonal_strength"] > 0.9
+
+
+def test_entity_cap_keeps_largest_entities(spark):
+    from tabflow.operators import forecast as FC
+    rows = [(e, i) for e, n in [("a", 30), ("b", 12), ("c", 50), ("d", 3), ("e", 30)] for i in range(n)]
+    df = spark.createDataFrame(rows, "e string, i int")
+    got = {r["e"]: r["skip_reason"] for r in FC.entity_eligibility(df, "e", "i", max_entities=2).collect()}
+    assert got == {"a": None, "b": "entity_cap", "c": None, "d": "too_few_rows", "e": "entity_cap"}
