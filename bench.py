@@ -18,7 +18,7 @@ HEADLINE = ["dq_issues_orders", "dataset_profile", "numeric_stats", "distinct_co
             "five_number", "histogram_equal_width", "top_categories", "text_top_tokens", "cleaner_fit_transform",
             "ffill_bfill", "lag_features", "rolling_mean", "split_random", "kfold", "split_stratified3",
             "tfidf_weights", "m_roc_auc", "m_roc_multiclass", "m_regression", "fc_seasonal_naive", "fc_ar_diff",
-            "leaderboard", "latest_per_key", "duplicate_rows"]
+            "leaderboard", "latest_per_key", "duplicate_rows", "knn_exact"]
 
 
 def main():

@@ -18,11 +18,11 @@ answer is exact; bounds carry a relative tolerance of 1e-9 so rounding never pru
 neighbour. Top-k is taken per (query, cell, bucket) first and then per query, so no group holds
 a query's whole candidate list. Equal distances break on the reference id.
 
-Distances are Euclidean over ``array<double>`` vectors. Pivot distances are JVM-side
-expressions; the query × reference block of one (cell, bucket) group is scored with numpy
-inside ``cogroup().applyInPandas`` (the groups are bounded by the salting, and only each
-query's best k leave a group). The pivot row (P × d values) is the only broadcast side and its
-size is checked.
+Distances are Euclidean over ``array<double>`` vectors, summed coordinate by coordinate.
+Pivot distances come from an Arrow-batched pandas UDF (the P × d pivots, size-checked, are one
+broadcast); the query × reference block of one (cell, bucket) group is scored with numpy inside
+``cogroup().applyInPandas`` (the groups are bounded by the salting, and only each query's best k
+leave a group). Cell assignment, salting, joins and the top-k merges are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -70,6 +70,27 @@ def vector_of(cols) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
 
 
+def _pivot_distances(spark, pivots: np.ndarray):
+    """Arrow-batched distances of a vector column to every pivot (``array<double>`` of length P).
+
+    The pivots (P × d, size-checked) travel as one broadcast; each batch is one numpy block,
+    summed coordinate by coordinate like ``sq_dist``."""
+    piv = spark.sparkContext.broadcast(pivots)
+
+    @F.pandas_udf("array<double>")
+    def dist(v: pd.Series) -> pd.Series:
+        pv = piv.value
+        if len(v) == 0:
+            return pd.Series([], dtype=object)
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        acc = np.zeros((len(x), len(pv)))
+        for j in range(pv.shape[1]):
+            diff = x[:, j, None] - pv[None, :, j]
+            acc += diff * diff
+        return pd.Series(list(np.sqrt(acc)))
+    return dist
+
+
 def _loose(t: Column) -> Column:
     return t * (1 + TOL) + F.lit(TOL)
 
@@ -77,10 +98,11 @@ def _loose(t: Column) -> Column:
 @dataclass
 class NeighborIndex:
     ref: DataFrame    # _rid, _vec, _cell, _dc, payload...  (checkpointed)
-    meta: DataFrame   # one row: _k, _piv array<array<double>>, _rad map<int,double>, _nsub map<int,int>
+    meta: DataFrame   # one row: _k, _rad map<int,double>, _nsub map<int,int>
     n_pivots: int
     payload: tuple
     dims: int
+    pivot_dist: object  # vector column → distances to every pivot
 
 
 def build_index(ref: DataFrame, id_col: str, vec: Column, payload=(), n_pivots: int | None = None,
@@ -98,27 +120,25 @@ def build_index(ref: DataFrame, id_col: str, vec: Column, payload=(), n_pivots:
     if p * d > MAX_PIVOT_VALUES:
         p = max(1, MAX_PIVOT_VALUES // max(d, 1))
     piv = (r.select("_rid", "_vec", hash_int("_rid", seed=seed).alias("_h"))
-           .orderBy("_h", "_rid").limit(p))  # bounded top-P
-    prow = piv.agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", "_rid", "_vec"))),
-                               lambda s: s["_vec"]).alias("_piv")).withColumn("_k", F.lit(0))
+           .orderBy("_h", "_rid").limit(p).collect())  # bounded top-P, P × d ≤ MAX_PIVOT_VALUES
+    pivots = np.array([list(row["_vec"]) for row in sorted(piv, key=lambda row: (row["_h"], row["_rid"]))],
+                      dtype=np.float64)
+    pivot_dist = _pivot_distances(spark, pivots)
     ensure_checkpoint_dir(spark)
-    prow = prow.checkpoint(eager=True)  # one row: the pivots, fixed for assignment and search
-    pd2 = F.transform("_piv", lambda pv: sq_dist(pv, F.col("_vec")))
-    assigned = (r.withColumn("_k", F.lit(0)).join(F.broadcast(prow), "_k")
-                .select("_rid", "_vec", *payload, pd2.alias("_pd2"))
+    assigned = (r.select("_rid", "_vec", *payload, pivot_dist("_vec").alias("_pd"))
                 .select("_rid", "_vec", *payload,
-                        (F.array_position("_pd2", F.array_min("_pd2")) - 1).cast("int").alias("_cell"),
-                        F.sqrt(F.array_min("_pd2")).alias("_dc")))
+                        (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("_cell"),
+                        F.array_min("_pd").alias("_dc")))
     assigned = assigned.checkpoint(eager=True)  # cell ids are reused by every later join
     cells = (assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_dc").alias("_rad"))
              .withColumn("_ns", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(bucket_rows))).cast("int")))
     meta = cells.agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_rad"))).alias("_rad"),
                      F.map_from_entries(F.collect_list(F.struct("_cell", "_ns"))).alias("_nsub")) \
-        .withColumn("_k", F.lit(0)).join(prow, "_k").checkpoint(eager=True)  # one row, P entries per map
+        .withColumn("_k", F.lit(0)).checkpoint(eager=True)  # one row, P entries per map
     ns = F.element_at("_nsub", F.col("_cell"))
     indexed = (assigned.withColumn("_k", F.lit(0)).join(F.broadcast(meta.select("_k", "_nsub")), "_k")
                .withColumn("_sub", F.pmod(F.xxhash64("_rid"), ns).cast("int")).drop("_k", "_nsub"))
-    return NeighborIndex(indexed, meta, p, payload, d)
+    return NeighborIndex(indexed, meta, len(pivots), payload, d, pivot_dist)
 
 
 def _bucket_groups(qrows: DataFrame, ref: DataFrame, bucket_queries: int):
@@ -206,7 +226,7 @@ def knn_search(index: NeighborIndex, queries: DataFrame, id_col: str, vec: Colum
     p = index.n_pivots
     q = (queries.select(F.col(id_col).alias("_qid"), vec.cast("array<double>").alias("_qvec"))
          .withColumn("_k", F.lit(0)).join(F.broadcast(index.meta), "_k")
-         .withColumn("_pd", F.transform("_piv", lambda pv: F.sqrt(sq_dist(pv, F.col("_qvec")))))
+         .withColumn("_pd", index.pivot_dist("_qvec"))
          .withColumn("_home", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int"))
          .withColumn("_tau0", F.element_at(F.array_sort("_pd"), min(k, p))))
     keep = ["_qid", "_qvec", "_cell", "_pdc", "_tau", "_ns"]
