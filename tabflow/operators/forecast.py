@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.ordering import entity_positions, lag_by_position, time_chunk
+from tabflow.session import ensure_checkpoint_dir
 
 # Fixed values.
 SEASON = 7
@@ -117,26 +118,30 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
         F.max_by("y", F.when(F.col("pos") == 0, 1)).alias("y0"), F.max_by("y", F.when(F.col("pos") == 1, 1))
         .alias("y1"))
     grid = [(float(a), float(b)) for a in alphas for b in betas]
-    base =tr.where(F.col("pos") >= 1).withColumn("chunk", time_chunk(time_col, chunk_seconds))
-    rows = base.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"))
-                                                     for a, b in grid]))).select("*", "_g.alpha", "_g.beta").drop("_g")
+    base = tr.where(F.col("pos") >= 1).withColumn("chunk", time_chunk(time_col, chunk_seconds))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        # One (entity, chunk): the recursion from a zero state for every grid point in one call.
         pdf = pdf.sort_values("pos")
-        a, b = float(pdf["alpha"].iloc[0]), float(pdf["beta"].iloc[0])
-        A, c = _holt_matrix(a, b)
-        s = np.zeros(2)
-        ls, bs = [], []
-        for v in pdf["y"].to_numpy():
-            s = A @ s + c * v
-            ls.append(s[0])
-            bs.append(s[1])
-        return pdf.assign(ll=ls, lb=bs, j=np.arange(len(pdf)))
+        yv = pdf["y"].to_numpy(dtype=np.float64)
+        parts = []
+        for a, b in grid:
+            (a00, a01), (a10, a11) = _holt_matrix(a, b)[0]
+            c0, c1 = a, a * b
+            s0 = s1 = 0.0
+            ls, bs = np.empty(len(yv)), np.empty(len(yv))
+            for i, v in enumerate(yv):
+                s0, s1 = a00 * s0 + a01 * s1 + c0 * v, a10 * s0 + a11 * s1 + c1 * v
+                ls[i], bs[i] = s0, s1
+            parts.append(pdf.assign(alpha=a, beta=b, ll=ls, lb=bs, j=np.arange(len(yv))))
+        return pd.concat(parts)[[entity, "pos", "y", "chunk", "alpha", "beta", "ll", "lb", "j"]]
 
     schema = (f"{entity} string, pos long, y double, chunk long, alpha double, beta double, "
               "ll double, lb double, j long")
-    loc = rows.select(F.col(entity).cast("string").alias(entity), "pos", "y", "chunk", "alpha", "beta") \
-        .groupBy(entity, "chunk", "alpha", "beta").applyInPandas(local, schema)
+    ensure_checkpoint_dir(train.sparkSession)
+    # Written once: the Python passes are read by several branches below and must not re-run.
+    loc = base.select(F.col(entity).cast("string").alias(entity), "pos", "y", "chunk") \
+        .groupBy(entity, "chunk").applyInPandas(local, schema).checkpoint(eager=True)
     summ = loc.groupBy(entity, "alpha", "beta", "chunk").agg(F.max_by(F.struct("ll", "lb"), "j").alias("e"),
                                                             F.count(F.lit(1)).alias("n"))
     summ = summ.join(init.select(F.col(entity).cast("string").alias(entity), "y0", "y1"), entity)
@@ -160,18 +165,24 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
                .applyInPandas(carry, f"{entity} string, alpha double, beta double, chunk long, cl double, cb double"))
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = float(pdf["alpha"].iloc[0]), float(pdf["beta"].iloc[0])
-        A, _ = _holt_matrix(a, b)
-        out_l, out_b = [], []
-        for j, ll, lb, cl, cb in zip(pdf["j"], pdf["ll"], pdf["lb"], pdf["cl"], pdf["cb"]):
-            s = np.linalg.matrix_power(A, int(j) + 1) @ np.array([cl, cb]) + np.array([ll, lb])
-            out_l.append(s[0])
-            out_b.append(s[1])
-        return pdf[[entity, "alpha", "beta", "pos", "y"]].assign(l=out_l, b=out_b)
+        # One (entity, chunk), all grid points: state_j = A^(j+1)·carry + local_j, with A^(j+1)·carry
+        # advanced one step per row.
+        parts = []
+        for (a, b), g in pdf.groupby(["alpha", "beta"], sort=False):
+            g = g.sort_values("j")
+            (a00, a01), (a10, a11) = _holt_matrix(a, b)[0]
+            p0, p1 = float(g["cl"].iloc[0]), float(g["cb"].iloc[0])
+            out_l, out_b = np.empty(len(g)), np.empty(len(g))
+            for i, (ll, lb) in enumerate(zip(g["ll"].to_numpy(), g["lb"].to_numpy())):
+                p0, p1 = a00 * p0 + a01 * p1, a10 * p0 + a11 * p1
+                out_l[i], out_b[i] = p0 + ll, p1 + lb
+            parts.append(g[[entity, "alpha", "beta", "pos", "y"]].assign(l=out_l, b=out_b))
+        return pd.concat(parts) if parts else pdf[[entity, "alpha", "beta", "pos", "y"]].assign(l=[], b=[])
 
     st = (loc.join(carries, [entity, "alpha", "beta", "chunk"])
-          .groupBy(entity, "alpha", "beta", "chunk")
-          .applyInPandas(states, f"{entity} string, alpha double, beta double, pos long, y double, l double, b double"))
+          .groupBy(entity, "chunk")
+          .applyInPandas(states, f"{entity} string, alpha double, beta double, pos long, y double, l double, b double")
+          .checkpoint(eager=True))
     prev = st.select(entity, "alpha", "beta", (F.col("pos") + 1).alias("pos"), (F.col("l") + F.col("b")).alias("fc"))
     err = st.join(prev, [entity, "alpha", "beta", "pos"]).groupBy(entity, "alpha", "beta").agg(
         F.sum((F.col("y") - F.col("fc")) ** 2).alias("sse"))
