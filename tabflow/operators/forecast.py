@@ -118,6 +118,9 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
         F.max_by("y", F.when(F.col("pos") == 0, 1)).alias("y0"), F.max_by("y", F.when(F.col("pos") == 1, 1))
         .alias("y1"))
     grid = [(float(a), float(b)) for a in alphas for b in betas]
+    # Matrix entries per grid point as plain floats: the Python workers get them with the
+    # closures and need nothing from this package.
+    mats = {(a, b): tuple(tuple(float(v) for v in row) for row in _holt_matrix(a, b)[0]) for a, b in grid}
     base = tr.where(F.col("pos") >= 1).withColumn("chunk", time_chunk(time_col, chunk_seconds))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +129,7 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
         yv = pdf["y"].to_numpy(dtype=np.float64)
         parts = []
         for a, b in grid:
-            (a00, a01), (a10, a11) = _holt_matrix(a, b)[0]
+            (a00, a01), (a10, a11) = mats[(a, b)]
             c0, c1 = a, a * b
             s0 = s1 = 0.0
             ls, bs = np.empty(len(yv)), np.empty(len(yv))
@@ -149,7 +152,7 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         a, b = float(pdf["alpha"].iloc[0]), float(pdf["beta"].iloc[0])
-        A, _ = _holt_matrix(a, b)
+        A = np.array(mats[(a, b)])
         y0, y1 = float(pdf["y0"].iloc[0]), pdf["y1"].iloc[0]
         s = np.array([y0, (float(y1) - y0) if y1 is not None and not pd.isna(y1) else 0.0])
         cl, cb = [], []
@@ -170,7 +173,7 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
         parts = []
         for (a, b), g in pdf.groupby(["alpha", "beta"], sort=False):
             g = g.sort_values("j")
-            (a00, a01), (a10, a11) = _holt_matrix(a, b)[0]
+            (a00, a01), (a10, a11) = mats[(float(a), float(b))]
             p0, p1 = float(g["cl"].iloc[0]), float(g["cb"].iloc[0])
             out_l, out_b = np.empty(len(g)), np.empty(len(g))
             for i, (ll, lb) in enumerate(zip(g["ll"].to_numpy(), g["lb"].to_numpy())):

@@ -13,6 +13,7 @@ from tabflow.operators.features import lag_rolling_features
 from tabflow.operators.split import holdout_last_h
 from tabflow.plans.metrics_q import FC_SPLIT, fc_split
 from tabflow.plans.registry import query, table
+from tabflow.session import ensure_checkpoint_dir
 
 
 def _split(spark, sf):
@@ -107,6 +108,8 @@ def fc_global(spark, sf):
                          .agg(F.sum("o_totalprice").alias("y")), "entity", "ds", "y").drop("pos")
     split, h = holdout_last_h(d, "entity", "ds")
     f = lag_rolling_features(split, "y", "ds", "entity", lags=(1, 7), windows=(7,)).dropna()
+    ensure_checkpoint_dir(spark)
+    f = f.checkpoint(eager=True)  # the fit passes read the feature table, not its lineage
     f = StringIndexer(inputCol="entity", outputCol="entity_idx").fit(f).transform(f)
     feats = ["y_lag_1", "y_lag_7", "y_rolling_mean_7", "entity_idx"]
     pred = fit_predict(REGISTRY[("regression", "gradient_boosting")], f.where("split = 'train'"),
