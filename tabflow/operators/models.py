@@ -329,6 +329,10 @@ def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate,
     else:
         d, y, n_classes = _prep(train, features, label), label, 0
         ev = RegressionEvaluator(labelCol=label, metricName="rmse")
+    from tabflow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    # Every fold and grid point reads the prepared rows; write them once instead of re-deriving them.
+    d = d.select("features", y, fold_col).checkpoint(eager=True)
     est = cand.make("features", y, len(features), n_classes)
     maps = (grid(est) if grid else None) or ParamGridBuilder().build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, parallelism=4,
