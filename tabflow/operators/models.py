@@ -250,7 +250,11 @@ def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, la
             est = est.setWeightCol(weight_col)
         stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
                   if cand.scaled else []) + [est]
-        model = Pipeline(stages=stages).fit(tr)
+        from tabflow.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(tr.sparkSession)
+        # The fit makes several passes (scaler, metadata, iterations); they read the written rows.
+        fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
+        model = Pipeline(stages=stages).fit(tr.select(*fit_cols).checkpoint(eager=True))
         pred = model.transform(te)
     if task == "classification":
         out = pred.select(F.col(label).cast("string").alias("label"),
@@ -260,8 +264,9 @@ def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, la
                             if cand.proba and "probability" in pred.columns else []))
         if "probability" in out.columns and len(labels) == 2:
             out = out.withColumn("prob_pos", F.col("probability")[1])  # M19: second sorted class
-        return out
-    return pred.select(F.col(label).cast("double").alias("label"), F.col("prediction").cast("double"))
+        return out.checkpoint(eager=True)  # one row per test row; every metric pass reads it
+    return pred.select(F.col(label).cast("double").alias("label"), F.col("prediction").cast("double")) \
+        .checkpoint(eager=True)
 
 
 def score_predictions(pred: DataFrame, task: str) -> DataFrame:
