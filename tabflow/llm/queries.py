@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tabflow.llm import jaccard, packing, warc
+from tabflow.llm import crosspoly, jaccard, packing, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
+    "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
+    "op8_crosspoly": crosspoly.OP8_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }
