@@ -22,6 +22,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def col(name: str):
+    """A column by its exact name (dots and back-ticks are part of it)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (case does not count)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def process_cache(name: str, make):
+    """A value kept for the life of this Python worker, across tasks (made by ``make()`` at first)."""
+    import sys
+    import types
+    store = sys.modules.setdefault("_tabflow_llm_cache", types.ModuleType("_tabflow_llm_cache"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import components, written
+from tabflow.llm.common import col, components, written
 
 THRESHOLD = 0.93
 TABLES, HASHES, PROBES = 6, 2, 3
@@ -121,8 +121,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                  block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``."""
     import pyarrow as pa
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
-                          F.col(label_col).cast("string").alias("label"))
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vec_col).cast("array<double>").alias("v"),
+                          col(label_col).cast("string").alias("label"))
     fine = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
             & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists("v", lambda x: x != 0))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import checked_broadcast, components, documents, written
+from tabflow.llm.common import checked_broadcast, col, components, documents, written
 from tabflow.llm.textvec import mix, shingle_sets, slices, utf8
 
 K_WORDS = 5
@@ -150,7 +150,7 @@ def class_links(docs: DataFrame, meta: DataFrame, k: int, num: int, den: int) ->
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS,
                        num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     meta = written(set_rows(base, k, "meta"), "jaccard-meta")
     comp = class_links(base, meta, k, num, den)
     linked = meta.where("doc_id is not null and n > 0").join(comp.withColumnRenamed("node", "cls"), "cls", "left")

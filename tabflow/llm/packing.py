@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import documents
+from tabflow.llm.common import col, documents
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a bin besides its length: the fixed price of one more sequence.
@@ -73,8 +73,8 @@ def pack(docs: DataFrame, sizes=SIZES, bin_cost: int = BIN_COST, id_col: str = "
     if not sizes or sizes[0] < 1:
         raise ValueError("sizes must be positive")
     top = sizes[-1]
-    n = F.col(length_col).cast("long") if length_col else word_count(F.col(text_col).cast("string")) + 1
-    items = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"))
+    n = col(length_col).cast("long") if length_col else word_count(col(text_col).cast("string")) + 1
+    items = docs.select(col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"))
     pieces = items.select("doc_id", F.posexplode(F.expr(f"sequence(0L, n - 1, {top}L)")).alias("piece", "start"), "n").select(
         "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int").alias("n_tokens"))
     total = items.count()

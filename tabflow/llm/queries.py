@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tabflow.llm import crosspoly, jaccard, packing, warc
+from tabflow.llm import crosspoly, jaccard, linededup, packing, tokenfile, warc
 
 QUERIES = {
+    "op1_tokenfile": tokenfile.op1_tokenfile,
     "op2_warc": warc.op2_warc,
+    "op4_linededup": linededup.op4_linededup,
     "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
+    "op4_linededup": linededup.OP4_SQL,
     "op8_crosspoly": crosspoly.OP8_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
 }

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import checked_broadcast, put_file, shared_folder, task_fs, written
+from tabflow.llm.common import checked_broadcast, col, put_file, shared_folder, task_fs, written
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
@@ -36,8 +36,8 @@ READ_SCHEMA = ("file string, offset long, record_type string, page_id long, targ
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
              min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """(page_id, url, body, digest, refers_to): which rows repeat the payload of a smaller page id."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                        F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"),
+                        F.coalesce(col(payload_col).cast("string"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
     # Only digests that occur twice are kept; map-side counts make a payload in a third of the rows one row a task.
     first = (rows.where(F.length("body") >= min_bytes).groupBy("digest")
