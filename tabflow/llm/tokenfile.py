@@ -324,7 +324,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     ranged = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def write(batches):
-        pieces = process_cache("pieces_" + str(abs(hash(tokenizer_path))), lambda: Pieces(tokenizer_path))
+        pieces = process_cache("pieces:" + tokenizer_path, lambda: Pieces(tokenizer_path))
         ids, lens, total = [], [], [0]
 
         def blocks():
@@ -361,7 +361,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         put_file(folder, name, blocks())
         yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "n_docs": [sum(x.shape[1] for x in lens)], "n_ids": [total[0]]})
 
-    return written(ranged.mapInArrow(write, "file string, part int, n_docs long, n_ids long"), "token-files")
+    return written(ranged.mapInArrow(write, "file string, part long, n_docs long, n_ids long"), "token-files")
 
 
 def read_file(f, size: int):
