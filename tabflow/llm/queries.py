@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabflow.llm import crosspoly, jaccard, linededup, packing, tokenfile, warc
+from tabflow.llm import crosspoly, jaccard, linededup, mixing, packing, tokenfile, warc
 
 QUERIES = {
     "op1_tokenfile": tokenfile.op1_tokenfile,
     "op2_warc": warc.op2_warc,
+    "op3_mixing": mixing.op3_mixing,
     "op4_linededup": linededup.op4_linededup,
     "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
+    "op3_mixing": mixing.OP3_SQL,
     "op4_linededup": linededup.OP4_SQL,
     "op8_crosspoly": crosspoly.OP8_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
