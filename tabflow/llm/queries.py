@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabflow.llm import crosspoly, jaccard, langid, linededup, mixing, packing, tokenfile, warc
+from tabflow.llm import crosspoly, jaccard, langid, linededup, mixing, packing, quality, tokenfile, warc
 
 QUERIES = {
     "op1_tokenfile": tokenfile.op1_tokenfile,
     "op2_warc": warc.op2_warc,
     "op3_mixing": mixing.op3_mixing,
     "op4_linededup": linededup.op4_linededup,
+    "op5_quality": quality.op5_quality,
     "op7_langid": langid.op7_langid,
     "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
