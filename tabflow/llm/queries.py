@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabflow.llm import crosspoly, jaccard, langid, linededup, mixing, packing, quality, tokenfile, warc
+from tabflow.llm import crosspoly, jaccard, langid, linededup, mixing, packing, quality, syncmers, tokenfile, warc
 
 QUERIES = {
     "op1_tokenfile": tokenfile.op1_tokenfile,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_linededup": linededup.op4_linededup,
     "op5_quality": quality.op5_quality,
+    "op6_syncmers": syncmers.op6_syncmers,
     "op7_langid": langid.op7_langid,
     "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
