@@ -18,8 +18,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tabflow.llm.common import col, documents
+from tabflow.llm.common import col, documents, free_name
 from tabflow.llm.textvec import row_bounds, slices, spans, utf8
 
 BUCKETS = 1 << 15
@@ -144,10 +145,19 @@ def has_letter(text: str) -> bool:
 
 
 def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text",
-             penalty: float = SWITCH_PENALTY, with_spans: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score[, spans]); a span is (start, end, lang) in bytes of the UTF-8 text."""
+             penalty: float = SWITCH_PENALTY, with_spans: bool = False, carry: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score[, spans]); a span is (start, end, lang) in bytes of the UTF-8 text.
+
+    ``carry=True`` keeps all columns of ``docs`` in place of the id (underscores are added to clashing new names)."""
     import pyarrow as pa
-    schema = "doc_id long, lang_pred string, score double" + (", spans array<struct<start:long,end:long,lang:string>>" if with_spans else "")
+    rows = docs if carry else docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    text_at = rows.columns.index(text_col if carry else "text")
+    kept = list(range(len(rows.columns))) if carry else [0]
+    new = ["lang_pred", "score"] + ["spans"] * with_spans
+    names = [f"c{i}" for i in kept] + new
+    types = {"lang_pred": "string", "score": "double", "spans": "array<struct<start:long,end:long,lang:string>>"}
+    schema = StructType([StructField(f"c{i}", rows.schema.fields[i].dataType) for i in kept]
+                        + [StructField(n, _parse_datatype_string(types[n])) for n in new])
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches):
@@ -155,7 +165,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
         k = len(langs)
 
         def flush(held):
-            ids = pa.concat_arrays([h[0] for h in held])
+            old = [pa.concat_arrays([h[0].column(i) for h in held]) for i in kept]
             texts = [t for h in held for t in h[1]]
             emit = np.concatenate([h[2] for h in held])
             letters = np.concatenate([h[3] for h in held])
@@ -168,7 +178,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
             total = share.sum(1)
             pick = share.argmax(1)
             ok = np.array([bool(t) and (a or has_letter(x.as_py())) for t, a, x in zip(total, ascii_, texts)], bool)
-            cols = [ids, pa.array([langs[p] if o else "und" for p, o in zip(pick, ok)], pa.string()),
+            cols = [*old, pa.array([langs[p] if o else "und" for p, o in zip(pick, ok)], pa.string()),
                     pa.array(np.where(ok, share[np.arange(len(texts)), pick] / np.maximum(total, 1), 0.0))]
             if with_spans:
                 starts, ends = (np.concatenate([h[i] for h in held]) for i in (6, 7))
@@ -180,16 +190,15 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
                     out.append([{"start": int(starts[a + p]), "end": int(ends[a + q - 1]), "lang": langs[label[a + p]]}
                                 for p, q in zip(cuts, cuts[1:])] if ok[i] else [])
                 cols.append(pa.array(out, pa.list_(kind)))
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_pred", "score"] + ["spans"] * with_spans)
+            return pa.RecordBatch.from_arrays(cols, names)
 
         held, words = [], 0
         for b in batches:
             if not k:
-                cols = [b.column(0), pa.array(["und"] * len(b), pa.string()), pa.array(np.zeros(len(b)))]
-                yield pa.RecordBatch.from_arrays(cols + ([pa.array([[]] * len(b), pa.list_(kind))] if with_spans else []),
-                                                 ["doc_id", "lang_pred", "score"] + ["spans"] * with_spans)
+                cols = [*(b.column(i) for i in kept), pa.array(["und"] * len(b), pa.string()), pa.array(np.zeros(len(b)))]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([[]] * len(b), pa.list_(kind))] if with_spans else []), names)
                 continue
-            data, offs = utf8(b.column(1))
+            data, offs = utf8(b.column(text_at))
             for i, j, d, o in slices(data, offs, max(1 << 16, (1 << 23) // k)):
                 starts, ends, script, code, use = scan(d, o)
                 score = np.zeros((len(d) + 1, k), np.float64)
@@ -200,7 +209,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
                 first = row_bounds(starts, o)
                 plain = np.concatenate([[0], np.cumsum((d | 32 >= 97) & (d | 32 <= 122) & (d < 128))])
                 row_at = o[np.searchsorted(o, starts, "right") - 1]
-                held.append((b.column(0)[i:j], b.column(1)[i:j], emit, (ends - starts).astype(float), first,
+                held.append((b.slice(i, j - i), b.column(text_at)[i:j], emit, (ends - starts).astype(float), first,
                              plain[o[1:]] > plain[o[:-1]], starts - row_at, ends - row_at))
                 words += len(emit)
                 if words >= RUN_WORDS:
@@ -209,7 +218,11 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
         if held:
             yield flush(held)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    last = [c for c in rows.columns] if carry else ["doc_id"]
+    for n in new:
+        last.append(free_name(n, last))
+    return out.toDF(*last)
 
 
 def fold(id_col, folds: int):
