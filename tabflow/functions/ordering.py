@@ -16,6 +16,17 @@ from pyspark.sql.window import Window as W
 from tabflow.session import ensure_checkpoint_dir
 
 
+def join_on(left: DataFrame, right: DataFrame, cols, how: str = "inner", extra=()) -> DataFrame:
+    """Join on equal ``cols`` where NULL equals NULL; ``cols`` come out once, as the left side has them."""
+    cols = list(cols)
+    r = right.select(*[F.col(f"`{c}`").alias(f"_on_{c}") for c in cols],
+                     *[F.col(f"`{c}`") for c in right.columns if c not in cols])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[f"`{c}`"].eqNullSafe(r[f"`_on_{c}`"])
+    return left.join(r, cond, how).drop(*[f"_on_{c}" for c in cols])
+
+
 def global_row_index(df: DataFrame, order_cols, index_col: str = "idx", num_partitions: int | None = None,
                      checkpoint: bool = True) -> DataFrame:
     """Add a 0-based position in the total order given by ``order_cols`` (make them unique)."""
@@ -59,15 +70,15 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, partition_cols=(), d
     tw = W.partitionBy(*parts).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
     offs = tot.select(*parts, "_pid", *[F.coalesce(F.sum(f"_tot_{c}").over(tw), F.lit(0)).alias(f"_off_{c}")
                                         for c in sum_cols])
-    out = local.join(offs, parts + ["_pid"])
+    out = join_on(local, offs, parts + ["_pid"])
     return out.select(*df.columns, *[(F.col(f"_run_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
 def time_chunk(time_col: str, chunk_seconds: int = 7 * 86400):
     """Monotone chunk number of a date/timestamp: rows of one entity in different chunks are
-    ranked in different tasks."""
+    ranked in different tasks. Rows without a time are the first chunk, as NULLs sort first."""
     ts = F.col(time_col).cast("timestamp_ntz").cast("timestamp")
-    return F.floor(F.unix_seconds(ts) / F.lit(chunk_seconds)).cast("bigint")
+    return F.coalesce(F.floor(F.unix_seconds(ts) / F.lit(chunk_seconds)).cast("bigint"), F.lit(-(1 << 62)))
 
 
 def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col: str = "pos",
@@ -77,7 +88,8 @@ def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col
     A window partitioned by entity alone sends a hot entity (say a third of all rows) to
     one task. Here rows are ranked inside ``(entity, chunk)`` where ``chunk`` is monotone in
     the order (e.g. ``time_chunk``), and the chunk's offset comes from a running sum over
-    the small per-chunk count table. ``count_col`` optionally adds the entity's row count."""
+    the small per-chunk count table. ``count_col`` optionally adds the entity's row count.
+    Rows with a NULL entity are an entity of their own; NULL order values come first."""
     entity_cols = list(entity_cols)
     d = df.withColumn("_chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
     local = d.withColumn("_lpos", F.row_number().over(
@@ -89,7 +101,7 @@ def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col
     if count_col:
         offs = offs.withColumn(count_col, F.sum("_cnt_").over(ew))
     offs = offs.drop("_cnt_")
-    return (local.join(offs, entity_cols + ["_chunk"])
+    return (join_on(local, offs, entity_cols + ["_chunk"])
             .withColumn(pos_col, (F.col("_off") + F.col("_lpos")).cast("bigint"))
             .drop("_chunk", "_lpos", "_off"))
 
@@ -99,4 +111,16 @@ def lag_by_position(df: DataFrame, entity_cols, value_col: str, k: int, out_col:
     ``(entity, pos)`` (spreads a hot entity over all tasks, unlike a lag window)."""
     entity_cols = list(entity_cols)
     prev = df.select(*entity_cols, (F.col(pos_col) + k).alias(pos_col), F.col(value_col).alias(out_col))
-    return df.join(prev, entity_cols + [pos_col], "left")
+    return join_on(df, prev, entity_cols + [pos_col], "left")
+
+
+def with_halo(df: DataFrame, entity_cols, back: int, pos_col: str = "pos", slice_rows: int = 10_000) -> DataFrame:
+    """Cut every entity into slices of ``slice_rows`` positions (``_slice``) and copy the last ``back`` rows of a
+    slice into the next one (``_halo`` true), so that a window over ``(entity, _slice)`` sees the ``back`` rows before
+    each row. A hot entity is many slices; the copies are dropped after the window with ``NOT _halo``."""
+    size = max(slice_rows, back)
+    own = F.floor(F.col(pos_col) / size)
+    to = F.array(F.struct(own.alias("_slice"), F.lit(False).alias("_halo")))
+    to = F.when(F.col(pos_col) % size >= size - back, F.concat(to, F.array(F.struct((own + 1).alias("_slice"), F.lit(True).alias("_halo"))))
+                ).otherwise(to)
+    return df.select("*", F.inline(to))

@@ -255,6 +255,10 @@ class TableCleanerModel:
             out = fill_forward_backward(out, ff, order, ent, chunk=time_chunk(st.time_col))
         fills = {c: v for c, v in st.numeric_fill.items() if v != "ffill_bfill" and c in out.columns}
         fills.update({c: v for c, v in st.categorical_fill.items() if c in out.columns})
+        # A fractional median would be cut by the column's integer type: those columns become double.
+        wide = [f.name for f in out.schema.fields if isinstance(fills.get(f.name), float) and not fills[f.name].is_integer()
+                and isinstance(f.dataType, T.IntegralType)]
+        out = out.select(*[F.col(c).cast("double").alias(c) if c in wide else F.col(c) for c in out.columns])
         if fills:
             out = out.fillna(fills)
         for c, (lo, hi) in st.bounds.items():
@@ -262,8 +266,8 @@ class TableCleanerModel:
                 out = out.withColumn(c, clip(c, lo, hi))
         for c, levels in st.one_hot.items():
             if c in out.columns:
-                dummies = [(F.col(c) == F.lit(lv)).cast("int").alias(f"{c}_{lv}") for lv in levels[1:]]
-                out = out.select(*[x for x in out.columns if x != c], *dummies)
+                dummies = [F.coalesce((F.col(c) == F.lit(lv)).cast("int"), F.lit(0)).alias(f"{c}_{lv}") for lv in levels[1:]]
+                out = out.select(*[F.col(f"`{x}`") for x in out.columns if x != c], *dummies)
         for c, n_levels in st.label_cols.items():
             if c in out.columns and self.levels is not None:
                 lv = self.levels.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))

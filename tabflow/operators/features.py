@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import is_numeric_type
-from tabflow.functions.ordering import entity_positions, lag_by_position, time_chunk
+from tabflow.functions.ordering import entity_positions, time_chunk, with_halo
 from tabflow.operators.profile import _inline
 
 # Fixed values.
@@ -49,46 +49,26 @@ def date_parts(df: DataFrame, time_col: str) -> DataFrame:
                      F.dayofmonth(t).alias(f"{time_col}_day"))
 
 
-def _prefix_table(pos_df: DataFrame, entity_cols, target: str, chunk) -> DataFrame:
-    """Per-entity running sum and non-null count of ``target`` by position (chunked)."""
-    d = pos_df.withColumn("_chunk", chunk)
-    part = list(entity_cols) + ["_chunk"]
-    w = W.partitionBy(*part).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    local = (d.withColumn("_ls", F.sum(F.coalesce(F.col(target), F.lit(0.0))).over(w))
-             .withColumn("_lc", F.count(target).over(w)))
-    summ = d.groupBy(*part).agg(F.sum(F.coalesce(F.col(target), F.lit(0.0))).alias("_cs"),
-                                F.count(target).alias("_cc"))
-    ew = W.partitionBy(*entity_cols).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    summ = (summ.withColumn("_os", F.coalesce(F.sum("_cs").over(ew), F.lit(0.0)))
-            .withColumn("_oc", F.coalesce(F.sum("_cc").over(ew), F.lit(0))).drop("_cs", "_cc"))
-    return (local.join(summ, part).select(*entity_cols, "pos", (F.col("_ls") + F.col("_os")).alias("_S"),
-                                          (F.col("_lc") + F.col("_oc")).alias("_C")))
-
-
 def lag_rolling_features(df: DataFrame, target: str, time_col: str, entity_col: str | None = None,
                          lags=(1, 7), windows=(7,), tiebreak: str | None = None,
                          chunk_seconds: int = 28 * 86400) -> DataFrame:
     """``<y>_lag_<k>`` and ``<y>_rolling_mean_<w>`` (mean of the previous w values,
-    null until w previous values exist), per entity, in time order."""
+    null until w previous values exist), per entity, in time order.
+
+    Real windows over slices of an entity, each with the rows it needs from the slice before it: one shuffle for
+    all lags and windows, and no difference of running sums that a large value could spoil. Rows with a NULL entity
+    are one entity, rows with a NULL time come first in theirs."""
     ent = [entity_col] if entity_col else []
     order = [time_col] + ([tiebreak] if tiebreak else [])
-    chunk = time_chunk(time_col, chunk_seconds)
-    out = entity_positions(df, ent, order, chunk=chunk)
-    for k in lags:
-        out = lag_by_position(out, ent, target, k, f"{target}_lag_{k}")
-    if windows:
-        pre = _prefix_table(out.select(*ent, "pos", time_col, target), ent, target, chunk).cache()
-        for w in windows:
-            hi = pre.select(*ent, (F.col("pos") + 1).alias("pos"), F.col("_S").alias("_S1"), F.col("_C").alias("_C1"))
-            lo = pre.select(*ent, (F.col("pos") + 1 + w).alias("pos"), F.col("_S").alias("_S0"),
-                            F.col("_C").alias("_C0"))
-            out = (out.join(hi, ent + ["pos"], "left").join(lo, ent + ["pos"], "left")
-                   .withColumn("_n", F.col("_C1") - F.coalesce(F.col("_C0"), F.lit(0)))
-                   .withColumn(f"{target}_rolling_mean_{w}",
-                               F.when((F.col("pos") >= w) & (F.col("_n") == w),
-                                      (F.col("_S1") - F.coalesce(F.col("_S0"), F.lit(0.0))) / w))
-                   .drop("_S1", "_C1", "_S0", "_C0", "_n"))
-    return out.drop("pos")
+    pos = entity_positions(df, ent, order, chunk=time_chunk(time_col, chunk_seconds))
+    back = max([0, *lags, *windows])
+    cut = with_halo(pos, ent, back)
+    by = W.partitionBy(*ent, "_slice").orderBy("pos")
+    out = cut.select("*", *[F.lag(target, k).over(by).alias(f"{target}_lag_{k}") for k in lags],
+                     *[F.when((F.col("pos") >= w) & (F.count(target).over(by.rowsBetween(-w, -1)) == w),
+                              F.avg(F.col(target).cast("double")).over(by.rowsBetween(-w, -1))).alias(f"{target}_rolling_mean_{w}")
+                       for w in windows])
+    return out.where("NOT _halo").drop("pos", "_slice", "_halo")
 
 
 def dropna_rows(df: DataFrame) -> DataFrame:

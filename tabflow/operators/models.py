@@ -25,6 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.functions.ordering import join_on
 from tabflow.operators import metrics as V
 
 # Fixed values.
@@ -39,11 +40,11 @@ MAX_CYCLES = 3
 CLASS_WEIGHT_MODELS = ("logistic_regression", "random_forest", "decision_tree", "svm")
 CYCLE_VARIANTS = {
     2: {"random_forest": {"numTrees": 300, "maxDepth": 12}, "logistic_regression": {"regParam": 0.02},
-        "gradient_boosting": {"maxIter": 30, "maxDepth": 6}, "decision_tree": {"maxDepth": 8},
-        "svm": {"regParam": 0.5}, "neural_network": {"layers_hidden": [100, 50]}, "naive_bayes": {"smoothing": 1e-8}},
+        "gradient_boosting": {"maxIter": 300, "maxDepth": 6}, "decision_tree": {"maxDepth": 8},
+        "svm": {"regParam": 0.5}, "k_nearest_neighbors": {"k": 7}, "neural_network": {"layers_hidden": [100, 50]}, "naive_bayes": {"smoothing": 1e-8}},
     3: {"random_forest": {"numTrees": 500, "maxDepth": 20}, "logistic_regression": {"regParam": 0.005},
-        "gradient_boosting": {"maxIter": 50, "maxDepth": 8}, "decision_tree": {"maxDepth": 4},
-        "svm": {"regParam": 2.0}, "neural_network": {"layers_hidden": [100, 50, 25]},
+        "gradient_boosting": {"maxIter": 500, "maxDepth": 8}, "decision_tree": {"maxDepth": 4},
+        "svm": {"regParam": 2.0}, "k_nearest_neighbors": {"k": 15}, "neural_network": {"layers_hidden": [100, 50, 25]},
         "naive_bayes": {"smoothing": 1e-10}},
 }
 
@@ -75,7 +76,7 @@ def _grid(*pairs):
         g = ParamGridBuilder()
         for param, values in pairs:
             g = g.addGrid(getattr(est, param), values)
-        return g.build()[:MAX_TRIALS]
+        return g.build()
     return build
 
 
@@ -107,7 +108,7 @@ for _c in [
               grid=_grid(("regParam", [0.001, 0.01, 0.1, 1.0])), scaled=True, weights=True),
     Candidate("random_forest", "classification",
               lambda f, y, d, k, **kw: RandomForestClassifier(featuresCol=f, labelCol=y, numTrees=kw.get("numTrees", 100),
-                                                              maxDepth=min(kw.get("maxDepth", 5), 30), seed=SEED),
+                                                              maxDepth=kw.get("maxDepth", 5), seed=SEED),
               grid=_grid(("numTrees", [50, 100]), ("maxDepth", [5, 10])), weights=True),
     Candidate("gradient_boosting", "classification", _gbt_clf, grid=_grid(("maxDepth", [3, 5])), proba=True),
     Candidate("decision_tree", "classification",
@@ -170,6 +171,11 @@ def index_labels(train: DataFrame, label: str, out: str = "label_idx"):
     return model
 
 
+def _keep_unseen(label_model):
+    """The fitted indexer, keeping rows whose class it never saw (they get the code after the last)."""
+    return label_model.copy().setHandleInvalid("keep")
+
+
 def _prep(df: DataFrame, features, label: str, label_model=None):
     d = df.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in features])
     d = VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="features").transform(d)
@@ -184,13 +190,13 @@ def balanced_weights(train: DataFrame, label: str, weight_col: str = "weight") -
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     w = counts.withColumn("_j", F.lit(1)).join(tot.withColumn("_j", F.lit(1)), "_j").select(
         label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(weight_col))
-    return train.join(F.broadcast(w), label)
+    return join_on(train, w, [label])  # a NULL class has its weight too; one row per class
 
 
 # ----------------------------------------------------------------------------- fit / predict
 
-def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str, task: str, labels) -> DataFrame:
-    """Exact 5 nearest training rows on features standardised with train mean / population
+def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str, task: str, labels, k: int = 5) -> DataFrame:
+    """Exact ``k`` nearest training rows on features standardised with train mean / population
     std (std 0 → 1); majority vote (ties → first sorted class) or mean target."""
     from tabflow.operators import neighbors as N
     cols = [f"_f_{c}" for c in features]
@@ -207,7 +213,7 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
     vec = F.array(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(cols)])
     tr_i = tr_r.select("_id", vec.alias("_v"), "_y")
     te_i = te_r.select("_id", vec.alias("_v"), "_label")
-    nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",)), te_i, "_id", F.col("_v"))
+    nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",)), te_i, "_id", F.col("_v"), k=k)
     if task == "classification":
         vote = N.knn_vote(nb, "_y", classes=[float(i) for i in range(len(labels))])
         out = te_i.join(vote, te_i["_id"] == vote["qid"], "left").select(
@@ -225,25 +231,40 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
                 params: dict | None = None, weight_col: str | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
+    return fit_candidate(cand, train, features, label, task, params, weight_col)(test)
+
+
+def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task: str, params: dict | None = None,
+                  weight_col: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Train on ``train``; returns ``predict(test)``, which uses this very fit every time it is called.
+
+    Test rows whose class is not in ``train`` are predicted like any other (and so count as wrong)."""
     params = params or {}
     if task == "classification":
         lm = index_labels(train, label)
         labels = lm.labels
-        tr, te = _prep(train, features, label, lm), _prep(test, features, label, lm)
-        y = "label_idx"
+        tr, y = _prep(train, features, label, lm), "label_idx"
     else:
         labels, lm = None, None
-        tr, te = _prep(train, features, label), _prep(test, features, label)
-        y = label
+        tr, y = _prep(train, features, label), label
+
+    def prepared(test: DataFrame) -> DataFrame:
+        return _prep(test, features, label, _keep_unseen(lm) if lm is not None else None)
+
     if cand.name == "k_nearest_neighbors":
-        return _knn_fit_predict(tr, te, features, y, label, task, labels)
+        def predict(test: DataFrame) -> DataFrame:
+            return _knn_fit_predict(tr, prepared(test), features, y, label, task, labels, params.get("k", 5))
+
+        predict.labels = labels
+        return predict
     if cand.name == "baseline":  # M01 / M02
         if task == "classification":
-            mode = tr.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).first()[y]
-            pred = te.withColumn("prediction", F.lit(float(mode)))
+            best = tr.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).first()[y]
         else:
-            mean = tr.agg(F.avg(y)).first()[0]
-            pred = te.withColumn("prediction", F.lit(float(mean)))
+            best = tr.agg(F.avg(y)).first()[0]
+
+        def apply(te: DataFrame) -> DataFrame:
+            return te.withColumn("prediction", F.lit(float(best)))
     else:
         est = cand.make("features_s" if cand.scaled else "features", y, len(features), len(labels or []), **params)
         if weight_col and cand.weights and hasattr(est, "setWeightCol"):
@@ -255,50 +276,72 @@ def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, la
         # The fit makes several passes (scaler, metadata, iterations); they read the written rows.
         fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
         model = Pipeline(stages=stages).fit(tr.select(*fit_cols).checkpoint(eager=True))
-        pred = model.transform(te)
-    if task == "classification":
-        out = pred.select(F.col(label).cast("string").alias("label"),
-                          F.element_at(F.array(*[F.lit(v) for v in labels]),
-                                       F.col("prediction").cast("int") + 1).alias("prediction"),
-                          *([vector_to_array("probability").alias("probability")]
-                            if cand.proba and "probability" in pred.columns else []))
-        if "probability" in out.columns and len(labels) == 2:
-            out = out.withColumn("prob_pos", F.col("probability")[1])  # M19: second sorted class
-        return out.checkpoint(eager=True)  # one row per test row; every metric pass reads it
-    return pred.select(F.col(label).cast("double").alias("label"), F.col("prediction").cast("double")) \
-        .checkpoint(eager=True)
+        apply = model.transform
 
-
-def score_predictions(pred: DataFrame, task: str) -> DataFrame:
-    """Metrics of one prediction table as long ``(metric, value)`` rows."""
+    def predict(test: DataFrame) -> DataFrame:
+        pred = apply(prepared(test))
+        if task == "classification":
+            out = pred.select(F.col(label).cast("string").alias("label"),
+                              F.element_at(F.array(*[F.lit(v) for v in labels]),
+                                           F.col("prediction").cast("int") + 1).alias("prediction"),
+                              *([vector_to_array("probability").alias("probability")]
+                                if cand.proba and "probability" in pred.columns else []))
+            if "probability" in out.columns and len(labels) == 2:
+                out = out.withColumn("prob_pos", F.col("probability")[1])  # M19: second sorted class
+            return out.checkpoint(eager=True)  # one row per test row; every metric pass reads it
+        return pred.select(F.col(label).cast("double").alias("label"), F.col("prediction").cast("double")) \
+            .checkpoint(eager=True)
+
+    predict.labels = labels
+    return predict
+
+
+def score_predictions(pred: DataFrame, task: str, labels=None) -> DataFrame:
+    """Metrics of one prediction table as long ``(metric, value)`` rows (V13): accuracy, weighted precision, recall and
+    f1, ROC-AUC and PR-AUC (macro for more than two ``labels``); or mae, rmse, r2, mape and smape."""
     if task == "classification":
         acc = V.accuracy(pred)
         prf = V.weighted_prf(pred)
         wide = acc.withColumn("_k", F.lit(1)).join(prf.withColumn("_k", F.lit(1)), "_k")
         names = ["accuracy", "precision", "recall", "f1"]
         if "prob_pos" in pred.columns:
-            pos = pred.agg(F.max("label")).first()[0]
+            pos = labels[1] if labels else pred.agg(F.max("label")).first()[0]
             auc = V.roc_auc_binary(pred, "label", "prob_pos", pos)
-            wide = wide.join(auc.withColumn("_k", F.lit(1)), "_k")
-            names.append("roc_auc")
+            pr = V.average_precision(pred, "label", "prob_pos", pos)
+            wide = wide.join(auc.withColumn("_k", F.lit(1)), "_k").join(pr.withColumn("_k", F.lit(1)), "_k")
+            names += ["roc_auc", "pr_auc"]
+        elif "probability" in pred.columns and labels and len(labels) > 2:
+            # One row per test row and class (a fitted model's classes); macro one-vs-rest.
+            probs = pred.withColumn("_row", F.monotonically_increasing_id()).select(
+                "_row", "label", F.posexplode("probability").alias("_c", "prob")).select(
+                "_row", "label", "prob", F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("_c") + 1).alias("class"))
+            auc = V.roc_auc_ovr(probs, "_row").select(F.col("roc_auc_ovr").alias("roc_auc"))
+            pr = V.pr_auc_macro(probs, "_row").select(F.col("pr_auc_macro").alias("pr_auc"))
+            wide = wide.join(auc.withColumn("_k", F.lit(1)), "_k").join(pr.withColumn("_k", F.lit(1)), "_k")
+            names += ["roc_auc", "pr_auc"]
         return V.to_long(wide, names)
-    return V.to_long(V.regression_metrics(pred), ["mae", "rmse", "r2"])
+    return V.to_long(V.regression_metrics(pred), ["mae", "rmse", "r2", "mape", "smape"])
 
 
 def run_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, features, label: str, task: str,
                    names=None, run_id: str = "run", params: dict | None = None, weight_col: str | None = None,
-                   cycle: int = 1) -> DataFrame:
-    """Train every candidate; a failure becomes a result row and never aborts the run."""
+                   cycle: int = 1, fitted: dict | None = None) -> DataFrame:
+    """Train every candidate; a failure becomes a result row and never aborts the run.
+
+    ``fitted`` collects ``(cycle, model name) -> predict`` of every fit."""
     rows = []
     for cand in candidates_for(task, names):
         t0 = time.time()
         try:
-            pred = fit_predict(cand, train, test, features, label, task, (params or {}).get(cand.name), weight_col)
-            for r in score_predictions(pred, task).collect():  # a handful of metric rows
+            predict = fit_candidate(cand, train, features, label, task, (params or {}).get(cand.name), weight_col)
+            pred = predict(test)
+            if fitted is not None:
+                fitted[(cycle, cand.name)] = predict
+            for r in score_predictions(pred, task, getattr(predict, "labels", None)).collect():  # a handful of metric rows
                 rows.append((run_id, cycle, cand.name, "success", r["metric"], r["value"], None,
                              round(time.time() - t0, 3)))
         except Exception as e:  # noqa: BLE001
-            msg = f"{type(e).__name__}: {e}".splitlines()[0][:500]
+            msg = f"{type(e).__name__}: {e}"
             rows.append((run_id, cycle, cand.name, "failed", None, None, msg, round(time.time() - t0, 3)))
             traceback.clear_frames(e.__traceback__)
     return spark.createDataFrame(rows, RESULT_SCHEMA)
@@ -309,9 +352,12 @@ RESULT_SCHEMA = ("run_id string, cycle int, model string, status string, metric
 
 
 def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate, fold_col: str = "fold",
-             grid=None) -> tuple[float | None, dict]:
+             grid=None, max_trials: int | None = MAX_TRIALS) -> tuple[float | None, dict]:
     """Mean cross-validated score on train rows with precomputed folds (X07/X08);
-    skipped (None) below 10 rows per fold. With a grid, the best parameters are returned."""
+    skipped (None) below 10 rows per fold. With a grid, the best parameters are returned;
+    a grid of more than ``max_trials`` points is an error (None: any size).
+
+    A ``scaled`` candidate is scored with its scaler, fitted inside every fold."""
     n, k = train.agg(F.count(F.lit(1)), F.countDistinct(fold_col)).first()
     if k < 2 or n / k < MIN_ROWS_PER_FOLD or cand.name == "baseline":
         return None, {}
@@ -338,9 +384,12 @@ def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate,
     ensure_checkpoint_dir(train.sparkSession)
     # Every fold and grid point reads the prepared rows; write them once instead of re-deriving them.
     d = d.select("features", y, fold_col).checkpoint(eager=True)
-    est = cand.make("features", y, len(features), n_classes)
+    est = cand.make("features_s" if cand.scaled else "features", y, len(features), n_classes)
     maps = (grid(est) if grid else None) or ParamGridBuilder().build()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, parallelism=4,
+    if max_trials is not None and len(maps) > max_trials:
+        raise ValueError(f"the grid has {len(maps)} points, more than max_trials={max_trials}")
+    whole = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True), est]) if cand.scaled else est
+    cv = CrossValidator(estimator=whole, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, parallelism=4,
                         seed=SEED)
     model = cv.fit(d.withColumn(fold_col, F.col(fold_col).cast("int")))
     scores = model.avgMetrics
@@ -351,8 +400,10 @@ def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate,
 
 def meets_acceptance(results: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """Per (run, cycle, model): every threshold met, a missing metric counts as not met."""
-    th = thresholds or DEFAULT_ACCEPTANCE
+    th = DEFAULT_ACCEPTANCE if thresholds is None else thresholds
     spark = results.sparkSession
+    if not th:  # nothing to meet is never met
+        return results.select("run_id", "cycle", "model", F.lit(False).alias("accepted")).distinct()
     t = spark.createDataFrame(list(th.items()), "metric string, threshold double")
     models = results.select("run_id", "cycle", "model").distinct()
     pairs = models.withColumn("_k", F.lit(1)).join(F.broadcast(t.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -371,26 +422,36 @@ def best_so_far(results: DataFrame, metric: str, n: int = 3, higher_is_better: b
     return best.orderBy(order, F.asc("model")).limit(n)
 
 
+def best_cycle(results: DataFrame, metric: str = "f1", higher_is_better: bool = True) -> DataFrame:
+    """The winning fit per run: ``(run_id, cycle, model, best)`` with the best ``metric`` over all cycles (ties: the
+    earlier cycle, then the smaller name)."""
+    v = F.col("value") if higher_is_better else -F.col("value")
+    ok = results.where((F.col("status") == "success") & (F.col("metric") == metric) & F.col("value").isNotNull())
+    return (ok.groupBy("run_id").agg(F.min(F.struct((-v).alias("loss"), "cycle", "model", "value")).alias("w"))
+            .select("run_id", "w.cycle", "w.model", F.col("w.value").alias("best")))
+
+
 def improvement_cycles(spark: SparkSession, train: DataFrame, valid: DataFrame, test: DataFrame, features,
-                       label: str, names=None, thresholds: dict | None = None, metric: str = "accuracy",
+                       label: str, names=None, thresholds: dict | None = None, metric: str = "f1",
                        key_cols=("id",)) -> tuple[DataFrame, str | None, DataFrame | None]:
     """≤3 cycles on validation; cycle 1 defaults; then class weights (+ oversampling) when
-    imbalanced, else fixed variants of the top 3; stop when a candidate is accepted; the best
-    over all cycles is scored once on test."""
+    imbalanced and a candidate can use weights, else fixed variants of the top 3; stop when a candidate is
+    accepted. The winner is the best fit over all cycles by ``metric``; if it was accepted, that very fit (its
+    parameters, weights and sampling) is scored once on test, otherwise there is no test score."""
     from tabflow.operators.split import class_balance, oversample
     imbalanced = class_balance(train, label).agg(F.max(F.col("imbalanced").cast("int"))).first()[0] == 1
-    all_results = None
+    all_results, fitted = None, {}
     names = list(names) if names else [c.name for c in candidates_for("classification")]
     todo, params, weight, tr = names, {}, None, train
     for cycle in range(1, MAX_CYCLES + 1):
         res = run_candidates(spark, tr, valid, features, label, "classification", todo, params=params,
-                             weight_col=weight, cycle=cycle).cache()
+                             weight_col=weight, cycle=cycle, fitted=fitted).cache()
         all_results = res if all_results is None else all_results.unionByName(res)
         if meets_acceptance(res, thresholds).where("accepted").limit(1).count() > 0:
             break
         if cycle == MAX_CYCLES:
             break
-        if imbalanced:
+        if imbalanced and any(m in CLASS_WEIGHT_MODELS for m in names):
             todo = [m for m in names if m in CLASS_WEIGHT_MODELS]
             tr = balanced_weights(train, label)
             weight = "weight"
@@ -400,8 +461,15 @@ def improvement_cycles(spark: SparkSession, train: DataFrame, valid: DataFrame,
             top = [r["model"] for r in best_so_far(all_results, metric, 3).collect()]
             todo = [m for m in top if m != "baseline"]
             params = {m: CYCLE_VARIANTS[cycle + 1].get(m, {}) for m in todo}
-    best = best_so_far(all_results, metric, 1).first()
+    best = best_cycle(all_results, metric).first()
     if best is None:
         return all_results, None, None
-    final = run_candidates(spark, train, test, features, label, "classification", [best["model"]], cycle=0)
+    met = meets_acceptance(all_results, thresholds).where(
+        "accepted and cycle = {} and model = '{}'".format(best["cycle"], best["model"])).limit(1).count() > 0
+    if not met:
+        return all_results, best["model"], None
+    winner = fitted[(best["cycle"], best["model"])]
+    scores = score_predictions(winner(test), "classification", getattr(winner, "labels", None)).collect()
+    final = spark.createDataFrame([("run", 0, best["model"], "success", r["metric"], r["value"], None, None) for r in scores],
+                                  RESULT_SCHEMA)
     return all_results, best["model"], final

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tabflow.functions.ordering import join_on
+
 # Two or more letters/digits/underscore, lower-cased (default TF-IDF tokens).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 100
@@ -49,7 +51,10 @@ class TfidfModel:
         long = self.transform(df).join(F.broadcast(idx), "term")
         dense = long.groupBy(self.id_col).agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("m"))
         arr = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-        return dense.select(self.id_col, array_to_vector(arr).alias(out_col))
+        # Documents without a known term keep their row, with the zero vector.
+        every = df.select(self.id_col).distinct()
+        both = join_on(every, dense, [self.id_col], "left")
+        return both.select(self.id_col, array_to_vector(arr).alias(out_col))
 
 
 class Tfidf:

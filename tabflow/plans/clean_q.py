@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tabflow.functions.exprs import hash_unit, parse_numeric_or_range
@@ -267,7 +269,7 @@ def cleaner_fit_transform(spark, sf):
 @query("cleaner_reload", CLEANER_SQL)
 def cleaner_reload(spark, sf):
     li, model = _fit_cleaner(spark, sf)
-    path = scratch_path(spark, "cleaner_reload_model")
+    path = scratch_path(spark, f"cleaner_reload_{uuid.uuid4().hex}")
     model.save(spark, path)
     reloaded = C.TableCleanerModel.load(spark, path)
     return reloaded.transform(li.where(~F.col("is_train")).drop("is_train"))

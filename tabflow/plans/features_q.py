@@ -82,6 +82,15 @@ def rolling_mean(spark, sf):
     return _lags(spark, sf).select("entity", "ds", "y_rolling_mean_7")
 
 
+@query("lag_features_nulls", "SELECT entity, ds, y_lag_1, y_lag_7, y_rolling_mean_7 FROM ("
+       + LAGS_SQL.replace(f"FROM {DAILY_BY_PRIORITY}", f"FROM (SELECT nullif(entity, '5-LOW') AS entity, ds, y FROM {DAILY_BY_PRIORITY})") + ")")
+def lag_features_nulls(spark, sf):
+    """Rows without an entity are a series of their own."""
+    d = daily_orders_by_priority(spark, sf).withColumn("entity", F.nullif("entity", F.lit("5-LOW")))
+    out = FE.lag_rolling_features(d, "y", "ds", "entity", lags=(1, 7), windows=(7,))
+    return out.select("entity", "ds", "y_lag_1", "y_lag_7", F.round("y_rolling_mean_7", 2).alias("y_rolling_mean_7"))
+
+
 @query("dropna_rows", f"""SELECT entity, count(*) AS n_rows FROM ({LAGS_SQL})
 WHERE y_lag_1 IS NOT NULL AND y_lag_7 IS NOT NULL AND y_rolling_mean_7 IS NOT NULL GROUP BY entity""")
 def dropna_rows(spark, sf):

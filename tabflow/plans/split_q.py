@@ -39,6 +39,17 @@ def split_chrono_entity(spark, sf):
     return S.split_chronological_entity(daily_orders_by_priority(spark, sf).select("entity", "ds"), "entity", "ds")
 
 
+NULL_ENTITY_SQL = f"(SELECT nullif(entity, '5-LOW') AS entity, ds, y FROM {DAILY_BY_PRIORITY})"
+
+
+@query("split_chrono_entity_nulls", f"""SELECT entity, ds, CASE WHEN row_number() OVER (PARTITION BY entity ORDER BY ds) - 1
+  < floor(count(*) OVER (PARTITION BY entity) * 0.8) THEN 'train' ELSE 'test' END AS split FROM {NULL_ENTITY_SQL}""")
+def split_chrono_entity_nulls(spark, sf):
+    """Rows without an entity are split as an entity of their own."""
+    d = daily_orders_by_priority(spark, sf).select(F.nullif("entity", F.lit("5-LOW")).alias("entity"), "ds")
+    return S.split_chronological_entity(d, "entity", "ds")
+
+
 H_DOC = sql_hash_unit("doc_id")
 STRAT_SQL = f"""SELECT doc_id, quality, CASE
   WHEN row_number() OVER (PARTITION BY quality ORDER BY {H_DOC}, doc_id) - 1 < round(count(*) OVER (PARTITION BY quality) * 0.2)
@@ -58,6 +69,13 @@ def split_stratified3(spark, sf):
     return _strat(spark, sf)
 
 
+@query("split_stratified3_nulls", STRAT_SQL.replace("FROM labels", "FROM (SELECT doc_id, nullif(quality, 0) AS quality FROM labels)"))
+def split_stratified3_nulls(spark, sf):
+    """Rows without a label are a class of their own."""
+    lab = table(spark, sf, "labels").select("doc_id", F.nullif("quality", F.lit(0)).alias("quality"))
+    return S.split_stratified(lab, "quality", ["doc_id"])
+
+
 @query("split_class_counts", f"SELECT split, quality, count(*) AS n FROM ({STRAT_SQL}) GROUP BY 1, 2")
 def split_class_counts(spark, sf):
     return S.class_distribution(_strat(spark, sf), "quality")

@@ -48,10 +48,11 @@ def preview_rows(df: DataFrame, order_cols, n: int = 5) -> DataFrame:
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive fingerprint: row count and the sum of the first 32 bits of
-    each row's md5 (NULL spelled ``\\N`` so it differs from the empty string)."""
+    each row's md5 modulo 2**62, summed as decimals so that no table is too large for it
+    (NULL spelled ``\\N`` so it differs from the empty string)."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
     h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(h), F.lit(0)).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), (F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)) % F.lit(1 << 62)).cast("bigint")
                   .alias("content_hash"))
 
 
