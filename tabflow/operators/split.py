@@ -22,12 +22,64 @@ SEED = 42
 TEST_SIZE = 0.2
 IMBALANCE_MIN_SHARE = 0.15
 HASH_CHUNKS = 64
+CHUNK_ROWS = 100_000
 DRAW_BLOCK = 100_000
-
-
-def _hash_chunk(h):
-    """Monotone chunk of a hash in [0, 1): spreads one class over ``HASH_CHUNKS`` tasks."""
-    return F.floor(h * HASH_CHUNKS).cast("bigint")
+#: Hash ranges counted per pass of ``hash_cuts``, and rows of one range that may be fetched to find a cut in it.
+CUT_RANGES = 2048
+CUT_ROWS = 10_000
+
+
+def _hash_chunk(h, n_rows: int):
+    """Monotone chunk of a hash in [0, 1): one class is spread over more tasks the more rows there are."""
+    return F.floor(h * max(HASH_CHUNKS, n_rows // CHUNK_ROWS)).cast("bigint")
+
+
+def _under(keys, cut) -> F.Column:
+    """Rows before the cut ``(hash, keys...)`` in the order of hash, then keys (NULLs first)."""
+    h, *rest = cut
+    out, tie = F.col("_h") < F.lit(h), F.col("_h") == F.lit(h)
+    for k, v in zip(keys, rest):
+        before = F.lit(False) if v is None else (F.col(k).isNull() | (F.col(k) < F.lit(v)))
+        out = out | (tie & before)
+        tie = tie & F.col(k).eqNullSafe(F.lit(v))
+    return out
+
+
+def hash_cuts(d: DataFrame, keys, positions) -> list:
+    """For 0-based ``positions`` (0 < p < rows) the row ``(hash, keys...)`` at that place in the order of ``_h``, keys.
+
+    Rows are counted per hash range; each pass looks only into the ranges that hold a cut, a ``CUT_RANGES``-th of
+    the rows, until a range is small enough to be fetched. No row is sorted or moved for a split."""
+    out = {}
+    todo = {p: (0.0, 1.0, p) for p in positions}  # range [lo, lo + width) and the place inside it
+    d = d.select("_h", *keys)
+    while todo:
+        ranges = sorted({(lo, w) for lo, w, _ in todo.values()})
+        cell = F.lit(None).cast("struct<r:int,b:int>")
+        for i, (lo, w) in enumerate(ranges):
+            inside = (F.col("_h") >= F.lit(lo)) & (F.col("_h") < F.lit(lo + w))
+            b = F.floor((F.col("_h") - F.lit(lo)) / F.lit(w / CUT_RANGES)).cast("int")
+            cell = F.when(inside, F.struct(F.lit(i).alias("r"), b.alias("b"))).otherwise(cell)
+        rows = d.select(cell.alias("c")).where("c IS NOT NULL").groupBy("c.r", "c.b").agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = {}
+        for r in sorted(rows, key=lambda r: (r["r"], r["b"])):  # at most CUT_RANGES rows per range
+            counts.setdefault(r["r"], []).append((r["b"], r["n"]))
+        nxt, fetch = {}, {}
+        for p, (lo, w, at) in todo.items():
+            for b, n in counts[ranges.index((lo, w))]:
+                if at < n:
+                    cell_ = (lo + b * (w / CUT_RANGES), w / CUT_RANGES, at)
+                    # Ranges are exact binary fractions; one finer than the hash holds a single value.
+                    (fetch if n <= CUT_ROWS or w / CUT_RANGES <= 2.0 ** -32 else nxt)[p] = cell_
+                    break
+                at -= n
+        for lo, w in {(lo, w) for lo, w, _ in fetch.values()}:
+            last = max(at for x, y, at in fetch.values() if (x, y) == (lo, w))
+            order = [F.col("_h"), *[F.col(k).asc_nulls_first() for k in keys]]
+            got = d.where((F.col("_h") >= F.lit(lo)) & (F.col("_h") < F.lit(lo + w))).orderBy(*order).limit(last + 1).collect()
+            out.update({p: tuple(got[at]) for p, (x, y, at) in fetch.items() if (x, y) == (lo, w)})
+        todo = nxt
+    return [out[p] for p in positions]
 
 
 def split_random(df: DataFrame, key_cols, test_size: float = TEST_SIZE, seed: int = SEED,
@@ -37,10 +89,17 @@ def split_random(df: DataFrame, key_cols, test_size: float = TEST_SIZE, seed: in
     h = hash_unit(*key_cols, seed=seed)
     if not exact:
         return df.withColumn("split", F.when(h < test_size, "test").otherwise("train"))
-    d = global_row_index(df.withColumn("_h", h), ["_h", *key_cols], "_idx")
+    d = df.withColumn("_h", h)
     n = d.count()
     n_test = math.ceil(n * test_size)
-    return d.withColumn("split", F.when(F.col("_idx") < n_test, "test").otherwise("train")).drop("_h", "_idx")
+    return d.withColumn("split", F.when(_first_rows(d, key_cols, n, n_test), "test").otherwise("train")).drop("_h")
+
+
+def _first_rows(d: DataFrame, keys, n: int, take: int) -> F.Column:
+    """Whether a row is among the ``take`` first of ``n`` in the order of ``_h``, keys: a pure predicate."""
+    if not 0 < take < n:
+        return F.lit(take >= n)
+    return _under(keys, hash_cuts(d, keys, [take])[0])
 
 
 def split_chronological(df: DataFrame, time_col: str, tiebreak, train_frac: float = 1 - TEST_SIZE) -> DataFrame:
@@ -62,7 +121,7 @@ def split_chronological_entity(df: DataFrame, entity_col: str, time_col: str, ti
 def _class_positions(df, label_col, key_cols, seed):
     h = hash_unit(*key_cols, seed=seed)
     d = df.withColumn("_h", h)
-    return entity_positions(d, [label_col], ["_h", *key_cols], chunk=_hash_chunk(F.col("_h")), pos_col="_pos",
+    return entity_positions(d, [label_col], ["_h", *key_cols], chunk=_hash_chunk(F.col("_h"), df.count()), pos_col="_pos",
                             count_col="_n")
 
 
@@ -84,7 +143,14 @@ def stratify_feasible(df: DataFrame, label_col: str, test_size: float = TEST_SIZ
 def split_stratified(df: DataFrame, label_col: str, key_cols, val_size: float = 0.2, test_size: float = 0.2,
                      seed: int = SEED) -> DataFrame:
     """train/validation/test with fractions of the original table inside every class:
-    round(n_c·test) test rows, then round(n_c·val) validation rows, by hash order."""
+    round(n_c·test) test rows, then round(n_c·val) validation rows, by hash order. Where a class is too
+    small for that (X05), the same numbers of the whole table at random."""
+    if not stratify_feasible(df, label_col, test_size).first()["stratified"]:
+        d = df.withColumn("_h", hash_unit(*key_cols, seed=seed))
+        n = d.count()
+        first, second = round(n * test_size), round(n * test_size) + round(n * val_size)
+        return d.withColumn("split", F.when(_first_rows(d, key_cols, n, first), "test").when(
+            _first_rows(d, key_cols, n, second), "validation").otherwise("train")).drop("_h")
     d = _class_positions(df, label_col, key_cols, seed)
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round(F.col("_n") * val_size)
@@ -100,13 +166,16 @@ def class_distribution(df: DataFrame, label_col: str, split_col: str = "split")
 
 def kfold(df: DataFrame, key_cols, k: int = 3, seed: int = SEED) -> DataFrame:
     """Shuffled k-fold; the hash permutation is cut into k consecutive blocks (sizes differ by ≤1)."""
-    d = global_row_index(df.withColumn("_h", hash_unit(*key_cols, seed=seed)), ["_h", *key_cols], "_idx")
+    d = df.withColumn("_h", hash_unit(*key_cols, seed=seed))
     n = d.count()
     q, r = divmod(n, k)
-    big = r * (q + 1)
-    idx = F.col("_idx")
-    fold = F.when(idx < big, F.floor(idx / F.lit(q + 1))).otherwise(F.lit(r) + F.floor((idx - big) / F.lit(max(q, 1))))
-    return d.withColumn("fold", fold.cast("int")).drop("_h", "_idx")
+    starts = [f * q + min(f, r) for f in range(1, k)]  # first place of folds 1..k-1
+    inner = sorted({p for p in starts if 0 < p < n})
+    cuts = dict(zip(inner, hash_cuts(d, key_cols, inner)))
+    fold = F.lit(0)
+    for f, p in enumerate(starts, 1):
+        fold = fold + F.when(_under(key_cols, cuts[p]), 0).otherwise(1) if p in cuts else fold + (1 if p <= 0 else 0)
+    return d.withColumn("fold", fold.cast("int")).drop("_h")
 
 
 def kfold_stratified(df: DataFrame, label_col: str, key_cols, k: int = 3, seed: int = SEED) -> tuple[DataFrame, int]:

@@ -145,3 +145,25 @@ def test_checkpoint_folder_must_be_shared_off_local_masters(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_cuts_equal_sorted_positions(spark, monkeypatch):
+    from tabflow.functions.exprs import hash_unit
+    df = spark.range(3000).select((F.col("id") % 700).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("b"))
+    d = df.withColumn("_h", hash_unit("a", "b"))
+    order = sorted((tuple(r) for r in d.select("_h", "a", "b").collect()), key=lambda t: (t[0], t[1], t[2] is not None, t[2]))
+    for rows, ranges in ((10_000, 2048), (3, 4)):
+        monkeypatch.setattr(S, "CUT_ROWS", rows)
+        monkeypatch.setattr(S, "CUT_RANGES", ranges)
+        assert S.hash_cuts(d, ["a", "b"], [1, 600, 2999]) == [order[1], order[600], order[2999]]
+    parts = {r.split: r["count"] for r in S.split_random(spark.range(101), ["id"]).groupBy("split").count().collect()}
+    assert parts == {"test": 21, "train": 80}
+    for n, k in ((10, 3), (2, 3), (0, 3)):
+        sizes = {r.fold: r["count"] for r in S.kfold(spark.range(n), ["id"], k).groupBy("fold").count().collect()}
+        assert sorted(sizes.values(), reverse=True) == [x for x in (n // k + (f < n % k) for f in range(k)) if x]
+
+
+def test_class_too_small_falls_back_to_random(spark):
+    df = spark.createDataFrame([(i, 1 if i == 7 else 0) for i in range(30)], "id int, y int")
+    got = {r.split: r["count"] for r in S.split_stratified(df, "y", ["id"]).groupBy("split").count().collect()}
+    assert got == {"test": 6, "validation": 6, "train": 18}
