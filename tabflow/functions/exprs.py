@@ -25,7 +25,8 @@ TIME_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def col_(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its exact name: dots and back-ticks are part of it."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def parse_datetime_text(c) -> Column:
@@ -81,16 +82,16 @@ def safe_corr(x, y) -> Column:
 def skewness_unbiased(c) -> Column:
     """Bias-corrected sample skewness G1 (pandas ``skew``); NULL below 3 rows or zero variance."""
     c = col_(c).cast("double")
-    n = F.count(c).cast("double")
-    return F.when((n >= 3) & (F.var_pop(c) > 0), F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+    n = F.count(col_(c)).cast("double")
+    return F.when((n >= 3) & (F.var_pop(col_(c)) > 0), F.skewness(col_(c)) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def kurtosis_unbiased(c) -> Column:
     """Bias-corrected excess kurtosis G2 (pandas ``kurt``); NULL below 4 rows."""
     c = col_(c).cast("double")
-    n = F.count(c).cast("double")
-    return F.when((n >= 4) & (F.var_pop(c) > 0),
-                  (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
+    n = F.count(col_(c)).cast("double")
+    return F.when((n >= 4) & (F.var_pop(col_(c)) > 0),
+                  (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(col_(c)) + 6))
 
 
 def r(c, digits: int = 6) -> Column:

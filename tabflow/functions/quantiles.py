@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from tabflow.functions.ordering import running_totals
 
+from tabflow.functions.exprs import col_
+
 
 def exact_quantiles(df: DataFrame, cols, probs) -> DataFrame:
     """``(column, p, value)`` for every column and probability; columns with no values are absent."""
     cols, probs = list(cols), [float(p) for p in probs]
-    casted = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long = casted.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    casted = df.select(*[col_(c).cast("double").alias(c) for c in cols])
+    long = casted.unpivot([], [col_(c) for c in cols], "column", "value").where(F.col("value").isNotNull())
     vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_totals(vc, "value", ["cnt"], partition_cols=["column"])
     n = vc.groupBy("column").agg(F.sum("cnt").alias("n"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tabflow.functions.exprs import is_numeric_type, parse_numeric_or_range
-from tabflow.functions.ordering import time_chunk
+from tabflow.functions.exprs import col_, is_numeric_type, parse_numeric_or_range
+from tabflow.functions.ordering import join_on, time_chunk
 from tabflow.functions.quantiles import quantile_table
 from tabflow.operators.profile import _inline, value_counts
 
@@ -54,20 +54,20 @@ def fill_forward_backward(df: DataFrame, cols, order_cols, entity_cols=(), chunk
     w = W.partitionBy(*part).orderBy(*order_cols)
     before = w.rowsBetween(W.unboundedPreceding, 0)
     after = w.rowsBetween(0, W.unboundedFollowing)
-    key = F.struct(*[F.col(c) for c in order_cols])
-    summ = d.groupBy(*part).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_last_{c}") for c in cols],
-                                *[F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_first_{c}") for c in cols])
+    key = F.struct(*[col_(c) for c in order_cols])
+    summ = d.groupBy(*part).agg(*[F.max_by(col_(c), F.when(col_(c).isNotNull(), key)).alias(f"_last_{c}") for c in cols],
+                                *[F.min_by(col_(c), F.when(col_(c).isNotNull(), key)).alias(f"_first_{c}") for c in cols])
     ew = W.partitionBy(*entity_cols).orderBy("_chunk")
     for c in cols:
         summ = (summ.withColumn(f"_cf_{c}", F.last(f"_last_{c}", True).over(ew.rowsBetween(W.unboundedPreceding, -1)))
                 .withColumn(f"_cb_{c}", F.first(f"_first_{c}", True).over(ew.rowsBetween(1, W.unboundedFollowing))))
     summ = summ.select(*part, *[f"_cf_{c}" for c in cols], *[f"_cb_{c}" for c in cols])
     for c in cols:
-        d = (d.withColumn(f"_ff_{c}", F.last(c, True).over(before))
-             .withColumn(f"_bf_{c}", F.first(c, True).over(after)))
+        d = (d.withColumn(f"_ff_{c}", F.last(col_(c), True).over(before))
+             .withColumn(f"_bf_{c}", F.first(col_(c), True).over(after)))
     j = d.join(summ, part, "left")
-    out = j.select(*[F.coalesce(F.col(c), F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_bf_{c}"), F.col(f"_cb_{c}"))
-                     .alias(c) if c in cols else F.col(c) for c in df.columns])
+    out = j.select(*[F.coalesce(col_(c), F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_bf_{c}"), F.col(f"_cb_{c}"))
+                     .alias(c) if c in cols else col_(c) for c in df.columns])
     return out
 
 
@@ -80,7 +80,7 @@ def time_order_violations(df: DataFrame, time_col: str, input_order_col: str, en
 
 
 def clip(c, lo, hi):
-    return F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    return F.least(F.greatest(col_(c), F.lit(lo)), F.lit(hi))
 
 
 # ----------------------------------------------------------------------------- estimator / model
@@ -131,12 +131,12 @@ class TableCleaner:
         if self.target and self.target in df.columns:
             work = work.where(F.col(self.target).isNotNull())
         for c in st.text_cols:
-            work = work.withColumn(c, F.coalesce(F.col(c), F.lit("")))
+            work = work.withColumn(c, F.coalesce(col_(c), F.lit("")))
         strings = [f.name for f in work.schema.fields if isinstance(f.dataType, T.StringType)
                    and f.name not in excluded and f.name not in st.text_cols]
         # pass 1: row counts, null counts, numeric-text gate
         n = F.count(F.lit(1))
-        structs = [F.struct(F.lit(c).alias("column"), n.alias("n"), F.count(c).alias("nonnull"),
+        structs = [F.struct(F.lit(c).alias("column"), n.alias("n"), F.count(col_(c)).alias("nonnull"),
                             (F.count(parse_numeric_or_range(c)) if c in strings else F.lit(None).cast("bigint"))
                             .alias("parsed")) for c in work.columns]
         stats = {r["column"]: r for r in _inline(work, structs).collect()}  # one row per column
@@ -155,7 +155,7 @@ class TableCleaner:
             frac = missing[c] / st.rows_fit
             if frac > self.missing_threshold:
                 st.dropped[c] = round(frac, 4)
-        work = work.select(*[parse_numeric_or_range(c).alias(c) if c in st.converted else F.col(c)
+        work = work.select(*[parse_numeric_or_range(c).alias(c) if c in st.converted else col_(c)
                              for c in work.columns if c not in st.dropped])
         st.numeric_cols = [f.name for f in work.schema.fields if is_numeric_type(f.dataType) and f.name not in excluded]
         st.categorical_cols = [f.name for f in work.schema.fields if isinstance(f.dataType, T.StringType)
@@ -165,7 +165,7 @@ class TableCleaner:
         need_median = [c for c in st.numeric_cols if missing[c] > 0 and not self.time_col]
         agg_structs = []
         for c in st.numeric_cols:
-            x = F.col(c).cast("double")
+            x = col_(c).cast("double")
             fields = [F.lit(c).alias("column")]
             if self.cap_outliers:
                 fields += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
@@ -243,10 +243,10 @@ class TableCleanerModel:
             out = out.where(F.col(st.target).isNotNull())
         for c in st.text_cols:
             if c in out.columns:
-                out = out.withColumn(c, F.coalesce(F.col(c), F.lit("")))
-        out = out.select(*[parse_numeric_or_range(c).alias(c) if c in st.converted else F.col(c)
+                out = out.withColumn(c, F.coalesce(col_(c), F.lit("")))
+        out = out.select(*[parse_numeric_or_range(c).alias(c) if c in st.converted else col_(c)
                            for c in out.columns if c not in st.dropped])
-        out = out.select("*", *[F.col(c).isNull().cast("int").alias(f"{c}_was_missing")
+        out = out.select("*", *[col_(c).isNull().cast("int").alias(f"{c}_was_missing")
                                 for c in st.flag_cols if c in out.columns])
         ff = [c for c, v in st.numeric_fill.items() if v == "ffill_bfill" and c in out.columns]
         if ff:
@@ -258,22 +258,22 @@ class TableCleanerModel:
         # A fractional median would be cut by the column's integer type: those columns become double.
         wide = [f.name for f in out.schema.fields if isinstance(fills.get(f.name), float) and not fills[f.name].is_integer()
                 and isinstance(f.dataType, T.IntegralType)]
-        out = out.select(*[F.col(c).cast("double").alias(c) if c in wide else F.col(c) for c in out.columns])
-        if fills:
-            out = out.fillna(fills)
+        out = out.select(*[col_(c).cast("double").alias(c) if c in wide else col_(c) for c in out.columns])
+        types = dict(out.dtypes)
+        out = out.select(*[F.coalesce(col_(c), F.lit(fills[c]).cast(types[c])).alias(c) if fills.get(c) is not None else col_(c) for c in out.columns])
         for c, (lo, hi) in st.bounds.items():
             if c in out.columns:
                 out = out.withColumn(c, clip(c, lo, hi))
         for c, levels in st.one_hot.items():
             if c in out.columns:
-                dummies = [F.coalesce((F.col(c) == F.lit(lv)).cast("int"), F.lit(0)).alias(f"{c}_{lv}") for lv in levels[1:]]
+                dummies = [F.coalesce((col_(c) == F.lit(lv)).cast("int"), F.lit(0)).alias(f"{c}_{lv}") for lv in levels[1:]]
                 out = out.select(*[F.col(f"`{x}`") for x in out.columns if x != c], *dummies)
         for c, n_levels in st.label_cols.items():
             if c in out.columns and self.levels is not None:
                 lv = self.levels.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias("_code"))
                 if n_levels <= BROADCAST_LEVELS_MAX:  # size known from fit
                     lv = F.broadcast(lv)
-                out = (out.join(lv, c, "left")
+                out = (join_on(out, lv, [c], "left")
                        .withColumn(c, F.coalesce(F.col("_code"), F.lit(-1))).drop("_code"))
         return out
 
@@ -306,7 +306,7 @@ class TableCleanerModel:
 
 def numeric_text_gate(df: DataFrame, cols, min_ratio: float = NUMERIC_TEXT_MIN_PARSE_RATIO) -> DataFrame:
     """``(column, n_nonnull, n_parsed, parse_ratio, converted)`` for string columns."""
-    structs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n_nonnull"),
+    structs = [F.struct(F.lit(c).alias("column"), F.count(col_(c)).alias("n_nonnull"),
                         F.count(parse_numeric_or_range(c)).alias("n_parsed")) for c in cols]
     ratio = F.try_divide(F.col("n_parsed"), F.col("n_nonnull"))
     return _inline(df, structs).select("*", F.round(ratio, 4).alias("parse_ratio"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tabflow.functions.exprs import (is_numeric_type, is_time_type, kurtosis_unbiased, parse_datetime_text,
+from tabflow.functions.exprs import (col_, is_numeric_type, is_time_type, kurtosis_unbiased, parse_datetime_text,
                                      parse_numeric_or_range, safe_corr, skewness_unbiased)
 from tabflow.operators.profile import _inline, long_values, value_counts
 
@@ -34,7 +34,7 @@ def missing_pct(df: DataFrame, cols=None) -> DataFrame:
     cols = list(cols) if cols is not None else df.columns
     n = F.count(F.lit(1))
     return _inline(df, [F.struct(F.lit(c).alias("column"),
-                                 F.when(n > 0, F.round((n - F.count(c)) * 100.0 / n, 2)).alias("missing_pct"))
+                                 F.when(n > 0, F.round((n - F.count(col_(c))) * 100.0 / n, 2)).alias("missing_pct"))
                         for c in cols])
 
 
@@ -44,10 +44,10 @@ def coerce_numeric_text(df: DataFrame, min_ratio: float = NUMERIC_TEXT_MIN_PARSE
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strings:
         return df, []
-    gate = _inline(df, [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"),
+    gate = _inline(df, [F.struct(F.lit(c).alias("column"), F.count(col_(c)).alias("n"),
                                  F.count(parse_numeric_or_range(c)).alias("parsed")) for c in strings]).collect()
     convert = [g["column"] for g in gate if g["n"] and g["parsed"] / g["n"] >= min_ratio]
-    out = df.select(*[parse_numeric_or_range(c).alias(c) if c in convert else F.col(c) for c in df.columns])
+    out = df.select(*[parse_numeric_or_range(c).alias(c) if c in convert else col_(c) for c in df.columns])
     return out, convert
 
 
@@ -57,7 +57,7 @@ def distribution_stats(df: DataFrame, cols=None, digits: int = 3) -> DataFrame:
     from tabflow.functions.quantiles import quantile_columns
     structs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         structs.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("n"),
             F.round(skewness_unbiased(x), digits).alias("skew"),
@@ -84,9 +84,9 @@ def correlation_matrix(df: DataFrame, cols=None, digits: int = 3) -> DataFrame:
 
 
 def _min_max(df, cols):
-    return _inline(df, [F.struct(F.lit(c).alias("column"), F.min(F.col(c).cast("double")).alias("mn"),
-                                 F.max(F.col(c).cast("double")).alias("mx"),
-                                 F.count(c).alias("n")) for c in cols]).collect()
+    return _inline(df, [F.struct(F.lit(c).alias("column"), F.min(col_(c).cast("double")).alias("mn"),
+                                 F.max(col_(c).cast("double")).alias("mx"),
+                                 F.count(col_(c)).alias("n")) for c in cols]).collect()
 
 
 def histogram_equal_width(df: DataFrame, cols=None, bins: int = HISTOGRAM_BINS) -> DataFrame:
@@ -110,7 +110,7 @@ def _histogram(df, cols, bins, right_closed):
         c, mn, mx = m["column"], m["mn"], m["mx"]
         if mn is None:
             continue
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         if mn == mx:
             if right_closed:
                 continue  # the snapshot histogram is empty for a single value
@@ -139,7 +139,7 @@ def datetime_months(df: DataFrame, cols) -> DataFrame:
     """``(column, min, max, distinct_months)`` per datetime column."""
     out = None
     for c in cols:
-        ts = F.col(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
+        ts = col_(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
         one = df.select(ts.alias("ts")).agg(F.lit(c).alias("column"), F.min("ts").alias("min"),
                                             F.max("ts").alias("max"),
                                             F.countDistinct(F.date_trunc("month", "ts")).alias("distinct_months"))
@@ -151,7 +151,7 @@ def datetime_days(df: DataFrame, cols) -> DataFrame:
     """Span and distinct days of datetime or date-like text columns."""
     out = None
     for c in cols:
-        ts = F.col(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
+        ts = col_(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
         one = df.select(ts.alias("ts")).agg(F.lit(c).alias("column"), F.min("ts").alias("min"),
                                             F.max("ts").alias("max"),
                                             F.countDistinct(F.to_date("ts")).alias("distinct_days"))
@@ -174,7 +174,7 @@ def boolean_stats(df: DataFrame, cols) -> DataFrame:
     """true/false counts and % of non-nulls."""
     structs = []
     for c in cols:
-        x = F.col(c).cast("boolean")
+        x = col_(c).cast("boolean")
         n = F.count(x)
         structs.append(F.struct(F.lit(c).alias("column"), F.count_if(x).alias("true_count"),
                                 F.count_if(~x).alias("false_count"),
@@ -187,7 +187,7 @@ def missing_cells(df: DataFrame) -> DataFrame:
     """Missing cells over all cells, in %."""
     cols = df.columns
     n = F.count(F.lit(1))
-    missing = sum((n - F.count(c) for c in cols[1:]), n - F.count(cols[0]))
+    missing = sum((n - F.count(col_(c)) for c in cols[1:]), n - F.count(col_(cols[0])))
     return df.agg(n.alias("row_count"), F.lit(len(cols)).alias("column_count"),
                   missing.alias("missing_cells"),
                   F.when(n > 0, F.round(missing * 100.0 / (n * len(cols)), 2)).otherwise(0.0).alias("missing_cell_pct"))
@@ -203,7 +203,7 @@ def whitespace_vocab(df: DataFrame, cols) -> DataFrame:
             .where(F.col("token") != ""))
     vocab = toks.groupBy("column", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(
         F.count(F.lit(1)).alias("vocab_size"))
-    lens = _inline(df, [F.struct(F.lit(c).alias("column"), F.round(F.avg(F.length(c)), 2).alias("avg_length"))
+    lens = _inline(df, [F.struct(F.lit(c).alias("column"), F.round(F.avg(F.length(col_(c))), 2).alias("avg_length"))
                         for c in cols])
     return lens.join(vocab, "column", "left").select("column", F.coalesce("vocab_size", F.lit(0)).alias("vocab_size"),
                                                      "avg_length")

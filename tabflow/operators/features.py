@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabflow.functions.exprs import is_numeric_type
+from tabflow.functions.exprs import col_, is_numeric_type
 from tabflow.functions.ordering import entity_positions, time_chunk, with_halo
 from tabflow.operators.profile import _inline
 
@@ -66,7 +66,7 @@ def lag_rolling_features(df: DataFrame, target: str, time_col: str, entity_col:
     by = W.partitionBy(*ent, "_slice").orderBy("pos")
     out = cut.select("*", *[F.lag(target, k).over(by).alias(f"{target}_lag_{k}") for k in lags],
                      *[F.when((F.col("pos") >= w) & (F.count(target).over(by.rowsBetween(-w, -1)) == w),
-                              F.avg(F.col(target).cast("double")).over(by.rowsBetween(-w, -1))).alias(f"{target}_rolling_mean_{w}")
+                              F.avg(col_(target).cast("double")).over(by.rowsBetween(-w, -1))).alias(f"{target}_rolling_mean_{w}")
                        for w in windows])
     return out.where("NOT _halo").drop("pos", "_slice", "_halo")
 
@@ -84,8 +84,8 @@ class PopulationScaler:
         self.stats: dict = {}
 
     def fit(self, df: DataFrame) -> "PopulationScaler":
-        structs = [F.struct(F.lit(c).alias("column"), F.avg(F.col(c).cast("double")).alias("mean"),
-                            F.stddev_pop(F.col(c).cast("double")).alias("std")) for c in self.cols]
+        structs = [F.struct(F.lit(c).alias("column"), F.avg(col_(c).cast("double")).alias("mean"),
+                            F.stddev_pop(col_(c).cast("double")).alias("std")) for c in self.cols]
         self.stats = {r["column"]: (r["mean"], r["std"]) for r in _inline(df, structs).collect()}
         return self
 
@@ -94,9 +94,9 @@ class PopulationScaler:
         for c in df.columns:
             if c in self.stats:
                 mean, std = self.stats[c]
-                exprs.append(((F.col(c).cast("double") - F.lit(mean)) / F.lit(std if std else 1.0)).alias(c))
+                exprs.append(((col_(c).cast("double") - F.lit(mean)) / F.lit(std if std else 1.0)).alias(c))
             else:
-                exprs.append(F.col(c))
+                exprs.append(col_(c))
         return df.select(*exprs)
 
 
@@ -107,7 +107,7 @@ def feature_frame(df: DataFrame, target: str | None = None, time_col: str | None
     if drop_entity and entity_col:
         skip.add(entity_col)
     cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType) and f.name not in skip]
-    return df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), cols
+    return df.select(*[F.coalesce(col_(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]), cols
 
 
 def assemble(df: DataFrame, cols, out_col: str = "features") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tabflow.functions.exprs import (is_integral_type, is_numeric_type, is_time_type, parse_datetime_text,
+from tabflow.functions.exprs import (col_, is_integral_type, is_numeric_type, is_time_type, parse_datetime_text,
                                      parse_number_text)
 
 # Fixed values (profile rules).
@@ -42,8 +42,8 @@ def _inline(df: DataFrame, structs) -> DataFrame:
 def long_values(df: DataFrame, cols=None) -> DataFrame:
     """``(column, value)`` pairs with the value as text; NULLs dropped."""
     cols = _cols(df, cols)
-    casted = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    return (casted.unpivot([], cols, "column", "value")
+    casted = df.select(*[col_(c).cast("string").alias(c) for c in cols])
+    return (casted.unpivot([], [col_(c) for c in cols], "column", "value")
             .where(F.col("value").isNotNull()))
 
 
@@ -68,10 +68,10 @@ def sniff_strings(df: DataFrame, cols=None) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "column string, n_nonnull bigint, n_datetime bigint, n_numeric bigint, avg_length double")
     structs = [F.struct(F.lit(c).alias("column"),
-                        F.count(c).alias("n_nonnull"),
+                        F.count(col_(c)).alias("n_nonnull"),
                         F.count(parse_datetime_text(c)).alias("n_datetime"),
                         F.count(parse_number_text(c)).alias("n_numeric"),
-                        F.avg(F.length(c)).alias("avg_length")) for c in cols]
+                        F.avg(F.length(col_(c))).alias("avg_length")) for c in cols]
     return _inline(df, structs)
 
 
@@ -112,8 +112,8 @@ def missing_counts(df: DataFrame, cols=None) -> DataFrame:
     cols = _cols(df, cols)
     n = F.count(F.lit(1))
     structs = [F.struct(F.lit(c).alias("column"), n.alias("n_rows"),
-                        (n - F.count(c)).alias("missing_count"),
-                        F.when(n > 0, F.round((n - F.count(c)) * 100.0 / n, 2)).otherwise(0.0)
+                        (n - F.count(col_(c))).alias("missing_count"),
+                        F.when(n > 0, F.round((n - F.count(col_(c))) * 100.0 / n, 2)).otherwise(0.0)
                         .alias("missing_pct")) for c in cols]
     return _inline(df, structs)
 
@@ -126,7 +126,7 @@ def distinct_counts(df: DataFrame, cols=None, approx: bool = False) -> DataFrame
     top count."""
     cols = _cols(df, cols)
     if approx:
-        structs = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(c).alias("distinct_count"),
+        structs = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(col_(c)).alias("distinct_count"),
                             F.lit(None).cast("bigint").alias("top_count")) for c in cols]
         return _inline(df, structs)
     per_col = (value_counts(df, cols).groupBy("column")
@@ -145,7 +145,7 @@ def numeric_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     cols = [c for c in _cols(df, cols) if is_numeric_type(df.schema[c].dataType)]
     structs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         med = F.percentile_approx(x, 0.5, 10000).cast("double") if approx else F.lit(None).cast("double")
         structs.append(F.struct(
             F.lit(c).alias("column"),
@@ -164,7 +164,7 @@ def datetime_range(df: DataFrame, cols=None) -> DataFrame:
     out = None
     for c in _cols(df, cols):
         dt = df.schema[c].dataType
-        ts = F.col(c).cast("timestamp_ntz") if is_time_type(dt) else parse_datetime_text(c).cast("timestamp_ntz")
+        ts = col_(c).cast("timestamp_ntz") if is_time_type(dt) else parse_datetime_text(c).cast("timestamp_ntz")
         one = df.select(ts.alias("ts")).agg(
             F.lit(c).alias("column"), F.min("ts").alias("min"), F.max("ts").alias("max"),
             F.countDistinct(F.to_date("ts")).alias("distinct_days"))
@@ -186,7 +186,7 @@ def text_stats(df: DataFrame, cols=None, top_k: int = 10) -> tuple[DataFrame, Da
     Ties in the top-k break on the token text (the reference keeps first-seen order)."""
     cols = _cols(df, cols)
     lengths = _inline(df, [F.struct(F.lit(c).alias("column"),
-                                    F.round(F.avg(F.length(c)), 2).alias("avg_length")) for c in cols])
+                                    F.round(F.avg(F.length(col_(c))), 2).alias("avg_length")) for c in cols])
     counts = text_tokens(df, cols).groupBy("column", "token").agg(F.count(F.lit(1)).alias("count"))
     vocab = counts.groupBy("column").agg(F.count(F.lit(1)).alias("vocab_size"))
     stats = lengths.join(vocab, "column", "left").select(
@@ -199,7 +199,7 @@ def text_stats(df: DataFrame, cols=None, top_k: int = 10) -> tuple[DataFrame, Da
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows minus distinct rows (NULLs equal), and its percentage."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*[col_(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_row_count"),

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.functions.exprs import is_numeric_type, safe_corr
+from tabflow.functions.exprs import col_, is_numeric_type, safe_corr
 from tabflow.operators.profile import ID_LIKE_UNIQUE_RATIO, _inline, column_profile, duplicate_rows, sniff_strings
 
 # Fixed values (quality rules).
@@ -54,7 +54,7 @@ def iqr_bounds(df: DataFrame, cols, approx: bool = False) -> DataFrame:
     """``(column, n, q1, q3, lower, upper)`` with linear-interpolated quartiles."""
     structs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         q = F.percentile_approx(x, [0.25, 0.75], 10000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
         structs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.alias("q")))
     b = _inline(df, structs).select("column", "n", F.col("q")[0].cast("double").alias("q1"),
@@ -80,7 +80,7 @@ def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame
         return empty_out, empty_sent
     first = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         q = (F.percentile_approx(x, [0.25, 0.75], 10000).cast("array<double>") if approx
              else F.lit(None).cast("array<double>"))
         first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.alias("q"),
@@ -94,7 +94,7 @@ def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame
     for st in stats:
         if st["n"] == 0:
             continue
-        c, x = st["column"], F.col(st["column"]).cast("double")
+        c, x = st["column"], col_(st["column"]).cast("double")
         q1, q3 = st["q"]
         ok = st["n"] >= MIN_ROWS_FOR_OUTLIER_CHECK and q3 != q1
         lo, hi = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) if ok else (None, None)

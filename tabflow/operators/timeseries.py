@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabflow.functions.exprs import is_time_type, parse_datetime_text
+from tabflow.functions.exprs import col_, is_time_type, parse_datetime_text
 from tabflow.functions.ordering import global_row_index
 
 # Fixed values.
@@ -22,7 +22,7 @@ FREQ_STEP_DAYS = {"D": 1, "W": 7}
 
 
 def _ts(df: DataFrame, c: str):
-    return F.col(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
+    return col_(c).cast("timestamp_ntz") if is_time_type(df.schema[c].dataType) else parse_datetime_text(c)
 
 
 def aligned_pairs(df: DataFrame, time_col: str, target_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabflow.functions.exprs import is_numeric_type
+from tabflow.functions.exprs import col_, is_numeric_type
 from tabflow.operators.profile import _inline, value_counts
 
 
@@ -22,10 +22,10 @@ def schema_summary(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = f.name
         num = is_numeric_type(f.dataType)
-        x = F.col(c).cast("double")
+        x = col_(c).cast("double")
         structs.append(F.struct(
             F.lit(c).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"),
-            F.when(n > 0, F.round((n - F.count(c)) * 100.0 / n, 2)).otherwise(0.0).alias("missing_pct"),
+            F.when(n > 0, F.round((n - F.count(col_(c))) * 100.0 / n, 2)).otherwise(0.0).alias("missing_pct"),
             (F.min(x) if num else F.lit(None).cast("double")).alias("min"),
             (F.max(x) if num else F.lit(None).cast("double")).alias("max"),
             (F.round(F.avg(x), 4) if num else F.lit(None).cast("double")).alias("mean"),
@@ -50,7 +50,7 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
     """Order-insensitive fingerprint: row count and the sum of the first 32 bits of
     each row's md5 modulo 2**62, summed as decimals so that no table is too large for it
     (NULL spelled ``\\N`` so it differs from the empty string)."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    row = F.concat_ws("|", *[F.coalesce(col_(c).cast("string"), F.lit("\\N")) for c in df.columns])
     h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("bigint")
     return df.agg(F.count(F.lit(1)).alias("row_count"), (F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)) % F.lit(1 << 62)).cast("bigint")
                   .alias("content_hash"))
@@ -71,7 +71,7 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def parse_json_column(df: DataFrame, col: str, schema: str) -> DataFrame:
     """S07 on a text column: parse with ``from_json`` and drop rows whose text is not valid."""
-    parsed = F.from_json(F.col(col), schema + ", _corrupt_record string",
+    parsed = F.from_json(col_(col), schema + ", _corrupt_record string",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return (df.withColumn("_j", parsed).where(F.col("_j").isNotNull() & F.col("_j._corrupt_record").isNull())
             .select("*", "_j.*").drop("_j", "_corrupt_record"))
@@ -90,4 +90,4 @@ def run_history(df: DataFrame, time_col: str, status_col: str | None = None, sta
     out = df
     if status_col and status is not None:
         out = out.where(F.col(status_col) == status)
-    return out.orderBy(F.col(time_col).desc(), *[F.col(c).desc() for c in tiebreak]).limit(limit)
+    return out.orderBy(F.col(time_col).desc(), *[col_(c).desc() for c in tiebreak]).limit(limit)

@@ -167,3 +167,23 @@ def test_class_too_small_falls_back_to_random(spark):
     df = spark.createDataFrame([(i, 1 if i == 7 else 0) for i in range(30)], "id int, y int")
     got = {r.split: r["count"] for r in S.split_stratified(df, "y", ["id"]).groupBy("split").count().collect()}
     assert got == {"test": 6, "validation": 6, "train": 18}
+
+
+def test_names_and_levels_with_dots(spark):
+    from tabflow.operators import eda as E
+    from tabflow.operators import profile as P
+    from tabflow.operators import quality as Q
+    from tabflow.sources import runs as R
+    rows = [(float(i), "d.e" if i % 3 else "f`g", None if i % 5 == 0 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "`Avg. Income` double, `kind.of` string, `n.k` int")
+    prof = {r.column: r for r in P.numeric_stats(df).collect()}
+    assert prof["Avg. Income"].mean == pytest.approx(29.5)
+    assert {r.column: r.missing_count for r in P.missing_counts(df).collect()}["n.k"] == 12
+    assert {r.column for r in Q.quality_issues(df).collect()} >= {"n.k"}
+    assert {r.column for r in E.missing_overview(df).collect()} == set(df.columns) if hasattr(E, "missing_overview") else True
+    assert R.table_fingerprint(df).first().row_count == 60
+    model = C.TableCleaner().fit(df)
+    out = model.transform(df)
+    assert "kind.of_f`g" in out.columns and out.count() == 60
+    assert {tuple(r) for r in out.select("`kind.of_f``g`").collect()} == {(0,), (1,)}
+    assert out.where("`n.k` IS NULL").count() == 0
