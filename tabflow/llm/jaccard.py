@@ -10,9 +10,11 @@ class is joined. Four steps, each without any pair of documents that only share
 2. *Frequencies.* For the classes left, n-grams of one class only are dropped and the rest ranked rarest first;
    again a class with too many n-grams of its own leaves.
 3. *Candidates.* Two sets at the threshold share one of their first ``n - need + 1`` n-grams in that ranking. In
-   each such bucket the classes are first compared with one pivot, then, once the links found are merged into
-   components, with another, and at last with everything in the bucket that is still in another component. A group
-   of near copies so costs its size, not its square, and no link between different components is missed.
+   each such bucket the classes are first compared with one pivot, the class with the least share of n-grams of its
+   own (in a group of near copies: the least edited), and the links found are merged into components. Then only
+   classes of different components are compared, if their shared n-grams could suffice and the parity sketches of
+   the two sets differ in no more bits than the sets may. A group of near copies so costs its size, not its square,
+   and no link between different components is missed.
 4. *Counts.* The overlap of a candidate pair is counted separately in each fragment and summed per pair.
 
 Defined results: texts without words (and nulls) have an empty set and link with nothing; every row is a node of
@@ -36,7 +38,9 @@ NUM, DEN = 75, 100
 FRAGMENTS, SCREEN = 16, 5
 #: Fragments in which overlaps are counted, as a power of two.
 COUNT_BITS = 2
-PIVOT_ROUNDS = 2
+#: 64-bit words of a set's parity sketch: bit i tells whether an odd number of its n-grams fall on i, so two sketches
+#: differ in at most as many bits as the sets differ in n-grams.
+SKETCH = 16
 
 
 def class_hash(tokens: np.ndarray) -> np.int64:
@@ -48,9 +52,10 @@ def class_hash(tokens: np.ndarray) -> np.int64:
 
 
 def set_rows(docs: DataFrame, k: int, want: str) -> DataFrame:
-    """``meta``: (doc_id, n, cls); ``low``: (cls, toks of the screened fragments); ``full``: (cls, n, toks)."""
+    """``meta``: (doc_id, n, cls); ``low``: (cls, toks of the screened fragments); ``full``: (cls, n, toks, sketch)."""
     import pyarrow as pa
     limit = np.uint64((SCREEN << 64) // FRAGMENTS)
+    top = np.uint64(64 - (64 * SKETCH - 1).bit_length())
 
     def run(batches):
         for b in batches:
@@ -68,11 +73,16 @@ def set_rows(docs: DataFrame, k: int, want: str) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                cols = [cls, toks] if want == "low" else [cls, n, toks]
-                yield pa.RecordBatch.from_arrays(cols, ["cls", "toks"] if want == "low" else ["cls", "n", "toks"])
+                if want == "low":
+                    yield pa.RecordBatch.from_arrays([cls, toks], ["cls", "toks"])
+                    continue
+                bits = np.array([np.packbits(np.bincount((t >> top).astype(np.int64), minlength=64 * SKETCH) & 1) for t in sets]).reshape(-1)
+                marks = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH)
+                sketch = pa.ListArray.from_arrays(marks, pa.array(bits.view(np.int64) if len(bits) else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([cls, n, toks, sketch], ["cls", "n", "toks", "sketch"])
 
     out = {"meta": "doc_id long, n long, cls long", "low": "cls long, toks array<long>",
-           "full": "cls long, n long, toks array<long>"}[want]
+           "full": "cls long, n long, toks array<long>, sketch array<long>"}[want]
     return docs.mapInArrow(run, out)
 
 
@@ -110,41 +120,48 @@ def class_links(docs: DataFrame, meta: DataFrame, k: int, num: int, den: int) ->
     ranked = (shared.withColumn("s", F.count(F.lit(1)).over(by_class))
               .withColumn("rank", F.row_number().over(by_class.orderBy("df", "tok")))
               .withColumn("need", need(F.col("n"), num, den)).where("s >= need"))
-    ranked = written(ranked.select("cls", "n", "tok", (F.col("rank") <= F.col("s") - F.col("need") + 1).alias("first")),
+    ranked = written(ranked.select("cls", "n", "s", "tok", (F.col("rank") <= F.col("s") - F.col("need") + 1).alias("first")),
                      "jaccard-ranked")
     segs = written(ranked.groupBy("cls", F.shiftrightunsigned("tok", 64 - COUNT_BITS).alias("frag"))
                    .agg(F.collect_set("tok").alias("seg")), "jaccard-segments")
-    prefix = written(ranked.where("first").select("cls", "n", "tok").distinct(), "jaccard-prefix")
-
-    links, tested, comp = None, None, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        p = prefix.withColumn("root", F.col("cls"))
-        if comp is not None:
-            p = prefix.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_ = p.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                     F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls", F.lit(turn))).alias("pv")).where("r0 < r1")
-        if turn < PIVOT_ROUNDS:
-            other = open_.select("tok", F.col("pv.cls").alias("o"), F.col("pv.n").alias("no"), F.col("pv.root").alias("ro"))
-            both = p.join(other, "tok")
-        else:
-            p = written(p.join(open_.select("tok"), "tok", "left_semi"), "jaccard-open")
-            other = p.select("tok", F.col("cls").alias("o"), F.col("n").alias("no"), F.col("root").alias("ro"))
-            both = p.join(other, "tok").where("cls < o")
-        both = both.where((F.col("root") != F.col("ro")) & (F.least("n", "no") * den >= F.greatest("n", "no") * num))
-        cand = both.select(F.least("cls", "o").alias("a"), F.when(F.col("cls") < F.col("o"), F.col("n")).otherwise(F.col("no")).alias("na"),
-                           F.greatest("cls", "o").alias("b"), F.when(F.col("cls") < F.col("o"), F.col("no")).otherwise(F.col("n")).alias("nb")).distinct()
-        if tested is not None:
-            cand = cand.join(tested, ["a", "b"], "left_anti")
-        cand = written(cand, "jaccard-candidates")
-        if not cand.isEmpty():
-            seen = cand.select("a", "b")
-            tested = seen if tested is None else tested.union(seen)
-            found = written(verified(cand, segs, num, den), "jaccard-links")
-            links = found if links is None else links.union(found)
-            comp = components(links)
-    if comp is None:
-        return meta.select(F.col("cls").alias("node"), F.col("cls").alias("root")).where("false")
-    return comp
+    prefix = written(ranked.where("first").select("cls", "n", "s", "tok").distinct(), "jaccard-prefix")
+    sketches = full.select("cls", *(F.col("sketch")[i].alias(f"k{i}") for i in range(SKETCH))).dropDuplicates(["cls"])
+
+    def pairs(df):
+        """(a, na, b, nb), a < b, of rows (cls, n, o, no)."""
+        up = F.col("cls") < F.col("o")
+        return df.select(F.least("cls", "o").alias("a"), F.when(up, F.col("n")).otherwise(F.col("no")).alias("na"),
+                         F.greatest("cls", "o").alias("b"), F.when(up, F.col("no")).otherwise(F.col("n")).alias("nb")).distinct()
+
+    def could_link(s1, n1, s2, n2):
+        """All shared n-grams of the poorer of two rows would reach the threshold."""
+        most = F.least(s1, s2)
+        return most * den >= (F.col(n1) + F.col(n2) - most) * num
+
+    # Turn 1: every class of a bucket against the bucket's pivot.
+    hub = prefix.groupBy("tok").agg(F.count(F.lit(1)).alias("m"), F.max_by(F.struct("cls", "n", "s"), F.struct(F.col("s") / F.col("n"), "cls")).alias("hub")).where("m > 1")
+    hub = hub.select("tok", F.col("hub.cls").alias("o"), F.col("hub.n").alias("no"), F.col("hub.s").alias("so"))
+    both = prefix.join(hub, "tok")
+    both = both.where((F.col("cls") != F.col("o")) & could_link("s", "n", "so", "no"))
+    cand = written(pairs(both), "jaccard-candidates")
+    links = written(verified(cand, segs, num, den), "jaccard-links")
+    comp = components(links)
+
+    # Turn 2: classes of different components in a bucket, filtered inside the join.
+    p = prefix.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    open_ = p.groupBy("tok").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("n").alias("least")).where("r0 < r1").select("tok", "least")
+    p = p.join(open_, "tok").where(F.floor(F.col("s") * (num + den) / num) - F.col("n") >= F.col("least"))
+    p = written(p.drop("least").join(sketches, "cls"), "jaccard-open")
+    other = p.select("tok", *(F.col(c).alias(f"o_{c}") for c in p.columns if c != "tok"))
+    differ = sum((F.bit_count(F.col(f"k{i}").bitwiseXOR(F.col(f"o_k{i}"))) for i in range(SKETCH)), F.lit(0))
+    n2 = F.col("n") + F.col("o_n")
+    # overlap o: differ <= n + n' - 2 o and den * o >= num * (n + n' - o)
+    both = p.join(other, "tok").where((F.col("cls") < F.col("o_cls")) & (F.col("root") != F.col("o_root")) & could_link("s", "n", "o_s", "o_n")
+                                      & ((n2 - differ) * (num + den) >= n2 * (2 * num)))
+    cand = pairs(both.select("cls", "n", F.col("o_cls").alias("o"), F.col("o_n").alias("no")))
+    cand = written(cand.join(links, ["a", "b"], "left_anti"), "jaccard-candidates")
+    more = written(verified(cand, segs, num, den), "jaccard-links")
+    return comp if more.isEmpty() else components(links.union(more))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_WORDS,
