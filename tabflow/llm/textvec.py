@@ -120,9 +120,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> list[np.ndar
         return [np.zeros(0, np.uint64)] * (len(offs) - 1)
     h = span_hash(rolling(low), s, e)
     p, _ = powers(k + 2)
-    acc = np.zeros(max(len(h) - k + 1, 0), np.uint64)
+    full = max(len(h) - k + 1, 0)
+    acc = np.zeros(full, np.uint64)
     for j in range(k):
-        acc += h[j:len(h) - k + 1 + j] * p[j + 1]
+        acc += h[j:j + full] * p[j + 1]
     acc = mix(acc)
     out = []
     for i in range(len(offs) - 1):
