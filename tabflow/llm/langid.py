@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
         if held:
             yield flush(held)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.toDF(*(f"c{i}" for i in range(len(rows.columns)))).mapInArrow(run, schema)  # plain names for the way
     last = [c for c in rows.columns] if carry else ["doc_id"]
     for n in new:
         last.append(free_name(n, last))
