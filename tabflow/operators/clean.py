@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import col_, is_numeric_type, parse_numeric_or_range
-from tabflow.functions.ordering import join_on, time_chunk
+from tabflow.functions.ordering import global_row_index, join_on, time_chunk
 from tabflow.functions.quantiles import quantile_table
 from tabflow.operators.profile import _inline, value_counts
 
@@ -218,9 +218,12 @@ class TableCleaner:
                         st.one_hot[c] = sorted(r["value"] for r in rows if r["column"] == c)
                 big = [c for c in st.categorical_cols if c not in small]
                 if big:
-                    level_df = (levels.where(F.col("column").isin(big))
-                                .withColumn("code", (F.dense_rank().over(W.partitionBy("column").orderBy("value")) - 1)
-                                            .cast("int")))
+                    # Codes are places in the order of (column, value), counted from the column's first level:
+                    # a column with many levels is ranked by many tasks.
+                    placed = global_row_index(levels.where(F.col("column").isin(big)), ["column", "value"], "_place")
+                    start = placed.groupBy("column").agg(F.min("_place").alias("_start"))
+                    level_df = placed.join(start, "column").select(
+                        "column", "value", (F.col("_place") - F.col("_start")).cast("int").alias("code"))
                     st.label_cols = {c: n_levels[c] for c in big}
             vc.unpersist()
         return TableCleanerModel(st, level_df)

@@ -163,11 +163,11 @@ def top_categories(df: DataFrame, cols, k: int = TOP_CATEGORIES) -> DataFrame:
     """Top-k values per column with count and % of non-nulls (ties: value ascending)."""
     vc = value_counts(df, cols)
     w = W.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    tot = W.partitionBy("column")
-    return (vc.withColumn("total", F.sum("count").over(tot))
-            .withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-            .select("column", "rank", "value", "count", F.round(F.col("count") * 100.0 / F.col("total"), 2)
-                    .alias("pct")))
+    # The rank alone in its window: every task keeps its k best values before the exchange.
+    best = vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    total = _inline(df, [F.struct(F.lit(c).alias("column"), F.count(col_(c)).alias("total")) for c in cols])
+    return best.join(total, "column").select("column", F.col("rank").cast("bigint").alias("rank"), "value", "count",
+                                             F.round(F.col("count") * 100.0 / F.col("total"), 2).alias("pct"))
 
 
 def boolean_stats(df: DataFrame, cols) -> DataFrame:

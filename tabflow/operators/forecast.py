@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabflow.functions.exprs import col_
 from tabflow.functions.ordering import entity_positions, lag_by_position, time_chunk
 from tabflow.session import ensure_checkpoint_dir
 
@@ -112,7 +113,17 @@ def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str =
     The state update s_t = A·s_{t−1} + c·y_t is linear, so each time chunk runs the
     recursion from a zero state in its own task (``applyInPandas`` on (entity, chunk));
     chunk end-states are composed per entity over the small chunk table, and each row's
-    true state is A^(j+1)·carry + local. No task ever holds a whole series."""
+    true state is A^(j+1)·carry + local. No task ever holds a whole series.
+
+    Training rows without a value are left out of their series; columns may have any name."""
+    plain = test.toDF(*[f"_t{i}" for i in range(len(test.columns))])
+    ent, when = (f"_t{test.columns.index(c)}" for c in (entity, time_col))
+    known = train.where(col_(y).isNotNull()).select(col_(entity).alias(ent), col_(time_col).alias(when), col_(y).alias("_y"))
+    out = _holt(known, plain, ent, when, "_y", alphas, betas, chunk_seconds)
+    return out.toDF(*[test.columns[int(c[2:])] if c.startswith("_t") else c for c in out.columns])
+
+
+def _holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str, alphas, betas, chunk_seconds: int) -> DataFrame:
     tr = ordered_series(train, entity, time_col, y, chunk_seconds)
     init = tr.where(F.col("pos") <= 1).groupBy(entity).agg(
         F.max_by("y", F.when(F.col("pos") == 0, 1)).alias("y0"), F.max_by("y", F.when(F.col("pos") == 1, 1))

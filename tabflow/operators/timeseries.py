@@ -93,13 +93,9 @@ def seasonality_dow(df: DataFrame, time_col: str, target_col: str) -> DataFrame:
                     F.coalesce(cv >= SEASONALITY_CV_THRESHOLD, F.lit(False)).alias("seasonality_detected"))
 
 
-def trend_corr(df: DataFrame, time_col: str, target_col: str, already_ordered_small: bool = False) -> DataFrame:
+def trend_corr(df: DataFrame, time_col: str, target_col: str) -> DataFrame:
     """Pearson r between time rank (ties broken by value) and value; flag at |r| ≥ 0.3."""
-    p = aligned_pairs(df, time_col, target_col)
-    if already_ordered_small:
-        p = p.withColumn("idx", F.row_number().over(W.orderBy("ts", "y")) - 1)
-    else:
-        p = global_row_index(p, ["ts", "y"])
+    p = global_row_index(aligned_pairs(df, time_col, target_col), ["ts", "y"])
     agg = p.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("sd"),
                 F.try_divide(F.covar_pop("idx", "y"), F.stddev_pop("idx") * F.stddev_pop("y")).alias("r"))
     ok = (F.col("n") >= MIN_ROWS_FOR_TREND) & (F.col("sd") != 0)

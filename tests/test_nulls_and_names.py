@@ -187,3 +187,13 @@ def test_names_and_levels_with_dots(spark):
     assert "kind.of_f`g" in out.columns and out.count() == 60
     assert {tuple(r) for r in out.select("`kind.of_f``g`").collect()} == {(0,), (1,)}
     assert out.where("`n.k` IS NULL").count() == 0
+
+
+def test_holt_with_missing_values_and_any_names(spark):
+    from tabflow.operators import forecast as FC
+    day = dt.datetime(2024, 1, 1)
+    rows = [("a", day + dt.timedelta(days=i), None if i == 4 else float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "e string, n timestamp_ntz, h2 double")
+    test = spark.createDataFrame([("a", day + dt.timedelta(days=30), 1)], "e string, n timestamp_ntz, pos int")
+    got = FC.holt(df, test, "e", "n", "h2").collect()
+    assert len(got) == 1 and got[0].prediction is not None and 20 < got[0].prediction < 40 and got[0].pos == 1
