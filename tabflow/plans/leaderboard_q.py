@@ -16,6 +16,7 @@ from tabflow.operators import explain as X
 from tabflow.operators import leaderboard as L
 from tabflow.operators import metrics as V
 from tabflow.operators import models as M
+from tabflow.operators.split import split_random
 from tabflow.plans.common import sql_hash_unit, union_all
 from tabflow.plans.metrics_q import _auc_sql
 from tabflow.plans.models_q import DOC_FEATURES, doc_frame
@@ -293,8 +294,9 @@ def importance_permutation(spark, sf):
                                           handleInvalid="skip"),
                             VectorAssembler(inputCols=DOC_FEATURES, outputCol="features"),
                             LogisticRegression(featuresCol="features", labelCol="label_idx", maxIter=200)])
-    model = pipe.fit(d)
-    return X.permutation_importance(model, d, DOC_FEATURES, "quality", ["doc_id"], X.accuracy_score, repeats=3)
+    parts = split_random(d, ["doc_id"])
+    model = pipe.fit(parts.where("split = 'train'"))
+    return X.permutation_importance(model, parts.where("split = 'test'").drop("split"), DOC_FEATURES, "quality", ["doc_id"], X.accuracy_score)
 
 
 @query("run_record")

@@ -164,8 +164,7 @@ def tune_grid(spark, sf):
 @query("run_candidates")
 def run_candidates(spark, sf):
     tr, te = _doc_split(spark, sf)
-    return _run(spark, tr, te, DOC_FEATURES, "quality", "classification",
-                            ["baseline", "logistic_regression", "decision_tree", "naive_bayes"], run_id="labels")
+    return _run(spark, tr, te, DOC_FEATURES, "quality", "classification", run_id="labels")
 
 
 @query("improvement_cycles")
