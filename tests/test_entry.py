@@ -33,4 +33,4 @@ def test_some_queries_run_on_smallest_tables(spark):
     mod = _entry()
     q = mod.queries()
     for name in ("numeric_stats", "split_random", "m_roc_auc", "fc_seasonal_naive", "stream_score"):
-        assert q[name](spark, "/root/testdata/sf0.001").count() >= 0
+        assert q[name](spark, "/root/testdata/sf0.001").count() > 0
