@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,10 +35,12 @@ from tabflow.llm.common import col, documents, process_cache, put_file, shared_f
 BLOCK_IDS, STEPS = 1 << 20, 256
 T2_BITS, T1_BITS = 18, 16
 TOP_CONF = 15
+#: Ranges are split in 2**MIX_BITS parts between the orders and in 2**FREQ_BITS parts by order 0.
+MIX_BITS, FREQ_BITS = 16, 24
 END_ID = 2
 VOCABULARY = 50_257
 #: Distinct pieces a worker remembers between texts.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_500_000
 MAGIC = b"TKM1"
 U32 = np.uint64(32)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -51,34 +54,43 @@ class Model:
         self.id1, self.conf1 = np.zeros(1 << T1_BITS, np.int32), np.zeros(1 << T1_BITS, np.uint8)
         self.mixture = np.tile(np.array([1, 1, 2], np.int64), (512, 1))
         self.freq = np.ones(vocabulary, np.int64)
-        self.missed, self.step, self.next_build = [], 0, 0
+        self.missed, self.outcomes, self.step, self.next_build = [], [], 0, 0
+        self.weigh()
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
 
+    def weigh(self):
+        """Splits of the range per mixture context, in 2**-MIX_BITS: what order 2 gets, and orders 2 and 1 together."""
+        total = self.mixture.sum(1)
+        self.q0 = ((self.mixture[:, 0] << MIX_BITS) // total).astype(np.uint64)
+        self.q1 = ((self.mixture[:, 0] + self.mixture[:, 1] << MIX_BITS) // total).astype(np.uint64)
+
     def predict(self, m: int):
         if self.step >= self.next_build:
             for x in self.missed:
                 self.freq += 8 * np.bincount(x, minlength=len(self.freq))
             self.missed = []
-            self.cum = np.zeros(len(self.freq) + 1, np.uint64)
-            np.cumsum(self.freq, out=self.cum[1:].view(np.int64))
+            cum = np.concatenate([[0], np.cumsum(self.freq)])
+            self.cum = ((cum << FREQ_BITS) // cum[-1]).astype(np.uint64)
             self.next_build = self.step + min(max(self.step, 1), 32)
+        if len(self.outcomes) == 4:
+            seen = np.concatenate(self.outcomes)
+            self.outcomes = []
+            self.mixture += 24 * np.bincount(seen, minlength=1536).reshape(512, 3)
+            while (big := self.mixture.sum(1) > (1 << MIX_BITS)).any():
+                self.mixture[big] = (self.mixture[big] >> 1) + 1
+            self.weigh()
         p1, p2 = self.p1[:m], self.p2[:m]
         self.at2 = ((p1 * 0x2545F491 + p2 * 0x9E3779B1) >> 7) & ((1 << T2_BITS) - 1)
         self.at1 = ((p1 * 0x9E3779B1) >> 9) & ((1 << T1_BITS) - 1)
         self.c2, self.c1 = self.id2[self.at2], self.id1[self.at1]
         self.k2, self.k1 = self.conf2[self.at2], self.conf1[self.at1]
         self.state = (self.c1 == self.c2) * 256 + self.k2.astype(np.int64) * 16 + self.k1
-        w = self.mixture[self.state].astype(np.uint64)
-        self.w0, self.w01 = w[:, 0], w[:, 0] + w[:, 1]
-        self.total = self.w01 + w[:, 2]
+        self.w0, self.w01 = self.q0[self.state], self.q1[self.state]
 
     def learn(self, x, event):
         m = len(x)
-        self.mixture += 24 * np.bincount(self.state * 3 + event, minlength=1536).reshape(512, 3)
-        big = self.mixture.sum(1) > (1 << 16)
-        if big.any():
-            self.mixture[big] = (self.mixture[big] >> 1) + 1
+        self.outcomes.append(self.state * 3 + event)
         for ids, confs, at, c, k in ((self.id2, self.conf2, self.at2, self.c2, self.k2), (self.id1, self.conf1, self.at1, self.c1, self.k1)):
             hit = c == x
             new = ~hit & (k < 2)
@@ -101,8 +113,8 @@ def lane_layout(n: int) -> tuple[int, np.ndarray]:
     return lanes, np.concatenate([[0], np.cumsum(size)])
 
 
-def _narrow(low, rng, at, start, freq, total):
-    r = rng[at] // total
+def _narrow(low, rng, at, start, freq, bits):
+    r = rng[at] >> bits
     low[at] += r * start
     rng[at] = r * freq
 
@@ -146,13 +158,13 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
         event = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
         zero = np.uint64(0)
         start = np.where(event == 0, zero, np.where(event == 1, model.w0, model.w01))
-        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, model.total))
-        _narrow(low, rng, act, start, end - start, model.total)
+        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, np.uint64(1 << MIX_BITS)))
+        _narrow(low, rng, act, start, end - start, np.uint64(MIX_BITS))
         push(act)
         miss = act[event == 2]
         if len(miss):
             y = x[event == 2]
-            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], model.cum[-1])
+            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], np.uint64(FREQ_BITS))
             push(miss)
         model.learn(x, event)
     for word in (low >> U32, low & LOW32):
@@ -186,19 +198,19 @@ def decode_block(n: int, lanes: int, payload: bytes, vocabulary: int = VOCABULAR
         m = lanes if t < longest - 1 else full
         act = every[:m]
         model.predict(m)
-        v = np.minimum((code[:m] - low[:m]) // (rng[:m] // model.total), model.total - np.uint64(1))
-        event = (v >= model.w0).astype(np.int64) + (v >= model.w01)
+        v, r = code[:m] - low[:m], rng[:m] >> np.uint64(MIX_BITS)
+        event = (v >= r * model.w0).astype(np.int64) + (v >= r * model.w01)
         zero = np.uint64(0)
         start = np.where(event == 0, zero, np.where(event == 1, model.w0, model.w01))
-        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, model.total))
-        _narrow(low, rng, act, start, end - start, model.total)
+        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, np.uint64(1 << MIX_BITS)))
+        _narrow(low, rng, act, start, end - start, np.uint64(MIX_BITS))
         pull(act)
         x = np.where(event == 0, model.c2, model.c1).astype(np.int64)
         miss = act[event == 2]
         if len(miss):
-            v = np.minimum((code[miss] - low[miss]) // (rng[miss] // model.cum[-1]), model.cum[-1] - np.uint64(1))
+            v = np.minimum((code[miss] - low[miss]) // (rng[miss] >> np.uint64(FREQ_BITS)), model.cum[-1] - np.uint64(1))
             y = np.searchsorted(model.cum, v, "right") - 1
-            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], model.cum[-1])
+            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], np.uint64(FREQ_BITS))
             pull(miss)
             x[miss] = y
         out[starts[:m] + t] = x
@@ -224,7 +236,7 @@ class Pieces:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
-        self.odd = re.compile(r"\s\s|[\W_][.,]")
+        self.odd = re.compile(r"[.,](?<![^\W_][.,])")
         self.blank = re.compile(r"\s")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.clear()
@@ -252,26 +264,34 @@ class Pieces:
     def add(self, new: list[str]):
         texts = [p[1:] if p[:1] == "\0" else " " + p for p in new]
         # Pieces with blanks inside (or nothing) could run into the line breaks: those go one by one.
-        alone = [k for k, p in enumerate(new) if not p or p == "\0" or self.blank.search(p)]
+        alone = []
+        if "" in new or "\0" in new or self.blank.search("".join(new)):
+            alone = [k for k, p in enumerate(new) if not p or p == "\0" or self.blank.search(p)]
         if alone:
             got = self.ids_of([texts[k] for k in alone])
             self.keep([new[k] for k in alone], np.concatenate(got), np.array([len(g) for g in got], np.int64))
             skip = set(alone)
             texts = [t for k, t in enumerate(texts) if k not in skip]
             new = [p for k, p in enumerate(new) if k not in skip]
-        for lo in range(0, len(new), 1000):
-            part = new[lo:lo + 1000]
-            ids = self.ids_of(["\n".join(texts[lo:lo + 1000])])[0]
+        for lo in range(0, len(new), 250):
+            part = new[lo:lo + 250]
+            ids = self.ids_of(["\n".join(texts[lo:lo + 250])])[0]
             ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
             sizes = np.diff(np.concatenate([[-1], ends])) - 1
             if len(self.line) == 1 and len(sizes) == len(part):
                 self.keep(part, ids[ids != self.line[0]], sizes)
             else:  # another vocabulary may cut line breaks otherwise
-                got = self.ids_of(texts[lo:lo + 1000])
+                got = self.ids_of(texts[lo:lo + 250])
                 self.keep(part, np.concatenate(got), np.array([len(g) for g in got], np.int64))
 
+    def plain(self, text: str) -> bool:
+        """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
+            return False
+        return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not self.odd.search(text)
+
     def pieces(self, text: str) -> list[str]:
-        if self.odd.search(text):
+        if not self.plain(text):
             parts = self.cut.split(text)
             return ["\0" + parts[0], *(p[1:] for p in parts[1:])]
         return ("\0" + text.replace(",", " \0,").replace(".", " \0.").replace("\n", " \0\n \0")).split(" ")
@@ -296,10 +316,8 @@ class Pieces:
         new = [p for p in set().union(*parts) if p not in self.known]
         if new:
             self.add(new)
-        order = []
-        for x in parts:
-            order.extend(map(self.known.__getitem__, x))
-        order = np.array(order, np.int64)
+        total = sum(map(len, parts))
+        order = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, total)
         size = self.size[order]
         at = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[order] - at[:-1], size) + np.arange(at[-1])]
