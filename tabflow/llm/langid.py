@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array([[]] * len(b), pa.list_(kind))] if with_spans else []), names)
                 continue
             data, offs = utf8(b.column(text_at))
-            for i, j, d, o in slices(data, offs, max(1 << 16, (1 << 23) // k)):
+            for i, j, d, o in slices(data, offs, max(1 << 16, (1 << 20) // k)):
                 starts, ends, script, code, use = scan(d, o)
                 score = np.zeros((len(d) + 1, k), np.float64)
                 np.cumsum(np.where(use[:, None], model["logp"][code], np.float32(0)), axis=0, dtype=np.float64, out=score[1:])

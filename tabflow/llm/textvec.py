@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 #: Odd base of the rolling hash and the finaliser constants of the 64-bit mix (fixed values).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
