@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabflow.functions.ordering import global_row_index
 from tabflow.session import scratch_path
 
 #: Rows of long ids (16 MB of keys) up to which a semi-join side is broadcast; beyond it the join shuffles.
@@ -63,6 +64,48 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__row``, a long that only rows of the same id and text share, and ``__again``, true for all but one
+    of the rows that share it.
+
+    A row whose id is its own has it as its number. Of the texts under a repeated id the one with the smallest 64-bit
+    hash has the id, the others and then the texts without an id are numbered beyond all ids (before them, below the
+    smallest id, only if no longs are left there). Only rows with a repeated or null id are written, with a row number;
+    all others pass as they are."""
+    did, th = col(id_col).cast("long"), F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")), col(text_col).isNull())
+    seen = written(docs.groupBy(did.alias("did")).agg(F.count(F.lit(1)).alias("n")).where("did is null or n > 1"), "row-ids")
+    if seen.isEmpty():
+        return docs.withColumns({"__row": did, "__again": F.lit(False)})
+    marked = docs.withColumns({"__did": did, "__th": th})
+    repeated = seen.where("did is not null").select(F.col("did").alias("__did"))
+    parts, plain = [marked.where("__did is null")], marked.where("__did is not null")
+    if not repeated.isEmpty():
+        repeated = checked_broadcast(repeated)
+        parts.append(plain.join(repeated, "__did", "left_semi"))
+        plain = plain.join(repeated, "__did", "left_anti")
+    odd = parts[0] if len(parts) == 1 else parts[0].union(parts[1].select(*parts[0].columns))
+    odd = written(odd.withColumn("__at", F.monotonically_increasing_id()), "row-numbers")
+    texts = odd.groupBy("__did", "__th").agg(F.min("__at").alias("__least"))
+    own = texts.where("__did is not null").groupBy("__did").agg(F.min("__th").alias("own"))
+    texts = texts.join(own, "__did", "left").withColumn("z", F.when(F.col("__did").isNull(), 2).when(F.col("__th") == F.col("own"), 0).otherwise(1))
+    texts = written(texts.select("__did", "__th", "__least", "z"), "row-texts")
+    extra = global_row_index(texts.where("z > 0"), ["z", "__did", "__th"], "g")
+    ends = docs.agg(F.min(did), F.max(did)).first()
+    low, high, count = ends[0] or 0, ends[1] if ends[1] is not None else -1, extra.count()
+    start = high + 1 if high + count < 1 << 63 else low - count
+    if start < -(1 << 63):
+        raise ValueError("the ids leave no numbers free")
+    known = texts.where("z = 0").select("__did", "__th", "__least", F.col("__did").alias("__row"))
+    if count:
+        known = known.union(extra.select("__did", "__th", "__least", (F.col("g") + F.lit(start).cast("long")).alias("__row")))
+    known = checked_broadcast(written(known, "row-known"))
+    right = known.select(*(F.col(c).alias(f"{c}_k") for c in ("__did", "__th", "__least")), "__row")
+    odd = odd.join(right, F.col("__did").eqNullSafe(F.col("__did_k")) & (F.col("__th") == F.col("__th_k")))
+    names = [col(c) for c in docs.columns]
+    return plain.select(*names, F.col("__did").alias("__row"), F.lit(False).alias("__again")).union(
+        odd.select(*names, "__row", (F.col("__at") != F.col("__least_k")).alias("__again")))
+
+
 def splits_for(df_bytes: int, target: int, least: int = 1) -> int:
     return max(least, -(-int(df_bytes) // target))
 

@@ -16,8 +16,10 @@ Equal lines are merged first; each distinct line has the place of its first occu
 3. Each pair's edit distance is verified on the texts, and the later line of a verified pair is dropped.
 
 Defined results: a null text stays null, an empty one empty; a document may lose all its lines and then has the
-empty text; null ids sort last; lines at the same id and number (repeated rows) count as one place, so none of them
-drops the other; an empty table gives no rows. All columns of the input are kept, whatever they are called; only
+empty text; decisions are taken per row, not per id. Rows that share an id and the text count as one document, so none
+of them drops the other's lines; of different texts under one id the one with the smallest hash has the id's place and
+the others come after all ids; rows without an id come last and are documents of their own, also if their texts are
+equal (then one of them keeps its lines). An empty table gives no rows. All columns of the input are kept, whatever they are called; only
 the text column changes.
 """
 
@@ -28,20 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.functions.ordering import global_row_index
-from tabflow.llm.common import checked_broadcast, col, documents, free_name, written
+from tabflow.llm.common import checked_broadcast, col, documents, free_name, told_apart, written
 from tabflow.llm.textvec import mix, powers, rolling
 
 MIN_CHARS = 16
 COARSE, FINE = 4, 32
-LAST = (1 << 63) - 1
 MASK = (1 << 64) - 1
 LENGTH_SALT = 0x9FB21C651E98DF25
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(did, no, line) of every line long enough to be compared."""
-    return (docs.select(F.coalesce(col(id_col).cast("long"), F.lit(LAST)).alias("did"),
-                        F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
+def line_rows(rows: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+    """(did, no, line) of every line long enough to be compared; did is the row's number."""
+    return (rows.select(F.col("__row").alias("did"), F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
             .where(F.char_length("line") >= min_chars))
 
 
@@ -114,11 +114,11 @@ def near_lines(firsts: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("lo_line", "hi_line", 1) >= 0).select(F.col("hi_key").alias("key")).distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
-    """(did, drop): line numbers to drop per id."""
-    # A place is one decimal that sorts by id, then line, so the aggregate below merges hot lines on the map side.
+def dropped_lines(rows: DataFrame, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
+    """(did, drop): line numbers to drop per row number."""
+    # A place is one decimal that sorts by row number, then line, so the aggregate below merges hot lines on the map side.
     place = (F.col("did").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
-    keyed = line_rows(docs, id_col, text_col, min_chars).withColumn("key", F.unhex(F.md5("line"))).withColumn("place", place)
+    keyed = line_rows(rows, text_col, min_chars).withColumn("key", F.unhex(F.md5("line"))).withColumn("place", place)
     firsts = written(keyed.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines")
     known = firsts.select("key", "place", "n", F.lit(False).alias("dead"))
     if max_edits:
@@ -134,15 +134,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the later copies and near copies of lines, and ``lines_dropped``."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    drops = checked_broadcast(dropped_lines(docs, id_col, text_col, min_chars, max_edits))
-    key, gone = "__line_did", "__line_drop"
-    marked = docs.withColumn(key, F.coalesce(col(id_col).cast("long"), F.lit(LAST))).join(
-        drops.select(F.col("did").alias(key), F.col("drop").alias(gone)), key, "left")
+    rows = told_apart(docs, id_col, text_col)
+    drops = checked_broadcast(dropped_lines(rows, text_col, min_chars, max_edits))
+    gone, again = F.col("__line_drop"), F.col("__again") & col(id_col).isNull()
+    marked = rows.join(drops.select(F.col("did").alias("__row"), F.col("drop").alias("__line_drop")), "__row", "left")
     text = col(text_col)
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col(gone), i)), "\n")
+    # Of equal texts without an id all but one are later copies, line by line.
+    parts = F.split(text, "\n", -1)
+    copied = F.filter(parts, lambda x: F.char_length(x) < min_chars)
+    kept = F.when(again, copied).otherwise(F.filter(parts, lambda _, i: ~F.array_contains(gone, i)))
+    changed = again | gone.isNotNull()
+    lost = F.when(again, F.size(parts) - F.size(copied)).otherwise(F.size(gone))
     count = free_name("lines_dropped", docs.columns)
-    return marked.select(*(F.when(F.col(gone).isNull(), text).otherwise(kept).alias(c) if c == text_col else col(c) for c in docs.columns),
-                         F.when(text.isNotNull() & F.col(gone).isNotNull(), F.size(F.col(gone))).otherwise(0).alias(count))
+    return marked.select(*(F.when(changed, F.array_join(kept, "\n")).otherwise(text).alias(c) if c == text_col else col(c) for c in docs.columns),
+                         F.when(text.isNotNull() & changed, lost).otherwise(0).alias(count))
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

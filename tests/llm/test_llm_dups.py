@@ -74,6 +74,19 @@ def test_lines_edge_cases(spark):
     assert rows(only_equal, "lines_dropped") == [(0,), (0,)]
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b, c, d = ("the %s line of these documents" % w for w in ("first", "second", "third", "very last"))
+    texts = [a, f"{b}\n{c}", f"{a}\n{d}", f"{d}\n{b}", "no other line is like it", c + " again", c + " again", c + " again\nx", None, None]
+    ids = [1, None, None, 7, 7, None, None, None, None, 7]
+    got = linededup.dedup_lines(docs(spark, texts, ids=ids))
+    assert got.count() == len(texts)
+    kept = [(r.doc_id, line) for r in got.collect() if r.text for line in r.text.split("\n")]
+    assert sorted(line for _, line in kept if len(line) >= 16) == sorted([a, b, c, d, "no other line is like it", c + " again"])
+    assert {line: i for i, line in kept if line in (b, d, "no other line is like it")} == {b: 7, d: 7, "no other line is like it": 7}
+    assert sum(r.lines_dropped for r in got.collect()) == 5
+    assert sum(r.text is None for r in got.collect()) == 2
+
+
 def test_lines_of_one_large_group(spark):
     """Many lines at one position: each is dropped but the earliest, without all pairs."""
     texts = [f"the same long line number {chr(0x4e00 + i)} of them" for i in range(1500)]
