@@ -166,6 +166,21 @@ def test_op10_sql(spark):
     same_as_sql(jaccard.op10_jaccard(spark, SF), jaccard.OP10_SQL, SF)
 
 
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    texts = [one, one, one + " more", two, two, two + " more", three, "only " + three[::-1], three + " more", "", "", None]
+    ids = [4, 4, None, None, None, None, 7, 7, 2, 9, 9, None]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        order = list(order)
+        got = corpus_pipeline.near_duplicates(spark, docs(spark, [texts[i] for i in order], ids=[ids[i] for i in order]), SF)
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert [k for k in kept if k[1] and k[1].startswith("a")] == [(4, one)]
+        assert len([k for k in kept if k[1] and k[1].startswith("b")]) == 1
+        assert (2, three + " more") in kept and (7, three) not in kept and (7, texts[7]) in kept
+        assert len(kept) == 4 + 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 130), (130, 120), (120, 110), (200, 200), (300, 301), (300, 302), (301, 302)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
