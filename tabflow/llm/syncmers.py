@@ -2,11 +2,14 @@
 
 A k-mer of code points is an anchor if the smallest of its s-mers (by hash) is its first or its last one: a property
 of the k-mer alone, so an edit moves no anchor that it does not touch, and every text of some length has anchors in
-each window of ``K - S`` characters. A fingerprint keeps the ``ANCHORS`` anchors with the smallest hashes and where
-each first occurs. The likeness of two fingerprints is the length of the longest run of common anchors that come in
-the same order in both, over the number of anchors compared (those smallest in the union of the two).
-
-Defined results: a text without anchors (shorter than K, or null, which is the empty text) has one hash of the whole
+each window of ``K - S`` characters. A fingerprint keeps one in ``SHARE`` anchors (those whose hashes are below a fixed
+bound), but the ``ANCHORS`` with the smallest hashes at least, and where each first occurs; so anchors grow with the
+text. Short texts have few anchors of K characters: below the lengths of ``LEVELS`` a fingerprint also has the anchors
+of shorter k-mers, and two fingerprints are compared at the shortest k that both have (the lengths of the texts alone
+decide). The likeness is the length of the longest run of common anchors that come in the same order in both, over the
+number of anchors compared (all of either below the bound up to which both are complete).
+
+Defined results: a text without anchors (of less than two characters, or null, which is the empty text) has one hash of the whole
 text as its fingerprint, and is like another only if that is equal; equal texts have equal fingerprints and likeness
 1; rows that share an id are ordered by a hash of their text, null ids come last; a single row is its own next; an
 empty table gives no rows. Columns besides the two named ones are not read, whatever they are called.
@@ -26,8 +29,11 @@ from tabflow.llm.common import col, documents
 from tabflow.llm.textvec import mix, powers, rolling
 
 K, S = 20, 10
-ANCHORS = 48
-WHOLE = 0xFFFFFFFF
+ANCHORS, SHARE = 48, 5
+#: (k, s, code points below which a text has this level); every text has the first.
+LEVELS = ((K, S, 1 << 62), (8, 4, 192), (4, 2, 48), (2, 1, 16))
+BOUND = (1 << 32) // SHARE
+WHOLE = 255
 SLICE_CHARS = 1 << 20
 
 
@@ -60,44 +66,76 @@ def anchors(codes: np.ndarray, offs: np.ndarray, k: int = K, s: int = S) -> tupl
     return at, mix((pre[at + k] - pre[at]) * inv[at] + np.uint64(k))
 
 
-def fingerprints(texts: list[str], m: int = ANCHORS) -> list[bytes]:
-    """Per text 8 bytes an anchor (upper half of the hash, position), sorted by hash."""
-    codes, offs = codes_of(texts)
-    at, h = anchors(codes, offs)
-    cut = np.searchsorted(at, offs)
-    out = []
-    for i, t in enumerate(texts):
-        a, b = cut[i], cut[i + 1]
-        if b > a:
-            seen, where = np.unique(h[a:b], return_index=True)
-            row = np.empty((min(m, len(seen)), 2), ">u4")
-            row[:, 0] = (seen[:m] >> np.uint64(32)).astype(np.uint32)
-            row[:, 1] = at[a:b][where[:m]] - offs[i]
-        else:
-            row = np.array([[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big"), WHOLE]], ">u4")
-        out.append(row.tobytes())
+def packed(hashes: np.ndarray, places: np.ndarray) -> bytes:
+    """Count, hashes in order of place, and the steps between places at 7 bits a byte (the last byte has the top bit)."""
+    step = np.diff(places, prepend=0).astype(np.int64)
+    size = 1 + sum((step >> (7 * j) > 0).astype(np.int64) for j in range(1, 5))
+    j = np.arange(5)
+    parts = (step[:, None] >> (7 * j)) & 127 | np.where(j == size[:, None] - 1, 128, 0)
+    return len(hashes).to_bytes(4, "big") + hashes.astype(">u4").tobytes() + parts[j < size[:, None]].astype(np.uint8).tobytes()
+
+
+def unpacked(print_: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{level: (hashes, places)} of a fingerprint."""
+    out, at = {}, 0
+    raw = np.frombuffer(print_, np.uint8)
+    while at < len(print_) and print_[at] != WHOLE:
+        level, n = print_[at], int.from_bytes(print_[at + 1:at + 5], "big")
+        at += 5
+        hashes = np.frombuffer(print_, ">u4", n, at).astype(np.int64)
+        at += 4 * n
+        rest = raw[at:at + 5 * n].astype(np.int64)
+        last = np.flatnonzero(rest >= 128)[:n]
+        first = np.concatenate([[0], last[:-1] + 1])
+        rest = rest[:last[-1] + 1]
+        rest = (rest & 127) << (7 * (np.arange(len(rest)) - np.repeat(first, last - first + 1)))
+        out[level] = hashes, np.cumsum(np.add.reduceat(rest, first))
+        at += int(last[-1]) + 1
     return out
 
 
+def fingerprints(texts: list[str], m: int = ANCHORS) -> list[bytes]:
+    """Per text and level its number, and the anchors (upper half of the hash, place) by place."""
+    out = [b""] * len(texts)
+    for level, (k, s, below) in enumerate(LEVELS):
+        some = [i for i, t in enumerate(texts) if k <= len(t) < below]
+        codes, offs = codes_of([texts[i] for i in some])
+        at, h = anchors(codes, offs, k, s)
+        cut = np.searchsorted(at, offs)
+        for r, i in enumerate(some):
+            a, b = cut[r], cut[r + 1]
+            if b > a:
+                seen, where = np.unique(h[a:b] >> np.uint64(32), return_index=True)
+                keep = max(m, int(np.searchsorted(seen, BOUND)))
+                order = np.argsort(where[:keep])
+                out[i] += bytes([level]) + packed(seen[order], at[a:b][where[order]] - offs[r])
+    return [p or bytes([WHOLE]) + hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=4).digest() for p, t in zip(out, texts)]
+
+
+def complete_to(hashes: np.ndarray, m: int) -> int:
+    """The hash up to which a fingerprint has all anchors of its text."""
+    return 1 << 32 if len(hashes) < m else max(BOUND - 1, int(hashes.max()))
+
+
 def likeness(a: bytes, b: bytes, m: int = ANCHORS) -> float:
     """0 to 1; symmetric."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(v, ">u4").reshape(-1, 2) for v in (a, b))
-    if x[0, 1] == WHOLE or y[0, 1] == WHOLE:
+    x, y = unpacked(a), unpacked(b)
+    levels = x.keys() & y.keys()
+    if not levels:
         return 0.0
-    px, py = dict(x.tolist()), dict(y.tolist())
-    common = px.keys() & py.keys()
-    if not common:
+    (hx, px), (hy, py) = x[max(levels)], y[max(levels)]
+    upto = min(complete_to(hx, m), complete_to(hy, m))
+    px, hx, py, hy = px[hx <= upto], hx[hx <= upto], py[hy <= upto], hy[hy <= upto]
+    _, ix, iy = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    if not len(ix):
         return 0.0
-    union = sorted(px.keys() | py.keys())[:m]
-    last = union[-1]
-    pairs = sorted((px[h], py[h]) for h in common if h <= last)
     tails = []  # longest strictly increasing run of places in b, in the order of a
-    for _, p in pairs:
+    for p in py[iy[np.argsort(px[ix])]].tolist():
         i = bisect.bisect_left(tails, p)
         tails[i:i + 1] = [p]
-    return len(tails) / len(union)
+    return len(tails) / (len(hx) + len(hy) - len(ix))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -204,6 +204,38 @@ def test_likeness_sees_order_and_edits():
     assert syncmers.likeness(a, d) < 0.75 and syncmers.likeness(a, b) == syncmers.likeness(b, a)
 
 
+def test_likeness_of_long_and_short_texts():
+    rng = random.Random(13)
+
+    def prose(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    # A long text keeps anchors all along, a passage of some 50 words is found in it, and the likeness is close.
+    t, other = prose(100_000), prose(100_000)
+    passage = t[50_000:50_300]
+    a, b, c = syncmers.fingerprints([t, t[:70_000] + other[:30_000], other[:40_000] + passage + other[40_300:]])
+    assert syncmers.likeness(a, c) > 0
+    at = syncmers.unpacked(a)[0][1]
+    assert len(at) > 2500 and np.diff(at).max() < 1000
+    assert abs(syncmers.likeness(a, b) - 0.7 / 1.3) < 0.03
+    # Texts of 3 to 28 code points share anchors with their edited texts.
+    for n in range(3, 29):
+        for _ in range(20):
+            t, other = prose(n), prose(n)
+            x, y, z = syncmers.fingerprints([t, t[:n - n // 3] + other[:n // 3], t])
+            assert syncmers.likeness(x, y) > 0 and syncmers.likeness(x, y) == syncmers.likeness(y, x) and x == z
+
+
+def test_prints_unpack_as_packed():
+    rng = np.random.default_rng(14)
+    for top in (100, 20_000, 10 ** 9):
+        places = np.sort(rng.choice(top, 60, replace=False))
+        hashes = rng.integers(0, 1 << 32, 60)
+        got = syncmers.unpacked(b"\0" + syncmers.packed(hashes, places) + b"\2" + syncmers.packed(hashes[:1], places[:1]))
+        assert got[0][0].tolist() == hashes.tolist() and got[0][1].tolist() == places.tolist()
+        assert got[2][0].tolist() == hashes[:1].tolist() and got[2][1].tolist() == places[:1].tolist()
+
+
 # --- language --------------------------------------------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark):
