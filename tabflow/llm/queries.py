@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tabflow.llm import crosspoly, jaccard, langid, linededup, mixing, packing, quality, syncmers, tokenfile, warc
+from tabflow.llm import (crosspoly, filteraudit, hilbertpq, jaccard, langid, linededup, mixing, packing, quality, syncmers,
+                         tokenfile, warc)
 
 QUERIES = {
     "op1_tokenfile": tokenfile.op1_tokenfile,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_crosspoly": crosspoly.op8_crosspoly,
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_filteraudit": filteraudit.op11_filteraudit,
+    "op13_hilbertpq": hilbertpq.op13_hilbertpq,
 }
 ORACLE = {
     "op2_warc": warc.OP2_SQL,
@@ -22,4 +25,6 @@ ORACLE = {
     "op4_linededup": linededup.OP4_SQL,
     "op8_crosspoly": crosspoly.OP8_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op11_filteraudit": filteraudit.OP11_SQL,
+    "op13_hilbertpq": hilbertpq.OP13_SQL,
 }
