@@ -17,6 +17,8 @@ from tabflow.session import scratch_path
 
 #: Rows of long ids (16 MB of keys) up to which a semi-join side is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Bytes up to which a measured table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,13 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     return F.broadcast(df) if n <= limit else df
 
 
+def sized_broadcast(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` (a written table) for broadcast if its rows, of ``row_bytes`` each, sum to at most ``limit`` bytes; otherwise
+    leave the join to shuffle."""
+    size = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df.hint("shuffle_hash")
+
+
 def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``__row``, a long that only rows of the same id and text share, and ``__again``, true for all but one
     of the rows that share it.

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tabflow.llm import (crosspoly, filteraudit, hilbertpq, jaccard, langid, linededup, mixing, packing, quality, syncmers,
-                         tokenfile, warc)
+from tabflow.llm import (crosspoly, filteraudit, hilbertpq, jaccard, langid, linededup, mixing, packing, quality, substrings,
+                         syncmers, tokenfile, warc)
 
 QUERIES = {
     "op1_tokenfile": tokenfile.op1_tokenfile,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_filteraudit": filteraudit.op11_filteraudit,
+    "op12_substrings": substrings.op12_substrings,
     "op13_hilbertpq": hilbertpq.op13_hilbertpq,
 }
 ORACLE = {
@@ -26,5 +27,6 @@ ORACLE = {
     "op8_crosspoly": crosspoly.OP8_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
     "op11_filteraudit": filteraudit.OP11_SQL,
+    "op12_substrings": substrings.OP12_SQL,
     "op13_hilbertpq": hilbertpq.OP13_SQL,
 }
