@@ -31,6 +31,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window as W
 
 from tabflow.llm.common import col, documents, free_name, sized_broadcast, written
@@ -212,14 +213,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     import pyarrow as pa
     spans = written(repeated_spans(docs, id_col, text_col, length), "span-verified")
     names = list(docs.columns)
-    new = {}
-    for c in ("kept_text", "n_words", "n_removed", "ord", "th", "gone"):
-        new[c] = free_name(c, names + list(new.values()))
-    text = col(text_col).cast("string")
-    rows = docs.withColumns({new["ord"]: F.coalesce(col(id_col).cast("long"), F.lit(LAST)), new["th"]: F.xxhash64(text)})
-    gone = written(spans.groupBy("ord", "th").agg(flat_list("start", "end").alias("gone")), "span-gone")
-    gone = sized_broadcast(gone, F.size("gone") * 4 + 48).select(*(F.col(c).alias(new[c]) for c in ("ord", "th", "gone")))
-    rows = rows.join(gone, [new["ord"], new["th"]], "left").select(*(col(c) for c in names), text.alias(new["ord"]), new["gone"])
+    added = []
+    for c in ("kept_text", "n_words", "n_removed"):
+        added.append(free_name(c, names + added))
+    # Inside, columns go by number: any name may be taken, and Python functions know no names with dots.
+    text, inner = col(text_col).cast("string"), [f"c{i}" for i in range(len(names))]
+    rows = docs.select(*(col(c).alias(i) for c, i in zip(names, inner)), F.coalesce(col(id_col).cast("long"), F.lit(LAST)).alias("ord"),
+                       F.xxhash64(text).alias("th"), text.alias("text"))
+    gone = spans.groupBy("ord", "th").agg(flat_list("start", "end").alias("gone"))
+    rows = with_lists(rows, gone, "gone", "left").select(*inner, "text", "gone")
 
     def run(batches):
         for b in batches:
@@ -237,12 +239,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 removed.append(total[-1] - len(w))
                 kept.append(b" ".join(w))
             yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()),
-                                              pa.array(removed, pa.int64())], [*names, new["kept_text"], new["n_words"], new["n_removed"]])
+                                              pa.array(removed, pa.int64())], [*inner, "kept_text", "n_words", "n_removed"])
 
-    schema = docs.schema
+    schema = StructType([StructField(i, f.dataType, True) for i, f in zip(inner, docs.schema.fields)])
     for c, t in (("kept_text", "string"), ("n_words", "long"), ("n_removed", "long")):
-        schema = type(schema)(schema.fields).add(new[c], t)
-    return rows.mapInArrow(run, schema)
+        schema = schema.add(c, t)
+    return rows.mapInArrow(run, schema).toDF(*names, *added)
 
 
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
