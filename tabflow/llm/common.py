@@ -73,46 +73,58 @@ def sized_broadcast(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if size <= limit else df.hint("shuffle_hash")
 
 
-def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__row``, a long that only rows of the same id and text share, and ``__again``, true for all but one
-    of the rows that share it.
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with a column ``row``, a long that only rows of the same id and text share, and ``again``, true for all but one
+    of the rows that share it; and the names of the two (no column of ``docs`` is touched, whatever it is called).
 
     A row whose id is its own has it as its number. Of the texts under a repeated id the one with the smallest 64-bit
     hash has the id, the others and then the texts without an id are numbered beyond all ids (before them, below the
     smallest id, only if no longs are left there). Only rows with a repeated or null id are written, with a row number;
     all others pass as they are."""
+    row, again, k_id, k_th, k_at, k_least = (free_name(x, docs.columns) for x in ("__row", "__again", "__did", "__th", "__at", "__least"))
     did, th = col(id_col).cast("long"), F.xxhash64(F.coalesce(col(text_col).cast("string"), F.lit("")), col(text_col).isNull())
     seen = written(docs.groupBy(did.alias("did")).agg(F.count(F.lit(1)).alias("n")).where("did is null or n > 1"), "row-ids")
     if seen.isEmpty():
-        return docs.withColumns({"__row": did, "__again": F.lit(False)})
-    marked = docs.withColumns({"__did": did, "__th": th})
-    repeated = seen.where("did is not null").select(F.col("did").alias("__did"))
-    parts, plain = [marked.where("__did is null")], marked.where("__did is not null")
+        return docs.withColumns({row: did, again: F.lit(False)}), row, again
+    marked = docs.withColumns({k_id: did, k_th: th})
+    repeated = seen.where("did is not null").select(F.col("did").alias(k_id))
+    parts, plain = [marked.where(F.col(k_id).isNull())], marked.where(F.col(k_id).isNotNull())
     if not repeated.isEmpty():
         repeated = checked_broadcast(repeated)
-        parts.append(plain.join(repeated, "__did", "left_semi"))
-        plain = plain.join(repeated, "__did", "left_anti")
-    odd = parts[0] if len(parts) == 1 else parts[0].union(parts[1].select(*parts[0].columns))
-    odd = written(odd.withColumn("__at", F.monotonically_increasing_id()), "row-numbers")
-    texts = odd.groupBy("__did", "__th").agg(F.min("__at").alias("__least"))
-    own = texts.where("__did is not null").groupBy("__did").agg(F.min("__th").alias("own"))
-    texts = texts.join(own, "__did", "left").withColumn("z", F.when(F.col("__did").isNull(), 2).when(F.col("__th") == F.col("own"), 0).otherwise(1))
-    texts = written(texts.select("__did", "__th", "__least", "z"), "row-texts")
-    extra = global_row_index(texts.where("z > 0"), ["z", "__did", "__th"], "g")
+        parts.append(plain.join(repeated, k_id, "left_semi"))
+        plain = plain.join(repeated, k_id, "left_anti")
+    inner = marked.columns
+    odd = parts[0] if len(parts) == 1 else parts[0].union(parts[1].select(*(col(c) for c in inner)))
+    odd = written(odd.withColumn(k_at, F.monotonically_increasing_id()), "row-numbers")
+    texts = odd.groupBy(F.col(k_id).alias("did"), F.col(k_th).alias("th")).agg(F.min(k_at).alias("least"))
+    own = texts.where("did is not null").groupBy("did").agg(F.min("th").alias("own"))
+    texts = texts.join(own, "did", "left").withColumn("z", F.when(F.col("did").isNull(), 2).when(F.col("th") == F.col("own"), 0).otherwise(1))
+    texts = written(texts.select("did", "th", "least", "z"), "row-texts")
+    extra = global_row_index(texts.where("z > 0"), ["z", "did", "th"], "g")
     ends = docs.agg(F.min(did), F.max(did)).first()
     low, high, count = ends[0] or 0, ends[1] if ends[1] is not None else -1, extra.count()
     start = high + 1 if high + count < 1 << 63 else low - count
     if start < -(1 << 63):
         raise ValueError("the ids leave no numbers free")
-    known = texts.where("z = 0").select("__did", "__th", "__least", F.col("__did").alias("__row"))
+    known = texts.where("z = 0").select("did", "th", "least", F.col("did").alias("row"))
     if count:
-        known = known.union(extra.select("__did", "__th", "__least", (F.col("g") + F.lit(start).cast("long")).alias("__row")))
+        known = known.union(extra.select("did", "th", "least", (F.col("g") + F.lit(start).cast("long")).alias("row")))
     known = checked_broadcast(written(known, "row-known"))
-    right = known.select(*(F.col(c).alias(f"{c}_k") for c in ("__did", "__th", "__least")), "__row")
-    odd = odd.join(right, F.col("__did").eqNullSafe(F.col("__did_k")) & (F.col("__th") == F.col("__th_k")))
+    right = known.select(*(F.col(c).alias(free_name(f"{c}_k", odd.columns)) for c in ("did", "th", "least", "row")))
+    r_id, r_th, r_least, r_row = (F.col(c) for c in right.columns)
+    odd = odd.join(right, F.col(k_id).eqNullSafe(r_id) & (F.col(k_th) == r_th))
     names = [col(c) for c in docs.columns]
-    return plain.select(*names, F.col("__did").alias("__row"), F.lit(False).alias("__again")).union(
-        odd.select(*names, "__row", (F.col("__at") != F.col("__least_k")).alias("__again")))
+    out = plain.select(*names, F.col(k_id).alias(row), F.lit(False).alias(again)).union(
+        odd.select(*names, r_row.alias(row), (F.col(k_at) != r_least).alias(again)))
+    return out, row, again
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let the session hand at most ``rows`` rows to Python at once: ten thousand documents, the default, are tens of MB that
+    the executor and its Python worker each hold several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
 
 
 def splits_for(df_bytes: int, target: int, least: int = 1) -> int:

@@ -46,6 +46,15 @@ def scan(data: np.ndarray, offs: np.ndarray):
     latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     low[latin] += 32
     letter = ((low >= 97) & (low <= 122)) | (data >= 0x80)
+    # Signs are no letters: U+0080 to U+00BF but ª µ º, × and ÷, U+2000 to U+2BFF, U+3000 to U+3004, U+1F000 to U+1FFFF.
+    d1, d2 = np.append(data[1:], 0), np.append(data[2:], (0, 0))[:n]
+    two = ((data == 0xC2) & (d1 != 0xAA) & (d1 != 0xB5) & (d1 != 0xBA)) | ((data == 0xC3) & ((d1 == 0x97) | (d1 == 0xB7)))
+    three = ((data == 0xE2) & (d1 < 0xB0)) | ((data == 0xE3) & (d1 == 0x80) & (d2 <= 0x84))
+    four = (data == 0xF0) & (d1 == 0x9F)
+    for lead, size in ((two, 2), (three, 3), (four, 4)):
+        at = np.flatnonzero(lead)
+        for k in range(size if len(at) else 0):
+            letter[np.minimum(at + k, n - 1)] = False
     starts, ends = spans(letter, offs)
     z = np.where(letter, low, 0).astype(np.uint32)
     z1, z2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -59,10 +68,11 @@ def scan(data: np.ndarray, offs: np.ndarray):
     if len(lead):
         b = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
         x, y, w = b[lead], b[lead + 1] & 63, b[lead + 2] & 63
-        cp = np.where(x < 0xE0, ((x & 31) << 6) | y, np.where(x < 0xF0, ((x & 15) << 12) | (y << 6) | w, 0x4E00))
+        # Four bytes: U+20000 and up are Han, those below of no script here.
+        cp = np.where(x < 0xE0, ((x & 31) << 6) | y, np.where(x < 0xF0, ((x & 15) << 12) | (y << 6) | w, np.where((x > 0xF0) | (y >= 32), 0x4E00, 0)))
         starts_of, kinds = np.array(SCRIPTS).T
         kind = kinds[np.searchsorted(starts_of, cp, "right") - 1]
-        other = kind > 0
+        other = (kind > 0) & letter[lead]
         script[np.searchsorted(starts, lead[other], "right") - 1] = kind[other]
     return starts, ends, script, code, (z > 0) | (z1 > 0)
 
@@ -209,7 +219,8 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
                 first = row_bounds(starts, o)
                 plain = np.concatenate([[0], np.cumsum((d | 32 >= 97) & (d | 32 <= 122) & (d < 128))])
                 row_at = o[np.searchsorted(o, starts, "right") - 1]
-                held.append((b.slice(i, j - i), b.column(text_at)[i:j], emit, (ends - starts).astype(float), first,
+                points = np.concatenate([[0], np.cumsum((d & 0xC0) != 0x80)])
+                held.append((b.slice(i, j - i), b.column(text_at)[i:j], emit, (points[ends] - points[starts]).astype(float), first,
                              plain[o[1:]] > plain[o[:-1]], starts - row_at, ends - row_at))
                 words += len(emit)
                 if words >= RUN_WORDS:

@@ -39,9 +39,9 @@ MASK = (1 << 64) - 1
 LENGTH_SALT = 0x9FB21C651E98DF25
 
 
-def line_rows(rows: DataFrame, text_col: str, min_chars: int) -> DataFrame:
+def line_rows(rows: DataFrame, row: str, text_col: str, min_chars: int) -> DataFrame:
     """(did, no, line) of every line long enough to be compared; did is the row's number."""
-    return (rows.select(F.col("__row").alias("did"), F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
+    return (rows.select(F.col(row).alias("did"), F.posexplode(F.split(col(text_col), "\n", -1)).alias("no", "line"))
             .where(F.char_length("line") >= min_chars))
 
 
@@ -114,11 +114,11 @@ def near_lines(firsts: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("lo_line", "hi_line", 1) >= 0).select(F.col("hi_key").alias("key")).distinct()
 
 
-def dropped_lines(rows: DataFrame, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
+def dropped_lines(rows: DataFrame, row: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
     """(did, drop): line numbers to drop per row number."""
     # A place is one decimal that sorts by row number, then line, so the aggregate below merges hot lines on the map side.
     place = (F.col("did").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
-    keyed = line_rows(rows, text_col, min_chars).withColumn("key", F.unhex(F.md5("line"))).withColumn("place", place)
+    keyed = line_rows(rows, row, text_col, min_chars).withColumn("key", F.unhex(F.md5("line"))).withColumn("place", place)
     firsts = written(keyed.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines")
     known = firsts.select("key", "place", "n", F.lit(False).alias("dead"))
     if max_edits:
@@ -134,10 +134,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the later copies and near copies of lines, and ``lines_dropped``."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
-    rows = told_apart(docs, id_col, text_col)
-    drops = checked_broadcast(dropped_lines(rows, text_col, min_chars, max_edits))
-    gone, again = F.col("__line_drop"), F.col("__again") & col(id_col).isNull()
-    marked = rows.join(drops.select(F.col("did").alias("__row"), F.col("drop").alias("__line_drop")), "__row", "left")
+    rows, row, again = told_apart(docs, id_col, text_col)
+    drops = checked_broadcast(dropped_lines(rows, row, text_col, min_chars, max_edits))
+    drop = free_name("__line_drop", rows.columns)
+    gone, again = F.col(drop), F.col(again) & col(id_col).isNull()
+    marked = rows.join(drops.select(F.col("did").alias(row), F.col("drop").alias(drop)), row, "left")
     text = col(text_col)
     # Of equal texts without an id all but one are later copies, line by line.
     parts = F.split(text, "\n", -1)

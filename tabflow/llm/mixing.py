@@ -135,8 +135,9 @@ def select_documents(docs: DataFrame, levels: list[str], weights: dict, fraction
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that one epoch at most takes, whole (``levels`` may be columns made for the purpose)."""
     chosen = mix_sources(docs, levels, weights, fraction, 1, seed, "whole", id_col, text_col)
-    ids = checked_broadcast(written(chosen.select(F.col("doc_id").alias("_mix_id")).distinct(), "mix-chosen"))
-    return docs.join(ids, col(id_col).cast("long").eqNullSafe(F.col("_mix_id")), "left_semi")
+    key = free_name("_mix_id", docs.columns)
+    ids = checked_broadcast(written(chosen.select(F.col("doc_id").alias(key)).distinct(), "mix-chosen"))
+    return docs.join(ids, col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
 
 
 #: Weights of the query: groups of sources, languages within a group, sources evenly within a language.

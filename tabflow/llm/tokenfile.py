@@ -227,14 +227,17 @@ class Pieces:
     a following ``,`` or ``.``, and on both sides of a single line break between non-blanks; so a text's ids are
     those of its pieces between these cuts. Every new piece is encoded by the tokenizers library, many at a time,
     with a line break between them. A piece that is not preceded by a space is marked with a leading NUL; texts with
-    a NUL of their own are encoded whole."""
+    a NUL of their own, and texts that hold one of the tokenizer's added tokens (``<|endoftext|>``), are encoded whole.
+    ``special_as_text`` encodes the strings of special tokens as ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
+        added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
+        self.whole = re.compile("|".join(map(re.escape, ["\0", *added])))
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.odd = re.compile(r"[.,](?<![^\W_][.,])")
         self.blank = re.compile(r"\s")
@@ -288,7 +291,8 @@ class Pieces:
         """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
         if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
             return False
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not self.odd.search(text)
+        # Other blanks (tabs, no-break spaces...) may join a line break or a space: then the words differ.
+        return text.split() == text.replace("\n", " ").split(" ") and not self.odd.search(text)
 
     def pieces(self, text: str) -> list[str]:
         if not self.plain(text):
@@ -300,7 +304,7 @@ class Pieces:
         """(ids of all texts one after another, number of ids per text)."""
         if self.n > CACHE_PIECES:
             self.clear()
-        whole = [k for k, t in enumerate(texts) if "\0" in t]
+        whole = [k for k, t in enumerate(texts) if self.whole.search(t)]
         if whole:
             cut = [-1, *whole, len(texts)]
             runs = []
@@ -331,7 +335,7 @@ class Pieces:
 # --- files -----------------------------------------------------------------------------------------------------
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = END_ID, id_col: str = "doc_id",
-                 text_col: str = "text", vocabulary: int = VOCABULARY, files: int | None = None) -> DataFrame:
+                 text_col: str = "text", vocabulary: int = VOCABULARY, files: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode every whole text and write the ids in ascending id order; (file, part, n_docs, n_ids), computed.
 
     Null texts are empty; null ids come first; rows that share an id are ordered by a hash of their text."""
@@ -342,7 +346,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     ranged = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def write(batches):
-        pieces = process_cache("pieces:" + tokenizer_path, lambda: Pieces(tokenizer_path))
+        pieces = process_cache(f"pieces:{special_as_text}:{tokenizer_path}", lambda: Pieces(tokenizer_path, special_as_text))
         ids, lens, total = [], [], [0]
 
         def blocks():

@@ -12,7 +12,8 @@ def docs(spark, texts, extra=False, ids=None):
     if extra:
         from pyspark.sql import functions as F
         for name in ("n", "r", "key", "h", "pos", "cls", "tok", "root", "bucket", "halo", "did", "no", "line", "place", "start", "piece",
-                     "score", "lang_pred", "level0", "epoch", "taken", "tie", "v", "id", "a.b", "Text2", "lines_dropped"):
+                     "score", "lang_pred", "level0", "epoch", "taken", "tie", "v", "id", "a.b", "Text2", "lines_dropped",
+                     "__row", "__again", "__did", "__th", "__at", "__least", "__line_drop", "_mix_id", "row", "th"):
             df = df.withColumn(name, F.lit(1))
     return df
 

@@ -45,7 +45,6 @@ def test_pieces_equal_whole_text_encoding():
     from tokenizers import Tokenizer
     path = public.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     pieces = tokenfile.Pieces(path)
 
     @settings(max_examples=300, deadline=None)
@@ -56,13 +55,24 @@ def test_pieces_equal_whole_text_encoding():
         assert ids[:lens[0]].tolist() == want and ids[lens[0] + lens[1]:].tolist() == want
 
     check()
+    # Every blank Python knows, single and in pairs, around line breaks and words; special tokens.
+    import random
+    rng = random.Random(6)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    units = ["a", "b.", ",c", "x", "\n", " ", "<|endoftext|>", "<|endoftext|", "é1"]
+    texts = ["line one\n\xa0\xa0line two", "a\r\n\xa0\tb", "abc <|endoftext|> def"]
+    texts += [f"a{x}{y}{z}b" for x in blanks for y in blanks for z in ("", "\n", " ")]
+    texts += ["".join(rng.choice(units if rng.random() < 0.7 else blanks) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    ids, lens = pieces.encode(texts, None)
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert lens.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
 
 
 def expect_tokens(pairs):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text in pairs:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]

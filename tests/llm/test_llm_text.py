@@ -6,6 +6,8 @@ import os
 import random
 import sys
 
+import re
+
 import numpy as np
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -289,6 +291,42 @@ def test_language_spans_and_scripts(spark):
     assert langid.identify(docs(spark, ["жжж", "ΩΩΩ"]), model).orderBy("doc_id").collect()[0].lang_pred == "ru"
 
 
+def test_language_counts_letters_not_bytes_or_signs(spark):
+    model = trained(spark)
+    text = "собака живут the house and the garden …—😀😀"
+    got = langid.identify(docs(spark, [text, "day😀", "«и»", "× ÷ 😀 …"]), model, with_spans=True).orderBy("doc_id").collect()
+    assert got[0].lang_pred == "en" and abs(got[0].score - 22 / 33) < 1e-9
+    assert [s.lang for s in got[0].spans] == ["ru", "en"] and got[1].lang_pred == "en"
+    raw = "«и»".encode()
+    assert [raw[s.start:s.end].decode() for s in got[2].spans] == ["и"]
+    assert got[3].lang_pred == "und"
+
+
+def test_language_word_scores_equal_the_plain_sums():
+    """Emissions by the definition: trigrams of the lower-cased bytes of a word and its two edges."""
+    from tabflow.llm.textvec import utf8
+    import pyarrow as pa
+    texts = ["Abc dé, Ünd x", "", "жук—Привет 漢字😀ok", "a"]
+    data, offs = utf8(pa.array(texts))
+    starts, ends, script, code, use = langid.scan(data, offs)
+    words_ = [(i, m.start(), m.group()) for i, t in enumerate(texts) for m in re.finditer(r"[A-Za-zÀ-ÖØ-öø-ÿЀ-ӿ一-鿿]+", t)]
+    assert [data[s:e].tobytes().decode() for s, e in zip(starts, ends)] == [w for _, _, w in words_]
+    assert script.tolist() == [13 if ord(w[0]) >= 0x4E00 else 2 if ord(w[0]) >= 0x400 else 0 for _, _, w in words_]
+    for (row, at, word), s, e in zip(words_, starts, ends):
+        # The row's letters are lower-cased Latin-1 bytes, everything else zero.
+        raw = bytearray(texts[row].encode())
+        keep = bytearray(len(raw))
+        for m in re.finditer(r"[A-Za-zÀ-ÖØ-öø-ÿЀ-ӿ一-鿿]+", texts[row]):
+            a = len(texts[row][:m.start()].encode())
+            low = "".join(c.lower() if ord(c) < 256 else c for c in m.group()).encode()
+            keep[a:a + len(low)] = low
+        a = len(texts[row][:at].encode())
+        for k in range(a, min(a + len(word.encode()) + 1, len(raw))):
+            z = [keep[k - j] if k >= j else 0 for j in (2, 1, 0)]
+            want = ((((z[0] << 16) | (z[1] << 8) | z[2]) * 0x9E3779B1) % (1 << 32)) >> 17
+            assert code[offs[row] + k] == want
+
+
 def test_language_edge_cases(spark):
     model = trained(spark)
     texts = [None, "", "12 34 !", "… —", "the house", "the house", "und die katze " * 20000, "ñ"]
