@@ -172,7 +172,7 @@ class TableCleaner:
             agg_structs.append(F.struct(*fields))
         if agg_structs and (need_median or self.cap_outliers):
             qcols = st.numeric_cols if self.cap_outliers else need_median
-            qt = quantile_table(work, qcols, [0.25, 0.5, 0.75])  # exact, sort-based; columns × 3 values
+            qt = quantile_table(work, qcols, [0.25, 0.5, 0.75])  # exact; columns × 3 values
             for r in _inline(work, agg_structs).collect():  # one row per numeric column
                 c = r["column"]
                 r = dict(r.asDict(), median=qt.get((c, 0.5)), q=[qt.get((c, 0.25)), qt.get((c, 0.75))]

@@ -58,6 +58,15 @@ def dtype_table(df: DataFrame) -> list[tuple[str, str]]:
 
 # ----------------------------------------------------------------------------- P03–P05 sniffing
 
+def _sniff_struct(c: str, text: bool):
+    """Counters of one column: rows, non-nulls and, for text, how many parse as datetime / number and the mean length."""
+    none = F.lit(None)
+    return F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count(col_(c)).alias("n_nonnull"),
+                    (F.count(parse_datetime_text(c)) if text else none.cast("bigint")).alias("n_datetime"),
+                    (F.count(parse_number_text(c)) if text else none.cast("bigint")).alias("n_numeric"),
+                    (F.avg(F.length(col_(c))) if text else none.cast("double")).alias("avg_length"))
+
+
 def sniff_strings(df: DataFrame, cols=None) -> DataFrame:
     """Per string column: non-null count, how many parse as datetime / number, mean length.
 
@@ -67,21 +76,17 @@ def sniff_strings(df: DataFrame, cols=None) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, n_nonnull bigint, n_datetime bigint, n_numeric bigint, avg_length double")
-    structs = [F.struct(F.lit(c).alias("column"),
-                        F.count(col_(c)).alias("n_nonnull"),
-                        F.count(parse_datetime_text(c)).alias("n_datetime"),
-                        F.count(parse_number_text(c)).alias("n_numeric"),
-                        F.avg(F.length(col_(c))).alias("avg_length")) for c in cols]
-    return _inline(df, structs)
+    return _inline(df, [_sniff_struct(c, True) for c in cols]).drop("n_rows")
 
 
-def column_kinds(df: DataFrame, target: str | None = None, snapshot: bool = False) -> DataFrame:
+def column_kinds(df: DataFrame, target: str | None = None, snapshot: bool = False, sniffed=None) -> DataFrame:
     """``(column, dtype, kind)``; order bool → datetime → numeric → target → text → categorical.
 
     ``snapshot=True`` is the EDA-snapshot variant: numeric text counts as numeric and the
     target rule is not applied."""
     spark = df.sparkSession
-    sniff = {r["column"]: r for r in sniff_strings(df).collect()}  # one row per string column
+    sniffed = sniff_strings(df).collect() if sniffed is None else sniffed  # one row per column
+    sniff = {r["column"]: r for r in sniffed if isinstance(df.schema[r["column"]].dataType, T.StringType)}
     rows = []
     for pos, f in enumerate(df.schema.fields):
         dt = f.dataType
@@ -139,7 +144,7 @@ def distinct_counts(df: DataFrame, cols=None, approx: bool = False) -> DataFrame
 def numeric_stats(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """min/max/mean/median/std(ddof=1) per numeric column, rounded to 4; std 0 for one row.
 
-    The exact median is sort-based (``exact_quantiles``); ``approx=True`` uses
+    The exact median comes by rank refinement (``quantile_table``); ``approx=True`` uses
     ``percentile_approx`` inside the single wide pass instead."""
     from tabflow.functions.quantiles import quantile_columns
     cols = [c for c in _cols(df, cols) if is_numeric_type(df.schema[c].dataType)]
@@ -222,9 +227,13 @@ def avg_rows_per_value(df: DataFrame, cols=None) -> DataFrame:
 def column_profile(df: DataFrame, target: str | None = None, approx: bool = False) -> DataFrame:
     """Row per column: dtype, kind, missing and distinct counts, constant flags.
 
-    Three jobs whatever the width: sniff (strings only), wide nulls, long distincts."""
-    kinds = column_kinds(df, target)
-    miss = missing_counts(df)
+    Two scans whatever the width: one wide (nulls and sniffing), one long (distincts)."""
+    wide = _inline(df, [_sniff_struct(f.name, isinstance(f.dataType, T.StringType)) for f in df.schema.fields]).collect()
+    kinds = column_kinds(df, target, sniffed=wide)
+    n, missing = F.col("n_rows"), F.col("missing_count")
+    miss = (df.sparkSession.createDataFrame([(r["column"], r["n_rows"], r["n_rows"] - r["n_nonnull"]) for r in wide],
+                                            "column string, n_rows bigint, missing_count bigint")
+            .withColumn("missing_pct", F.when(n > 0, F.round(missing * 100.0 / n, 2)).otherwise(0.0)))
     dist = distinct_counts(df, approx=approx)
     prof = kinds.join(miss, "column").join(dist, "column")
     nonmissing = F.col("n_rows") - F.col("missing_count")

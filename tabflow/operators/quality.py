@@ -2,8 +2,8 @@
 
 The issues table is long and typed: ``(column, other_column, issue_type, severity,
 count, pct, value)``. Every rule is a Column expression over per-column statistic
-rows; the statistics themselves come from at most three passes over the data (the
-profile, one wide quantile/min/max pass, one wide conditional-count pass).
+rows; the statistics themselves come from few passes over the data (the
+profile, the quantile scans, one wide conditional-count pass).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.exprs import col_, is_numeric_type, safe_corr
+from tabflow.functions.quantiles import quantile_table
 from tabflow.operators.profile import ID_LIKE_UNIQUE_RATIO, _inline, column_profile, duplicate_rows, sniff_strings
 
 # Fixed values (quality rules).
@@ -50,46 +51,33 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 
 
-def iqr_bounds(df: DataFrame, cols, approx: bool = False) -> DataFrame:
-    """``(column, n, q1, q3, lower, upper)`` with linear-interpolated quartiles."""
-    structs = []
-    for c in cols:
-        x = col_(c).cast("double")
-        q = F.percentile_approx(x, [0.25, 0.75], 10000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-        structs.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.alias("q")))
-    b = _inline(df, structs).select("column", "n", F.col("q")[0].cast("double").alias("q1"),
-                                    F.col("q")[1].cast("double").alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    return b.select("column", "n", "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower"),
-                    (F.col("q3") + 1.5 * iqr).alias("upper"))
+def numeric_checks(df: DataFrame, cols, approx: bool = False, pairs=()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Q04, Q05 and, for the column ``pairs``, Q09 from shared scans.
 
-
-def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Q04 + Q05 in two wide passes shared by both checks.
-
-    Pass 1: count, quartiles, min and max per column (one row per column reaches the
-    driver and is bound as literals). Pass 2: outlier counts and, for the min and the
-    max, how often they recur and the mean/std of the remaining values.
-    Returns ``(outliers, sentinels)``."""
+    First count, quartiles, min and max per column (rank refinement, or one wide approximate pass); they are bound as
+    literals. Then one wide pass: outlier counts, for the min and the max how often they recur and the mean/std of the
+    remaining values, and the pair correlations. Returns ``(outliers, sentinels, correlations)``."""
     spark = df.sparkSession
     empty_out = spark.createDataFrame(
         [], "column string, n bigint, lower double, upper double, outlier_count bigint, outlier_pct double")
     empty_sent = spark.createDataFrame([], "column string, value double, count bigint, pct double, z_score double")
+    empty_pairs = spark.createDataFrame([], "column string, other_column string, r double")
     cols = list(cols)
     if not cols:
-        return empty_out, empty_sent
-    first = []
-    for c in cols:
-        x = col_(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.75], 10000).cast("array<double>") if approx
-             else F.lit(None).cast("array<double>"))
-        first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), q.alias("q"),
-                              F.min(x).alias("mn"), F.max(x).alias("mx")))
-    stats = _inline(df, first).collect()  # one row per column
-    if not approx:
-        from tabflow.functions.quantiles import quantile_table
-        qt = quantile_table(df, cols, [0.25, 0.75])  # columns × 2 values
-        stats = [dict(st.asDict(), q=[qt.get((st["column"], 0.25)), qt.get((st["column"], 0.75))]) for st in stats]
+        return empty_out, empty_sent, empty_pairs
+    if approx:
+        first = []
+        for c in cols:
+            x = col_(c).cast("double")
+            first.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"),
+                                  F.percentile_approx(x, [0.25, 0.75], 10000).cast("array<double>").alias("q"),
+                                  F.min(x).alias("mn"), F.max(x).alias("mx")))
+        stats = _inline(df, first).collect()  # one row per column
+    else:
+        counts = {}
+        qt = quantile_table(df, cols, [0.0, 0.25, 0.75, 1.0], counts)  # columns × 4 values
+        stats = [{"column": c, "n": counts.get(c, 0), "q": [qt.get((c, 0.25)), qt.get((c, 0.75))],
+                  "mn": qt.get((c, 0.0)), "mx": qt.get((c, 1.0))} for c in cols]
     second = []
     for st in stats:
         if st["n"] == 0:
@@ -110,8 +98,11 @@ def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame
             (F.count(F.when((x < lo) | (x > hi), 1)) if ok else F.lit(None).cast("bigint")).alias("outlier_count"),
             F.array(*sides).alias("sides")))
     if not second:
-        return empty_out, empty_sent
-    both = _inline(df, second).cache()
+        return empty_out, empty_sent, empty_pairs
+    corr = [F.struct(F.lit(a).alias("column"), F.lit(b).alias("other_column"), safe_corr(a, b).alias("r")) for a, b in pairs]
+    row = df.agg(F.array(*second).alias("checks"), *([F.array(*corr).alias("pairs")] if corr else [])).cache()
+    both = row.select(F.inline("checks"))
+    found = row.select(F.inline("pairs")).where(F.abs("r") >= LEAK_CORRELATION) if corr else empty_pairs
     outliers = both.where("ok").select("column", "n", "lower", "upper", "outlier_count",
                                         F.round(F.col("outlier_count") * 100.0 / F.col("n"), 2).alias("outlier_pct"))
     s = both.select("column", "n", F.inline("sides"))
@@ -126,7 +117,7 @@ def numeric_checks(df: DataFrame, cols, approx: bool = False) -> tuple[DataFrame
                                                F.struct(F.col("z"), F.when(F.col("side") == "min", 1).otherwise(0)))
                                       .alias("b"))
     sentinels = best.select("column", "b.value", "b.count", "b.pct", F.round("b.z", 2).alias("z_score"))
-    return outliers, sentinels
+    return outliers, sentinels, found
 
 
 def outlier_counts(df: DataFrame, cols, approx: bool = False) -> DataFrame:
@@ -182,7 +173,7 @@ def quality_issues(df: DataFrame, likely_target: str | None = None, profile: Dat
         _issue(prof.where("is_constant"), F.col("column"), "constant_column", "low"),
         _issue(prof.where("is_near_constant"), F.col("column"), "near_constant_column", "low"),
     ]
-    out, sent = numeric_checks(df, numerical, approx)
+    out, sent, corr = numeric_checks(df, numerical, approx, combinations(numerical, 2))
     out = out.where(F.col("outlier_count") > 0)
     parts.append(_issue(out, F.col("column"), "possible_outliers",
                         F.when(F.col("outlier_pct") >= OUTLIER_MEDIUM_PCT, "medium").otherwise("low"),
@@ -202,7 +193,6 @@ def quality_issues(df: DataFrame, likely_target: str | None = None, profile: Dat
     if likely_target is not None:
         leak = leak.where(F.col("column") != likely_target)
     parts.append(_issue(leak, F.col("column"), "possible_leakage", "medium"))
-    corr = correlated_pairs(df, numerical)
     parts.append(_issue(corr, F.col("column"), "possible_leakage", "medium", value=F.round(F.abs("r"), 3),
                         other=F.col("other_column")))
     result = parts[0]
