@@ -16,8 +16,9 @@ smaller id; windows are judged on the input.
 4. *Verification.* For every span the words at its own place and at its source coordinates are read again and compared by
    SHA-256; a span that differs is not removed.
 
-Edges and windows are keyed by two 64-bit hashes. Every key is aggregated on the map side; joins on hot keys are left to a
-size-checked broadcast or to adaptive skew splitting, since the other side has one row a key.
+Edges and windows are keyed by two 64-bit hashes. Every key is aggregated on the map side; the joins back have one row a key on
+the other side, so that adaptive execution can split a hot key. Only the lists of places per document are broadcast, and
+only up to a measured size; beyond it they are shuffled with the texts.
 
 Defined results: a null text has no words; decisions are taken per (id, text), so repeated rows fare alike; rows with one
 id but different texts are not smaller than each other; a null id counts as the largest long; an empty table gives no
@@ -130,7 +131,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     """``rows`` (ord, th, p, h1, h2, ...) with ``src``, the place (ord, th, p) of the first row with the same hashes, where that
     has a smaller ord; otherwise null."""
     met = rows.groupBy("h1", "h2").agg(F.min(F.struct("ord", "th", "p")).alias("src"), F.max("ord").alias("top")).where("src.ord < top")
-    met = sized_broadcast(written(met.drop("top"), "span-firsts"), F.lit(64))
+    met = written(met.drop("top"), "span-firsts").hint("merge")  # grows with the corpus: never broadcast
     src = F.when(F.col("src.ord") < F.col("ord"), F.col("src"))
     return rows.join(met, ["h1", "h2"], "left").withColumn("src", src)
 
@@ -138,7 +139,7 @@ def repeats(rows: DataFrame) -> DataFrame:
 def of_shared_nodes(edges: DataFrame) -> DataFrame:
     """The edges whose node occurs under two ids."""
     nodes = edges.groupBy("node").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("node")
-    return edges.join(sized_broadcast(written(nodes, "span-nodes"), F.lit(16)), "node", "left_semi")
+    return edges.join(written(nodes, "span-nodes").hint("merge"), "node", "left_semi")
 
 
 def with_lists(texts: DataFrame, places: DataFrame, name: str, how: str) -> DataFrame:
