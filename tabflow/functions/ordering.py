@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tabflow.functions.exprs import col_
+from tabflow.functions.quantiles import with_order_key
 from tabflow.session import ensure_checkpoint_dir
 
 
@@ -74,24 +77,123 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, partition_cols=(), d
     return out.select(*df.columns, *[(F.col(f"_run_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
 
 
-def time_chunk(time_col: str, chunk_seconds: int = 7 * 86400):
-    """Monotone chunk number of a date/timestamp: rows of one entity in different chunks are
-    ranked in different tasks. Rows without a time are the first chunk, as NULLs sort first."""
-    ts = F.col(time_col).cast("timestamp_ntz").cast("timestamp")
-    return F.coalesce(F.floor(F.unix_seconds(ts) / F.lit(chunk_seconds)).cast("bigint"), F.lit(-(1 << 62)))
+#: Rows of one entity that a task ranks; slices hold less than twice as many.
+SLICE_ROWS = 200_000
+DIGIT_BITS = 12
+BROADCAST_ROWS = 100_000
+
+
+def _order_key(dt, c):
+    """Long that grows with the column (for fractions: the double, whose bits come later), or None for types that have none."""
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        if isinstance(dt, T.TimestampType):
+            return F.unix_micros(c)
+        day = F.unix_date(c.cast("date")).cast("bigint")  # no zone comes in, so no gap either
+        return ((day * 24 + F.hour(c)) * 60 + F.minute(c)) * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("bigint")
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return c.cast("double")
+    return None
+
+
+def order_slices(df: DataFrame, entity_cols, order_cols, slice_rows: int = SLICE_ROWS, slice_col: str = "_chunk") -> DataFrame:
+    """``df`` with a slice number per row that grows along ``order_cols`` inside every entity, so that a hot entity is many
+    groups of about ``slice_rows`` rows, however its rows are spread over time.
+
+    Only entities with more rows than that are cut (found by one narrow count). Their order columns are read as digits of
+    12 bits: rows are counted per first digit, digits with too many rows are counted by the next one, down to the last bit of
+    the last numeric or time column; runs of counts make slices. The count tables hold at most 4096 rows per entity or digit
+    that is cut, and are broadcast to the rows only up to a checked size. More than ``2 slice_rows`` rows share a slice only if
+    their order columns agree, or differ only from a text column on."""
+    ent = list(entity_cols)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    hot = df.groupBy(*[col_(c) for c in ent]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
+    hot = hot.select(*[col_(c).alias(f"_e{i}") for i, c in enumerate(ent)], F.lit(True).alias("_hot")).checkpoint(eager=True)
+    n_hot = hot.count()
+    if not n_hot:
+        return df.withColumn(slice_col, F.lit(0).cast("bigint"))
+    e = [f"_e{i}" for i in range(len(ent))]
+    keyed = df
+    keys = []
+    for i, c in enumerate(order_cols):
+        dt = df.schema[c].dataType
+        k = _order_key(dt, col_(c))
+        if k is None:
+            break
+        keys.append(f"_k{i}")
+        if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+            keyed = with_order_key(keyed.withColumn("_v", k), "_v", keys[-1]).drop("_v")
+        else:
+            keyed = keyed.withColumn(keys[-1], k)
+        if isinstance(dt, T.DecimalType):  # decimals that differ may be one double
+            break
+    keyed = keyed.select("*", *[col_(c).alias(x) for c, x in zip(ent, e)])
+
+    def sized(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+
+    narrow = join_on(keyed.select(*e, *keys), sized(hot), e).drop("_hot")
+    ends = narrow.agg(*[f(k) for k in keys for f in (F.min, F.max)]).first() if keys else ()
+    digits = []
+    for k, low, high in zip(keys, ends[::2], ends[1::2]):
+        if low is None or low == high:
+            continue
+        cut = 0 if high - low < 1 << 62 else 2  # a difference must be a long: the lowest bits are a digit of their own then
+        x = F.shiftright(F.col(k), cut) - F.lit(low >> cut)
+        bits = ((high >> cut) - (low >> cut)).bit_length()
+        for shift in range(max(0, bits - DIGIT_BITS), -1, -DIGIT_BITS):
+            digits.append(F.coalesce(F.shiftright(x, shift).bitwiseAND((1 << DIGIT_BITS) - 1), F.lit(-1)).cast("int"))
+            last = shift
+        if last:
+            digits.append(F.coalesce(x.bitwiseAND((1 << last) - 1), F.lit(-1)).cast("int"))
+        if cut:
+            digits.append(F.coalesce(F.col(k).bitwiseAND((1 << cut) - 1), F.lit(-1)).cast("int"))
+    if not digits:
+        return df.withColumn(slice_col, F.lit(0).cast("bigint"))
+    names = [f"_d{i}" for i in range(len(digits))]
+    narrow = narrow.select(*e, *[d.alias(x) for d, x in zip(digits, names)])
+    leaves, over = [], None
+    for level, _ in enumerate(names):
+        rows = narrow if over is None else join_on(narrow, sized(over), e + names[:level])
+        c = rows.groupBy(*e, *names[:level + 1]).agg(F.count(F.lit(1)).alias("_n")).checkpoint(eager=True)
+        wide = F.col("_n") > slice_rows
+        if level == len(names) - 1:
+            wide = F.lit(False)
+        leaves.append(c.where(~wide))
+        over = c.where(wide).drop("_n")
+        if over.isEmpty():
+            break
+    used = names[:len(leaves)]
+    total = None
+    for level, t in enumerate(leaves):
+        t = t.select(*e, *used[:level + 1], *[F.lit(None).cast("int").alias(x) for x in used[level + 1:]], "_n", F.lit(level).alias("_level"))
+        total = t if total is None else total.union(t)
+    before = F.sum("_n").over(W.partitionBy(*e).orderBy(*used).rowsBetween(W.unboundedPreceding, -1))
+    total = total.select(*e, *used, "_level", F.floor(F.coalesce(before, F.lit(0)) / slice_rows).cast("bigint").alias("_s")).checkpoint(eager=True)
+    out = keyed.select("*", *[d.alias(x) for d, x in zip(digits, used)])
+    found = []
+    for level in range(len(leaves)):
+        part = total.where(F.col("_level") == level).select(*e, *used[:level + 1], F.col("_s").alias(f"_s{level}"))
+        out = join_on(out, sized(part), e + used[:level + 1], "left")
+        found.append(F.col(f"_s{level}"))
+    return out.select(*[col_(c) for c in df.columns], F.coalesce(*found, F.lit(0)).cast("bigint").alias(slice_col))
 
 
 def entity_positions(df: DataFrame, entity_cols, order_cols, chunk=None, pos_col: str = "pos",
-                     count_col: str | None = None) -> DataFrame:
+                     count_col: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """0-based position of every row inside its entity, in ``order_cols`` order.
 
     A window partitioned by entity alone sends a hot entity (say a third of all rows) to
-    one task. Here rows are ranked inside ``(entity, chunk)`` where ``chunk`` is monotone in
-    the order (e.g. ``time_chunk``), and the chunk's offset comes from a running sum over
+    one task. Here rows are ranked inside ``(entity, chunk)``, with the slices of ``order_slices`` or the given
+    ``chunk`` (monotone in the order), and the chunk's offset comes from a running sum over
     the small per-chunk count table. ``count_col`` optionally adds the entity's row count.
     Rows with a NULL entity are an entity of their own; NULL order values come first."""
     entity_cols = list(entity_cols)
-    d = df.withColumn("_chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
+    d = order_slices(df, entity_cols, order_cols, slice_rows) if chunk is None else df.withColumn("_chunk", chunk)
     local = d.withColumn("_lpos", F.row_number().over(
         W.partitionBy(*entity_cols, "_chunk").orderBy(*order_cols)) - 1)
     counts = d.groupBy(*entity_cols, "_chunk").agg(F.count(F.lit(1)).alias("_cnt_"))

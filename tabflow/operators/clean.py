@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import col_, is_numeric_type, parse_numeric_or_range
-from tabflow.functions.ordering import global_row_index, join_on, time_chunk
+from tabflow.functions.ordering import SLICE_ROWS, entity_positions, global_row_index, join_on, order_slices, with_halo
 from tabflow.functions.quantiles import quantile_table
 from tabflow.operators.profile import _inline, value_counts
 
@@ -42,14 +42,13 @@ def drop_duplicates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, report
 
 
-def fill_forward_backward(df: DataFrame, cols, order_cols, entity_cols=(), chunk=None) -> DataFrame:
+def fill_forward_backward(df: DataFrame, cols, order_cols, entity_cols=(), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Forward fill then back fill along ``order_cols``, per entity.
 
-    Rows are filled inside ``(entity, chunk)`` windows (``chunk`` monotone in the order,
-    e.g. ``time_chunk(ts)``), and values crossing a chunk border come from a running
-    last/first over the small per-chunk summary, so a hot entity is spread over tasks."""
+    Rows are filled inside the slices of ``order_slices``, and values crossing a slice border come from a running
+    last/first over the small per-slice summary, so a hot entity is spread over tasks."""
     entity_cols, cols = list(entity_cols), list(cols)
-    d = df.withColumn("_chunk", chunk if chunk is not None else F.lit(0).cast("bigint"))
+    d = order_slices(df, entity_cols, order_cols, slice_rows)
     part = entity_cols + ["_chunk"]
     w = W.partitionBy(*part).orderBy(*order_cols)
     before = w.rowsBetween(W.unboundedPreceding, 0)
@@ -65,16 +64,17 @@ def fill_forward_backward(df: DataFrame, cols, order_cols, entity_cols=(), chunk
     for c in cols:
         d = (d.withColumn(f"_ff_{c}", F.last(col_(c), True).over(before))
              .withColumn(f"_bf_{c}", F.first(col_(c), True).over(after)))
-    j = d.join(summ, part, "left")
+    j = join_on(d, summ, part, "left")
     out = j.select(*[F.coalesce(col_(c), F.col(f"_ff_{c}"), F.col(f"_cf_{c}"), F.col(f"_bf_{c}"), F.col(f"_cb_{c}"))
                      .alias(c) if c in cols else col_(c) for c in df.columns])
     return out
 
 
-def time_order_violations(df: DataFrame, time_col: str, input_order_col: str, entity_cols=()) -> DataFrame:
+def time_order_violations(df: DataFrame, time_col: str, input_order_col: str, entity_cols=(), slice_rows: int = SLICE_ROWS) -> DataFrame:
     """C17: rows whose time is earlier than the previous row's in input order (per entity)."""
-    w = W.partitionBy(*entity_cols).orderBy(input_order_col)
-    return (df.withColumn("_prev", F.lag(time_col).over(w))
+    pos = entity_positions(df.select(*entity_cols, input_order_col, time_col), entity_cols, [input_order_col], slice_rows=slice_rows)
+    w = W.partitionBy(*entity_cols, "_slice").orderBy("pos")
+    return (with_halo(pos, entity_cols, 1, slice_rows=slice_rows).withColumn("_prev", F.lag(time_col).over(w)).where("NOT _halo")
             .agg(F.count(F.when(F.col("_prev") > F.col(time_col), 1)).alias("violations"),
                  F.count(F.lit(1)).alias("n_rows")))
 
@@ -255,7 +255,7 @@ class TableCleanerModel:
         if ff:
             order = [st.time_col] + ([st.order_tiebreak] if st.order_tiebreak else [])
             ent = [st.entity_col] if st.entity_col else []
-            out = fill_forward_backward(out, ff, order, ent, chunk=time_chunk(st.time_col))
+            out = fill_forward_backward(out, ff, order, ent)
         fills = {c: v for c, v in st.numeric_fill.items() if v != "ffill_bfill" and c in out.columns}
         fills.update({c: v for c, v in st.categorical_fill.items() if c in out.columns})
         # A fractional median would be cut by the column's integer type: those columns become double.

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import (col_, is_numeric_type, is_time_type, kurtosis_unbiased, parse_datetime_text,
                                      parse_numeric_or_range, safe_corr, skewness_unbiased)
+from tabflow.functions.ordering import SLICE_ROWS, entity_positions, with_halo
 from tabflow.operators.profile import _inline, long_values, value_counts
 
 # Fixed values.
@@ -222,21 +223,23 @@ def eda_snapshot(df: DataFrame) -> DataFrame:
 
 
 def decomposition_strength(df: DataFrame, time_col: str, value_col: str, entity_col: str | None = None,
-                           period: int = 7) -> DataFrame:
+                           period: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Additive decomposition with a centred moving-average trend (odd period) and
     phase means; strength = max(0, 1 − var(resid)/var(part + resid)) with population variance.
 
-    Rows without a full centred window are dropped (no extrapolation). Work is partitioned
-    by entity; with no entity the input must already be one row per time step."""
+    Rows without a full centred window are dropped (no extrapolation). An entity is cut into slices that know the rows
+    before them: the window that ends at a row is the centred one of the row ``half`` before it. With no entity the input
+    must already be one row per time step."""
     half = period // 2
     part = [entity_col] if entity_col else []
-    w = W.partitionBy(*part).orderBy(time_col)
-    win = w.rowsBetween(-half, half)
-    s = (df.select(*part, time_col, F.col(value_col).cast("double").alias("y"))
-         .withColumn("idx", F.row_number().over(w) - 1)
+    pos = entity_positions(df.select(*part, time_col, F.col(value_col).cast("double").alias("y")), part, [time_col], pos_col="idx", slice_rows=slice_rows)
+    w = W.partitionBy(*part, "_slice").orderBy("idx")
+    win = w.rowsBetween(1 - period, 0)
+    s = (with_halo(pos, part, period - 1, "idx", slice_rows)
          .withColumn("trend", F.when(F.count("y").over(win) == period, F.avg("y").over(win)))
-         .where(F.col("trend").isNotNull())
-         .withColumn("phase", F.col("idx") % period)
+         .withColumn("y", F.lag("y", half).over(w))
+         .where(F.col("trend").isNotNull() & ~F.col("_halo"))
+         .withColumn("phase", (F.col("idx") - half) % period)
          .withColumn("detr", F.col("y") - F.col("trend")))
     phase_mean = s.groupBy(*part, "phase").agg(F.avg("detr").alias("pm"))
     centred = phase_mean.withColumn("seasonal", F.col("pm") - F.avg("pm").over(W.partitionBy(*part)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import col_, is_numeric_type
-from tabflow.functions.ordering import entity_positions, time_chunk, with_halo
+from tabflow.functions.ordering import entity_positions, with_halo
 from tabflow.operators.profile import _inline
 
 # Fixed values.
@@ -50,8 +50,7 @@ def date_parts(df: DataFrame, time_col: str) -> DataFrame:
 
 
 def lag_rolling_features(df: DataFrame, target: str, time_col: str, entity_col: str | None = None,
-                         lags=(1, 7), windows=(7,), tiebreak: str | None = None,
-                         chunk_seconds: int = 28 * 86400) -> DataFrame:
+                         lags=(1, 7), windows=(7,), tiebreak: str | None = None) -> DataFrame:
     """``<y>_lag_<k>`` and ``<y>_rolling_mean_<w>`` (mean of the previous w values,
     null until w previous values exist), per entity, in time order.
 
@@ -60,7 +59,7 @@ def lag_rolling_features(df: DataFrame, target: str, time_col: str, entity_col:
     are one entity, rows with a NULL time come first in theirs."""
     ent = [entity_col] if entity_col else []
     order = [time_col] + ([tiebreak] if tiebreak else [])
-    pos = entity_positions(df, ent, order, chunk=time_chunk(time_col, chunk_seconds))
+    pos = entity_positions(df, ent, order)
     back = max([0, *lags, *windows])
     cut = with_halo(pos, ent, back)
     by = W.partitionBy(*ent, "_slice").orderBy("pos")

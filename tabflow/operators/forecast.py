@@ -1,21 +1,23 @@
 """Set-based forecasters and per-entity scope.
 
 Series are ``(entity, time, y)``; positions inside each entity come from
-``entity_positions`` (chunked, so a hot entity is not one task), and every forecaster
+``entity_positions`` (sliced, so a hot entity is not one task), and every forecaster
 is a handful of aggregates per entity joined back to the test rows: last value,
 last season, AR(1) coefficients on differences, least-squares lines. Holt's linear
-smoothing is a linear recurrence; it is evaluated chunk by chunk (``holt``).
+smoothing is a linear recurrence; it is a scan of affine maps (``holt``).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabflow.functions.exprs import col_
-from tabflow.functions.ordering import entity_positions, lag_by_position, time_chunk
+from tabflow.functions.ordering import entity_positions, join_on, with_halo
 from tabflow.session import ensure_checkpoint_dir
 
 # Fixed values.
@@ -24,23 +26,26 @@ MIN_ROWS_PER_ENTITY = 10
 MIN_TRAIN_ROWS, MIN_TEST_ROWS = 5, 1
 HOLT_ALPHAS = (0.2, 0.5, 0.8)
 HOLT_BETAS = (0.1, 0.3)
+#: Steps of a slice at least, and the size below which a slice's matrix passes nothing on.
+HOLT_SLICE = 4096
+HOLT_FADED = 1e-40
 
 
-def ordered_series(df: DataFrame, entity: str, time_col: str, y: str, chunk_seconds: int = 28 * 86400) -> DataFrame:
-    """``(entity, time, y double, pos)`` with 0-based positions per entity in time order."""
+def ordered_series(df: DataFrame, entity: str, time_col: str, y: str) -> DataFrame:
+    """``(entity, time, y double, pos)`` with 0-based positions per entity in time order (ties by value)."""
     d = df.select(entity, time_col, F.col(y).cast("double").alias("y"))
-    return entity_positions(d, [entity], [time_col], chunk=time_chunk(time_col, chunk_seconds))
+    return entity_positions(d, [entity], [time_col, "y"])
 
 
 def _test_steps(test: DataFrame, entity: str, time_col: str) -> DataFrame:
     """Test rows with ``h`` = 1-based step after the end of the training series."""
-    return entity_positions(test, [entity], [time_col], chunk=time_chunk(time_col), pos_col="h0") \
+    return entity_positions(test, [entity], [time_col], pos_col="h0") \
         .withColumn("h", F.col("h0") + 1).drop("h0")
 
 
 def naive(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str = "y") -> DataFrame:
-    """The last training value for the whole horizon."""
-    last = train.groupBy(entity).agg(F.max_by(y, time_col).alias("prediction"))
+    """The last training value for the whole horizon (of equal times the largest value)."""
+    last = train.groupBy(entity).agg(F.max_by(y, F.struct(time_col, y)).alias("prediction"))
     return test.join(last, entity, "left")
 
 
@@ -58,9 +63,11 @@ def seasonal_naive(train: DataFrame, test: DataFrame, entity: str, time_col: str
 
 
 def _ar1(tr: DataFrame, entity: str, lag: int) -> DataFrame:
-    """φ = Σ d_t d_{t−1} / Σ d_{t−1}² for d_t = y_t − y_{t−lag}, plus the last d and y per entity."""
-    d = lag_by_position(tr, [entity], "y", lag, "_ylag").withColumn("d", F.col("y") - F.col("_ylag"))
-    d = lag_by_position(d.select(entity, "pos", "y", "d"), [entity], "d", 1, "d_prev")
+    """φ = Σ d_t d_{t−1} / Σ d_{t−1}² for d_t = y_t − y_{t−lag}, plus the last d and y per entity; one window over slices."""
+    w = W.partitionBy(entity, "_slice").orderBy("pos")
+    d = with_halo(tr.select(entity, "pos", "y"), [entity], lag + 1).select(
+        entity, "pos", "y", "_halo", (F.col("y") - F.lag("y", lag).over(w)).alias("d"),
+        (F.lag("y", 1).over(w) - F.lag("y", lag + 1).over(w)).alias("d_prev")).where("NOT _halo")
     return d.groupBy(entity).agg(
         F.try_divide(F.sum(F.col("d") * F.col("d_prev")), F.sum(F.col("d_prev") * F.col("d_prev"))).alias("phi"),
         F.max_by("d", "pos").alias("d_last"), F.max_by("y", "pos").alias("y_last"))
@@ -99,114 +106,92 @@ def linear_trend(train: DataFrame, test: DataFrame, entity: str, time_col: str,
         .drop("_a", "_b", "_n")
 
 
-# ----------------------------------------------------------------------------- Holt (chunked linear recurrence)
+# ----------------------------------------------------------------------------- Holt (scan of affine maps)
+
+def _holt_step(l, b, y, alpha: float, beta: float):
+    """Level and trend after ``y``."""
+    up = alpha * y + (1 - alpha) * (l + b)
+    return up, beta * (up - l) + (1 - beta) * b
 
-def _holt_matrix(a, b):
-    return np.array([[1 - a, 1 - a], [-a * b, 1 - a * b]]), np.array([a, a * b])
+
+def _holt_matrix(alpha: float, beta: float) -> np.ndarray:
+    """The linear part of a step: the state after ``y`` is this matrix times the state before, plus (α, αβ)·y."""
+    return np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
 
 
 def holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str = "y",
-         alphas=HOLT_ALPHAS, betas=HOLT_BETAS, chunk_seconds: int = 28 * 86400) -> DataFrame:
+         alphas=HOLT_ALPHAS, betas=HOLT_BETAS, slice_rows: int | None = None) -> DataFrame:
     """Additive-trend exponential smoothing with (α, β) picked per series from a grid by
     in-sample one-step squared error; forecast l_n + h·b_n.
 
-    The state update s_t = A·s_{t−1} + c·y_t is linear, so each time chunk runs the
-    recursion from a zero state in its own task (``applyInPandas`` on (entity, chunk));
-    chunk end-states are composed per entity over the small chunk table, and each row's
-    true state is A^(j+1)·carry + local. No task ever holds a whole series.
+    A step is an affine map of the state (level, trend), and so is a slice of ``slice_rows`` steps: a matrix power known
+    beforehand and the state it reaches from zero. Slices fold their values once from zero; a prefix over the slice ends
+    (doubling: slice s takes the state of slice s − 2^j through the matrix power of 2^j slices; powers that have faded to
+    nothing are left out) gives the true state before every slice; a second fold from there adds up the errors. All
+    grid points go together in JVM folds over sorted arrays; a row is shuffled and written once, as part of its slice.
 
-    Training rows without a value are left out of their series; columns may have any name."""
+    Training rows without a value are left out of their series; a series of one value forecasts it; columns may have any
+    name; NULL is an entity of its own."""
     plain = test.toDF(*[f"_t{i}" for i in range(len(test.columns))])
     ent, when = (f"_t{test.columns.index(c)}" for c in (entity, time_col))
     known = train.where(col_(y).isNotNull()).select(col_(entity).alias(ent), col_(time_col).alias(when), col_(y).alias("_y"))
-    out = _holt(known, plain, ent, when, "_y", alphas, betas, chunk_seconds)
+    out = _holt(known, plain, ent, when, "_y", [(float(a), float(b)) for a in alphas for b in betas], slice_rows)
     return out.toDF(*[test.columns[int(c[2:])] if c.startswith("_t") else c for c in out.columns])
 
 
-def _holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str, alphas, betas, chunk_seconds: int) -> DataFrame:
-    tr = ordered_series(train, entity, time_col, y, chunk_seconds)
-    init = tr.where(F.col("pos") <= 1).groupBy(entity).agg(
-        F.max_by("y", F.when(F.col("pos") == 0, 1)).alias("y0"), F.max_by("y", F.when(F.col("pos") == 1, 1))
-        .alias("y1"))
-    grid = [(float(a), float(b)) for a in alphas for b in betas]
-    # Matrix entries per grid point as plain floats: the Python workers get them with the
-    # closures and need nothing from this package.
-    mats = {(a, b): tuple(tuple(float(v) for v in row) for row in _holt_matrix(a, b)[0]) for a, b in grid}
-    base = tr.where(F.col("pos") >= 1).withColumn("chunk", time_chunk(time_col, chunk_seconds))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One (entity, chunk): the recursion from a zero state for every grid point in one call.
-        pdf = pdf.sort_values("pos")
-        yv = pdf["y"].to_numpy(dtype=np.float64)
-        parts = []
-        for a, b in grid:
-            (a00, a01), (a10, a11) = mats[(a, b)]
-            c0, c1 = a, a * b
-            s0 = s1 = 0.0
-            ls, bs = np.empty(len(yv)), np.empty(len(yv))
-            for i, v in enumerate(yv):
-                s0, s1 = a00 * s0 + a01 * s1 + c0 * v, a10 * s0 + a11 * s1 + c1 * v
-                ls[i], bs[i] = s0, s1
-            parts.append(pdf.assign(alpha=a, beta=b, ll=ls, lb=bs, j=np.arange(len(yv))))
-        return pd.concat(parts)[[entity, "pos", "y", "chunk", "alpha", "beta", "ll", "lb", "j"]]
-
-    schema = (f"{entity} string, pos long, y double, chunk long, alpha double, beta double, "
-              "ll double, lb double, j long")
+def _holt(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str, grid, slice_rows: int | None) -> DataFrame:
     ensure_checkpoint_dir(train.sparkSession)
-    # Written once: the Python passes are read by several branches below and must not re-run.
-    loc = base.select(F.col(entity).cast("string").alias(entity), "pos", "y", "chunk") \
-        .groupBy(entity, "chunk").applyInPandas(local, schema).checkpoint(eager=True)
-    summ = loc.groupBy(entity, "alpha", "beta", "chunk").agg(F.max_by(F.struct("ll", "lb"), "j").alias("e"),
-                                                            F.count(F.lit(1)).alias("n"))
-    summ = summ.join(init.select(F.col(entity).cast("string").alias(entity), "y0", "y1"), entity)
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        a, b = float(pdf["alpha"].iloc[0]), float(pdf["beta"].iloc[0])
-        A = np.array(mats[(a, b)])
-        y0, y1 = float(pdf["y0"].iloc[0]), pdf["y1"].iloc[0]
-        s = np.array([y0, (float(y1) - y0) if y1 is not None and not pd.isna(y1) else 0.0])
-        cl, cb = [], []
-        for n, el, eb in zip(pdf["n"], pdf["el"], pdf["eb"]):
-            cl.append(s[0])
-            cb.append(s[1])
-            s = np.linalg.matrix_power(A, int(n)) @ s + np.array([el, eb])
-        return pdf[[entity, "alpha", "beta", "chunk"]].assign(cl=cl, cb=cb)
-
-    carries = (summ.select(entity, "alpha", "beta", "chunk", "n", F.col("e.ll").alias("el"), F.col("e.lb").alias("eb"),
-                           "y0", "y1")
-               .groupBy(entity, "alpha", "beta")
-               .applyInPandas(carry, f"{entity} string, alpha double, beta double, chunk long, cl double, cb double"))
-
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
-        # One (entity, chunk), all grid points: state_j = A^(j+1)·carry + local_j, with A^(j+1)·carry
-        # advanced one step per row.
-        parts = []
-        for (a, b), g in pdf.groupby(["alpha", "beta"], sort=False):
-            g = g.sort_values("j")
-            (a00, a01), (a10, a11) = mats[(float(a), float(b))]
-            p0, p1 = float(g["cl"].iloc[0]), float(g["cb"].iloc[0])
-            out_l, out_b = np.empty(len(g)), np.empty(len(g))
-            for i, (ll, lb) in enumerate(zip(g["ll"].to_numpy(), g["lb"].to_numpy())):
-                p0, p1 = a00 * p0 + a01 * p1, a10 * p0 + a11 * p1
-                out_l[i], out_b[i] = p0 + ll, p1 + lb
-            parts.append(g[[entity, "alpha", "beta", "pos", "y"]].assign(l=out_l, b=out_b))
-        return pd.concat(parts) if parts else pdf[[entity, "alpha", "beta", "pos", "y"]].assign(l=[], b=[])
-
-    st = (loc.join(carries, [entity, "alpha", "beta", "chunk"])
-          .groupBy(entity, "chunk")
-          .applyInPandas(states, f"{entity} string, alpha double, beta double, pos long, y double, l double, b double")
-          .checkpoint(eager=True))
-    prev = st.select(entity, "alpha", "beta", (F.col("pos") + 1).alias("pos"), (F.col("l") + F.col("b")).alias("fc"))
-    err = st.join(prev, [entity, "alpha", "beta", "pos"]).groupBy(entity, "alpha", "beta").agg(
-        F.sum((F.col("y") - F.col("fc")) ** 2).alias("sse"))
-    best = err.groupBy(entity).agg(F.min_by(F.struct("alpha", "beta"), F.struct("sse", "alpha", "beta")).alias("p"))
-    final = (st.join(best.select(entity, F.col("p.alpha").alias("alpha"), F.col("p.beta").alias("beta")),
-                     [entity, "alpha", "beta"])
-             .groupBy(entity, "alpha", "beta").agg(F.max_by(F.struct("l", "b"), "pos").alias("s")))
-    steps = _test_steps(test.withColumn(entity, F.col(entity).cast("string")), entity, time_col)
-    return (steps.join(final, entity, "left")
-            .withColumn("prediction", F.col("s.l") + F.col("h") * F.col("s.b")).drop("s"))
+    tr = ordered_series(train, entity, time_col, y)
+    if slice_rows is None:  # as many slices as rows in one, where a series is long enough
+        longest = tr.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        slice_rows = max(HOLT_SLICE, math.isqrt(longest) + 1)
+    points = F.struct("pos", "y")
+    slices = tr.groupBy(entity, F.floor((F.col("pos") - 1) / slice_rows).alias("s")).agg(
+        F.transform(F.sort_array(F.collect_list(points)), lambda x: x["y"]).alias("ys")).checkpoint(eager=True)
+    # Slice −1 is the first value alone: the state before slice 0 is that value and the first difference.
+    first = slices.where("s = -1").select(entity, F.col("ys")[0].alias("y0"))
+    start = join_on(first, slices.where("s = 0").select(entity, F.col("ys")[0].alias("y1")), [entity], "left")
+    steps = slices.where("s >= 0")
+    k = range(len(grid))
+    zero = F.struct(*[F.lit(0.0).alias(f"{x}{g}") for g in k for x in "lb"])
+
+    def fold(acc, v):
+        return F.struct(*[e.alias(f"{x}{g}") for g, (a, b) in enumerate(grid)
+                          for x, e in zip("lb", _holt_step(acc[f"l{g}"], acc[f"b{g}"], v, a, b))])
+
+    ends = steps.select(entity, "s", F.aggregate("ys", zero, fold).alias("e")).select(entity, "s", *[F.col(f"e.{x}{g}") for g in k for x in "lb"])
+    begin = start.select(entity, F.lit(-1).cast("bigint").alias("s"),
+                         *[(F.col("y0") if x == "l" else F.coalesce(F.col("y1") - F.col("y0"), F.lit(0.0))).alias(f"{x}{g}") for g in k for x in "lb"])
+    state = ends.union(begin).checkpoint(eager=True)
+    last = state.agg(F.max("s")).first()[0]
+    power, reach = [np.linalg.matrix_power(_holt_matrix(a, b), slice_rows) for a, b in grid], 1
+    while last is not None and reach <= last + 1 and max(abs(m).max() for m in power) > HOLT_FADED:
+        before = state.select(entity, (F.col("s") + reach).alias("s"), *[F.col(f"{x}{g}").alias(f"p{x}{g}") for g in k for x in "lb"])
+        j = join_on(state, before, [entity, "s"], "left")
+        state = j.select(entity, "s", *[
+            (F.col(f"{x}{g}") + F.coalesce(F.col(f"pl{g}") * float(power[g][i, 0]) + F.col(f"pb{g}") * float(power[g][i, 1]), F.lit(0.0))).alias(f"{x}{g}")
+            for g in k for i, x in enumerate("lb")]).checkpoint(eager=True)
+        power, reach = [m @ m for m in power], reach * 2
+
+    before = state.select(entity, (F.col("s") + 1).alias("s"), F.struct(
+        *[(F.lit(0.0) if x == "q" else F.col(f"{x}{g}")).alias(f"{x}{g}") for g in k for x in "lbq"]).alias("c"))
+
+    def scored(acc, v):
+        out = []
+        for g, (a, b) in enumerate(grid):
+            l, t = acc[f"l{g}"], acc[f"b{g}"]
+            off = v - (l + t)
+            out += [e.alias(f"{x}{g}") for x, e in zip("lbq", (*_holt_step(l, t, v, a, b), acc[f"q{g}"] + off * off))]
+        return F.struct(*out)
+
+    done = join_on(steps, before, [entity, "s"]).select(entity, "s", F.aggregate("ys", F.col("c"), scored).alias("c"))
+    totals = done.groupBy(entity).agg(*[F.sum(f"c.q{g}").alias(f"q{g}") for g in k], F.max_by("c", "s").alias("c"))
+    best = F.array_min(F.array(*[F.struct(F.col(f"q{g}").alias("sse"), F.lit(a).alias("alpha"), F.lit(b).alias("beta"),
+                                          F.col(f"c.l{g}").alias("l"), F.col(f"c.b{g}").alias("b")) for g, (a, b) in enumerate(grid)]))
+    final = join_on(first, totals.select(entity, best.alias("_p")), [entity], "left")
+    final = final.select(entity, F.coalesce("_p.l", "y0").alias("_l"), F.coalesce("_p.b", F.lit(0.0)).alias("_b"))
+    out = join_on(_test_steps(test, entity, time_col), final, [entity], "left")
+    return out.withColumn("prediction", F.col("_l") + F.col("h") * F.col("_b")).drop("_l", "_b")
 
 
 # ----------------------------------------------------------------------------- per-entity scope

@@ -152,11 +152,12 @@ def mase(train: DataFrame, test: DataFrame, entity_cols, time_col: str, label: s
     """Test MAE / mean |y_t − y_{t−period}| on the training series, per entity.
 
     NULL when the training series has ≤ period points or the scale is 0. Training rows
-    are aligned by a per-entity position join (no entity-wide window)."""
-    from tabflow.functions.ordering import entity_positions, lag_by_position, time_chunk
+    look back within slices of their entity (no entity-wide window)."""
+    from tabflow.functions.ordering import entity_positions, with_halo
     ent = list(entity_cols)
-    t = entity_positions(train.select(*ent, time_col, label), ent, [time_col], chunk=time_chunk(time_col))
-    t = lag_by_position(t, ent, label, period, "_prev")
+    t = entity_positions(train.select(*ent, time_col, label), ent, [time_col])
+    w = W.partitionBy(*ent, "_slice").orderBy("pos")
+    t = with_halo(t, ent, period).withColumn("_prev", F.lag(label, period).over(w)).where("NOT _halo")
     scale = t.groupBy(*ent).agg(F.count(F.lit(1)).alias("n_train"),
                                 F.avg(F.abs(F.col(label) - F.col("_prev"))).alias("scale"))
     err = test.groupBy(*ent).agg(F.avg(F.abs(F.col(label) - F.col(pred))).alias("mae"))
@@ -180,7 +181,7 @@ def normalised_score(results: DataFrame, metric_col: str = "metric", value_col:
 
 
 def residual_sample(df: DataFrame, time_col: str, label: str = "y", pred: str = "prediction", n: int = 200) -> DataFrame:
-    """The last n rows by time with actual, predicted and residual (p − y) — a top-k."""
-    return (df.orderBy(F.col(time_col).desc()).limit(n)
+    """The last n rows by time with actual, predicted and residual (p − y) — a top-k (ties by the values)."""
+    return (df.orderBy(F.col(time_col).desc(), F.col(label).desc(), F.col(pred).desc()).limit(n)
             .select(time_col, F.col(label).alias("actual"), F.col(pred).alias("predicted"),
                     (F.col(pred) - F.col(label)).alias("residual")))

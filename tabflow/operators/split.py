@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.exprs import hash_int, hash_unit
-from tabflow.functions.ordering import entity_positions, global_row_index, time_chunk
+from tabflow.functions.ordering import entity_positions, global_row_index
 
 # Fixed values.
 SEED = 42
@@ -113,7 +113,7 @@ def split_chronological(df: DataFrame, time_col: str, tiebreak, train_frac: floa
 def split_chronological_entity(df: DataFrame, entity_col: str, time_col: str, tiebreak=(),
                                train_frac: float = 1 - TEST_SIZE) -> DataFrame:
     """The same cut inside every entity."""
-    d = entity_positions(df, [entity_col], [time_col, *tiebreak], chunk=time_chunk(time_col), count_col="_n")
+    d = entity_positions(df, [entity_col], [time_col, *tiebreak], count_col="_n")
     cut = F.floor(F.col("_n") * train_frac)
     return d.withColumn("split", F.when(F.col("pos") < cut, "train").otherwise("test")).drop("pos", "_n")
 
@@ -226,7 +226,7 @@ def holdout_last_h(df: DataFrame, entity_col: str, time_col: str, max_h: int = 2
     """X11: last h rows of every entity are test, h = max(1, min(28, shortest // 5))."""
     shortest = df.groupBy(entity_col).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0] or 0
     h = max(1, min(max_h, shortest // 5))
-    d = entity_positions(df, [entity_col], [time_col], chunk=time_chunk(time_col), count_col="_n")
+    d = entity_positions(df, [entity_col], [time_col], count_col="_n")
     return (d.withColumn("split", F.when(F.col("pos") >= F.col("_n") - h, "test").otherwise("train"))
             .drop("pos", "_n"), h)
 

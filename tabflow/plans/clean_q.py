@@ -55,9 +55,8 @@ def events_gaps(spark, sf):
     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS value
 FROM {EVENTS_GAPS}""")
 def ffill_bfill(spark, sf):
-    from tabflow.functions.ordering import time_chunk
     e = events_gaps(spark, sf)
-    out = C.fill_forward_backward(e, ["value"], ["ts", "event_id"], ["user_id"], chunk=time_chunk("ts", 3 * 86400))
+    out = C.fill_forward_backward(e, ["value"], ["ts", "event_id"], ["user_id"])
     return out.select("event_id", "user_id", "value")
 
 

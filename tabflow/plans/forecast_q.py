@@ -78,11 +78,25 @@ def fc_seasonal_ar(spark, sf):
     return R.seasonal_ar(tr, te, "entity", "ds").select("entity", "ds", F.round("prediction", 2).alias("prediction"))
 
 
-@query("fc_holt")
+GRID_SQL = "(VALUES " + ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a in R.HOLT_ALPHAS for b in R.HOLT_BETAS) + ") g(a, b)"
+
+
+@query("fc_holt", f"""WITH RECURSIVE tr AS MATERIALIZED {SQL_TRAIN},
+rec AS (SELECT f.entity, a, b, CAST(1 AS BIGINT) AS pos, f.y AS l, coalesce(s.y - f.y, 0) AS t, CAST(0 AS DOUBLE) AS sse
+    FROM tr f LEFT JOIN tr s ON s.entity = f.entity AND s.pos = 1, {GRID_SQL} WHERE f.pos = 0
+  UNION ALL SELECT r.entity, a, b, r.pos + 1, a * y + (1 - a) * (l + t), b * (a * y + (1 - a) * (l + t) - l) + (1 - b) * t,
+    sse + (y - (l + t)) * (y - (l + t)) FROM rec r JOIN tr ON tr.entity = r.entity AND tr.pos = r.pos),
+ends AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY entity, a, b ORDER BY pos DESC) = 1),
+best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY entity ORDER BY sse, a, b) = 1),
+scale AS (SELECT entity, avg(abs(y - p)) AS scale FROM
+  (SELECT entity, y, lag(y, 7) OVER (PARTITION BY entity ORDER BY pos) AS p FROM tr) GROUP BY entity)
+SELECT e.entity, round(avg(abs(e.y - (l + e.h * t))), 2) AS mae, round(avg(abs(e.y - (l + e.h * t))) / any_value(scale), 6) AS mase
+FROM (SELECT entity, ds, y, row_number() OVER (PARTITION BY entity ORDER BY ds) AS h FROM {SQL_POS} WHERE split = 'test') e
+JOIN best USING (entity) JOIN scale USING (entity) GROUP BY e.entity""")
 def fc_holt(spark, sf):
     tr, te = _split(spark, sf)
     p = R.holt(tr, te, "entity", "ds")
-    return V.mase(tr, p, ["entity"], "ds", "y", "prediction").select("entity", "mae", "mase")
+    return V.mase(tr, p, ["entity"], "ds", "y", "prediction").select("entity", F.round("mae", 2).alias("mae"), F.round("mase", 6).alias("mase"))
 
 
 @query("fc_regression")

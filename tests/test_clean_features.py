@@ -73,8 +73,7 @@ def test_chunked_ffill_matches_window(spark):
     rows = [(i, rnd.randrange(3), base + dt.timedelta(hours=rnd.randrange(2000)),
              None if rnd.random() < 0.4 else float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "id int, e int, ts timestamp_ntz, v double")
-    from tabflow.functions.ordering import time_chunk
-    got = C.fill_forward_backward(df, ["v"], ["ts", "id"], ["e"], chunk=time_chunk("ts", 86400 * 3))
+    got = C.fill_forward_backward(df, ["v"], ["ts", "id"], ["e"], slice_rows=4)
     w = W.partitionBy("e").orderBy("ts", "id")
     ref = df.select("id", F.coalesce("v", F.last("v", True).over(w.rowsBetween(W.unboundedPreceding, 0)),
                                      F.first("v", True).over(w.rowsBetween(0, W.unboundedFollowing))).alias("v"))

@@ -88,7 +88,8 @@ def _holt_ref(y, a, b):
     return l, t, sse
 
 
-def test_holt_matches_sequential_recursion(spark):
+@pytest.mark.parametrize("size", [None, 10, 7, 1])
+def test_holt_matches_sequential_recursion(spark, size):
     base = dt.date(2024, 1, 1)
     rnd = random.Random(2)
     y = [100 + 2 * i + 10 * math.sin(i) + rnd.gauss(0, 3) for i in range(120)]
@@ -96,12 +97,30 @@ def test_holt_matches_sequential_recursion(spark):
                                "entity string, ds date, y double")
     te = spark.createDataFrame([("s", base + dt.timedelta(days=120 + h), 0.0) for h in range(3)],
                                "entity string, ds date, y double")
-    got = sorted((r["h"], r["prediction"]) for r in R.holt(tr, te, "entity", "ds", chunk_seconds=10 * 86400).collect())
+    got = sorted((r["h"], r["prediction"]) for r in R.holt(tr, te, "entity", "ds", slice_rows=size).collect())
     best = min(((a, b) for a in R.HOLT_ALPHAS for b in R.HOLT_BETAS), key=lambda p: (_holt_ref(y, *p)[2], p))
     l, t, _ = _holt_ref(y, *best)
     assert [p for _, p in got] == pytest.approx([l + h * t for h in (1, 2, 3)], rel=1e-9)
 
 
+def test_holt_of_short_and_null_series_and_any_names(spark):
+    base = dt.date(2024, 1, 1)
+    data = {"one": [5.0], "two": [5.0, 7.0], None: [1.0, 2.0, 3.0, 4.0, 5.0], "gap": [3.0, None, 3.0]}
+    tr = spark.createDataFrame([(e, base + dt.timedelta(days=i), v) for e, ys in data.items() for i, v in enumerate(ys)], "`e.x` string, `d s` date, `_l` double")
+    te = spark.createDataFrame([(e, base + dt.timedelta(days=30), 0.0) for e in [*data, "unseen"]], "`e.x` string, `d s` date, `_l` double")
+    got = {r["e.x"]: r["prediction"] for r in R.holt(tr, te, "e.x", "d s", "_l", slice_rows=2).collect()}
+    assert got["one"] == 5.0 and got["unseen"] is None and got["gap"] == pytest.approx(3.0)
+    assert got["two"] == pytest.approx(9.0) and got[None] == pytest.approx(6.0)
+
+
+def test_holt_runs_no_python_on_executors(spark, monkeypatch):
+    base = dt.date(2024, 1, 1)
+    tr = spark.createDataFrame([("s", base + dt.timedelta(days=i), float(i % 5)) for i in range(40)], "entity string, ds date, y double")
+    out = R.holt(tr, tr, "entity", "ds", slice_rows=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_seasonal_naive_tiles_last_week(spark):
     base = dt.date(2024, 1, 1)
     tr = spark.createDataFrame([("s", base + dt.timedelta(days=i), float(i)) for i in range(14)],
