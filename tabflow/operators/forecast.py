@@ -46,7 +46,7 @@ def _test_steps(test: DataFrame, entity: str, time_col: str) -> DataFrame:
 def naive(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str = "y") -> DataFrame:
     """The last training value for the whole horizon (of equal times the largest value)."""
     last = train.groupBy(entity).agg(F.max_by(y, F.struct(time_col, y)).alias("prediction"))
-    return test.join(last, entity, "left")
+    return join_on(test, last, [entity], "left")
 
 
 def seasonal_naive(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str = "y",
@@ -55,11 +55,11 @@ def seasonal_naive(train: DataFrame, test: DataFrame, entity: str, time_col: str
     tr = ordered_series(train, entity, time_col, y)
     n = tr.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
     m = F.least(F.lit(season), F.col("_n"))
-    tail = (tr.join(n, entity).where(F.col("pos") >= F.col("_n") - m)
+    tail = (join_on(tr, n, [entity]).where(F.col("pos") >= F.col("_n") - m)
             .select(entity, (F.col("pos") - (F.col("_n") - m)).alias("_phase"), F.col("y").alias("prediction")))
-    steps = _test_steps(test, entity, time_col).join(n, entity, "left")
+    steps = join_on(_test_steps(test, entity, time_col), n, [entity], "left")
     steps = steps.withColumn("_phase", F.pmod(F.col("h") - 1, F.least(F.lit(season), F.col("_n"))))
-    return steps.join(tail, [entity, "_phase"], "left").drop("_phase", "_n")
+    return join_on(steps, tail, [entity, "_phase"], "left").drop("_phase", "_n")
 
 
 def _ar1(tr: DataFrame, entity: str, lag: int) -> DataFrame:
@@ -77,7 +77,7 @@ def ar_on_differences(train: DataFrame, test: DataFrame, entity: str, time_col:
     """AR(1) on first differences; ŷ_{n+h} = y_n + d_n·Σ_{k=1..h} φ^k (closed form)."""
     tr = ordered_series(train, entity, time_col, y)
     coef = _ar1(tr, entity, 1)
-    steps = _test_steps(test, entity, time_col).join(coef, entity, "left")
+    steps = join_on(_test_steps(test, entity, time_col), coef, [entity], "left")
     phi, h = F.coalesce(F.col("phi"), F.lit(0.0)), F.col("h").cast("double")
     geo = F.when(F.abs(phi - 1) < 1e-12, h).otherwise(phi * (1 - F.pow(phi, h)) / (1 - phi))
     return steps.withColumn("prediction", F.col("y_last") + F.coalesce(F.col("d_last"), F.lit(0.0)) * geo) \
@@ -90,7 +90,7 @@ def seasonal_ar(train: DataFrame, test: DataFrame, entity: str, time_col: str, y
     tr = ordered_series(train, entity, time_col, y)
     coef = _ar1(tr, entity, season)
     base = seasonal_naive(train, test, entity, time_col, y, season)
-    j = base.join(coef, entity, "left")
+    j = join_on(base, coef, [entity], "left")
     adj = F.coalesce(F.pow(F.col("phi"), F.col("h").cast("double")) * F.col("d_last"), F.lit(0.0))
     return j.withColumn("prediction", F.col("prediction") + adj).drop("phi", "d_last", "y_last")
 
@@ -100,7 +100,7 @@ def linear_trend(train: DataFrame, test: DataFrame, entity: str, time_col: str,
     tr = ordered_series(train, entity, time_col, y)
     coef = tr.groupBy(entity).agg(F.regr_slope("y", "pos").alias("_b"), F.regr_intercept("y", "pos").alias("_a"),
                                   F.count(F.lit(1)).alias("_n"))
-    steps = _test_steps(test, entity, time_col).join(coef, entity, "left")
+    steps = join_on(_test_steps(test, entity, time_col), coef, [entity], "left")
     x = F.col("_n") - 1 + F.col("h")
     return steps.withColumn("prediction", F.col("_a") + F.coalesce(F.col("_b"), F.lit(0.0)) * x) \
         .drop("_a", "_b", "_n")
@@ -209,7 +209,7 @@ def entity_eligibility(df: DataFrame, entity: str, time_col: str, train_frac: fl
     if max_entities:
         # The largest max_entities entities: a bounded top-N (no single-task window over all entities).
         top = out.orderBy(F.desc("n_rows"), F.asc(entity)).limit(max_entities).select(entity, F.lit(True).alias("_top"))
-        out = out.join(F.broadcast(top), entity, "left").withColumn(
+        out = join_on(out, F.broadcast(top), [entity], "left").withColumn(
             "skip_reason", F.when(F.col("skip_reason").isNull() & F.col("_top").isNull(), "entity_cap")
             .otherwise(F.col("skip_reason"))).drop("_top")
     return out.withColumn("eligible", F.col("skip_reason").isNull())
@@ -219,12 +219,91 @@ def per_entity_linear_fit(df: DataFrame, entity: str, x: str, y: str, split_col:
     """One least-squares line per entity on its train rows, scored on its test rows."""
     tr = df.where(F.col(split_col) == "train")
     coef = tr.groupBy(entity).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    te = df.where(F.col(split_col) == "test").join(coef, entity)
+    te = join_on(df.where(F.col(split_col) == "test"), coef, [entity], "left")  # entities without train rows keep a row
     pred = F.col("intercept") + F.col("slope") * F.col(x)
     return te.groupBy(entity, "slope", "intercept").agg(
         F.sqrt(F.avg((F.col(y) - pred) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("n_test"))
 
 
+def grouped_least_squares(df: DataFrame, group_cols, features, y: str, collinear: float = 1e-10) -> DataFrame:
+    """Least squares of ``y`` on ``features`` per group: (group.., n, intercept, beta array), one pass.
+
+    The normal equations are grouped covariances (merged on the map side, so a hot group costs one row a task); they are
+    solved in the plan, one elimination step per projection. Rows with a NULL in y or a feature are left out. A feature
+    that adds nothing to those before it (its pivot is below ``collinear`` of its variance) has the coefficient 0."""
+    p = len(features)
+    x = [col_(c).cast("double") for c in features]
+    rows = df.select(*[col_(c).alias(f"g{i}") for i, c in enumerate(group_cols)], *[c.alias(f"x{i}") for i, c in enumerate(x)],
+                     col_(y).cast("double").alias("y")).dropna(subset=[*(f"x{i}" for i in range(p)), "y"])
+    groups = [f"g{i}" for i in range(len(group_cols))]
+    t = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
+                                  *[F.covar_pop(f"x{i}", f"x{j}").alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)],
+                                  *[F.covar_pop(f"x{i}", "y").alias(f"c{i}") for i in range(p)])
+    t = t.select("*", *[F.col(f"s{i}_{i}").alias(f"v{i}") for i in range(p)])
+    for k in range(p):  # eliminate feature k from the ones after it
+        sound = F.col(f"s{k}_{k}") > F.col(f"v{k}") * collinear
+        ratio = {i: F.when(sound, F.col(f"s{k}_{i}") / F.col(f"s{k}_{k}")).otherwise(0.0) for i in range(k + 1, p)}
+        new = {f"s{i}_{j}": F.col(f"s{i}_{j}") - ratio[i] * F.col(f"s{k}_{j}") for i in range(k + 1, p) for j in range(i, p)}
+        new.update({f"c{i}": F.col(f"c{i}") - ratio[i] * F.col(f"c{k}") for i in range(k + 1, p)})
+        t = t.select(*[new[c].alias(c) if c in new else F.col(c) for c in t.columns])
+    for k in reversed(range(p)):
+        rest = F.col(f"c{k}")
+        for j in range(k + 1, p):
+            rest = rest - F.col(f"s{k}_{j}") * F.col(f"b{j}")
+        t = t.select("*", F.when(F.col(f"s{k}_{k}") > F.col(f"v{k}") * collinear, rest / F.col(f"s{k}_{k}")).otherwise(0.0).alias(f"b{k}"))
+    cut = F.col("my")
+    for i in range(p):
+        cut = cut - F.col(f"b{i}") * F.col(f"m{i}")
+    return t.select(*[F.col(g).alias(c) for g, c in zip(groups, group_cols)], "n", cut.alias("intercept"),
+                    F.array(*[F.col(f"b{i}") for i in range(p)]).cast("array<double>").alias("beta"))
+
+
+def per_entity_regression(train: DataFrame, test: DataFrame, entity: str, features, y: str = "y") -> DataFrame:
+    """Test rows with the ``prediction`` of their entity's least squares on ``features`` (NULL: no fit or a NULL feature)."""
+    coef = grouped_least_squares(train, [entity], features, y).select(col_(entity), F.col("intercept").alias("_a"), F.col("beta").alias("_b"))
+    j = join_on(test, coef, [entity], "left")
+    pred = F.col("_a")
+    for i, c in enumerate(features):
+        pred = pred + F.col("_b")[i] * col_(c).cast("double")
+    return j.withColumn("prediction", pred).drop("_a", "_b")
+
+
+#: Forecasters of ``per_entity_pipeline`` by name: (train, test, entity, time, y) -> test rows with ``prediction``.
+PER_ENTITY_MODELS = {"naive": naive, "seasonal_naive": seasonal_naive, "ar_differences": ar_on_differences, "seasonal_ar": seasonal_ar,
+                     "linear_trend": linear_trend, "holt": holt}
+
+
+def per_entity_pipeline(df: DataFrame, entity: str, time_col: str, y: str, features=(), models=tuple(PER_ENTITY_MODELS),
+                        train_frac: float = 0.8, max_entities: int | None = None, tiebreak=()) -> DataFrame:
+    """One model of each kind per eligible entity: ``(entity, model, status, skip_reason, n_train, n_test, mae, rmse)``.
+
+    Every kind is fitted for all entities at once (grouped aggregates, joined to the test rows), on the first
+    ``train_frac`` of an entity's rows in time order, and scored on the rest; ``features`` adds the kind
+    ``linear_regression``. An entity that is not eligible is listed once, as ``skipped`` with its reason and no model; one
+    whose model has no prediction for any test row is listed as ``failed`` for that model. Rows without y are left out."""
+    from tabflow.operators.split import split_chronological_entity
+    ensure_checkpoint_dir(df.sparkSession)
+    known = df.where(col_(y).isNotNull()).select(*dict.fromkeys([entity, time_col, y, *features, *tiebreak]))
+    listed = entity_eligibility(known, entity, time_col, train_frac, max_entities).checkpoint(eager=True)
+    chosen = join_on(known, listed.where("eligible").select(col_(entity)), [entity], "left_semi") if not listed.where("eligible").isEmpty() else known.limit(0)
+    split = split_chronological_entity(chosen, entity, time_col, tiebreak, train_frac).checkpoint(eager=True)
+    train, test = (split.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    found = None
+    kinds = {m: PER_ENTITY_MODELS[m](train, test, entity, time_col, y) for m in models}
+    if features:
+        kinds["linear_regression"] = per_entity_regression(train, test, entity, list(features), y)
+    for name, pred in kinds.items():
+        off = F.col("prediction") - col_(y).cast("double")
+        one = pred.groupBy(col_(entity)).agg(F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse")).withColumn("model", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    sizes = listed.select(col_(entity), "skip_reason", F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"))
+    order = [entity, "model", "status", "skip_reason", "n_train", "n_test", "mae", "rmse"]
+    done = join_on(found, sizes.where("skip_reason IS NULL"), [entity]).withColumn("status", F.when(F.col("mae").isNull(), "failed").otherwise("success"))
+    skipped = sizes.where("skip_reason IS NOT NULL").withColumns({"model": F.lit(None).cast("string"), "status": F.lit("skipped"),
+                                                                 "mae": F.lit(None).cast("double"), "rmse": F.lit(None).cast("double")})
+    return done.select(*[col_(c) for c in order]).unionByName(skipped.select(*[col_(c) for c in order]))
+
+
 def per_entity_aggregate(results: DataFrame) -> DataFrame:
     """Mean score and time per model over entities; missing scores are ignored."""
     return results.groupBy("model").agg(F.avg("value").alias("mean_score"), F.avg("train_seconds").alias("mean_seconds"),

@@ -172,6 +172,36 @@ def per_entity_eligibility(spark, sf):
         F.col("n_test").cast("bigint").alias("n_test"), "skip_reason", "eligible")
 
 
+# Every priority's first week of 1992 is an entity of its own, too small to model.
+SCOPED = f"""(SELECT CASE WHEN ds < DATE '1992-01-08' THEN 'early ' || entity ELSE entity END AS entity, ds, y,
+  CAST(isodow(ds) - 1 AS DOUBLE) AS dow, CAST(date_diff('day', DATE '1992-01-01', ds) AS DOUBLE) AS day
+  FROM (SELECT entity, CAST(ds AS DATE) AS ds, y FROM {FC_SPLIT}))"""
+
+
+@query("per_entity_pipeline", f"""WITH s AS MATERIALIZED (SELECT *, row_number() OVER e - 1 AS pos, count(*) OVER (PARTITION BY entity) AS n,
+    CAST(floor(count(*) OVER (PARTITION BY entity) * 0.8) AS BIGINT) AS cut FROM {SCOPED} WINDOW e AS (PARTITION BY entity ORDER BY ds)),
+tr AS MATERIALIZED (SELECT * FROM s WHERE n >= 10 AND pos < cut), te AS (SELECT *, pos - cut + 1 AS h FROM s WHERE n >= 10 AND pos >= cut),
+m AS (SELECT entity, covar_pop(dow, dow) AS s11, covar_pop(dow, day) AS s12, covar_pop(day, day) AS s22, covar_pop(dow, y) AS c1,
+    covar_pop(day, y) AS c2, avg(dow) AS m1, avg(day) AS m2, avg(y) AS my FROM tr GROUP BY entity),
+b AS (SELECT entity, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM m),
+p AS (SELECT te.entity, 'linear_regression' AS model, y, my + b1 * (dow - m1) + b2 * (day - m2) AS f FROM te JOIN b USING (entity)
+  UNION ALL SELECT te.entity, 'naive', te.y, l.f FROM te JOIN (SELECT entity, arg_max(y, ds) AS f FROM tr GROUP BY 1) l USING (entity)
+  UNION ALL SELECT te.entity, 'seasonal_naive', te.y, tr.y FROM te JOIN tr ON tr.entity = te.entity AND tr.pos = te.cut - least(7, te.cut) + (te.h - 1) % least(7, te.cut)
+  UNION ALL SELECT te.entity, 'linear_trend', te.y, a + k * te.pos FROM te
+    JOIN (SELECT entity, regr_intercept(y, pos) AS a, regr_slope(y, pos) AS k FROM tr GROUP BY 1) USING (entity))
+SELECT entity, model, 'success' AS status, NULL::VARCHAR AS skip_reason, any_value(cut) AS n_train, any_value(n - cut) AS n_test,
+  round(avg(abs(f - y)), 2) AS mae, round(sqrt(avg((f - y) * (f - y))), 2) AS rmse
+FROM p JOIN (SELECT DISTINCT entity, n, cut FROM s) USING (entity) GROUP BY entity, model
+UNION ALL SELECT DISTINCT entity, NULL, 'skipped', 'too_few_rows', cut, n - cut, NULL::DOUBLE, NULL::DOUBLE FROM s WHERE n < 10""")
+def per_entity_pipeline(spark, sf):
+    ds = F.col("ds").cast("date")
+    d = fc_split(spark, sf).select(
+        F.when(ds < F.lit("1992-01-08").cast("date"), F.concat(F.lit("early "), F.col("entity"))).otherwise(F.col("entity")).alias("entity"),
+        ds.alias("ds"), "y", F.weekday(ds).cast("double").alias("dow"), F.datediff(ds, F.lit("1992-01-01").cast("date")).cast("double").alias("day"))
+    out = R.per_entity_pipeline(d, "entity", "ds", "y", ["dow", "day"], ["naive", "seasonal_naive", "linear_trend"])
+    return out.withColumns({"mae": F.round("mae", 2), "rmse": F.round("rmse", 2)})
+
+
 @query("per_entity_aggregate", f"""WITH t AS {SQL_TEST},
 nv AS (SELECT entity, arg_max(y, ds) AS p FROM {SQL_TRAIN} GROUP BY 1),
 r AS (SELECT 'naive' AS model, t.entity, avg(abs(t.y - nv.p)) AS value FROM t JOIN nv USING (entity) GROUP BY 2

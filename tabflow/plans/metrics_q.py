@@ -251,9 +251,9 @@ def m_normalised_score(spark, sf):
 @query("residual_sample", f"""SELECT ds, actual, predicted, residual FROM (
   SELECT s.ds, s.y AS actual, l.naive AS predicted, l.naive - s.y AS residual FROM {FC_SPLIT} s
   JOIN (SELECT entity, arg_max(y, ds) AS naive FROM {FC_SPLIT} WHERE split = 'train' GROUP BY 1) l USING (entity)
-  WHERE s.entity = '1-URGENT' AND s.split = 'test') ORDER BY ds DESC LIMIT 200""")
+  WHERE s.split = 'test') ORDER BY ds DESC, actual DESC, predicted DESC LIMIT 200""")
 def residual_sample(spark, sf):
-    s = fc_split(spark, sf).where(F.col("entity") == "1-URGENT")
+    s = fc_split(spark, sf)
     naive = s.where(F.col("split") == "train").groupBy("entity").agg(F.max_by("y", "ds").alias("prediction"))
     test = s.where(F.col("split") == "test").join(naive, "entity")
     return V.residual_sample(test, "ds", "y", "prediction", 200)
