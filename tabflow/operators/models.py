@@ -8,9 +8,11 @@ only loops over the (small) list of candidates, never over data.
 
 from __future__ import annotations
 
+import json
 import time
 import traceback
 from dataclasses import dataclass, field
+from itertools import islice, product
 from typing import Callable
 
 from pyspark.ml import Pipeline
@@ -24,6 +26,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegres
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabflow.functions.ordering import join_on
 from tabflow.operators import metrics as V
@@ -37,6 +40,8 @@ MAX_TRIALS = 24
 N_FOLDS = 3
 DEFAULT_ACCEPTANCE = {"accuracy": 0.70, "roc_auc": 0.70, "f1": 0.65}
 MAX_CYCLES = 3
+CALIBRATION_FOLDS = 3
+MIN_CALIBRATION_ROWS = 30  # of each class, so that every fold has some
 CLASS_WEIGHT_MODELS = ("logistic_regression", "random_forest", "decision_tree", "svm")
 CYCLE_VARIANTS = {
     2: {"random_forest": {"numTrees": 300, "maxDepth": 12}, "logistic_regression": {"regParam": 0.02},
@@ -61,6 +66,7 @@ class Candidate:
     proba: bool = True
     weights: bool = False
     extra: dict = field(default_factory=dict)
+    space: dict = field(default_factory=dict)  # M17: parameter -> values to try
 
 
 REGISTRY: dict[tuple[str, str], Candidate] = {}
@@ -80,6 +86,22 @@ def _grid(*pairs):
     return build
 
 
+# Parameters to try, by task and name; "class_weight" is an axis of its own. Unbounded depth is MLlib's deepest, 30;
+# boosting takes fewer iterations than in-memory libraries do, since each one is a job.
+FOREST_SPACE = {"numTrees": [100, 300], "maxDepth": [30, 20], "minInstancesPerNode": [1, 2]}
+BOOST_SPACE = {"maxIter": [20, 50], "maxDepth": [3, 6], "stepSize": [0.05, 0.1]}
+TREE_SPACE = {"maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2]}
+KNN_SPACE = {"k": [3, 5, 7]}
+SPACES = {
+    ("classification", "logistic_regression"): {"C": [0.1, 1.0, 10.0], "class_weight": [None, "balanced"]},
+    ("classification", "random_forest"): FOREST_SPACE, ("regression", "random_forest"): FOREST_SPACE,
+    ("classification", "gradient_boosting"): BOOST_SPACE, ("regression", "gradient_boosting"): BOOST_SPACE,
+    ("classification", "decision_tree"): TREE_SPACE, ("regression", "decision_tree"): TREE_SPACE,
+    ("classification", "svm"): {"C": [0.1, 1.0, 10.0]},
+    ("classification", "k_nearest_neighbors"): KNN_SPACE, ("regression", "k_nearest_neighbors"): KNN_SPACE,
+}
+
+
 def _mlp(f, y, d, k, hidden=(100,), **kw):
     return MultilayerPerceptronClassifier(featuresCol=f, labelCol=y, layers=[d, *hidden, max(k, 2)], maxIter=500,
                                           seed=SEED)
@@ -94,17 +116,26 @@ def _gbt_clf(f, y, d, k, **kw):
 
 
 def _svc(f, y, d, k, **kw):
-    svc = LinearSVC(featuresCol="features", labelCol="label", regParam=kw.get("regParam", 1.0) / 100, maxIter=100)
+    reg = kw["regParam"] / 100 if "regParam" in kw else 0.01 / kw.get("C", 1.0)
+    svc = LinearSVC(featuresCol="features", labelCol="label", regParam=reg, maxIter=100)
     if k > 2:
         return OneVsRest(classifier=svc, featuresCol=f, labelCol=y)
     return svc.setFeaturesCol(f).setLabelCol(y)
 
 
+def _with(est, params: dict):
+    """``est`` with those of ``params`` that it has as MLlib parameters (the others went into its making)."""
+    for name, value in params.items():
+        if est.hasParam(name):
+            est = est._set(**{name: value})
+    return est
+
+
 for _c in [
     Candidate("baseline", "classification", lambda f, y, d, k, **kw: None, proba=False),
     Candidate("logistic_regression", "classification",
               lambda f, y, d, k, **kw: LogisticRegression(featuresCol=f, labelCol=y, maxIter=1000,
-                                                          regParam=kw.get("regParam", 0.01)),
+                                                          regParam=kw.get("regParam", 0.01 / kw.get("C", 1.0))),
               grid=_grid(("regParam", [0.001, 0.01, 0.1, 1.0])), scaled=True, weights=True),
     Candidate("random_forest", "classification",
               lambda f, y, d, k, **kw: RandomForestClassifier(featuresCol=f, labelCol=y, numTrees=kw.get("numTrees", 100),
@@ -115,7 +146,7 @@ for _c in [
               lambda f, y, d, k, **kw: DecisionTreeClassifier(featuresCol=f, labelCol=y,
                                                               maxDepth=kw.get("maxDepth", 5), seed=SEED),
               grid=_grid(("maxDepth", [3, 5, 8])), weights=True),
-    Candidate("svm", "classification", _svc, scaled=True, proba=False, weights=True),
+    Candidate("svm", "classification", _svc, scaled=True, weights=True),
     Candidate("naive_bayes", "classification",
               lambda f, y, d, k, **kw: NaiveBayes(featuresCol=f, labelCol=y, modelType="gaussian",
                                                   smoothing=kw.get("smoothing", 1e-9))),
@@ -140,6 +171,7 @@ for _c in [
               lambda f, y, d, k, **kw: FMRegressor(featuresCol=f, labelCol=y, seed=SEED, stepSize=0.01), scaled=True,
               proba=False),
 ]:
+    _c.space = SPACES.get((_c.task, _c.name), {})
     register(_c)
 
 
@@ -228,6 +260,75 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
         F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double")).checkpoint(eager=True)
 
 
+def _platt(margins: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve through (margin, z), with Platt's softened targets against over-confidence."""
+    n = {r["z"]: r["n"] for r in margins.groupBy("z").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    up, down = (n.get(1.0, 0) + 1) / (n.get(1.0, 0) + 2), 1 / (n.get(0.0, 0) + 2)
+    share = F.when(F.col("z") == 1, up).otherwise(down)
+    rows = margins.select("margin", F.inline(F.array(F.struct(F.lit(1.0).alias("t"), share.alias("w")), F.struct(F.lit(0.0).alias("t"), (1 - share).alias("w")))))
+    rows = VectorAssembler(inputCols=["margin"], outputCol="m").transform(rows)
+    lr = LogisticRegression(featuresCol="m", labelCol="t", weightCol="w", maxIter=100, regParam=0.0, standardization=True).fit(rows)
+    return float(lr.coefficients[0]), float(lr.intercept)
+
+
+def _calibrated_svm(cand: Candidate, tr: DataFrame, y: str, n_classes: int, params: dict, weight_col: str | None) -> Callable:
+    """Linear support vector machines with probabilities; returns ``apply(prepared test rows)``.
+
+    One machine per pair of classes. Its margins are calibrated by a logistic curve through margins of rows it has not
+    seen: ``CALIBRATION_FOLDS`` machines, each fitted without one fold, give the fold's margins. With more than two
+    classes the pairs' probabilities r_ij are coupled: p_i is proportional to 1 / (sum over j of 1 / r_ij − (k − 2)).
+    ``calibrate=False`` skips the folds (the probabilities are then plain logistic margins)."""
+    from tabflow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(tr.sparkSession)
+    cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
+    rows = tr.select(*cols).withColumn("_fold", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(CALIBRATION_FOLDS)).cast("int")).checkpoint(eager=True)
+    scaler = StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True).fit(rows)
+    rows = scaler.transform(rows)
+    sizes = {int(r[0]): r[1] for r in rows.groupBy(y).agg(F.count(F.lit(1))).collect()}  # one row per class
+    raw = lambda m, d: m.transform(d).select("z", vector_to_array("rawPrediction")[1].alias("margin"))
+    pairs = []
+    for a in range(n_classes):
+        for b in range(a + 1, n_classes):
+            two = rows.where(F.col(y).isin(float(a), float(b))).withColumn("z", (F.col(y) == b).cast("double"))
+            svc = cand.make("features_s", "z", 0, 2, **params)
+            if len(cols) > 2 and cand.weights:
+                svc = svc.setWeightCol(weight_col)
+            model, curve = svc.fit(two), (1.0, 0.0)
+            if params.get("calibrate", True):
+                if min(sizes.get(a, 0), sizes.get(b, 0)) >= MIN_CALIBRATION_ROWS:
+                    parts = [raw(svc.fit(two.where(F.col("_fold") != f)), two.where(F.col("_fold") == f)) for f in range(CALIBRATION_FOLDS)]
+                else:  # too few rows to leave any out
+                    parts = [raw(model, two)]
+                margins = parts[0]
+                for p in parts[1:]:
+                    margins = margins.unionByName(p)
+                curve = _platt(margins.checkpoint(eager=True))
+            pairs.append((a, b, model, curve))
+
+    def apply(te: DataFrame) -> DataFrame:
+        d = scaler.transform(te)
+        r = {}
+        for i, (a, b, model, (slope, cut)) in enumerate(pairs):
+            d = model.copy().setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_side{i}").transform(d)
+            up = 1 / (1 + F.exp(-(vector_to_array(f"_raw{i}")[1] * slope + cut)))
+            d = d.withColumn(f"_up{i}", F.least(F.greatest(up, F.lit(1e-7)), F.lit(1 - 1e-7))).drop(f"_raw{i}", f"_side{i}")
+            r[b, a], r[a, b] = F.col(f"_up{i}"), 1 - F.col(f"_up{i}")
+        k = n_classes
+        if k == 1:
+            p = [F.lit(1.0)]
+        elif k == 2:
+            p = [r[0, 1], r[1, 0]]
+        else:
+            p = [1 / (sum((1 / r[i, j] for j in range(k) if j != i), F.lit(0.0)) - (k - 2)) for i in range(k)]
+        d = d.withColumn("_p", F.array(*p))
+        total = F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v)
+        d = d.withColumn("probability", F.transform("_p", lambda v: v / total))
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return d.withColumn("prediction", best.cast("double"))
+
+    return apply
+
+
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
                 params: dict | None = None, weight_col: str | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
@@ -239,7 +340,10 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
     """Train on ``train``; returns ``predict(test)``, which uses this very fit every time it is called.
 
     Test rows whose class is not in ``train`` are predicted like any other (and so count as wrong)."""
-    params = params or {}
+    params = dict(params or {})
+    if params.pop("class_weight", None) == "balanced" and not weight_col:
+        weight_col = "_weight"
+        train = balanced_weights(train, label, weight_col)
     if task == "classification":
         lm = index_labels(train, label)
         labels = lm.labels
@@ -257,7 +361,9 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
 
         predict.labels = labels
         return predict
-    if cand.name == "baseline":  # M01 / M02
+    if cand.name == "svm" and task == "classification":
+        apply = _calibrated_svm(cand, tr, y, len(labels), params, weight_col)
+    elif cand.name == "baseline":  # M01 / M02
         if task == "classification":
             best = tr.groupBy(y).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(y)).first()[y]
         else:
@@ -266,7 +372,7 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
         def apply(te: DataFrame) -> DataFrame:
             return te.withColumn("prediction", F.lit(float(best)))
     else:
-        est = cand.make("features_s" if cand.scaled else "features", y, len(features), len(labels or []), **params)
+        est = _with(cand.make("features_s" if cand.scaled else "features", y, len(features), len(labels or []), **params), params)
         if weight_col and cand.weights and hasattr(est, "setWeightCol"):
             est = est.setWeightCol(weight_col)
         stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
@@ -284,7 +390,8 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
             out = pred.select(F.col(label).cast("string").alias("label"),
                               F.element_at(F.array(*[F.lit(v) for v in labels]),
                                            F.col("prediction").cast("int") + 1).alias("prediction"),
-                              *([vector_to_array("probability").alias("probability")]
+                              *([(F.col("probability") if isinstance(pred.schema["probability"].dataType, T.ArrayType)
+                                  else vector_to_array("probability")).alias("probability")]
                                 if cand.proba and "probability" in pred.columns else []))
             if "probability" in out.columns and len(labels) == 2:
                 out = out.withColumn("prob_pos", F.col("probability")[1])  # M19: second sorted class
@@ -398,6 +505,64 @@ def cv_score(train: DataFrame, features, label: str, task: str, cand: Candidate,
     return float(scores[best]), best_params
 
 
+TUNE_METRICS = {"classification": ("f1", "accuracy"), "regression": ("rmse", "mae", "r2")}
+
+
+def _tune_score(pred: DataFrame, task: str, metric: str) -> float | None:
+    """One metric of a prediction table, larger is better."""
+    if task == "classification":
+        return (V.accuracy(pred) if metric == "accuracy" else V.weighted_prf(pred)).first()[metric]
+    value = V.regression_metrics(pred).first()[metric]
+    return value if metric == "r2" or value is None else -value
+
+
+def tune_model(train: DataFrame, features, label: str, task: str, cand: Candidate, fold_col: str = "fold", metric: str | None = None,
+               max_trials: int = MAX_TRIALS, space: dict | None = None) -> dict:
+    """Try every point of ``cand.space`` (the first ``max_trials``, last axis fastest) on the given folds of train rows
+    and return the best: ``{model, status, params, score, metric, trials, error}``; score is the mean over the folds, larger
+    is better (errors negated), and equal scores go to the earlier point. A candidate without a space is skipped, and a
+    failure is a result, not an exception."""
+    from tabflow.session import ensure_checkpoint_dir
+    out = {"model": cand.name, "status": "skipped", "params": None, "score": None, "metric": None, "trials": 0, "error": None}
+    space = cand.space if space is None else space
+    if not space:
+        return dict(out, error="no tuning space")
+    metric = metric or TUNE_METRICS[task][0]
+    if metric not in TUNE_METRICS[task]:
+        raise ValueError(f"metric must be one of {TUNE_METRICS[task]}")
+    ensure_checkpoint_dir(train.sparkSession)
+    try:
+        rows = train.checkpoint(eager=True)  # read by every trial
+        folds = [r[0] for r in rows.select(fold_col).distinct().orderBy(fold_col).collect()]
+        best, trials = None, 0
+        for point in islice(product(*space.values()), max_trials):
+            params = {k: v for k, v in zip(space, point) if v is not None}
+            use = dict(params, calibrate=False) if cand.name == "svm" else params
+            scores = [_tune_score(fit_predict(cand, rows.where(F.col(fold_col) != f), rows.where(F.col(fold_col) == f), features, label, task, use),
+                                  task, metric) for f in folds]
+            trials += 1
+            score = sum(scores) / len(scores)
+            if best is None or score > best[0]:
+                best = (score, params)
+        return dict(out, status="success", params=best[1], score=round(best[0], 6), metric=metric, trials=trials)
+    except Exception as e:  # noqa: BLE001
+        traceback.clear_frames(e.__traceback__)
+        return dict(out, status="failed", metric=metric, error=f"{type(e).__name__}: {e}")
+
+
+TUNE_SCHEMA = "model string, status string, params string, score double, metric string, trials int, error string"
+
+
+def tune_models(train: DataFrame, features, label: str, task: str, names=None, fold_col: str = "fold", metric: str | None = None,
+                max_trials: int = MAX_TRIALS) -> tuple[DataFrame, dict]:
+    """M17 for many candidates: the table of ``tune_model`` results (params as JSON) and the best parameters by name, to be
+    given to ``run_candidates(params=...)``, which fits each once on all of train."""
+    found = [tune_model(train, features, label, task, c, fold_col, metric, max_trials) for c in candidates_for(task, names)]
+    rows = [tuple(json.dumps(r[k], sort_keys=True) if k == "params" and r[k] is not None else r[k] for k in
+                  ("model", "status", "params", "score", "metric", "trials", "error")) for r in found]
+    return train.sparkSession.createDataFrame(rows, TUNE_SCHEMA), {r["model"]: r["params"] for r in found if r["status"] == "success"}
+
+
 def meets_acceptance(results: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """Per (run, cycle, model): every threshold met, a missing metric counts as not met."""
     th = DEFAULT_ACCEPTANCE if thresholds is None else thresholds
