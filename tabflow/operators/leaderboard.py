@@ -24,6 +24,8 @@ FAILURE_RULES = (  # (category, status equals, any of these words in the lower-c
 REL_TOL, ABS_TOL = 1e-3, 1e-6
 TOP_IMPORTANCES = 10
 MIN_CONSENSUS_MODELS = 2
+LOW_SCORE = 60
+LISTED_COLUMNS = 10
 
 
 def primary_metric(results: DataFrame, problem_type: str, preferred=()) -> DataFrame:
@@ -99,8 +101,37 @@ def failure_category(results: DataFrame) -> DataFrame:
             .withColumn("category", expr))
 
 
-def failure_summary(results: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """Per run: models, failures, categories, dataset issue count and a suitability word."""
+def dataset_issues(issues: DataFrame, n_features: int | None = None) -> DataFrame:
+    """What speaks against the dataset itself, from its quality issues table: ``(category, n_columns, columns, value)`` for a
+    quality score under ``LOW_SCORE``, missing values, constant columns, possible leakage, no rows and (``n_features`` 0) no
+    features; the first ``LISTED_COLUMNS`` names, sorted."""
+    from tabflow.operators.quality import quality_score
+    kind = F.col("issue_type")
+
+    def named(category: str, cond, *cols):
+        names = F.array_distinct(F.flatten(F.collect_list(F.when(cond, F.array_compact(F.array(*cols or ["column"]))))))
+        return F.struct(F.lit(category).alias("category"), F.size(names).cast("bigint").alias("n_columns"),
+                        F.array_join(F.slice(F.array_sort(names), 1, LISTED_COLUMNS), ", ").alias("columns"), F.lit(None).cast("double").alias("value"))
+
+    found = issues.agg(F.array(
+        named("missing_values", kind == "missing_values"), named("constant_columns", kind == "constant_column"),
+        named("possible_leakage", kind == "possible_leakage", "column", "other_column")).alias("r"),
+        F.count(F.when(kind == "empty_dataset", 1)).alias("empty"))
+    columns = found.select(F.inline("r")).where("n_columns > 0")
+    none = [F.lit(None).cast("bigint").alias("n_columns"), F.lit(None).cast("string").alias("columns")]
+    low = quality_score(issues).where(F.col("quality_score") < LOW_SCORE).select(
+        F.lit("low_quality_score").alias("category"), *none, F.col("quality_score").alias("value"))
+    empty = found.where("empty > 0").select(F.lit("empty_dataset").alias("category"), *none, F.lit(None).cast("double").alias("value"))
+    out = columns.unionByName(low).unionByName(empty)
+    if n_features == 0:
+        out = out.unionByName(found.select(F.lit("no_features").alias("category"), *none, F.lit(None).cast("double").alias("value")))
+    return out
+
+
+def failure_summary(results: DataFrame, issues: DataFrame | None = None, n_features: int | None = None) -> DataFrame:
+    """Per run: models, failures and their categories, the dataset's issues and its suitability: ``not_suitable`` without
+    rows or features, ``suitable_with_warnings`` with any other dataset issue, else ``suitable`` (failed models say
+    nothing about the dataset)."""
     per_model = results.groupBy("run_id", "model").agg(
         F.bool_or(F.col("status") == "success").alias("ok"))
     cats = failure_category(results).groupBy("run_id").agg(
@@ -108,12 +139,47 @@ def failure_summary(results: DataFrame, issues: DataFrame | None = None) -> Data
     s = per_model.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_models"),
                                         F.count(F.when(~F.col("ok"), 1)).alias("n_failed"))
     out = s.join(cats, "run_id", "left")
-    n_issues = issues.where(F.col("severity") == "high").count() if issues is not None else 0
+    if issues is not None:
+        found = dataset_issues(issues, n_features)
+    else:
+        found = results.sparkSession.createDataFrame([("no_features",)] if n_features == 0 else [], "category string")
+    listed = found.agg(F.array_sort(F.collect_set("category")).alias("d"))  # one row of at most six words
+    out = out.withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k")
+    bad = F.arrays_overlap("d", F.array(F.lit("empty_dataset"), F.lit("no_features")))
     return out.select("run_id", "n_models", "n_failed", (F.col("n_models") - F.col("n_failed")).alias("n_success"),
                       F.coalesce("failure_categories", F.lit("")).alias("failure_categories"),
-                      F.lit(n_issues).cast("bigint").alias("high_severity_issues"),
-                      F.when(F.col("n_failed") == F.col("n_models"), "unsuitable")
-                      .when(F.col("n_failed") > 0, "partially_suitable").otherwise("suitable").alias("suitability"))
+                      F.array_join("d", ",").alias("dataset_issues"),
+                      F.when(bad, "not_suitable").when(F.size("d") > 0, "suitable_with_warnings").otherwise("suitable").alias("suitability"))
+
+
+def check_recommendation(claims: DataFrame, results: DataFrame, board: DataFrame, importances: DataFrame) -> DataFrame:
+    """Every statement of a recommendation against the computed tables: ``(run_id, kind, name, claimed, actual, verdict, kept)``.
+
+    ``claims`` is ``(run_id, kind, name, claimed)``: ``recommended_model`` (name), ``metric`` (name, claimed value), ``feature``
+    (name), ``alternative`` (a model's name) and ``flag`` (name: the reason). The recommended model is always the leaderboard's
+    winner (``confirmed`` or ``overridden``, name is the winner then); metrics must be the winner's within rel 1e-3 / abs 1e-6,
+    features among the winner's importances (``unverifiable`` if it has none), alternatives evaluated models, and a flag
+    needs a reason."""
+    winner = board.where("is_winner").select("run_id", F.col("model").alias("winner"))
+    c = claims.join(winner, "run_id", "left")
+    ok = results.where((F.col("status") == "success") & F.col("value").isNotNull())
+    actual = ok.select("run_id", F.col("model").alias("winner"), F.col("metric").alias("name"), F.col("value").alias("actual")).distinct()
+    known = results.select("run_id", F.col("model").alias("name"), F.lit(True).alias("_known")).distinct()
+    seen = importances.select(F.col("model").alias("winner"), F.col("feature").alias("name"), F.lit(True).alias("_seen")).distinct()
+    some = importances.select(F.col("model").alias("winner"), F.lit(True).alias("_some")).distinct()
+    j = (c.join(actual, ["run_id", "winner", "name"], "left").join(known, ["run_id", "name"], "left")
+         .join(seen, ["winner", "name"], "left").join(some, ["winner"], "left"))
+    kind, a, b = F.col("kind"), F.col("claimed"), F.col("actual")
+    close = F.abs(a - b) <= F.greatest(F.lit(REL_TOL) * F.greatest(F.abs(a), F.abs(b)), F.lit(ABS_TOL))
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    verdict = (F.when(kind == "recommended_model", F.when(F.col("name").eqNullSafe(F.col("winner")), "confirmed").otherwise("overridden"))
+               .when(kind == "metric", F.when(b.isNull(), "unknown_metric").when(close, "verified").otherwise("mismatch"))
+               .when(kind == "feature", F.when(yes("_seen"), "verified").when(yes("_some"), "not_important").otherwise("unverifiable"))
+               .when(kind == "alternative", F.when(yes("_known"), "verified").otherwise("unknown_model"))
+               .when(kind == "flag", F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "no_reason").otherwise("flagged")).otherwise("unknown_kind"))
+    return j.select("run_id", "kind", F.when(kind == "recommended_model", F.col("winner")).otherwise(F.col("name")).alias("name"), "claimed",
+                    F.when(kind == "metric", b).alias("actual"), verdict.alias("verdict"),
+                    (verdict.isin("confirmed", "overridden", "verified", "flagged")).alias("kept"))
 
 
 def claim_check(claims: DataFrame, results: DataFrame) -> DataFrame:

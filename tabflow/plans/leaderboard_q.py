@@ -16,11 +16,14 @@ from tabflow.operators import explain as X
 from tabflow.operators import leaderboard as L
 from tabflow.operators import metrics as V
 from tabflow.operators import models as M
+from tabflow.operators.quality import quality_issues
 from tabflow.operators.split import split_random
-from tabflow.plans.common import sql_hash_unit, union_all
+from tabflow.plans.common import orders_gaps, sql_hash_unit, union_all
 from tabflow.plans.metrics_q import _auc_sql
 from tabflow.plans.models_q import DOC_FEATURES, doc_frame
+from tabflow.plans.quality_q import ORDERS_ISSUES_SQL, sql_score
 from tabflow.plans.registry import query, table
+from tabflow.sources.runs import build_record
 
 RULES = {"rule_mixed": (0.3, 0.7, 7), "rule_hash": (0.0, 1.0, 11), "rule_constant": (0.0, 0.0, 0)}
 
@@ -184,16 +187,29 @@ def failure_category(spark, sf):
     return L.failure_category(rule_results(spark, sf))
 
 
+DATASET_SQL = f"""WITH i AS MATERIALIZED ({ORDERS_ISSUES_SQL}),
+n AS (SELECT issue_type, "column" AS c FROM i UNION SELECT issue_type, other_column FROM i WHERE issue_type = 'possible_leakage' AND other_column IS NOT NULL)
+SELECT CASE issue_type WHEN 'constant_column' THEN 'constant_columns' ELSE issue_type END AS category, count(DISTINCT c) AS n_columns,
+  array_to_string(list_sort(list(DISTINCT c))[:10], ', ') AS columns, NULL::DOUBLE AS value FROM n
+WHERE issue_type IN ('missing_values', 'constant_column', 'possible_leakage') GROUP BY issue_type
+UNION ALL SELECT 'low_quality_score', NULL, NULL, quality_score FROM ({sql_score(ORDERS_ISSUES_SQL)}) WHERE quality_score < 60"""
+
+
 @query("failure_summary", f"""WITH pm AS (SELECT run_id, model, bool_or(status = 'success') AS ok FROM {RESULTS}
   GROUP BY 1, 2),
 s AS (SELECT run_id, count(*) AS n_models, count(*) FILTER (WHERE NOT ok) AS n_failed FROM pm GROUP BY 1)
 SELECT run_id, n_models, n_failed, n_models - n_failed AS n_success,
   coalesce((SELECT string_agg(DISTINCT category, ',' ORDER BY category) FROM ({FAILCAT_SQL}) f
-    WHERE f.run_id = s.run_id), '') AS failure_categories, CAST(0 AS BIGINT) AS high_severity_issues,
-  CASE WHEN n_failed = n_models THEN 'unsuitable' WHEN n_failed > 0 THEN 'partially_suitable' ELSE 'suitable' END
-    AS suitability FROM s""")
+    WHERE f.run_id = s.run_id), '') AS failure_categories, (SELECT string_agg(category, ',' ORDER BY category) FROM ({DATASET_SQL})) AS dataset_issues,
+  'suitable_with_warnings' AS suitability FROM s""")
 def failure_summary(spark, sf):
-    return L.failure_summary(rule_results(spark, sf))
+    """The rule runs, with the quality issues of orders (with injected gaps) as the dataset's."""
+    return L.failure_summary(rule_results(spark, sf), quality_issues(orders_gaps(spark, sf)), 4)
+
+
+@query("dataset_issues", DATASET_SQL)
+def dataset_issues(spark, sf):
+    return L.dataset_issues(quality_issues(orders_gaps(spark, sf)), 4)
 
 
 CLAIMS_SQL = f"""(SELECT run_id, model, metric, CASE model WHEN 'rule_hash' THEN value * 1.01
@@ -299,13 +315,73 @@ def importance_permutation(spark, sf):
     return X.permutation_importance(model, parts.where("split = 'test'").drop("split"), DOC_FEATURES, "quality", ["doc_id"], X.accuracy_score)
 
 
-@query("run_record")
+def _board_sql(run):
+    """The winner of ``run`` with its primary value."""
+    return f"""(SELECT r.run_id, r.model AS winner, p.primary_metric, r.value AS winner_value FROM {RESULTS} r JOIN ({PRIMARY_SQL}) p
+  ON p.run_id = r.run_id AND p.primary_metric = r.metric WHERE r.run_id = '{run}' AND r.status = 'success'
+  ORDER BY CASE WHEN p.higher_is_better THEN -r.value ELSE r.value END, r.model LIMIT 1)"""
+
+
+def _record_sql(run, source, cols, config, status, error):
+    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols)
+    own = f"|| CASE WHEN count(r.error) > 0 THEN '; ' ELSE '' END || '{error}'" if error else ""
+    return f"""SELECT '{run}' AS run_id, '{status}' AS status, '{config}' AS config, any_value(d.n) AS dataset_rows,
+  any_value(d.h) AS dataset_fingerprint, CAST({len(cols)} AS INTEGER) AS dataset_columns, count(DISTINCT r.model) AS n_candidates,
+  any_value(b.winner) AS winner, any_value(b.primary_metric) AS primary_metric, any_value(b.winner_value) AS winner_value,
+  coalesce(string_agg(DISTINCT r.model || ': ' || r.error, '; ' ORDER BY r.model || ': ' || r.error), '') {own} AS errors
+FROM {RESULTS} r JOIN {_board_sql(run)} b ON b.run_id = r.run_id, (SELECT count(*) AS n,
+  CAST(sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::UBIGINT::BIGINT) AS BIGINT) AS h FROM {source}) d WHERE r.run_id = '{run}'"""
+
+
+RECORDED = {"labels": ("labels", ["doc_id", "quality", "toxic"], {"target": "quality"}, None, None, "complete"),
+            "lineitem": ("lineitem", ["l_orderkey", "l_linenumber", "l_partkey"], {"target": "l_extendedprice"}, "stopped by the user", "cancelled", "cancelled")}
+
+
+@query("run_record", union_all([_record_sql(run, src, cols, '{"target": "' + config["target"] + '"}', state, error)
+                                for run, (src, cols, config, error, _, state) in RECORDED.items()]))
 def run_record(spark, sf):
-    """One record per run: counts, winner and the candidate metrics as a nested list."""
+    """The records of a complete and of a cancelled run."""
+    res, prim = _primary(spark, sf)
+    res = res.checkpoint(eager=True)
+    board = L.leaderboard(res, prim)
+    out = None
+    for run, (src, cols, config, error, status, _) in RECORDED.items():
+        one = build_record(res.where(F.col("run_id") == run), board.where(F.col("run_id") == run), table(spark, sf, src).select(*cols), config, error, status=status)
+        out = one if out is None else out.unionByName(one)
+    return out.select("run_id", "status", "config", "dataset_rows", "dataset_fingerprint", "dataset_columns", "n_candidates", "winner",
+                      "primary_metric", "winner_value", F.array_join("errors", "; ").alias("errors"))
+
+
+SAID_SQL = f"""(SELECT 'labels' AS run_id, 'recommended_model' AS kind, 'rule_hash' AS name, NULL::DOUBLE AS claimed
+  UNION ALL SELECT 'labels', 'metric', metric, CASE metric WHEN 'accuracy' THEN value * 1.0005 ELSE value * 1.1 END FROM {RESULTS}
+    WHERE run_id = 'labels' AND model = 'rule_mixed'
+  UNION ALL SELECT 'labels', 'metric', 'f1', 0.9 UNION ALL SELECT 'labels', 'feature', 'n_words', NULL UNION ALL SELECT 'labels', 'feature', 'moon_phase', NULL
+  UNION ALL SELECT 'labels', 'alternative', 'rule_constant', NULL UNION ALL SELECT 'labels', 'alternative', 'rule_ghost', NULL
+  UNION ALL SELECT 'labels', 'flag', NULL, NULL UNION ALL SELECT 'lineitem', 'recommended_model', 'qty_rule', NULL
+  UNION ALL SELECT 'lineitem', 'feature', 'l_quantity', NULL UNION ALL SELECT 'lineitem', 'flag', 'few rows', NULL)"""
+
+
+@query("check_recommendation", f"""WITH w AS (SELECT run_id, winner FROM {_board_sql('labels')} UNION ALL SELECT run_id, winner FROM {_board_sql('lineitem')}),
+i AS MATERIALIZED (SELECT DISTINCT model, feature FROM {IMP}),
+c AS (SELECT s.*, w.winner, r.value AS v, EXISTS (SELECT 1 FROM {RESULTS} k WHERE k.run_id = s.run_id AND k.model = s.name) AS known,
+    EXISTS (SELECT 1 FROM i WHERE i.model = w.winner AND i.feature = s.name) AS seen, EXISTS (SELECT 1 FROM i WHERE i.model = w.winner) AS rated
+  FROM {SAID_SQL} s JOIN w USING (run_id) LEFT JOIN {RESULTS} r ON r.run_id = s.run_id AND r.model = w.winner AND r.metric = s.name AND s.kind = 'metric'),
+d AS (SELECT run_id, kind, CASE kind WHEN 'recommended_model' THEN winner ELSE name END AS name, claimed, v AS actual, CASE kind
+    WHEN 'recommended_model' THEN CASE WHEN name = winner THEN 'confirmed' ELSE 'overridden' END
+    WHEN 'metric' THEN CASE WHEN v IS NULL THEN 'unknown_metric' WHEN abs(claimed - v) <= greatest(1e-3 * greatest(abs(claimed), abs(v)), 1e-6) THEN 'verified' ELSE 'mismatch' END
+    WHEN 'feature' THEN CASE WHEN seen THEN 'verified' WHEN rated THEN 'not_important' ELSE 'unverifiable' END
+    WHEN 'alternative' THEN CASE WHEN known THEN 'verified' ELSE 'unknown_model' END
+    WHEN 'flag' THEN CASE WHEN trim(coalesce(name, '')) = '' THEN 'no_reason' ELSE 'flagged' END END AS verdict FROM c)
+SELECT *, verdict IN ('confirmed', 'overridden', 'verified', 'flagged') AS kept FROM d""")
+def check_recommendation(spark, sf):
     res, prim = _primary(spark, sf)
-    lb = L.leaderboard(res, prim)
-    winners = lb.where("is_winner").select("run_id", F.col("model").alias("winner"))
-    recs = res.groupBy("run_id").agg(
-        F.countDistinct("model").alias("n_candidates"),
-        F.sort_array(F.collect_list(F.struct("model", "metric", "value", "status"))).alias("candidates"))
-    return recs.join(prim, "run_id").join(winners, "run_id", "left").withColumn("status", F.lit("completed"))
+    res = res.checkpoint(eager=True)
+    mixed = res.where("run_id = 'labels' AND model = 'rule_mixed'")
+    said = mixed.select("run_id", F.lit("metric").alias("kind"), F.col("metric").alias("name"),
+                        (F.col("value") * F.when(F.col("metric") == "accuracy", F.lit(1.0005)).otherwise(F.lit(1.1))).alias("claimed"))
+    fixed = [("labels", "recommended_model", "rule_hash", None), ("labels", "metric", "f1", 0.9), ("labels", "feature", "n_words", None),
+             ("labels", "feature", "moon_phase", None), ("labels", "alternative", "rule_constant", None), ("labels", "alternative", "rule_ghost", None),
+             ("labels", "flag", None, None), ("lineitem", "recommended_model", "qty_rule", None), ("lineitem", "feature", "l_quantity", None),
+             ("lineitem", "flag", "few rows", None)]
+    said = said.unionByName(spark.createDataFrame(fixed, "run_id string, kind string, name string, claimed double"))
+    return L.check_recommendation(said, res, L.leaderboard(res, prim), importance_table(spark, sf))

@@ -91,3 +91,31 @@ def run_history(df: DataFrame, time_col: str, status_col: str | None = None, sta
     if status_col and status is not None:
         out = out.where(F.col(status_col) == status)
     return out.orderBy(F.col(time_col).desc(), *[col_(c).desc() for c in tiebreak]).limit(limit)
+
+
+def build_record(results: DataFrame, board: DataFrame, data: DataFrame | None = None, config: dict | None = None, error: str | None = None,
+                 needs_clarification: bool = False, status: str | None = None, started: float | None = None) -> DataFrame:
+    """One record per run of ``results``: configuration (JSON), the dataset's size and fingerprint, candidates and
+    winner, all errors, runtime and library versions. Status: the given one, else ``error`` with an error of the run itself,
+    ``needs_clarification``, or ``complete``; failed candidates are errors listed, not the run's status."""
+    import json
+    import platform
+    import time
+
+    import pyspark
+    failed = F.concat(F.col("model"), F.lit(": "), F.col("error"))
+    recs = results.groupBy("run_id").agg(
+        F.countDistinct("model").alias("n_candidates"),
+        F.sort_array(F.collect_set(F.struct("model", "metric", "value", "status"))).alias("candidates"),
+        F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), failed))).alias("errors"))
+    if error is not None:
+        recs = recs.withColumn("errors", F.concat("errors", F.array(F.lit(error))))
+    best = board.where("is_winner").select("run_id", F.col("model").alias("winner"), "primary_metric", F.col("value").alias("winner_value"))
+    recs = recs.join(best, "run_id", "left")
+    size = (None, None, None) if data is None else (*table_fingerprint(data).first(), len(data.columns))
+    state = status or ("error" if error is not None else "needs_clarification" if needs_clarification else "complete")
+    return recs.withColumns({
+        "status": F.lit(state), "config": F.lit(json.dumps(config or {}, sort_keys=True)),
+        "dataset_rows": F.lit(size[0]).cast("bigint"), "dataset_fingerprint": F.lit(size[1]).cast("bigint"), "dataset_columns": F.lit(size[2]).cast("int"),
+        "runtime_seconds": F.lit(None if started is None else round(time.time() - started, 3)).cast("double"),
+        "library_versions": F.lit(json.dumps({"python": platform.python_version(), "pyspark": pyspark.__version__}, sort_keys=True))})
