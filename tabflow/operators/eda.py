@@ -23,6 +23,7 @@ from tabflow.operators.profile import _inline, long_values, value_counts
 # Fixed values.
 HISTOGRAM_BINS = 12
 TOP_CATEGORIES = 10
+KINDS = ("numerical", "categorical", "datetime", "boolean", "text")
 NUMERIC_TEXT_MIN_PARSE_RATIO = 0.8
 
 
@@ -222,6 +223,62 @@ def eda_snapshot(df: DataFrame) -> DataFrame:
                     .otherwise(0.0).alias("cardinality_pct")))
 
 
+def full_snapshot(df: DataFrame, bins: int = HISTOGRAM_BINS, top: int = TOP_CATEGORIES) -> DataFrame:
+    """The whole snapshot in one call, as rows ``(section, column, item, value, text)``.
+
+    Sections: ``table`` (rows, columns, duplicate rows, missing cells and a ``type:<kind>`` count per kind), ``column`` (kind as
+    text, missing, distinct and their percentages), ``stats`` (by kind: moments, quartiles, skewness, kurtosis and zeros of
+    numbers; span and distinct days of dates; counts and shares of booleans; vocabulary and length of texts; ``top:<rank>``
+    values of categories), ``histogram`` (``<bin>`` of numbers: count, edges as text) and ``correlation`` (pairs of numbers).
+    Numeric text counts as numbers, as in ``column_kinds(snapshot=True)``."""
+    from tabflow.operators.profile import column_kinds, duplicate_rows
+    kinds = column_kinds(df, snapshot=True)
+    by = {}
+    for r in kinds.select("column", "kind").collect():  # one row per column
+        by.setdefault(r["kind"], []).append(r["column"])
+    numeric = by.get("numerical", [])
+    numbers = df.select(*[(col_(c) if is_numeric_type(df.schema[c].dataType) else parse_numeric_or_range(c)).cast("double").alias(c) for c in numeric])
+    none, parts = F.lit(None).cast("string"), []
+
+    def wide(section, t, items, texts=()):
+        """Rows of the value columns ``items`` of a table with a ``column`` column."""
+        cells = [F.struct(F.lit(i).alias("item"), F.col(i).cast("double").alias("value"), none.alias("text")) for i in items]
+        cells += [F.struct(F.lit(i).alias("item"), F.lit(None).cast("double").alias("value"), F.col(i).cast("string").alias("text")) for i in texts]
+        parts.append(t.select(F.lit(section).alias("section"), "column", F.inline(F.array(*cells))))
+
+    whole = lambda t: t.withColumn("column", none)
+    wide("table", whole(duplicate_rows(df)), ["row_count", "duplicate_row_count", "duplicate_row_pct"])
+    wide("table", whole(missing_cells(df)), ["column_count", "missing_cells", "missing_cell_pct"])
+    counts = whole(df.sparkSession.createDataFrame([tuple(len(by.get(k, [])) for k in KINDS)], ", ".join(f"`type:{k}` int" for k in KINDS)))
+    wide("table", counts, [f"type:{k}" for k in KINDS])
+    wide("column", eda_snapshot(df), ["missing_count", "missing_pct", "distinct_count", "cardinality_pct"], ["kind"])
+    if numeric:
+        one = _inline(numbers, [F.struct(F.lit(c).alias("column"), F.min(col_(c)).alias("min"), F.max(col_(c)).alias("max"), F.avg(col_(c)).alias("mean"),
+                                         F.stddev_samp(col_(c)).alias("std")) for c in numeric])
+        wide("stats", one, ["min", "max", "mean", "std"])
+        wide("stats", distribution_stats(numbers, numeric), ["skew", "kurtosis", "zeros_pct", "q1", "median", "q3"])
+        h = histogram_right_closed(numbers, numeric, bins)
+        parts.append(h.select(F.lit("histogram").alias("section"), "column", F.col("bin").cast("string").alias("item"), F.col("count").cast("double").alias("value"),
+                              F.concat(F.lit("("), F.col("lo").cast("string"), F.lit(", "), F.col("hi").cast("string"), F.lit("]")).alias("text")))
+    if len(numeric) > 1:
+        m = correlation_matrix(numbers, numeric)
+        parts.append(m.select(F.lit("correlation").alias("section"), F.col("column"), F.col("other_column").alias("item"), F.col("r").alias("value"), none.alias("text")))
+    if by.get("datetime"):
+        wide("stats", datetime_days(df, by["datetime"]), ["distinct_days"], ["min", "max"])
+    if by.get("boolean"):
+        wide("stats", boolean_stats(df, by["boolean"]), ["true_count", "false_count", "true_pct", "false_pct"])
+    if by.get("text"):
+        wide("stats", whitespace_vocab(df, by["text"]), ["vocab_size", "avg_length"])
+    if by.get("categorical"):
+        t = top_categories(df, by["categorical"], top)
+        parts.append(t.select(F.lit("stats").alias("section"), "column", F.concat(F.lit("top:"), F.col("rank").cast("string")).alias("item"),
+                              F.col("count").cast("double").alias("value"), F.col("value").alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def decomposition_strength(df: DataFrame, time_col: str, value_col: str, entity_col: str | None = None,
                            period: int = 7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Additive decomposition with a centred moving-average trend (odd period) and

@@ -304,6 +304,65 @@ def per_entity_pipeline(df: DataFrame, entity: str, time_col: str, y: str, featu
     return done.select(*[col_(c) for c in order]).unionByName(skipped.select(*[col_(c) for c in order]))
 
 
+# ----------------------------------------------------------------------------- runner, regressions over lags
+
+def run_forecasters(train: DataFrame, test: DataFrame, entity: str, time_col: str, y: str = "y", models=tuple(PER_ENTITY_MODELS), run_id: str = "run",
+                    period: int = SEASON) -> DataFrame:
+    """Score every forecaster on the test rows: results rows (``models.RESULT_SCHEMA``) with mae, rmse, smape and mase; one
+    that fails is a result row and never aborts the run."""
+    import time
+
+    from tabflow.operators.metrics import forecasting_metrics
+    from tabflow.operators.models import RESULT_SCHEMA
+    ensure_checkpoint_dir(train.sparkSession)
+    train, test = train.checkpoint(eager=True), test.checkpoint(eager=True)  # read by every forecaster
+    rows = []
+    for name in models:
+        t0 = time.time()
+        try:
+            pred = PER_ENTITY_MODELS[name](train, test, entity, time_col, y).checkpoint(eager=True)
+            got = forecasting_metrics(train, pred, [entity], time_col, y, "prediction", period).first()
+            rows += [(run_id, 1, name, "success", m, v, None, round(time.time() - t0, 3)) for m, v in got.asDict().items()]
+        except Exception as e:  # noqa: BLE001
+            rows.append((run_id, 1, name, "failed", None, None, f"{type(e).__name__}: {e}", round(time.time() - t0, 3)))
+    return train.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+
+
+def regression_forecast(split: DataFrame, entity: str, time_col: str, y: str = "y", candidate: str = "linear_regression", lags=(1, 7), windows=(7,),
+                        params: dict | None = None) -> DataFrame:
+    """Forecast as regression on lags, rolling means and calendar parts: test rows ``(label, prediction)``.
+
+    ``split`` has a ``split`` column; a row's features look back over the true values before it (one step ahead). Rows
+    without a full history are left out."""
+    from tabflow.operators.features import date_parts, lag_rolling_features
+    from tabflow.operators.models import REGISTRY, fit_predict
+    ensure_checkpoint_dir(split.sparkSession)
+    f = date_parts(lag_rolling_features(split, y, time_col, entity, lags, windows), time_col)
+    feats = [*(f"{y}_lag_{k}" for k in lags), *(f"{y}_rolling_mean_{w}" for w in windows), *(f"{time_col}_{p}" for p in ("dayofweek", "month", "day"))]
+    f = f.dropna(subset=[y, *feats]).checkpoint(eager=True)  # the fit passes read the feature table, not its lineage
+    return fit_predict(REGISTRY[("regression", candidate)], f.where("split = 'train'"), f.where("split = 'test'"), feats, y, "regression", params)
+
+
+def global_forecast(df: DataFrame, entity: str, time_col: str, y: str = "y", candidate: str = "gradient_boosting", lags=(1, 7), windows=(7,),
+                    max_h: int = 28, params: dict | None = None) -> tuple[DataFrame, int]:
+    """One regressor over all entities, on their lags and an entity index; the last h points of every entity are the test
+    (X11): ``(test rows (label, prediction), h)``. Rows without a target, time or entity are left out."""
+    from pyspark.ml.feature import StringIndexer
+
+    from tabflow.operators.features import lag_rolling_features
+    from tabflow.operators.models import REGISTRY, fit_predict
+    from tabflow.operators.split import holdout_last_h
+    ensure_checkpoint_dir(df.sparkSession)
+    d = df.select(col_(entity), col_(time_col), col_(y).cast("double").alias(y)).dropna()
+    split, h = holdout_last_h(d, entity, time_col, max_h)
+    feats = [*(f"{y}_lag_{k}" for k in lags), *(f"{y}_rolling_mean_{w}" for w in windows)]
+    f = lag_rolling_features(split, y, time_col, entity, lags, windows).dropna(subset=feats).checkpoint(eager=True)
+    f = f.withColumn("_entity", col_(entity).cast("string"))
+    f = StringIndexer(inputCol="_entity", outputCol="entity_idx", stringOrderType="alphabetAsc").fit(f).transform(f)
+    pred = fit_predict(REGISTRY[("regression", candidate)], f.where("split = 'train'"), f.where("split = 'test'"), [*feats, "entity_idx"], y, "regression", params)
+    return pred, h
+
+
 def per_entity_aggregate(results: DataFrame) -> DataFrame:
     """Mean score and time per model over entities; missing scores are ignored."""
     return results.groupBy("model").agg(F.avg("value").alias("mean_score"), F.avg("train_seconds").alias("mean_seconds"),

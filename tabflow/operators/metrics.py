@@ -166,6 +166,15 @@ def mase(train: DataFrame, test: DataFrame, entity_cols, time_col: str, label: s
                                                  F.col("mae") / F.col("scale")).alias("mase"))
 
 
+def forecasting_metrics(train: DataFrame, pred: DataFrame, entity_cols, time_col: str, label: str = "y", prediction: str = "prediction",
+                        period: int = 7) -> DataFrame:
+    """``(mae, rmse, smape, mase)`` of a forecast over all series; mase is the mean over the series that have one."""
+    errors = regression_metrics(pred.select(F.col(label).alias("label"), F.col(prediction).alias("prediction")))
+    scaled = mase(train, pred, entity_cols, time_col, label, prediction, period).agg(F.avg("mase").alias("mase"))
+    return (errors.withColumn("_k", F.lit(1)).join(scaled.withColumn("_k", F.lit(1)), "_k")  # one row each
+            .select("mae", "rmse", "smape", "mase"))
+
+
 def to_long(wide: DataFrame, metrics) -> DataFrame:
     """Wide metric row(s) → ``(metric, value)`` rows."""
     return wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))

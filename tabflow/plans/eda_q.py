@@ -189,6 +189,54 @@ def eda_snapshot(spark, sf):
     return E.eda_snapshot(table(spark, sf, "customer"))
 
 
+def _snapshot_sql(t, numeric, categorical):
+    """Rows of the full snapshot of a table of numbers and categories."""
+    every = numeric + categorical
+    cell = lambda section, col, item, value, text="NULL": (f"SELECT '{section}' AS section, {col} AS \"column\", {item} AS item, "
+                                                           f"CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text")
+    dup = f"(SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {t} GROUP BY {', '.join(every)}))"
+    missing = " + ".join(f"count(*) - count({c})" for c in every)
+    parts = [cell("table", "NULL", "'row_count'", "count(*)") + f" FROM {t}", cell("table", "NULL", "'duplicate_row_count'", dup),
+             cell("table", "NULL", "'duplicate_row_pct'", f"round({dup} * 100.0 / count(*), 2)") + f" FROM {t}",
+             cell("table", "NULL", "'column_count'", str(len(every))), cell("table", "NULL", "'missing_cells'", missing) + f" FROM {t}",
+             cell("table", "NULL", "'missing_cell_pct'", f"round(({missing}) * 100.0 / (count(*) * {len(every)}), 2)") + f" FROM {t}"]
+    for kind in E.KINDS:
+        parts.append(cell("table", "NULL", f"'type:{kind}'", str(len({"numerical": numeric, "categorical": categorical}.get(kind, [])))))
+    for c in every:
+        kind = "numerical" if c in numeric else "categorical"
+        parts.append(cell("column", f"'{c}'", "'kind'", "NULL", f"'{kind}'"))
+        for item, value in (("missing_count", f"count(*) - count({c})"), ("missing_pct", f"round((count(*) - count({c})) * 100.0 / count(*), 2)"),
+                            ("distinct_count", f"count(DISTINCT {c})"), ("cardinality_pct", f"round(count(DISTINCT {c}) * 100.0 / count(*), 2)")):
+            parts.append(cell("column", f"'{c}'", f"'{item}'", value) + f" FROM {t}")
+    for c in numeric:
+        x = f"CAST({c} AS DOUBLE)"
+        for item, value in (("min", f"min({x})"), ("max", f"max({x})"), ("mean", f"round(avg({x}), 6)"), ("std", f"round(stddev_samp({x}), 6)"),
+                            ("skew", f"round(skewness({x}), 3)"), ("kurtosis", f"round(kurtosis({x}), 3)"),
+                            ("zeros_pct", f"round(avg(CAST({x} = 0 AS INTEGER)) * 100, 2)"), ("q1", f"quantile_cont({x}, 0.25)"),
+                            ("median", f"quantile_cont({x}, 0.5)"), ("q3", f"quantile_cont({x}, 0.75)")):
+            parts.append(cell("stats", f"'{c}'", f"'{item}'", value) + f" FROM {t}")
+        parts.append(f"""SELECT 'histogram', '{c}', CAST(b AS VARCHAR), CAST((SELECT count(*) FROM {t}, (SELECT min({x}) AS mn, max({x}) AS mx FROM {t})
+  WHERE {c} IS NOT NULL AND least(greatest(ceil(({x} - mn) / ((mx - mn) / 12)), 1), 12) = b) AS DOUBLE), NULL FROM (SELECT unnest(range(1, 13)) AS b)""")
+        for d in numeric:
+            y = f"CAST({d} AS DOUBLE)"
+            parts.append(cell("correlation", f"'{c}'", f"'{d}'", f"round(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 3)") + f" FROM {t}")
+    for c in categorical:
+        parts.append(f"""SELECT 'stats', '{c}', 'top:' || row_number() OVER (ORDER BY n DESC, v), CAST(n AS DOUBLE), v
+  FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 10)""")
+    return union_all(parts)
+
+
+PART_NUM, PART_CAT = ["p_partkey", "p_size", "p_retailprice"], ["p_brand", "p_type"]
+
+
+@query("eda_full_snapshot", _snapshot_sql("part", PART_NUM, PART_CAT))
+def eda_full_snapshot(spark, sf):
+    """The whole snapshot of the parts (bin edges are left out: engines print doubles differently)."""
+    out = E.full_snapshot(table(spark, sf, "part").select(*PART_NUM, *PART_CAT))
+    rounded = F.when(F.col("item").isin("mean", "std"), F.round("value", 6)).otherwise(F.col("value"))
+    return out.withColumns({"value": rounded, "text": F.when(F.col("section") != "histogram", F.col("text"))})
+
+
 DECOMP_SQL = f"""WITH d AS (SELECT ds, sales AS y, row_number() OVER (ORDER BY ds) - 1 AS idx FROM {DAILY_ORDERS}),
 t AS (SELECT *, CASE WHEN count(y) OVER w = 7 THEN avg(y) OVER w END AS trend FROM d
       WINDOW w AS (ORDER BY ds ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),

@@ -9,11 +9,8 @@ from pyspark.sql import functions as F
 
 from tabflow.operators import forecast as R
 from tabflow.operators import metrics as V
-from tabflow.operators.features import lag_rolling_features
-from tabflow.operators.split import holdout_last_h
 from tabflow.plans.metrics_q import FC_SPLIT, fc_split
 from tabflow.plans.registry import query, table
-from tabflow.session import ensure_checkpoint_dir
 
 
 def _split(spark, sf):
@@ -102,35 +99,37 @@ def fc_holt(spark, sf):
 @query("fc_regression")
 def fc_regression(spark, sf):
     """lag/rolling/calendar features → linear regression on train days, scored on test days."""
-    from tabflow.operators.features import date_parts
-    from tabflow.operators.models import REGISTRY, fit_predict
-    s = fc_split(spark, sf)
-    f = date_parts(lag_rolling_features(s, "y", "ds", "entity"), "ds").dropna()
-    feats = ["y_lag_1", "y_lag_7", "y_rolling_mean_7", "ds_dayofweek", "ds_month", "ds_day"]
-    pred = fit_predict(REGISTRY[("regression", "linear_regression")], f.where("split = 'train'"),
-                       f.where("split = 'test'"), feats, "y", "regression")
-    return V.regression_metrics(pred)
+    return V.regression_metrics(R.regression_forecast(fc_split(spark, sf), "entity", "ds"))
 
 
 @query("fc_global")
 def fc_global(spark, sf):
     """One regressor over all entities (per-entity lags plus an entity index), horizon from X11."""
-    from pyspark.ml.feature import StringIndexer
-    from tabflow.operators.models import REGISTRY, fit_predict
-    d = R.ordered_series(table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("entity"),
-                                                            F.to_date("o_orderdate").alias("ds"))
-                         .agg(F.sum("o_totalprice").alias("y")), "entity", "ds", "y").drop("pos")
-    split, h = holdout_last_h(d, "entity", "ds")
-    f = lag_rolling_features(split, "y", "ds", "entity", lags=(1, 7), windows=(7,)).dropna()
-    ensure_checkpoint_dir(spark)
-    f = f.checkpoint(eager=True)  # the fit passes read the feature table, not its lineage
-    f = StringIndexer(inputCol="entity", outputCol="entity_idx").fit(f).transform(f)
-    feats = ["y_lag_1", "y_lag_7", "y_rolling_mean_7", "entity_idx"]
-    pred = fit_predict(REGISTRY[("regression", "gradient_boosting")], f.where("split = 'train'"),
-                       f.where("split = 'test'"), feats, "y", "regression")
+    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("entity"), F.to_date("o_orderdate").alias("ds")).agg(F.sum("o_totalprice").alias("y"))
+    pred, h = R.global_forecast(d, "entity", "ds")
     return V.regression_metrics(pred).withColumn("horizon", F.lit(h))
 
 
+def _metrics_sql(name, source):
+    return f"""SELECT '{name}' AS model, avg(abs(f - y)) AS mae, sqrt(avg((f - y) * (f - y))) AS rmse,
+  avg(CASE WHEN abs(f) + abs(y) = 0 THEN 0 ELSE 2 * abs(f - y) / (abs(f) + abs(y)) END) * 100 AS smape,
+  (SELECT avg(m / scale) FROM (SELECT entity, avg(abs(f - y)) AS m FROM {source} GROUP BY entity) JOIN sc USING (entity)) AS mase FROM {source}"""
+
+
+@query("run_forecasters", f"""WITH tr AS MATERIALIZED {SQL_TRAIN}, te AS MATERIALIZED (SELECT entity, ds, y, pos, row_number() OVER (PARTITION BY entity ORDER BY ds) AS h
+    FROM {SQL_POS} WHERE split = 'test'),
+sc AS (SELECT entity, avg(abs(y - p)) AS scale FROM (SELECT entity, y, lag(y, 7) OVER (PARTITION BY entity ORDER BY pos) AS p FROM tr) GROUP BY entity),
+p1 AS (SELECT te.*, f FROM te JOIN (SELECT entity, arg_max(y, ds) AS f FROM tr GROUP BY 1) USING (entity)),
+p2 AS (SELECT te.*, s.prediction AS f FROM te JOIN {SEAS_SQL} s USING (entity, ds)),
+p3 AS (SELECT te.*, a + k * pos AS f FROM te JOIN (SELECT entity, regr_intercept(y, pos) AS a, regr_slope(y, pos) AS k FROM tr GROUP BY 1) USING (entity)),
+r AS ({_metrics_sql('naive', 'p1')} UNION ALL {_metrics_sql('seasonal_naive', 'p2')} UNION ALL {_metrics_sql('linear_trend', 'p3')})
+SELECT model, 'success' AS status, metric, round(value, 4) AS value FROM r UNPIVOT (value FOR metric IN (mae, rmse, smape, mase))""")
+def run_forecasters(spark, sf):
+    tr, te = _split(spark, sf)
+    out = R.run_forecasters(tr, te, "entity", "ds", models=["naive", "seasonal_naive", "linear_trend"])
+    return out.select("model", "status", "metric", F.round("value", 4).alias("value"))
+
+
 BRAND = """(SELECT p.p_brand AS entity, l.l_quantity AS x, l.l_extendedprice AS y,
   CASE WHEN row_number() OVER (PARTITION BY p.p_brand ORDER BY l.l_shipdate, l.l_orderkey, l.l_linenumber) - 1
     < floor(count(*) OVER (PARTITION BY p.p_brand) * 0.8) THEN 'train' ELSE 'test' END AS split
