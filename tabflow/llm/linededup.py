@@ -3,7 +3,8 @@
 A line is dropped if an earlier line (by document id, then line number) of any document equals it or is within one
 edit (a character replaced, inserted or left out). Lines shorter than ``MIN_CHARS`` code points are always kept.
 
-Equal lines are merged first; each distinct line has the place of its first occurrence. For the distinct lines:
+Equal lines are merged first; each distinct line has the place of its first occurrence. Only a line's hash, its place and
+its block hashes are shuffled; the few texts that are needed later are read again where they lie. For the distinct lines:
 
 1. *Blocks left out.* Two lines within one edit agree outside one of ``s`` blocks of equal length. Every line gives
    the hashes of itself with each one block left out; a line that shares none of them with another distinct line has
@@ -53,9 +54,9 @@ def block_hashes(line: str, s: int) -> str:
     return f"flatten(transform(array(char_length({line}), char_length({line}) - 1), m -> {one}))"
 
 
-def with_partner(lines: DataFrame, s: int) -> DataFrame:
-    """The (lid) of the lines that share a block-left-out hash with another line."""
-    keys = lines.select("lid", F.explode(F.expr(block_hashes("line", s))).alias("h"))
+def with_partner(lines: DataFrame) -> DataFrame:
+    """The (lid) of the lines (lid, blocks) that share a block-left-out hash with another line."""
+    keys = lines.select("lid", F.explode("blocks").alias("h"))
     met = written(keys.groupBy("h").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi"), "line-blocks")
     # The ends of a group are known; only groups of three and more need their middle members.
     ends = met.select(F.explode(F.array("lo", "hi")).alias("lid"))
@@ -91,12 +92,14 @@ def variants(lines: DataFrame) -> DataFrame:
     return lines.select("r", "line").mapInArrow(run, "h long, pos int, r long")
 
 
-def near_lines(firsts: DataFrame) -> DataFrame:
-    """The (key) of the distinct lines (key, place, line) that have an earlier line within one edit."""
-    some = firsts.select("key", "place", F.xxhash64("line").alias("lid"), "line")
-    for blocks in (COARSE, FINE):
-        partners = checked_broadcast(with_partner(some.select("lid", "line"), blocks))
-        some = written(some.join(partners, "lid", "left_semi"), "lines-left")
+def near_lines(firsts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The (key) of the distinct lines (key, place, blocks) that have an earlier line within one edit; ``lines`` (place, line)
+    has the texts."""
+    some = firsts.select("key", "place", F.xxhash64("key").alias("lid"), "blocks")
+    some = written(some.join(checked_broadcast(with_partner(some)), "lid", "left_semi").drop("blocks"), "lines-left")
+    some = written(lines.join(checked_broadcast(some), "place"), "lines-texts")
+    fine = some.select("lid", F.expr(block_hashes("line", FINE)).alias("blocks"))
+    some = written(some.join(checked_broadcast(with_partner(fine)), "lid", "left_semi"), "lines-left")
     # r: the rank of a line's place among those left, so that the earliest of a group is a plain minimum of a long.
     some = written(global_row_index(some.select("key", "place", "line"), ["place", "key"], "r"), "lines-ranked")
 
@@ -119,10 +122,11 @@ def dropped_lines(rows: DataFrame, row: str, text_col: str, min_chars: int, max_
     # A place is one decimal that sorts by row number, then line, so the aggregate below merges hot lines on the map side.
     place = (F.col("did").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("no")).cast("decimal(38,0)")
     keyed = line_rows(rows, row, text_col, min_chars).withColumn("key", F.unhex(F.md5("line"))).withColumn("place", place)
-    firsts = written(keyed.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "lines")
+    blocks = [F.first(F.expr(block_hashes("line", COARSE))).alias("blocks")] if max_edits else []
+    firsts = written(keyed.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *blocks), "lines")
     known = firsts.select("key", "place", "n", F.lit(False).alias("dead"))
     if max_edits:
-        dead = checked_broadcast(written(near_lines(firsts).withColumn("hit", F.lit(True)), "lines-dead"))
+        dead = checked_broadcast(written(near_lines(firsts, keyed.select("place", "line")).withColumn("hit", F.lit(True)), "lines-dead"))
         known = known.join(dead, "key", "left").select("key", "place", "n", F.coalesce("hit", F.lit(False)).alias("dead"))
     known = checked_broadcast(written(known.where("n > 1 or dead").select("key", F.col("place").alias("first"), "dead"), "lines-known"))
     drops = keyed.select("key", "did", "no", "place").join(known, "key").where("dead or place > first")
