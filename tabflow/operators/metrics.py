@@ -107,14 +107,21 @@ def roc_auc_ovr(probs: DataFrame, key: str, label: str = "label", cls: str = "cl
 
 def roc_auc_ovo(probs: DataFrame, key: str, label: str = "label", cls: str = "class", prob: str = "prob") -> DataFrame:
     """V07 (one-vs-one, macro): for every class pair (a, b), rows of either class, AUC of P(a)
-    for a-vs-b and of P(b) for b-vs-a, averaged."""
-    classes = probs.agg(F.array_sort(F.collect_set(F.col(cls).cast("string"))).alias("c"))
-    pairs = (classes.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b"))
-             .where(F.col("a") != F.col("b")))  # ordered pairs; bounded by classes²
-    rows = probs.select(key, F.col(label).cast("string").alias("_lab"), F.col(cls).cast("string").alias("_cls"), prob)
-    d = (rows.join(F.broadcast(pairs), (F.col("_cls") == F.col("a")) & F.col("_lab").isin(F.col("a"), F.col("b")))
-         .select("a", "b", prob, (F.col("_lab") == F.col("a")).cast("int").alias("_y")))
-    per = roc_auc_binary(d, "_y", prob, 1, ["a", "b"])
+    for a-vs-b and of P(b) for b-vs-a, averaged.
+
+    No row is copied per pair: one running count of the rows of a over the scores P(a) says how many of them every other row
+    lies below, and those sums go by the other row's label. The pairs that come out are those that have rows."""
+    rows = probs.select(F.col(cls).cast("string").alias("a"), F.col(label).cast("string").alias("b"), F.col(prob).cast("double").alias("s"))
+    rows = rows.where("b IS NOT NULL").groupBy("a", "s", "b").agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("a") == F.col("b")
+    at = rows.groupBy("a", "s").agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("pos"),
+                                    F.collect_list(F.when(~own, F.struct("b", "n"))).alias("others"))  # one entry per label
+    cum = running_totals(at, "s", ["pos"], partition_cols=["a"], descending=True)
+    above = F.col("cum_pos") - F.col("pos") + 0.5 * F.col("pos")
+    per = cum.select("a", above.alias("above"), F.inline("others")).groupBy("a", "b").agg(
+        F.sum(F.col("n") * F.col("above")).alias("num"), F.sum("n").alias("neg"))
+    total = at.groupBy("a").agg(F.sum("pos").alias("own")).where("own > 0")
+    per = per.join(total, "a").select("a", "b", (F.col("num") / (F.col("own") * F.col("neg"))).alias("roc_auc"))
     sym = per.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("z"), "roc_auc") \
         .groupBy("x", "z").agg(F.avg("roc_auc").alias("auc"))
     return sym.agg(F.avg("auc").alias("roc_auc_ovo"))
