@@ -68,6 +68,12 @@ def hash_int(*cols, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_60(*cols, seed: int = 42) -> Column:
+    """60 bits of the same hash as a long (in SQL ``('0x' || substr(md5(...), 1, 15))::BIGINT``), for draws among many rows."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[col_(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+
+
 def safe_corr(x, y) -> Column:
     """Pearson r on pairwise-complete rows; NULL where undefined (constant column).
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabflow.functions.exprs import hash_int, hash_unit
+from tabflow.functions.exprs import hash_60, hash_int, hash_unit
 from tabflow.functions.ordering import entity_positions, global_row_index
 
 # Fixed values.
@@ -188,13 +188,14 @@ def kfold_stratified(df: DataFrame, label_col: str, key_cols, k: int = 3, seed:
 
 
 def oversample(df: DataFrame, label_col: str, key_cols, seed: int = SEED) -> DataFrame:
-    """Every class topped up to the majority count with replacement.
+    """Every class topped up to the majority count with replacement; ``draw`` is NULL for the rows themselves and the
+    draw's number (from 0, per class) for copies.
 
-    Draw j of class c picks the row at position ``floor(hash(c, j)·n_c)`` of the class;
-    draws are generated by ``explode(sequence)`` on the class-count table and matched to
-    rows by an equi-join on ``(class, position)``."""
+    Draw j of class c picks the row at position ``hash60(c, j) mod n_c`` of the class. Draws are numbers alone (class,
+    position, j), generated in blocks and gathered per position; they meet the rows in one join, in which a row is emitted
+    once and once more per draw. Rows without a class stay as they are."""
     d = _class_positions(df, label_col, key_cols, seed)
-    counts = class_counts(df, label_col)
+    counts = class_counts(df.where(F.col(label_col).isNotNull()), label_col)
     mx = counts.agg(F.max("n").alias("mx"))
     deficit = F.col("mx") - F.col("n")
     # draws are generated in blocks of DRAW_BLOCK so a huge deficit is produced by many tasks
@@ -206,11 +207,11 @@ def oversample(df: DataFrame, label_col: str, key_cols, seed: int = SEED) -> Dat
             .select(label_col, "n", F.explode(F.sequence(F.col("_b") * DRAW_BLOCK,
                                                          F.least((F.col("_b") + 1) * DRAW_BLOCK, F.col("_d")) - 1))
                     .alias("draw")))
-    picks = need.select(label_col, "draw",
-                        F.floor(hash_unit(label_col, "draw", seed=seed) * F.col("n")).cast("bigint").alias("_pos"))
-    extra = picks.join(d, [label_col, "_pos"]).select(*df.columns, F.col("draw"))
-    return df.withColumn("draw", F.lit(None).cast("int")).unionByName(
-        extra.withColumn("draw", F.col("draw").cast("int")))
+    picks = need.select(label_col, "draw", F.pmod(hash_60(label_col, "draw", seed=seed), F.col("n")).alias("_pos"))
+    times = picks.groupBy(label_col, "_pos").agg(F.collect_list(F.col("draw").cast("bigint")).alias("_draws"))
+    none = F.array(F.lit(None).cast("bigint"))
+    return d.join(times, [label_col, "_pos"], "left").select(
+        *df.columns, F.explode(F.concat(none, F.coalesce("_draws", F.array().cast("array<bigint>")))).alias("draw"))
 
 
 def class_balance(df: DataFrame, label_col: str) -> DataFrame:

@@ -114,10 +114,10 @@ def kfold_stratified(spark, sf):
 c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1),
 m AS (SELECT max(n) AS mx FROM c),
 draws AS (SELECT quality, n, unnest(generate_series(0, mx - n - 1)) AS draw FROM c, m WHERE mx > n),
-picks AS (SELECT quality, draw, CAST(floor({sql_hash_unit('quality', 'draw')} * n) AS BIGINT) AS p FROM draws)
-SELECT doc_id, quality, CAST(NULL AS INTEGER) AS draw FROM labels
+picks AS (SELECT quality, draw, ('0x' || substr(md5(concat_ws('|', '42', CAST(quality AS VARCHAR), CAST(draw AS VARCHAR))), 1, 15))::BIGINT % n AS p FROM draws)
+SELECT doc_id, quality, CAST(NULL AS BIGINT) AS draw FROM labels
 UNION ALL
-SELECT pos.doc_id, pos.quality, CAST(picks.draw AS INTEGER) AS draw FROM picks JOIN pos USING (quality, p)""")
+SELECT pos.doc_id, pos.quality, CAST(picks.draw AS BIGINT) AS draw FROM picks JOIN pos USING (quality, p)""")
 def oversample(spark, sf):
     return S.oversample(table(spark, sf, "labels").select("doc_id", "quality"), "quality", ["doc_id"])
 

@@ -136,3 +136,14 @@ def test_oversample_balances(spark):
     out = S.oversample(df, "y", ["id"])
     counts = {r["y"]: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {0: 35, 1: 35}
+
+
+def test_oversample_keeps_rows_and_counts_draws(spark):
+    rows = [(i, None if i % 50 == 0 else "maj" if i % 10 else "min") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, y string")
+    out = S.oversample(df, "y", ["id"]).collect()
+    assert sorted((r["id"], r["y"]) for r in out if r["draw"] is None) == sorted(rows)
+    extra = [r for r in out if r["draw"] is not None]
+    n = {c: sum(y == c for _, y in rows) for c in ("maj", "min")}
+    assert sorted(r["draw"] for r in extra) == list(range(n["maj"] - n["min"])) and {r["y"] for r in extra} == {"min"}
+    assert all(rows[r["id"]][1] == "min" for r in extra) and len({r["id"] for r in extra}) == n["min"]
