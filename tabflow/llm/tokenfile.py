@@ -237,7 +237,8 @@ class Pieces:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
-        self.whole = re.compile("|".join(map(re.escape, ["\0", *added])))
+        self.whole = ["\0", *added]
+        self.blanks = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.odd = re.compile(r"[.,](?<![^\W_][.,])")
         self.blank = re.compile(r"\s")
@@ -291,8 +292,8 @@ class Pieces:
         """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
         if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
             return False
-        # Other blanks (tabs, no-break spaces...) may join a line break or a space: then the words differ.
-        return text.split() == text.replace("\n", " ").split(" ") and not self.odd.search(text)
+        # Other blanks (tabs, no-break spaces...) may join a line break or a space.
+        return not any(c in text for c in self.blanks) and not self.odd.search(text)
 
     def pieces(self, text: str) -> list[str]:
         if not self.plain(text):
@@ -304,7 +305,7 @@ class Pieces:
         """(ids of all texts one after another, number of ids per text)."""
         if self.n > CACHE_PIECES:
             self.clear()
-        whole = [k for k, t in enumerate(texts) if self.whole.search(t)]
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.whole)]
         if whole:
             cut = [-1, *whole, len(texts)]
             runs = []
