@@ -330,34 +330,48 @@ def _calibrated_svm(cand: Candidate, tr: DataFrame, y: str, n_classes: int, para
 
 
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
-                params: dict | None = None, weight_col: str | None = None) -> DataFrame:
+                params: dict | None = None, weight_col: str | None = None, prepared: Prepared | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
-    return fit_candidate(cand, train, features, label, task, params, weight_col)(test)
+    return fit_candidate(cand, train, features, label, task, params, weight_col, prepared)(test)
+
+
+@dataclass
+class Prepared:
+    """Train rows ready for any candidate (written once: every fit makes several passes), and the label codes."""
+    rows: DataFrame
+    y: str
+    labels: list | None
+    label_model: object
+
+
+def prepare_train(train: DataFrame, features, label: str, task: str, weight_col: str | None = None) -> Prepared:
+    from tabflow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    lm = index_labels(train, label) if task == "classification" else None
+    y = "label_idx" if lm is not None else label
+    cols = ["features", *dict.fromkeys([y, *(f"_f_{c}" for c in features)])] + ([weight_col] if weight_col and weight_col in train.columns else [])
+    rows = _prep(train, features, label, lm).select(*cols).checkpoint(eager=True)
+    return Prepared(rows, y, lm.labels if lm is not None else None, lm)
 
 
 def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task: str, params: dict | None = None,
-                  weight_col: str | None = None) -> Callable[[DataFrame], DataFrame]:
-    """Train on ``train``; returns ``predict(test)``, which uses this very fit every time it is called.
+                  weight_col: str | None = None, prepared: Prepared | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Train on ``train`` (or on its ``prepared`` rows); returns ``predict(test)``, which uses this very fit every time it is called.
 
     Test rows whose class is not in ``train`` are predicted like any other (and so count as wrong)."""
     params = dict(params or {})
     if params.pop("class_weight", None) == "balanced" and not weight_col:
-        weight_col = "_weight"
+        weight_col, prepared = "_weight", None
         train = balanced_weights(train, label, weight_col)
-    if task == "classification":
-        lm = index_labels(train, label)
-        labels = lm.labels
-        tr, y = _prep(train, features, label, lm), "label_idx"
-    else:
-        labels, lm = None, None
-        tr, y = _prep(train, features, label), label
+    prepared = prepared or prepare_train(train, features, label, task, weight_col)
+    tr, y, labels, lm = prepared.rows, prepared.y, prepared.labels, prepared.label_model
 
-    def prepared(test: DataFrame) -> DataFrame:
+    def as_trained(test: DataFrame) -> DataFrame:
         return _prep(test, features, label, _keep_unseen(lm) if lm is not None else None)
 
     if cand.name == "k_nearest_neighbors":
         def predict(test: DataFrame) -> DataFrame:
-            return _knn_fit_predict(tr, prepared(test), features, y, label, task, labels, params.get("k", 5))
+            return _knn_fit_predict(tr, as_trained(test), features, y, label, task, labels, params.get("k", 5))
 
         predict.labels = labels
         return predict
@@ -377,15 +391,12 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
             est = est.setWeightCol(weight_col)
         stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
                   if cand.scaled else []) + [est]
-        from tabflow.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(tr.sparkSession)
-        # The fit makes several passes (scaler, metadata, iterations); they read the written rows.
         fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
-        model = Pipeline(stages=stages).fit(tr.select(*fit_cols).checkpoint(eager=True))
+        model = Pipeline(stages=stages).fit(tr.select(*fit_cols))
         apply = model.transform
 
     def predict(test: DataFrame) -> DataFrame:
-        pred = apply(prepared(test))
+        pred = apply(as_trained(test))
         if task == "classification":
             out = pred.select(F.col(label).cast("string").alias("label"),
                               F.element_at(F.array(*[F.lit(v) for v in labels]),
@@ -435,12 +446,17 @@ def run_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, featu
                    cycle: int = 1, fitted: dict | None = None) -> DataFrame:
     """Train every candidate; a failure becomes a result row and never aborts the run.
 
-    ``fitted`` collects ``(cycle, model name) -> predict`` of every fit."""
+    The train rows are prepared and written once for all candidates. ``fitted`` collects ``(cycle, model name) -> predict``
+    of every fit."""
     rows = []
+    try:
+        prepared = prepare_train(train, features, label, task, weight_col)
+    except Exception:  # noqa: BLE001
+        prepared = None  # then every candidate tells why
     for cand in candidates_for(task, names):
         t0 = time.time()
         try:
-            predict = fit_candidate(cand, train, features, label, task, (params or {}).get(cand.name), weight_col)
+            predict = fit_candidate(cand, train, features, label, task, (params or {}).get(cand.name), weight_col, prepared)
             pred = predict(test)
             if fitted is not None:
                 fitted[(cycle, cand.name)] = predict
@@ -534,12 +550,13 @@ def tune_model(train: DataFrame, features, label: str, task: str, cand: Candidat
     try:
         rows = train.checkpoint(eager=True)  # read by every trial
         folds = [r[0] for r in rows.select(fold_col).distinct().orderBy(fold_col).collect()]
+        ready = {f: prepare_train(rows.where(F.col(fold_col) != f), features, label, task) for f in folds}  # for all trials
         best, trials = None, 0
         for point in islice(product(*space.values()), max_trials):
             params = {k: v for k, v in zip(space, point) if v is not None}
             use = dict(params, calibrate=False) if cand.name == "svm" else params
-            scores = [_tune_score(fit_predict(cand, rows.where(F.col(fold_col) != f), rows.where(F.col(fold_col) == f), features, label, task, use),
-                                  task, metric) for f in folds]
+            scores = [_tune_score(fit_predict(cand, rows.where(F.col(fold_col) != f), rows.where(F.col(fold_col) == f), features, label, task, use,
+                                              None, ready[f]), task, metric) for f in folds]
             trials += 1
             score = sum(scores) / len(scores)
             if best is None or score > best[0]:
