@@ -83,8 +83,8 @@ DIGIT_BITS = 12
 BROADCAST_ROWS = 100_000
 
 
-def _order_key(dt, c):
-    """Long that grows with the column (for fractions: the double, whose bits come later), or None for types that have none."""
+def order_key(dt, c):
+    """Long that grows with a date, time or whole-number column, or None for other types."""
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("bigint")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -94,8 +94,6 @@ def _order_key(dt, c):
         return ((day * 24 + F.hour(c)) * 60 + F.minute(c)) * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("bigint")
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.cast("double")
     return None
 
 
@@ -121,14 +119,12 @@ def order_slices(df: DataFrame, entity_cols, order_cols, slice_rows: int = SLICE
     keys = []
     for i, c in enumerate(order_cols):
         dt = df.schema[c].dataType
-        k = _order_key(dt, col_(c))
+        fraction = isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType))
+        k = col_(c).cast("double") if fraction else order_key(dt, col_(c))
         if k is None:
             break
         keys.append(f"_k{i}")
-        if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-            keyed = with_order_key(keyed.withColumn("_v", k), "_v", keys[-1]).drop("_v")
-        else:
-            keyed = keyed.withColumn(keys[-1], k)
+        keyed = with_order_key(keyed.withColumn("_v", k), "_v", keys[-1]).drop("_v") if fraction else keyed.withColumn(keys[-1], k)
         if isinstance(dt, T.DecimalType):  # decimals that differ may be one double
             break
     keyed = keyed.select("*", *[col_(c).alias(x) for c, x in zip(ent, e)])

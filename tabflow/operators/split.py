@@ -2,9 +2,8 @@
 
 Every random choice is a hash of ``(seed, key)`` (``hash_unit``), so results are
 reproducible, independent of partitioning, and repeatable in SQL. Exact-size splits
-need global or per-class positions; those come from range partitioning
-(``global_row_index``) or from chunked per-group positions (``entity_positions``),
-never from a window that would put a whole table or a hot class into one task.
+need a cut of a global order, found by counting (``hash_cuts``, ``_before_place``), or per-class positions in slices
+(``entity_positions``), never a window that would put a whole table or a hot class into one task.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabflow.functions.exprs import hash_60, hash_int, hash_unit
-from tabflow.functions.ordering import entity_positions, global_row_index
+from tabflow.functions.ordering import entity_positions, order_key
 
 # Fixed values.
 SEED = 42
@@ -102,12 +101,56 @@ def _first_rows(d: DataFrame, keys, n: int, take: int) -> F.Column:
     return _under(keys, hash_cuts(d, keys, [take])[0])
 
 
+def _value_at(d: DataFrame, key, position: int):
+    """(value of ``key`` at 0-based ``position`` in ascending order with NULLs first, rows before that value, rows of it)."""
+    r = d.agg(F.min(key), F.max(key), F.count(F.lit(1)), F.count(key)).first()
+    low, high, before = r[0], r[1], r[2] - r[3]
+    if position < before:
+        return None, 0, before
+    while True:  # 12 bits a pass: rows are counted, none is moved
+        shift = max(0, (high - low).bit_length() - 12)
+        inside = (key >= F.lit(low)) & (key <= F.lit(high))
+        counts = d.where(inside).groupBy(F.shiftright(key, shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b, n in sorted(map(tuple, counts)):  # at most 4097 rows
+            if position < before + n:
+                break
+            before += n
+        low, high = max(low, b << shift), min(high, ((b + 1) << shift) - 1)
+        if shift == 0:
+            return low, before, n
+
+
+def _before_place(df: DataFrame, order_cols, position: int) -> F.Column:
+    """Whether a row is among the first ``position`` (0 < position < rows) in ``order_cols`` order, NULLs first: a pure predicate.
+
+    Column by column, counting finds the value at the place; only rows that agree with it so far are looked at further.
+    Few such rows are fetched; of many that only a text column tells apart, that column alone is sorted."""
+    rest, under, tie = df, F.lit(False), F.lit(True)
+    for i, c in enumerate(order_cols):
+        key = order_key(df.schema[c].dataType, F.col(c))
+        left = [F.col(x).asc_nulls_first() for x in order_cols[i:]]
+        if key is None:  # fractions and text: the place's own row is the cut
+            cut = rest.select(*order_cols[i:]).orderBy(*left).limit(position + 1).orderBy(*[F.col(x).desc_nulls_last() for x in order_cols[i:]]).first()
+            for x, v in zip(order_cols[i:], cut):
+                under = under | (tie & (F.lit(False) if v is None else F.col(x).isNull() | (F.col(x) < F.lit(v))))
+                tie = tie & F.col(x).eqNullSafe(F.lit(v))
+            return under
+        value, before, _ = _value_at(rest, key, position)
+        position -= before
+        under = under | (tie & (F.lit(False) if value is None else key.isNull() | (key < F.lit(value))))
+        same = key.isNull() if value is None else F.coalesce(key == F.lit(value), F.lit(False))
+        tie, rest = tie & same, rest.where(same)
+    return under
+
+
 def split_chronological(df: DataFrame, time_col: str, tiebreak, train_frac: float = 1 - TEST_SIZE) -> DataFrame:
-    """First floor(n·0.8) rows in time order are train; never shuffled."""
-    d = global_row_index(df, [time_col, *tiebreak], "_idx")
-    n = d.count()
+    """First floor(n·0.8) rows in time order are train; never shuffled, and no row is sorted or moved for it: the cut is
+    found by counts."""
+    n = df.count()
     cut = math.floor(n * train_frac)
-    return d.withColumn("split", F.when(F.col("_idx") < cut, "train").otherwise("test")).drop("_idx")
+    order = list(dict.fromkeys([time_col, *tiebreak]))
+    first = F.lit(cut >= n) if not 0 < cut < n else F.coalesce(_before_place(df.select(*order), order, cut), F.lit(False))
+    return df.withColumn("split", F.when(first, "train").otherwise("test"))
 
 
 def split_chronological_entity(df: DataFrame, entity_col: str, time_col: str, tiebreak=(),

@@ -90,3 +90,17 @@ def test_fill_violations_and_decomposition_do_not_depend_on_the_slices(spark):
     for ent in ("e", None):
         a, b = (sorted(map(tuple, decomposition_strength(daily, "ds", "y", ent, slice_rows=n).collect())) for n in (30, 10_000))
         assert a == b
+
+
+@pytest.mark.parametrize("order", [["ts", "id"], ["n", "id"], ["ts", "e", "id"], ["v", "id"]])
+def test_chronological_split_equals_a_plain_sort_and_sorts_nothing(spark, order):
+    from tabflow.operators.split import split_chronological
+    data = [(i, e, ts, v, (i * 7919) % 50 - 25 if i % 9 else None) for i, e, ts, v in rows(600)]
+    df = spark.createDataFrame(data, SCHEMA + ", n long")
+    at = [["id", "e", "ts", "v", "n"].index(c) for c in order]
+    for frac in (0.0, 0.3, 0.8, 1.0):
+        out = split_chronological(df, order[0], order[1:], frac)
+        got = {r["id"] for r in out.where("split = 'train'").collect()}
+        want = sorted(data, key=lambda r: key([r[j] for j in at]))[:int(len(data) * frac)]
+        assert got == {r[0] for r in want}
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
