@@ -10,6 +10,9 @@ digits are done after one or two scans; after three, all 64 bits are used up. Pe
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,18 +31,17 @@ def with_order_key(df: DataFrame, value: str = "value", key: str = "key") -> Dat
     a = F.abs(v)
     names = df.columns
     tiny = a < float.fromhex("0x1p-1022")
-    # floor(log2) may be off by one beside a power of two, which the powers themselves settle.
-    e = df.select("*", F.when(tiny | F.isnan(v) | (a == float("inf")), F.lit(0.0)).otherwise(
-        F.least(F.greatest(F.floor(F.log2(a)).cast("double"), F.lit(-1022.0)), F.lit(1023.0))).alias("_e"))
-    p = e.select("*", F.pow(F.lit(2.0), F.col("_e")).alias("_p"))
-    down, up = a < F.col("_p"), a / F.col("_p") >= 2
-    fixed = p.select(*names, F.when(down, F.col("_e") - 1).when(up, F.col("_e") + 1).otherwise(F.col("_e")).alias("_e"),
-                     F.when(down, a / F.col("_p") * 2).when(up, a / F.col("_p") / 2).otherwise(a / F.col("_p")).alias("_m"))
+    # Few expressions, each used once or twice: a generated method of over 8,000 bytes is never compiled by the JVM.
+    e = df.select("*", F.when((a < float("inf")) & ~tiny, F.least(F.floor(F.log2(a)).cast("double"), F.lit(1023.0))).alias("_e"))
+    m = e.select(*names, "_e", (a / F.pow(F.lit(2.0), F.col("_e"))).alias("_m"))
+    # floor(log2) may be off by one beside a power of two: then the mantissa lies just below 1 or from 2 on.
+    part = F.when(F.col("_m") < 1, (F.col("_m") - 1) * 2).when(F.col("_m") >= 2, F.col("_m") / 2).otherwise(F.col("_m") - 1)
     half = float.fromhex("0x1p537")
-    bits = (F.when(F.isnan(v), F.lit(2047 * MANTISSA + 1)).when(a == float("inf"), F.lit(2047 * MANTISSA))
-            .when(tiny, (a * half * half).cast("long"))
-            .otherwise((F.col("_e") + 1023).cast("long") * MANTISSA + ((F.col("_m") - 1) * float(MANTISSA)).cast("long")))
-    return fixed.select(*names, F.when(v < 0, -bits).otherwise(bits).alias(key))
+    bits = (F.when(F.col("_m").isNotNull(), (F.col("_e") + 1023).cast("long") * MANTISSA + (part * float(MANTISSA)).cast("long"))
+            .when(F.isnan(v), F.lit(2047 * MANTISSA + 1)).when(a == float("inf"), F.lit(2047 * MANTISSA))
+            .otherwise((a * half * half).cast("long")))
+    keyed = m.select(*names, bits.alias(key))
+    return keyed.select(*names, (F.col(key) * F.when(v < 0, -1).otherwise(1)).alias(key))
 
 
 def _ranks(counts: DataFrame, group: list[str], wanted) -> DataFrame:
@@ -74,7 +76,7 @@ def quantile_table(df: DataFrame, cols, probs, counts: dict | None = None) -> di
     open_ = _ranks(counted(keyed, ["column"], SHIFTS[0]), ["column"], wanted).collect()
     found = {}
     for shift, before in zip(SHIFTS[1:] + (None,), SHIFTS):
-        rest = []
+        rest, spans = [], {}
         for r in open_:
             if counts is not None:
                 counts[cols[int(r["column"][1:])]] = r["total"] if before == SHIFTS[0] else counts[cols[int(r["column"][1:])]]
@@ -82,11 +84,15 @@ def quantile_table(df: DataFrame, cols, probs, counts: dict | None = None) -> di
                 found[(r["column"], r["p"], r["side"])] = (r["lo"], r["frac"])
             else:
                 rest.append((r["column"], r["b"], r["p"], r["side"], r["frac"], r["left"]))
+                spans.setdefault(r["column"], {})[r["b"]] = (r["lo"], r["hi"])
         if not rest:
             break
         ranks = spark.createDataFrame(rest, "column string, top long, p double, side string, frac double, r long")
         top = F.shiftright("key", before).alias("top")
-        inside = keyed.select("*", top).join(F.broadcast(ranks.select("column", "top").distinct()), ["column", "top"], "left_semi")
+        # The smallest and largest value of each open bucket pick its values, so that no other value is given a key again.
+        within = [F.when(reduce(or_, (F.col(a).between(F.lit(lo), F.lit(hi)) for lo, hi in spans[a].values())), F.col(a)).alias(a) for a in spans]
+        values = casted.select(*within).unpivot([], list(spans), "column", "value").where(F.col("value").isNotNull())
+        inside = with_order_key(values).select("*", top)
         open_ = _ranks(counted(inside, ["column", "top"], shift), ["column", "top"], F.broadcast(ranks)).collect()
     out = {}
     for (c, p, side), (v, frac) in found.items():
