@@ -52,6 +52,28 @@ def value_counts(df: DataFrame, cols=None) -> DataFrame:
     return long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _native(c: str, dt):
+    """A value as ``(whole, real, text)``, so that equal values are equal as text is: numbers are not written out, only zeros
+    are, since ``-0.0`` and ``0.0`` differ as text."""
+    x, whole, real, text = col_(c), F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if is_integral_type(dt):
+        whole = x.cast("bigint")
+    elif isinstance(dt, (T.FloatType, T.DoubleType)):
+        real, text = x.cast("double"), F.when(x == 0, x.cast("string"))
+    else:
+        text = x.cast("string")
+    return F.struct(whole.alias("whole"), real.alias("real"), text.alias("text")).alias(c)
+
+
+def native_counts(df: DataFrame, cols=None) -> DataFrame:
+    """``(column, whole, real, text, count)``: ``value_counts`` where the value as text is not needed."""
+    cols = _cols(df, cols)
+    long = df.select(*[_native(c, df.schema[c].dataType) for c in cols]).unpivot([], [col_(c) for c in cols], "column", "value")
+    long = long.select("column", "value.whole", "value.real", "value.text").where(
+        F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull())
+    return long.groupBy("column", "whole", "real", "text").agg(F.count(F.lit(1)).alias("count"))
+
+
 def dtype_table(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
@@ -134,7 +156,7 @@ def distinct_counts(df: DataFrame, cols=None, approx: bool = False) -> DataFrame
         structs = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(col_(c)).alias("distinct_count"),
                             F.lit(None).cast("bigint").alias("top_count")) for c in cols]
         return _inline(df, structs)
-    per_col = (value_counts(df, cols).groupBy("column")
+    per_col = (native_counts(df, cols).groupBy("column")
                .agg(F.count(F.lit(1)).alias("distinct_count"), F.max("count").alias("top_count")))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return (names.join(per_col, "column", "left")
@@ -217,7 +239,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def avg_rows_per_value(df: DataFrame, cols=None) -> DataFrame:
     """Non-null rows per distinct value of each column."""
     cols = _cols(df, cols)
-    return (value_counts(df, cols).groupBy("column")
+    return (native_counts(df, cols).groupBy("column")
             .agg(F.round(F.sum("count") / F.count(F.lit(1)), 4).alias("avg_rows_per_value"),
                  F.count(F.lit(1)).alias("distinct_count")))
 
