@@ -4,6 +4,7 @@ import math
 
 from tabflow.functions import quantiles as Q
 from tabflow.operators import profile as P
+from tabflow.operators import quality as D
 
 
 def plan(df):
@@ -26,3 +27,12 @@ def test_distinct_counts_do_not_write_numbers_out(spark):
         text[r["column"]] = (n + 1, max(top, r["count"]))
     assert got == {"n": (0, None), **text} and got["d"] == (4, 2) and got["a.b"] == (3, 2)
     assert "as string" not in plan(P.native_counts(df.select("`a.b`")))
+
+
+def test_correlations_are_aggregated_pair_by_pair(spark):
+    rows = [(float(i), 2.0 * i + 1, 5.0, None if i % 3 else float(-i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, `d.e` double")
+    got = {(r["column"], r["other_column"]): round(r["r"], 9) for r in D.correlated_pairs(df, df.columns).collect()}
+    assert got == {("a", "b"): 1.0, ("a", "d.e"): -1.0, ("b", "d.e"): -1.0}
+    assert plan(D.correlated_pairs(df, df.columns)).count("covar_pop(") == 1
+    assert D.correlated_pairs(df, ["a"]).count() == 0
