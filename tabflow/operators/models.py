@@ -235,29 +235,31 @@ def _knn_fit_predict(tr: DataFrame, te: DataFrame, features, y: str, label: str,
     spark = tr.sparkSession
     from tabflow.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    # Row ids fixed by a checkpoint, so ties and the join back to the test labels are stable; the
-    # inputs are read once each, the scaling statistics come from the written train rows.
-    tr_r = tr.select(F.monotonically_increasing_id().alias("_id"), *cols, F.col(y).alias("_y")).checkpoint(eager=True)
-    te_r = te.select(F.monotonically_increasing_id().alias("_id"), *cols, F.col(label).alias("_label")) \
-        .checkpoint(eager=True)
+    # The train rows are written already, so their ids, which break ties, are stable. Test rows are searched once per distinct
+    # vector and find their answer by their features.
+    tr_r = tr.select(F.monotonically_increasing_id().alias("_id"), *cols, F.col(y).alias("_y"))
+    te_r = te.select(*cols, F.col(label).alias("_label"))
     st = tr_r.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     vec = F.array(*[(F.col(c) - F.lit(st[f"m{i}"] or 0.0)) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(cols)])
     tr_i = tr_r.select("_id", vec.alias("_v"), "_y")
-    te_i = te_r.select("_id", vec.alias("_v"), "_label")
-    nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",)), te_i, "_id", F.col("_v"), k=k)
+    asked = te_r.select(*cols).distinct().checkpoint(eager=True).withColumn("_id", F.monotonically_increasing_id())
+    nb = N.knn_search(N.build_index(tr_i, "_id", F.col("_v"), payload=("_y",), k=k), asked.select("_id", vec.alias("_v")), "_id", F.col("_v"), k=k)
     if task == "classification":
-        vote = N.knn_vote(nb, "_y", classes=[float(i) for i in range(len(labels))])
-        out = te_i.join(vote, te_i["_id"] == vote["qid"], "left").select(
+        found = N.knn_vote(nb, "_y", classes=[float(i) for i in range(len(labels))])
+    else:
+        found = N.knn_mean(nb, "_y")
+    found = asked.join(found, asked["_id"] == found["qid"], "left").drop("_id", "qid").checkpoint(eager=True)
+    te_r = te_r.join(found, cols, "left")
+    if task == "classification":
+        out = te_r.select(
             F.col("_label").cast("string").alias("label"),
             F.element_at(F.array(*[F.lit(v) for v in labels]), F.col("prediction").cast("int") + 1).alias("prediction"),
             F.col("probability"))
         if len(labels) == 2:
             out = out.withColumn("prob_pos", F.col("probability")[1])
         return out.checkpoint(eager=True)  # one row per test row; every metric reads it, none re-searches
-    mean = N.knn_mean(nb, "_y")
-    return te_i.join(mean, te_i["_id"] == mean["qid"], "left").select(
-        F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double")).checkpoint(eager=True)
+    return te_r.select(F.col("_label").cast("double").alias("label"), F.col("prediction").cast("double")).checkpoint(eager=True)
 
 
 def _platt(margins: DataFrame) -> tuple[float, float]:
@@ -349,8 +351,10 @@ def prepare_train(train: DataFrame, features, label: str, task: str, weight_col:
     ensure_checkpoint_dir(train.sparkSession)
     lm = index_labels(train, label) if task == "classification" else None
     y = "label_idx" if lm is not None else label
-    cols = ["features", *dict.fromkeys([y, *(f"_f_{c}" for c in features)])] + ([weight_col] if weight_col and weight_col in train.columns else [])
+    inputs = [f"_f_{c}" for c in features]
+    cols = list(dict.fromkeys([y, *inputs])) + ([weight_col] if weight_col and weight_col in train.columns else [])
     rows = _prep(train, features, label, lm).select(*cols).checkpoint(eager=True)
+    rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)  # the numbers are written once, not twice
     return Prepared(rows, y, lm.labels if lm is not None else None, lm)
 
 

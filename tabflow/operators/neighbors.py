@@ -1,7 +1,10 @@
 """Exact k nearest neighbours (M10) without pairing every query with every reference row.
 
-Index. ``P`` pivots (the reference rows with the smallest seeded hash) cut the reference rows
-into cells: every row belongs to its nearest pivot and remembers that distance. A cell knows
+Places. Reference rows with equal vectors are one place with its ``k`` smallest ids; only places are searched (the best ``k``
+rows lie among the best ``k`` places by distance and smallest id), their rows are put back at the end.
+
+Index. ``P`` pivots (the places with the smallest seeded hash) cut the places
+into cells: every place belongs to its nearest pivot and remembers that distance. A cell knows
 its size and radius (largest member–pivot distance). Cells are salted into sub-buckets of at
 most ``bucket_rows`` reference rows, and the queries meeting one cell are salted into groups of
 at most ``bucket_queries``, so a cell holding a third of all rows is still spread over tasks.
@@ -19,8 +22,8 @@ neighbour. Top-k is taken per (query, cell, bucket) first and then per query, so
 a query's whole candidate list. Equal distances break on the reference id.
 
 Distances are Euclidean over ``array<double>`` vectors, summed coordinate by coordinate.
-Pivot distances come from an Arrow-batched pandas UDF (the P × d pivots, size-checked, are one
-broadcast); the query × reference block of one (cell, bucket) group is scored with numpy inside
+Pivot distances are taken in slices inside Arrow-batched pandas UDFs (the P × d pivots, size-checked, are one
+broadcast) that return the home cell and the cells within reach, never P distances; the query × reference block of one (cell, bucket) group is scored with numpy inside
 ``cogroup().applyInPandas`` (the groups are bounded by the salting, and only each query's best k
 leave a group). Cell assignment, salting, joins and the top-k merges are DataFrame operations.
 """
@@ -48,7 +51,7 @@ BUCKET_ROWS = 20_000
 BUCKET_QUERIES = 20_000
 TOL = 1e-9
 MAX_UNROLLED_DIMS = 512
-BLOCK_QUERIES = 256  # queries per numpy block inside one (cell, bucket) group
+BLOCK_VALUES = 1 << 18  # distances per numpy block (2 MB), whatever the number of pivots or of rows in a bucket
 
 
 def sq_dist(a, b, dims: int | None = None) -> Column:
@@ -70,39 +73,69 @@ def vector_of(cols) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
 
 
-def _pivot_distances(spark, pivots: np.ndarray):
-    """Arrow-batched distances of a vector column to every pivot (``array<double>`` of length P).
-
-    The pivots (P × d, size-checked) travel as one broadcast; each batch is one numpy block,
-    summed coordinate by coordinate like ``sq_dist``."""
-    piv = spark.sparkContext.broadcast(pivots)
-
-    @F.pandas_udf("array<double>")
-    def dist(v: pd.Series) -> pd.Series:
-        pv = piv.value
-        if len(v) == 0:
-            return pd.Series([], dtype=object)
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        acc = np.zeros((len(x), len(pv)))
-        for j in range(pv.shape[1]):
-            diff = x[:, j, None] - pv[None, :, j]
-            acc += diff * diff
-        return pd.Series(list(np.sqrt(acc)))
-    return dist
-
-
-def _loose(t: Column) -> Column:
-    return t * (1 + TOL) + F.lit(TOL)
+def _home_of(spark, pivots: np.ndarray, k: int):
+    """Vector column → (home cell, distance to its pivot, bound τ0: the k-th smallest pivot distance, infinite with fewer pivots).
+
+    The pivots (P × d, size-checked) travel as one broadcast; slices of a batch are numpy blocks of at most
+    ``BLOCK_VALUES`` distances, summed coordinate by coordinate like ``sq_dist``."""
+    piv, block = spark.sparkContext.broadcast(pivots), BLOCK_VALUES
+
+    @F.pandas_udf("home int, dist double, tau double")
+    def home(v: pd.Series) -> pd.DataFrame:
+        pv, n = piv.value, len(v)
+        at, dist, tau = np.zeros(n, dtype=np.int32), np.zeros(n), np.full(n, np.inf)
+        step = max(1, block // len(pv))
+        for s in range(0, n, step):
+            x = np.stack(v.iloc[s:s + step].to_numpy()).astype(np.float64)
+            acc = np.zeros((len(x), len(pv)))
+            for j in range(pv.shape[1]):
+                diff = x[:, j, None] - pv[None, :, j]
+                acc += diff * diff
+            at[s:s + step] = acc.argmin(axis=1)
+            dist[s:s + step] = np.sqrt(acc.min(axis=1))
+            if len(pv) >= k:
+                tau[s:s + step] = np.sqrt(np.partition(acc, k - 1, axis=1)[:, k - 1])
+        return pd.DataFrame({"home": at, "dist": dist, "tau": tau})
+    return home
+
+
+def _reach(spark, pivots: np.ndarray, radius: np.ndarray):
+    """(vector, home cell, bound τ) → the other cells that the bound cannot exclude, with the distances to their pivots."""
+    sent, block, tol = spark.sparkContext.broadcast((pivots, radius)), BLOCK_VALUES, TOL
+
+    @F.pandas_udf("cells array<int>, dists array<double>")
+    def reach(v: pd.Series, home: pd.Series, tau: pd.Series) -> pd.DataFrame:
+        pv, rad = sent.value
+        cells, dists = [], []
+        step = max(1, block // len(pv))
+        for s in range(0, len(v), step):
+            x = np.stack(v.iloc[s:s + step].to_numpy()).astype(np.float64)
+            acc = np.zeros((len(x), len(pv)))
+            for j in range(pv.shape[1]):
+                diff = x[:, j, None] - pv[None, :, j]
+                acc += diff * diff
+            acc = np.sqrt(acc)
+            t = tau.iloc[s:s + step].to_numpy(dtype=np.float64)
+            ok = acc - rad[None, :] <= (t * (1 + tol) + tol)[:, None]
+            ok[np.arange(len(x)), home.iloc[s:s + step].to_numpy()] = False
+            for i in range(len(x)):
+                c = np.flatnonzero(ok[i])
+                cells.append(c.astype(np.int32))
+                dists.append(acc[i, c])
+        return pd.DataFrame({"cells": pd.Series(cells, dtype=object), "dists": pd.Series(dists, dtype=object)})
+    return reach
 
 
 @dataclass
 class NeighborIndex:
-    ref: DataFrame    # _rid, _vec, _cell, _dc, payload...  (checkpointed)
-    meta: DataFrame   # one row: _k, _rad map<int,double>, _nsub map<int,int>
-    n_pivots: int
+    ref: DataFrame    # one row per place: _place, _rid (smallest id), _vec, _cell, _dc, _sub, _rows (checkpointed)
+    pivots: np.ndarray
+    radius: np.ndarray  # per cell (-inf: empty)
+    n_sub: list       # sub-buckets per cell
     payload: tuple
     dims: int
-    pivot_dist: object  # vector column → distances to every pivot
+    k: int            # ids kept per place
+    again: object     # k → index that keeps k ids per place
 
 
 def build_index(ref: DataFrame, id_col: str, vec: Column, payload=(), n_pivots: int | None = None,
@@ -110,8 +143,15 @@ def build_index(ref: DataFrame, id_col: str, vec: Column, payload=(), n_pivots:
     """Pivot index over the reference rows (``id_col`` must be unique)."""
     spark = ref.sparkSession
     payload = tuple(payload)
+    ensure_checkpoint_dir(spark)
     r = ref.select(F.col(id_col).alias("_rid"), vec.cast("array<double>").alias("_vec"), *payload)
-    st = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
+    # The k smallest ids of a vector: the rank filter is applied before the exchange as well, so that a vector held by a third
+    # of all rows sends k rows per task.
+    few = r.withColumn("_r", F.row_number().over(W.partitionBy("_vec").orderBy("_rid"))).where(F.col("_r") <= k)
+    places = few.groupBy("_vec").agg(F.sort_array(F.collect_list(F.struct("_rid", *payload))).alias("_rows")) \
+        .select(F.col("_rows")[0]["_rid"].alias("_rid"), "_vec", "_rows").checkpoint(eager=True) \
+        .withColumn("_place", F.monotonically_increasing_id())  # ids may repeat, places do not
+    st = places.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("d")).first()
     n, d = st["n"], st["d"] or 0
     if n == 0:
         raise ValueError("empty reference set")
@@ -119,26 +159,20 @@ def build_index(ref: DataFrame, id_col: str, vec: Column, payload=(), n_pivots:
     p = max(1, min(p, n))
     if p * d > MAX_PIVOT_VALUES:
         p = max(1, MAX_PIVOT_VALUES // max(d, 1))
-    piv = (r.select("_rid", "_vec", hash_int("_rid", seed=seed).alias("_h"))
+    piv = (places.select("_rid", "_vec", hash_int("_rid", seed=seed).alias("_h"))
            .orderBy("_h", "_rid").limit(p).collect())  # bounded top-P, P × d ≤ MAX_PIVOT_VALUES
     pivots = np.array([list(row["_vec"]) for row in sorted(piv, key=lambda row: (row["_h"], row["_rid"]))],
                       dtype=np.float64)
-    pivot_dist = _pivot_distances(spark, pivots)
-    ensure_checkpoint_dir(spark)
-    assigned = (r.select("_rid", "_vec", *payload, pivot_dist("_vec").alias("_pd"))
-                .select("_rid", "_vec", *payload,
-                        (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int").alias("_cell"),
-                        F.array_min("_pd").alias("_dc")))
+    home = _home_of(spark, pivots, 1)
+    assigned = places.withColumn("_h", home("_vec")).select("_place", "_rid", "_vec", "_rows", F.col("_h.home").alias("_cell"), F.col("_h.dist").alias("_dc"))
     assigned = assigned.checkpoint(eager=True)  # cell ids are reused by every later join
-    cells = (assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.max("_dc").alias("_rad"))
-             .withColumn("_ns", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(bucket_rows))).cast("int")))
-    meta = cells.agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_rad"))).alias("_rad"),
-                     F.map_from_entries(F.collect_list(F.struct("_cell", "_ns"))).alias("_nsub")) \
-        .withColumn("_k", F.lit(0)).checkpoint(eager=True)  # one row, P entries per map
-    ns = F.element_at("_nsub", F.col("_cell"))
-    indexed = (assigned.withColumn("_k", F.lit(0)).join(F.broadcast(meta.select("_k", "_nsub")), "_k")
-               .withColumn("_sub", F.pmod(F.xxhash64("_rid"), ns).cast("int")).drop("_k", "_nsub"))
-    return NeighborIndex(indexed, meta, len(pivots), payload, d, pivot_dist)
+    radius, n_sub = np.full(len(pivots), -np.inf), [1] * len(pivots)
+    for row in assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dc").alias("rad")).collect():  # ≤ P rows
+        radius[row["_cell"]], n_sub[row["_cell"]] = row["rad"], max(1, math.ceil(row["n"] / bucket_rows))
+    ns = F.element_at(F.array(*[F.lit(x) for x in n_sub]), F.col("_cell") + 1) if max(n_sub) > 1 else F.lit(1)
+    indexed = assigned.withColumn("_sub", F.pmod(F.xxhash64("_rid"), ns).cast("int"))
+    return NeighborIndex(indexed, pivots, radius, n_sub, payload, d, k,
+                         lambda more: build_index(ref, id_col, vec, payload, n_pivots, more, bucket_rows, seed))
 
 
 def _bucket_groups(qrows: DataFrame, ref: DataFrame, bucket_queries: int):
@@ -159,29 +193,32 @@ def _bucket_groups(qrows: DataFrame, ref: DataFrame, bucket_queries: int):
     return q, r
 
 
-def _block_top_k(k: int, dims: int, payload, out_cols):
+def _block_top_k(k: int, dims: int, out_cols):
     """Per (cell, bucket) group: distances of its queries to its reference rows as numpy blocks
     (summed coordinate by coordinate, the order the SQL oracle uses), both triangle-inequality
     bounds applied, and each query's best k (ties → smaller reference id)."""
+    block, tol = BLOCK_VALUES, TOL
+
     def run(qd: pd.DataFrame, rd: pd.DataFrame) -> pd.DataFrame:
         if qd.empty or rd.empty:
             return pd.DataFrame({c: [] for c in out_cols})
         R = np.stack(rd["_vec"].to_numpy()).astype(np.float64)
-        rid, dc = rd["_rid"].to_numpy(), rd["_dc"].to_numpy(dtype=np.float64)
+        rid, place, dc = rd["_rid"].to_numpy(), rd["_place"].to_numpy(), rd["_dc"].to_numpy(dtype=np.float64)
         Q = np.stack(qd["_qvec"].to_numpy()).astype(np.float64)
         tau = qd["_tau"].to_numpy(dtype=np.float64)
-        tau = tau * (1 + TOL) + TOL
+        tau = tau * (1 + tol) + tol
         pdc = qd["_pdc"].to_numpy(dtype=np.float64)
         qid = qd["_qid"].to_numpy()
         hits_q, hits_r, hits_d = [], [], []
-        for s in range(0, len(Q), BLOCK_QUERIES):
-            qb = Q[s:s + BLOCK_QUERIES]
+        step = max(1, block // len(R))
+        for s in range(0, len(Q), step):
+            qb = Q[s:s + step]
             d2 = np.zeros((len(qb), len(R)))
             for j in range(dims):
                 diff = qb[:, j, None] - R[None, :, j]
                 d2 += diff * diff
-            t = tau[s:s + BLOCK_QUERIES, None]
-            ok = (np.abs(pdc[s:s + BLOCK_QUERIES, None] - dc[None, :]) <= t) & (d2 <= t * t)
+            t = tau[s:s + step, None]
+            ok = (np.abs(pdc[s:s + step, None] - dc[None, :]) <= t) & (d2 <= t * t)
             d2 = np.where(ok, d2, np.inf)
             for i in range(len(qb)):
                 row = d2[i]
@@ -192,24 +229,20 @@ def _block_top_k(k: int, dims: int, payload, out_cols):
                 hits_r.append(best)
                 hits_d.append(row[best])
         pos = np.concatenate(hits_r) if hits_r else np.array([], dtype=int)
-        out = {"_qid": np.concatenate(hits_q) if hits_q else [], "_rid": rid[pos],
-               "_d2": np.concatenate(hits_d) if hits_d else []}
-        for c in payload:
-            out[c] = rd[c].to_numpy()[pos]
-        return pd.DataFrame(out, columns=out_cols)
+        return pd.DataFrame({"_qid": np.concatenate(hits_q) if hits_q else [], "_rid": rid[pos], "_place": place[pos],
+                             "_d2": np.concatenate(hits_d) if hits_d else []}, columns=out_cols)
     return run
 
 
-def _scored_top_k(qrows: DataFrame, ref: DataFrame, k: int, dims: int, payload, bucket_queries: int) -> DataFrame:
+def _scored_top_k(qrows: DataFrame, ref: DataFrame, k: int, dims: int, bucket_queries: int) -> DataFrame:
     q, r = _bucket_groups(qrows, ref, bucket_queries)
     q = q.select("_cell", "_sub", "_qs", "_qid", "_qvec", "_pdc", "_tau")
-    r = r.select("_cell", "_sub", "_qs", "_rid", "_vec", "_dc", *payload)
-    out_cols = ["_qid", "_rid", "_d2", *payload]
+    r = r.select("_cell", "_sub", "_qs", "_rid", "_place", "_vec", "_dc")
+    out_cols = ["_qid", "_rid", "_place", "_d2"]
     fields = {f.name: f.dataType.simpleString() for f in (*q.schema.fields, *r.schema.fields)}
     schema = ", ".join(f"{c} {'double' if c == '_d2' else fields[c]}" for c in out_cols)
     keys = ["_cell", "_sub", "_qs"]
-    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_block_top_k(k, dims, payload, out_cols),
-                                                                     schema)
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_block_top_k(k, dims, out_cols), schema)
 
 
 def _top_k(pairs: DataFrame, k: int, keys) -> DataFrame:
@@ -222,36 +255,33 @@ def knn_search(index: NeighborIndex, queries: DataFrame, id_col: str, vec: Colum
     """Exact k nearest reference rows of every query row.
 
     Returns ``(qid, rank, rid, distance, payload...)``; rank 1 is nearest."""
-    payload = list(index.payload)
-    p = index.n_pivots
-    q = (queries.select(F.col(id_col).alias("_qid"), vec.cast("array<double>").alias("_qvec"))
-         .withColumn("_k", F.lit(0)).join(F.broadcast(index.meta), "_k")
-         .withColumn("_pd", index.pivot_dist("_qvec"))
-         .withColumn("_home", (F.array_position("_pd", F.array_min("_pd")) - 1).cast("int"))
-         .withColumn("_tau0", F.element_at(F.array_sort("_pd"), min(k, p))))
-    keep = ["_qid", "_qvec", "_cell", "_pdc", "_tau", "_ns"]
-    cols = ["_rid", "_d2", *payload]
+    if k > index.k:
+        index = index.again(k)
+    payload, spark = list(index.payload), queries.sparkSession
+    home, reach = _home_of(spark, index.pivots, k), _reach(spark, index.pivots, index.radius)
+    n_sub = lambda c: F.element_at(F.array(*[F.lit(x) for x in index.n_sub]), c + 1) if max(index.n_sub) > 1 else F.lit(1)
+    q = queries.select(F.col(id_col).alias("_qid"), vec.cast("array<double>").alias("_qvec")).withColumn("_h", home("_qvec"))
+    # Written once: both rounds and their counts per cell read it.
+    q = q.select("_qid", "_qvec", F.col("_h.home").alias("_cell"), F.col("_h.dist").alias("_pdc"), F.col("_h.tau").alias("_tau")) \
+        .checkpoint(eager=True)
 
     # Round A: the home cell, bounded by τ0.
-    qa = q.select("_qid", "_qvec", F.col("_home").alias("_cell"),
-                  F.element_at("_pd", F.col("_home") + 1).alias("_pdc"), F.col("_tau0").alias("_tau"),
-                  F.element_at("_nsub", F.col("_home")).alias("_ns")).select(*keep)
-    a1 = _scored_top_k(qa, index.ref, k, index.dims, payload, bucket_queries)
-    a2 = _top_k(a1.select("_qid", *cols), k, ["_qid"])
+    a1 = _scored_top_k(q.withColumn("_ns", n_sub(F.col("_cell"))), index.ref, k, index.dims, bucket_queries)
+    a2 = _top_k(a1, k, ["_qid"]).checkpoint(eager=True)
     tau_a = a2.groupBy("_qid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("_d2"))).alias("_taua"))
 
     # Round B: the other cells the bound cannot exclude.
-    qb = q.join(tau_a, "_qid", "left").withColumn("_tau", F.least("_tau0", "_taua"))
-    cand = F.filter(F.sequence(F.lit(0), F.lit(p - 1)),
-                    lambda c: (c != F.col("_home"))
-                    & (F.element_at("_pd", c + 1) - F.element_at("_rad", c) <= _loose(F.col("_tau"))))
-    qb = (qb.select("_qid", "_qvec", "_tau", "_pd", "_nsub", F.explode(cand).alias("_cell"))
-          .select("_qid", "_qvec", "_cell", F.element_at("_pd", F.col("_cell") + 1).alias("_pdc"), "_tau",
-                  F.element_at("_nsub", F.col("_cell")).alias("_ns")).select(*keep))
-    b1 = _scored_top_k(qb, index.ref, k, index.dims, payload, bucket_queries)
-    both = a2.unionByName(b1.select("_qid", *cols))
+    qb = q.join(tau_a, "_qid", "left").withColumn("_tau", F.least("_tau", "_taua")).withColumn("_c", reach("_qvec", "_cell", "_tau"))
+    qb = (qb.select("_qid", "_qvec", "_tau", F.explode(F.arrays_zip("_c.cells", "_c.dists")).alias("_c"))
+          .select("_qid", "_qvec", F.col("_c.cells").alias("_cell"), F.col("_c.dists").alias("_pdc"), "_tau"))
+    b1 = _scored_top_k(qb.withColumn("_ns", n_sub(F.col("_cell"))), index.ref, k, index.dims, bucket_queries)
+    near = _top_k(a2.unionByName(b1), k, ["_qid"])
+
+    # From places to rows.
+    rows = (near.join(index.ref.select("_place", "_rows"), "_place").select("_qid", "_d2", F.explode(F.slice("_rows", 1, k)).alias("_row"))
+            .select("_qid", "_d2", "_row.*"))
     w = W.partitionBy("_qid").orderBy("_d2", "_rid")
-    return (both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("_qid").alias("qid"), "rank", F.col("_rid").alias("rid"),
                     F.sqrt("_d2").alias("distance"), *payload))
 

@@ -78,3 +78,27 @@ def test_knn_candidate_both_tasks(spark):
     got = {round(r["label"], 9): r["prediction"] for r in reg.collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[key] - want[key]) < 1e-9 for key in want)
+
+
+def test_equal_vectors_are_one_place(spark):
+    rng = np.random.default_rng(5)
+    spots = rng.integers(0, 4, size=(400, 2)).astype(float)
+    ref = [(i, spots[i]) for i in range(400)]
+    qry = [(1000 + i, rng.integers(0, 5, size=2).astype(float)) for i in range(30)]
+    idx = N.build_index(_frame(spark, ref), "id", F.col("v"), k=2)
+    assert idx.ref.count() == 16 and idx.ref.selectExpr("max(size(_rows))").first()[0] == 2
+    for k in (2, 7, 30):  # more than the index keeps, and more than some places or all pivots hold
+        nb = N.knn_search(idx, _frame(spark, qry), "id", F.col("v"), k=k).orderBy("qid", "rank").collect()
+        got = {}
+        for r in nb:
+            got.setdefault(r["qid"], []).append(r["rid"])
+        assert got == _brute(ref, qry, k)
+
+
+def test_search_writes_no_distance_per_pivot(spark):
+    rng = np.random.default_rng(6)
+    ref = [(i, rng.normal(size=3)) for i in range(900)]
+    idx = N.build_index(_frame(spark, ref), "id", F.col("v"))
+    assert len(idx.pivots) == 30
+    plan = N.knn_search(idx, _frame(spark, ref[:50]), "id", F.col("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pd#" not in plan and "map<" not in plan
