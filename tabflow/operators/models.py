@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from tabflow.functions.ordering import join_on
 from tabflow.operators import metrics as V
+from tabflow.operators import sums as S
 
 # Fixed values.
 SEED = 42
@@ -331,6 +332,13 @@ def _calibrated_svm(cand: Candidate, tr: DataFrame, y: str, n_classes: int, para
     return apply
 
 
+def _fit_sums(est, tr: DataFrame, inputs: list[str], y: str) -> Callable | None:
+    """``apply(prepared test rows)`` of an estimator that needs the train rows only as sums (``sums.py``), else None."""
+    if isinstance(est, FMRegressor) and est.getFeaturesCol() == "features_s":
+        return S.fit_fm(est, tr, inputs, y)
+    return None
+
+
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
                 params: dict | None = None, weight_col: str | None = None, prepared: Prepared | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
@@ -393,11 +401,13 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
         est = _with(cand.make("features_s" if cand.scaled else "features", y, len(features), len(labels or []), **params), params)
         if weight_col and cand.weights and hasattr(est, "setWeightCol"):
             est = est.setWeightCol(weight_col)
-        stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
-                  if cand.scaled else []) + [est]
-        fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
-        model = Pipeline(stages=stages).fit(tr.select(*fit_cols))
-        apply = model.transform
+        apply = _fit_sums(est, tr, [f"_f_{c}" for c in features], y)
+        if apply is None:
+            stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
+                      if cand.scaled else []) + [est]
+            fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
+            model = Pipeline(stages=stages).fit(tr.select(*fit_cols))
+            apply = model.transform
 
     def predict(test: DataFrame) -> DataFrame:
         pred = apply(as_trained(test))
