@@ -336,6 +336,8 @@ def _fit_sums(est, tr: DataFrame, inputs: list[str], y: str) -> Callable | None:
     """``apply(prepared test rows)`` of an estimator that needs the train rows only as sums (``sums.py``), else None."""
     if isinstance(est, FMRegressor) and est.getFeaturesCol() == "features_s":
         return S.fit_fm(est, tr, inputs, y)
+    if isinstance(est, (GBTRegressor, GBTClassifier)):
+        return S.fit_boosted(est, tr, inputs, y, isinstance(est, GBTClassifier))
     return None
 
 

@@ -2,20 +2,27 @@
 
 A factorization machine's squared loss is a polynomial of second degree in the features, so its gradient at any weights
 follows from one matrix of sums over the rows. Trees see a row only as its bins, so rows of one cell (all bins equal)
-count as one weighted row, and a bootstrap of the rows is a weight per tree and cell. Each ``fit_*`` returns ``apply(prepared
+count as one weighted row. Each ``fit_*`` returns ``apply(prepared
 rows)``, or None where sums cannot stand for the rows; the caller then fits on the rows themselves.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Terms (1, features, products of two) up to which a matrix of sums is made: 24 features.
 MOMENT_TERMS = 301
+#: Cells up to which trees are fitted on cells; with more, cells would save little.
+MAX_CELLS = 40_000
+#: Distinct values of a feature up to which its bin bounds are exact, and the relative rank error of the others.
+MAX_VALUES, BOUND_ERROR = 1_000, 0.001
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
@@ -91,3 +98,107 @@ def fit_fm(est, train: DataFrame, inputs: list[str], y: str):
         return te.withColumn("prediction", out)
 
     return apply
+
+
+# --- trees -----------------------------------------------------------------------------------------------------
+
+def bin_bounds(train: DataFrame, inputs: list[str], bins: int) -> list[list[float]]:
+    """Ascending bounds per feature, as MLlib's trees choose them: between neighbours where it has at most ``bins`` values,
+    else where the running count of the values comes nearest to equal shares (MLlib counts a sample, this all rows);
+    of more than ``MAX_VALUES`` values, quantiles."""
+    d, limit = len(inputs), max(bins, MAX_VALUES)
+
+    def distinct(batches):
+        import pyarrow as pa
+        seen = [np.zeros(0)] * d
+        for b in batches:
+            for k in range(d):
+                if len(seen[k]) <= limit:  # one more than the limit tells as much as all of them
+                    x = b.column(k).to_numpy(zero_copy_only=False)
+                    seen[k] = np.union1d(seen[k], x[~np.isnan(x)])[:limit + 1]
+        yield pa.RecordBatch.from_pydict({"feature": np.repeat(np.arange(d), [len(v) for v in seen]), "value": np.concatenate(seen)})
+
+    found = train.select(*inputs).mapInArrow(distinct, "feature long, value double").groupBy("feature").agg(F.collect_set("value").alias("values"))
+    found = {r["feature"]: sorted(r["values"]) for r in found.select("feature", F.slice(F.array_sort("values"), 1, limit + 1).alias("values")).collect()}
+    values = [found.get(k, []) for k in range(d)]
+    many = [c for c, v in zip(inputs, values) if len(v) > limit]
+    cuts = dict(zip(many, train.approxQuantile(many, [k / bins for k in range(1, bins)], BOUND_ERROR) if many else []))
+    for c, v in zip(inputs, values):
+        if c not in cuts:
+            counts = None
+            if len(v) > bins:
+                got = {r[0]: r[1] for r in train.where(~F.isnan(c)).groupBy(c).agg(F.count(F.lit(1))).collect()}  # at most the limit
+                counts = [got[x] for x in v]
+            cuts[c] = _between(v, counts, bins)
+    return [sorted(set(cuts[c])) for c in inputs]
+
+
+def _between(values: list[float], counts: list[int] | None, bins: int) -> list[float]:
+    """Middles between neighbours: all, or with ``counts`` those nearest to equal shares of the rows."""
+    if counts is None:
+        return [a / 2 + b / 2 for a, b in zip(values, values[1:])]
+    stride, out = sum(counts) / bins, []
+    target, now = stride, counts[0]
+    for k in range(1, len(values)):
+        before, now = now, now + counts[k]
+        if abs(before - target) < abs(now - target):
+            out.append(values[k - 1] / 2 + values[k] / 2)
+            target += stride
+    return out[:bins - 1]
+
+
+def _bin(c: str, bounds: list[float]) -> F.Column:
+    """How many bounds lie below the value: the bin, as a tree's ``<=`` goes."""
+    return functools.reduce(operator.add, ((F.col(c) > F.lit(b)).cast("int") for b in bounds), F.lit(0))
+
+
+class Cells:
+    """Train rows by cell (the bins of all features): ``rows`` are the train rows with their ``cell``, ``table`` has one row
+    per cell and target class (or per cell): ``cell``, bins ``b0..``, ``n`` (rows, or their weights), ``y`` (class or mean)."""
+
+    def __init__(self, train: DataFrame, inputs: list[str], y: str, bins: int, by_class: bool, weight: str | None = None):
+        self.inputs, self.bounds, self.bins = inputs, bin_bounds(train, inputs, bins), bins
+        target = F.col(y).cast("double")
+        self.rows = train.select(self.key().alias("cell"), target.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"))
+        keys = ["cell", "y"] if by_class else ["cell"]
+        table = self.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.sum("weight").alias("n"), F.avg("y").alias("mean"),
+                                             F.count(F.when(~F.isnan("y"), 1)).alias("known"))
+        self.table = table.select("cell", *self.parts(F.col("cell")), "count", "known", "n", (F.col("y") if by_class else F.col("mean")).alias("y")).checkpoint(eager=True)
+        got = self.table.agg(F.count(F.lit(1)), F.sum("count"), F.sum("known")).first()
+        self.size = got[0]
+        #: Whether cells can stand for the rows: few of them, and every target known.
+        self.usable = 0 < got[0] <= MAX_CELLS and got[1] == got[2]
+
+    def key(self) -> F.Column:
+        return functools.reduce(lambda k, x: k * self.bins + x, (_bin(c, b).cast("long") for c, b in zip(self.inputs, self.bounds)), F.lit(0).cast("long"))
+
+    def parts(self, cell: F.Column) -> list[F.Column]:
+        """The bins of a cell's number, as features ``b0..``."""
+        d = len(self.inputs)
+        return [(F.floor(cell / F.lit(self.bins ** (d - 1 - k))) % self.bins).cast("double").alias(f"b{k}") for k in range(d)]
+
+    def vectors(self, df: DataFrame) -> DataFrame:
+        return VectorAssembler(inputCols=[f"b{k}" for k in range(len(self.inputs))], outputCol="bins").transform(df)
+
+
+def _cells(est, train: DataFrame, inputs: list[str], y: str, by_class: bool, weight: str | None = None) -> Cells | None:
+    bins = est.getMaxBins()
+    if not inputs or bins ** len(inputs) > 1 << 50 or est.getMinInstancesPerNode() > 1 or est.getMinWeightFractionPerNode() > 0 or est.getSubsamplingRate() != 1.0:
+        return None
+    cells = Cells(train, inputs, y, bins, by_class, weight)
+    return cells if cells.usable else None
+
+
+def fit_boosted(est, train: DataFrame, inputs: list[str], y: str, by_class: bool):
+    """Boosted trees of ``est`` on cells: rows of a cell (and class) have one gradient, and a spread inside a cell shifts the
+    impurity of a node and of its children alike, so weighted cells give the gains that their rows give."""
+    cells = _cells(est, train, inputs, y, by_class)
+    if cells is None:
+        return None
+    model = est.copy().setFeaturesCol("bins").setLabelCol("y").setWeightCol("n").fit(cells.vectors(cells.table.coalesce(2)))
+
+    def apply(te: DataFrame) -> DataFrame:
+        at = te.select("*", *(_bin(c, b).cast("double").alias(f"b{k}") for k, (c, b) in enumerate(zip(cells.inputs, cells.bounds))))
+        return model.transform(cells.vectors(at))
+
+    return apply

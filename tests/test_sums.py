@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.regression import FMRegressor
+from pyspark.ml.regression import FMRegressor, GBTRegressor
+from pyspark.sql import functions as F
 
 from tabflow.operators import models as M
 from tabflow.operators import sums as S
@@ -42,3 +44,48 @@ def test_fm_with_a_null_target_fails_as_before(spark):
     d = _rows(spark).unionByName(spark.createDataFrame([(1.0, 0.1, 7.0, 0.0, None)], "a double, b double, c double, e double, y double"))
     got = M.run_candidates(spark, d, d, ["a", "b", "e"], "y", "regression", ["factorization_machine"]).collect()
     assert [r.status for r in got] == ["failed"] and "Null" in got[0].error
+
+
+def _boost(est, d, y):
+    ready = M.prepare_train(d, ["a", "b", "c"], y, "regression")
+    apply = S.fit_boosted(est, ready.rows, ["_f_a", "_f_b", "_f_c"], y, isinstance(est, GBTClassifier))
+    want = est.fit(ready.rows).transform(ready.rows)
+    return [r.prediction for r in apply(ready.rows).collect()], [r.prediction for r in want.collect()]
+
+
+def _stepped(spark):
+    """Few values per feature: MLlib's bounds and those of the cells are the same."""
+    return _rows(spark).withColumn("a", F.floor("a")).where("a < 30").withColumn("z", (F.col("y") > 80).cast("double"))
+
+
+def test_boosted_cells_are_boosted_rows(spark):
+    d = _stepped(spark)
+    got, want = _boost(GBTRegressor(featuresCol="features", labelCol="y", seed=42, maxIter=4), d, "y")
+    assert got == pytest.approx(want, rel=1e-9)
+    got, want = _boost(GBTClassifier(featuresCol="features", labelCol="z", seed=42, maxIter=3), d, "z")
+    assert got == want and len(set(got)) == 2
+
+
+def test_boosting_reads_cells_not_rows(spark, monkeypatch):
+    def on_cells(self, dataset, params=None):
+        assert dataset.count() <= 33 * 3, "trees are grown on rows"
+        return fit(self, dataset, params)
+
+    fit = GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", on_cells)
+    d = _rows(spark, 2000)
+    got = M.run_candidates(spark, d, d, ["a", "b"], "y", "regression", ["gradient_boosting"]).collect()
+    assert {r.status for r in got} == {"success"} and {r.metric: r.value for r in got}["r2"] > 0.5, got
+
+
+def test_more_cells_than_allowed_are_fitted_on_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_CELLS", 5)
+    est = GBTRegressor(featuresCol="features", labelCol="y", seed=42, maxIter=2)
+    ready = M.prepare_train(_rows(spark), ["a", "b"], "y", "regression")
+    assert S.fit_boosted(est, ready.rows, ["_f_a", "_f_b"], "y", False) is None
+
+
+def test_bounds_are_nearest_to_equal_shares():
+    assert S._between([1.0, 2.0, 3.0], None, 4) == [1.5, 2.5]
+    assert S._between([float(x) for x in range(1, 6)], [10, 10, 10, 10, 10], 2) == [2.5]
+    assert S._between([float(x) for x in range(1, 51)], [100] * 50, 32)[:5] == [2.5, 3.5, 5.5, 6.5, 8.5]
