@@ -87,5 +87,5 @@ def test_more_cells_than_allowed_are_fitted_on_rows(spark, monkeypatch):
 
 def test_bounds_are_nearest_to_equal_shares():
     assert S._between([1.0, 2.0, 3.0], None, 4) == [1.5, 2.5]
-    assert S._between([float(x) for x in range(1, 6)], [10, 10, 10, 10, 10], 2) == [2.5]
+    assert S._between([float(x) for x in range(1, 6)], [10, 10, 10, 10, 10], 2) == [3.5]  # of two as near, the later
     assert S._between([float(x) for x in range(1, 51)], [100] * 50, 32)[:5] == [2.5, 3.5, 5.5, 6.5, 8.5]
