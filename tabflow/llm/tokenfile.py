@@ -23,7 +23,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,7 +35,8 @@ from tabflow.llm.common import col, documents, process_cache, put_file, shared_f
 
 BLOCK_IDS, STEPS = 1 << 20, 256
 T2_BITS, T1_BITS = 18, 16
-TOP_CONF = 15
+CONF_BITS = 4
+TOP_CONF = (1 << CONF_BITS) - 1
 #: Ranges are split in 2**MIX_BITS parts between the orders and in 2**FREQ_BITS parts by order 0.
 MIX_BITS, FREQ_BITS = 16, 24
 END_ID = 2
@@ -47,32 +49,36 @@ LOW32 = np.uint64(0xFFFFFFFF)
 
 
 class Model:
-    """Statistics of one block, shared by its lanes; encoder and decoder call the same methods in the same order."""
+    """Statistics of one block, shared by its lanes; encoder and decoder call the same methods in the same order.
+
+    An entry of orders 2 and 1 is one number: the predicted id, then its confidence in the lowest ``CONF_BITS``."""
 
     def __init__(self, lanes: int, vocabulary: int):
-        self.id2, self.conf2 = np.zeros(1 << T2_BITS, np.int32), np.zeros(1 << T2_BITS, np.uint8)
-        self.id1, self.conf1 = np.zeros(1 << T1_BITS, np.int32), np.zeros(1 << T1_BITS, np.uint8)
+        kind = np.int32 if vocabulary << CONF_BITS <= 1 << 31 else np.int64
+        self.order2, self.order1 = np.zeros(1 << T2_BITS, kind), np.zeros(1 << T1_BITS, kind)
         self.mixture = np.tile(np.array([1, 1, 2], np.int64), (512, 1))
         self.freq = np.ones(vocabulary, np.int64)
         self.missed, self.outcomes, self.step, self.next_build = [], [], 0, 0
         self.weigh()
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
+        self.p1, self.mixed1, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def weigh(self):
-        """Splits of the range per mixture context, in 2**-MIX_BITS: what order 2 gets, and orders 2 and 1 together."""
+        """Splits of the range per mixture context, in 2**-MIX_BITS: what order 2 gets, and orders 2 and 1 together; and
+        the start and width of each event's part at ``context * 3 + event``."""
         total = self.mixture.sum(1)
         self.q0 = ((self.mixture[:, 0] << MIX_BITS) // total).astype(np.uint64)
         self.q1 = ((self.mixture[:, 0] + self.mixture[:, 1] << MIX_BITS) // total).astype(np.uint64)
+        edges = np.stack([np.zeros_like(self.q0), self.q0, self.q1, np.full_like(self.q0, 1 << MIX_BITS)], 1)
+        self.start, self.width = edges[:, :3].ravel(), np.diff(edges).ravel()
 
     def predict(self, m: int):
         if self.step >= self.next_build:
-            for x in self.missed:
-                self.freq += 8 * np.bincount(x, minlength=len(self.freq))
+            if self.missed:  # one pass over the vocabulary for all steps since the last
+                self.freq += 8 * np.bincount(np.concatenate(self.missed), minlength=len(self.freq))
             self.missed = []
             cum = np.concatenate([[0], np.cumsum(self.freq)])
-            self.cum = ((cum << FREQ_BITS) // cum[-1]).astype(np.uint64)
-            self.next_build = self.step + min(max(self.step, 1), 32)
+            self.cum = ((cum << FREQ_BITS) // cum[-1]).astype(np.uint32)
+            self.next_build, self.near = self.step + min(max(self.step, 1), 32), None
         if len(self.outcomes) == 4:
             seen = np.concatenate(self.outcomes)
             self.outcomes = []
@@ -80,27 +86,41 @@ class Model:
             while (big := self.mixture.sum(1) > (1 << MIX_BITS)).any():
                 self.mixture[big] = (self.mixture[big] >> 1) + 1
             self.weigh()
-        p1, p2 = self.p1[:m], self.p2[:m]
-        self.at2 = ((p1 * 0x2545F491 + p2 * 0x9E3779B1) >> 7) & ((1 << T2_BITS) - 1)
-        self.at1 = ((p1 * 0x9E3779B1) >> 9) & ((1 << T1_BITS) - 1)
-        self.c2, self.c1 = self.id2[self.at2], self.id1[self.at1]
-        self.k2, self.k1 = self.conf2[self.at2], self.conf1[self.at1]
-        self.state = (self.c1 == self.c2) * 256 + self.k2.astype(np.int64) * 16 + self.k1
-        self.w0, self.w01 = self.q0[self.state], self.q1[self.state]
-
-    def learn(self, x, event):
+        p1 = self.p1[:m]
+        self.at2 = ((p1 * 0x2545F491 + self.mixed2[:m]) >> 7) & ((1 << T2_BITS) - 1)
+        self.at1 = (self.mixed1[:m] >> 9) & ((1 << T1_BITS) - 1)
+        self.e2, self.e1 = self.order2.take(self.at2), self.order1.take(self.at1)
+        self.c2, self.c1 = self.e2 >> CONF_BITS, self.e1 >> CONF_BITS
+        self.k2, self.k1 = self.e2 & TOP_CONF, self.e1 & TOP_CONF
+        self.state = (self.k2 << CONF_BITS) + self.k1
+        self.state += (self.c1 == self.c2) * self.state.dtype.type(256)
+        self.state3 = self.state * 3
+
+    def symbols(self, v):
+        """The ids whose order-0 parts hold ``v``: by the upper 16 bits where these belong to one id, else by search."""
+        low = FREQ_BITS - 16
+        if self.near is None:
+            self.near = np.cumsum(np.bincount((self.cum.astype(np.int64) + (1 << low) - 1) >> low, minlength=(1 << 16) + 1)) - 1
+        part = (v >> np.uint32(low)).astype(np.int64)
+        y = self.near.take(part)
+        open_ = np.flatnonzero(self.near.take(part + 1) != y)
+        if len(open_):
+            order = np.sort((v[open_].astype(np.int64) << 32) | open_)
+            y[order & 0xFFFFFFFF] = np.searchsorted(self.cum, (order >> 32).astype(np.uint32), "right") - 1
+        return y
+
+    def learn(self, x, at, hit2, hit1, miss):
+        """``x``: the ids; ``at``: ``context * 3 + event`` of each; the hits of orders 2 and 1, and the ids without any."""
         m = len(x)
-        self.outcomes.append(self.state * 3 + event)
-        for ids, confs, at, c, k in ((self.id2, self.conf2, self.at2, self.c2, self.k2), (self.id1, self.conf1, self.at1, self.c1, self.k1)):
-            hit = c == x
-            new = ~hit & (k < 2)
-            confs[at] = np.where(hit, np.minimum(k + 1, TOP_CONF), np.where(new, 1, k >> 1))
-            ids[at] = np.where(new, x, c)
-        miss = x[event == 2]
+        self.outcomes.append(at)
+        fresh = (x << CONF_BITS | 1).astype(self.e2.dtype)
+        for entries, to, e, k, hit in ((self.order2, self.at2, self.e2, self.k2, hit2), (self.order1, self.at1, self.e1, self.k1, hit1)):
+            entries[to] = np.where(hit, e + (k < TOP_CONF), np.where(k < 2, fresh, e - ((k + 1) >> 1)))
         if len(miss):
             self.missed.append(miss)
-        self.p2[:m] = self.p1[:m]
         self.p1[:m] = x
+        self.mixed1, self.mixed2 = self.mixed2, self.mixed1
+        np.multiply(x, 0x9E3779B1, out=self.mixed1[:m])
         self.step += 1
 
 
@@ -113,15 +133,9 @@ def lane_layout(n: int) -> tuple[int, np.ndarray]:
     return lanes, np.concatenate([[0], np.cumsum(size)])
 
 
-def _narrow(low, rng, at, start, freq, bits):
-    r = rng[at] >> bits
-    low[at] += r * start
-    rng[at] = r * freq
-
-
-def _renormalise(low, rng, at):
-    """Lanes of ``at`` whose range is short, cut to one upper word; (lanes, their upper words), shifted."""
-    short = at[rng[at] < (np.uint64(1) << U32)]
+def _renormalise(low, rng):
+    """Lanes whose range is short, cut to one upper word; (lanes, their upper words), shifted."""
+    short = np.flatnonzero(rng < (np.uint64(1) << U32))
     if len(short) == 0:
         return short, None
     lo, ra = low[short], rng[short]
@@ -139,38 +153,46 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
     model = Model(lanes, vocabulary)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     longest = int(starts[1])
-    words, used = np.zeros((lanes, 2 * longest + 2), np.uint32), np.zeros(lanes, np.int64)
+    room = 2 * longest + 2
+    words, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    end = first.copy()
     full = n - lanes * (longest - 1) if longest > 1 or n < lanes else lanes
-    every = np.arange(lanes)
     ids = ids.astype(np.int64)
 
-    def push(at):
-        short, word = _renormalise(low, rng, at)
+    def push(low, rng, at=None):
+        short, word = _renormalise(low, rng)
         if len(short):
-            words[short, used[short]] = word
-            used[short] += 1
+            short = short if at is None else at[short]
+            words[end[short]] = word
+            end[short] += 1
 
     for t in range(longest):
         m = lanes if t < longest - 1 else full
-        act = every[:m]
         x = ids[starts[:m] + t]
         model.predict(m)
-        event = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
-        zero = np.uint64(0)
-        start = np.where(event == 0, zero, np.where(event == 1, model.w0, model.w01))
-        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, np.uint64(1 << MIX_BITS)))
-        _narrow(low, rng, act, start, end - start, np.uint64(MIX_BITS))
-        push(act)
-        miss = act[event == 2]
+        hit2, hit1 = x == model.c2, x == model.c1
+        at = model.state3 + np.where(hit2, 0, 2 - hit1)
+        lo, ra = low[:m], rng[:m]
+        ra >>= np.uint64(MIX_BITS)
+        lo += ra * model.start.take(at)
+        ra *= model.width.take(at)
+        push(lo, ra)
+        miss = np.flatnonzero(~(hit2 | hit1))
+        y = x[miss]
         if len(miss):
-            y = x[event == 2]
-            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], np.uint64(FREQ_BITS))
-            push(miss)
-        model.learn(x, event)
+            lo, ra = low[miss], rng[miss] >> np.uint64(FREQ_BITS)
+            start = model.cum[y]
+            lo += ra * start
+            ra *= model.cum[y + 1] - start
+            push(lo, ra, miss)
+            low[miss], rng[miss] = lo, ra
+        model.learn(x, at, hit2, hit1, y)
     for word in (low >> U32, low & LOW32):
-        words[every, used] = word
-        used += 1
-    payload = used.astype("<u4").tobytes() + words[np.arange(words.shape[1]) < used[:, None]].astype("<u4").tobytes()
+        words[end] = word
+        end += 1
+    used = end - first
+    words = words.reshape(lanes, room)
+    payload = used.astype("<u4").tobytes() + words[np.arange(room) < used[:, None]].astype("<u4").tobytes()
     return struct.pack("<4sIIII", b"BLOK", n, lanes, len(payload), zlib.crc32(payload)) + payload
 
 
@@ -179,42 +201,51 @@ def decode_block(n: int, lanes: int, payload: bytes, vocabulary: int = VOCABULAR
     counts = np.frombuffer(payload, "<u4", lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(payload, "<u4", offset=4 * lanes).astype(np.uint64), np.zeros(2, np.uint64)])
     at = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    code = (words[at] << U32) | words[at + 1]
+    code = (words[at] << U32) | words[at + 1]  # kept as its distance from low
     at = at + 2
     model = Model(lanes, vocabulary)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     longest = int(starts[1])
     full = n - lanes * (longest - 1) if longest > 1 or n < lanes else lanes
-    every = np.arange(lanes)
     out = np.empty(n, np.int64)
 
-    def pull(act):
-        short, word = _renormalise(low, rng, act)
+    def pull(low, rng, code, lane=None):
+        short, _ = _renormalise(low, rng)
         if len(short):
-            code[short] = (code[short] << U32) | words[at[short]]
-            at[short] += 1
+            own = short if lane is None else lane[short]
+            place = at[own]
+            code[short] = (code[short] << U32) | words[place]
+            at[own] = place + 1
 
     for t in range(longest):
         m = lanes if t < longest - 1 else full
-        act = every[:m]
         model.predict(m)
-        v, r = code[:m] - low[:m], rng[:m] >> np.uint64(MIX_BITS)
-        event = (v >= r * model.w0).astype(np.int64) + (v >= r * model.w01)
-        zero = np.uint64(0)
-        start = np.where(event == 0, zero, np.where(event == 1, model.w0, model.w01))
-        end = np.where(event == 0, model.w0, np.where(event == 1, model.w01, np.uint64(1 << MIX_BITS)))
-        _narrow(low, rng, act, start, end - start, np.uint64(MIX_BITS))
-        pull(act)
-        x = np.where(event == 0, model.c2, model.c1).astype(np.int64)
-        miss = act[event == 2]
+        lo, ra, co = low[:m], rng[:m], code[:m]
+        ra >>= np.uint64(MIX_BITS)
+        over2, over1 = co >= ra * model.q0.take(model.state), co >= ra * model.q1.take(model.state)
+        event = model.state3 + over2 + over1
+        step = ra * model.start.take(event)
+        lo += step
+        co -= step
+        ra *= model.width.take(event)
+        pull(lo, ra, co)
+        x = np.where(over2, model.c1, model.c2).astype(np.int64)
+        miss = np.flatnonzero(over1)
+        y = miss
         if len(miss):
-            v = np.minimum((code[miss] - low[miss]) // (rng[miss] >> np.uint64(FREQ_BITS)), model.cum[-1] - np.uint64(1))
-            y = np.searchsorted(model.cum, v, "right") - 1
-            _narrow(low, rng, miss, model.cum[y], model.cum[y + 1] - model.cum[y], np.uint64(FREQ_BITS))
-            pull(miss)
+            lo, ra, co = low[miss], rng[miss] >> np.uint64(FREQ_BITS), code[miss]
+            v = np.minimum(co // ra, np.uint64(int(model.cum[-1]) - 1)).astype(np.uint32)
+            y = model.symbols(v)
+            start = model.cum[y]
+            step = ra * start
+            lo += step
+            co -= step
+            ra *= model.cum[y + 1] - start
+            pull(lo, ra, co, miss)
+            low[miss], rng[miss], code[miss] = lo, ra, co
             x[miss] = y
         out[starts[:m] + t] = x
-        model.learn(x, event)
+        model.learn(x, event, x == model.c2, x == model.c1, y)
     return out
 
 
@@ -246,26 +277,27 @@ class Pieces:
         self.clear()
 
     def clear(self):
-        self.known = {}
+        self.known = defaultdict(count().__next__)  # a piece looked up for the first time gets the next number
         self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.n = self.used = 0
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray):
-        n, used = self.n + len(pieces), self.used + len(ids)
-        if n > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * n), np.resize(self.size, 2 * n)
+    def keep(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        used = self.used + len(ids)
         if used > len(self.flat):
             self.flat = np.resize(self.flat, 2 * used)
-        self.start[self.n:n] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n:n] = sizes
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
         self.flat[self.used:used] = ids
-        self.known.update(zip(pieces, range(self.n, n)))
-        self.n, self.used = n, used
+        self.used = used
 
     def add(self, new: list[str]):
+        """Keep the ids of ``new``, the pieces numbered from ``n`` on."""
+        numbers = np.arange(self.n, self.n + len(new))
+        if len(self.known) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.known)), np.resize(self.size, 2 * len(self.known))
         texts = [p[1:] if p[:1] == "\0" else " " + p for p in new]
         # Pieces with blanks inside (or nothing) could run into the line breaks: those go one by one.
         alone = []
@@ -273,12 +305,12 @@ class Pieces:
             alone = [k for k, p in enumerate(new) if not p or p == "\0" or self.blank.search(p)]
         if alone:
             got = self.ids_of([texts[k] for k in alone])
-            self.keep([new[k] for k in alone], np.concatenate(got), np.array([len(g) for g in got], np.int64))
+            self.keep(numbers[alone], np.concatenate(got), np.array([len(g) for g in got], np.int64))
             skip = set(alone)
             texts = [t for k, t in enumerate(texts) if k not in skip]
-            new = [p for k, p in enumerate(new) if k not in skip]
-        for lo in range(0, len(new), 250):
-            part = new[lo:lo + 250]
+            numbers = np.delete(numbers, alone)
+        for lo in range(0, len(texts), 250):
+            part = numbers[lo:lo + 250]
             ids = self.ids_of(["\n".join(texts[lo:lo + 250])])[0]
             ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
             sizes = np.diff(np.concatenate([[-1], ends])) - 1
@@ -287,6 +319,18 @@ class Pieces:
             else:  # another vocabulary may cut line breaks otherwise
                 got = self.ids_of(texts[lo:lo + 250])
                 self.keep(part, np.concatenate(got), np.array([len(g) for g in got], np.int64))
+        self.n = len(self.known)
+
+    def numbers(self, parts: list[list[str]]) -> np.ndarray:
+        """The number of every piece, those met for the first time encoded and kept."""
+        try:
+            order = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+            if len(self.known) > self.n:
+                self.add([*islice(reversed(self.known), len(self.known) - self.n)][::-1])
+        except BaseException:
+            self.clear()  # no number without its ids stays
+            raise
+        return order
 
     def plain(self, text: str) -> bool:
         """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
@@ -318,11 +362,7 @@ class Pieces:
                     runs.append((got, np.array([len(got)], np.int64)))
             return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
         parts = [self.pieces(t) for t in texts]
-        new = [p for p in set().union(*parts) if p not in self.known]
-        if new:
-            self.add(new)
-        total = sum(map(len, parts))
-        order = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, total)
+        order = self.numbers(parts)
         size = self.size[order]
         at = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[order] - at[:-1], size) + np.arange(at[-1])]

@@ -38,6 +38,29 @@ def test_predictable_ids_take_few_bits():
     assert len(tokenfile.encode_block(ids)) * 8 / len(ids) < 3
 
 
+def test_order0_is_counted_per_build_not_per_step(monkeypatch):
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 50257, 9000), rng.zipf(1.3, 11_000) % 500])
+    wide, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, minlength=0: (wide.append(minlength), count(x, minlength=minlength))[1])
+    out = tokenfile.encode_block(ids)
+    assert wide.count(50257) <= 16  # one for each of 256 steps before
+    # The bytes of the format did not change with it.
+    assert (len(out), zlib.crc32(out)) == (30768, 3880249870)
+    assert (tokenfile.decode_block(len(ids), struct.unpack("<I", out[8:12])[0], out[20:]) == ids).all()
+
+
+def test_a_failed_encoding_leaves_no_number_without_ids(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    pieces = tokenfile.Pieces(public.path("byte_bpe_50k.json"))
+    want = [x.tolist() for x in pieces.encode(["one two", "three"], 2)]
+    pieces.clear()
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(pieces, "ids_of", lambda texts: (_ for _ in ()).throw(RuntimeError("worker lost")))
+        pieces.encode(["one two", "three"], 2)
+    assert [x.tolist() for x in pieces.encode(["one two", "three"], 2)] == want
+
+
 def test_pieces_equal_whole_text_encoding():
     from hypothesis import given, settings
     from hypothesis import strategies as st
