@@ -332,12 +332,14 @@ def _calibrated_svm(cand: Candidate, tr: DataFrame, y: str, n_classes: int, para
     return apply
 
 
-def _fit_sums(est, tr: DataFrame, inputs: list[str], y: str) -> Callable | None:
+def _fit_sums(est, tr: DataFrame, inputs: list[str], y: str, n_classes: int) -> Callable | None:
     """``apply(prepared test rows)`` of an estimator that needs the train rows only as sums (``sums.py``), else None."""
     if isinstance(est, FMRegressor) and est.getFeaturesCol() == "features_s":
         return S.fit_fm(est, tr, inputs, y)
     if isinstance(est, (GBTRegressor, GBTClassifier)):
         return S.fit_boosted(est, tr, inputs, y, isinstance(est, GBTClassifier))
+    if isinstance(est, (RandomForestRegressor, RandomForestClassifier)):
+        return S.fit_forest(est, tr, inputs, y, n_classes if isinstance(est, RandomForestClassifier) else 0)
     return None
 
 
@@ -403,7 +405,7 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
         est = _with(cand.make("features_s" if cand.scaled else "features", y, len(features), len(labels or []), **params), params)
         if weight_col and cand.weights and hasattr(est, "setWeightCol"):
             est = est.setWeightCol(weight_col)
-        apply = _fit_sums(est, tr, [f"_f_{c}" for c in features], y)
+        apply = _fit_sums(est, tr, [f"_f_{c}" for c in features], y, len(labels or []))
         if apply is None:
             stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
                       if cand.scaled else []) + [est]

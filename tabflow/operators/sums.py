@@ -2,8 +2,8 @@
 
 A factorization machine's squared loss is a polynomial of second degree in the features, so its gradient at any weights
 follows from one matrix of sums over the rows. Trees see a row only as its bins, so rows of one cell (all bins equal)
-count as one weighted row. Each ``fit_*`` returns ``apply(prepared
-rows)``, or None where sums cannot stand for the rows; the caller then fits on the rows themselves.
+count as one weighted row; a forest draws every row's copies for every tree in one pass and keeps their sums by cell.
+Each ``fit_*`` returns ``apply(prepared rows)``, or None where sums cannot stand for the rows; the caller then fits on the rows themselves.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import functools
 import operator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ MOMENT_TERMS = 301
 MAX_CELLS = 40_000
 #: Distinct values of a feature up to which its bin bounds are exact, and the relative rank error of the others.
 MAX_VALUES, BOUND_ERROR = 1_000, 0.001
+#: Depth up to which a forest is grown on cells, and the sums that a task keeps before it passes them on.
+MAX_FOREST_DEPTH, TASK_SUMS = 12, 1 << 22
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
@@ -202,3 +205,148 @@ def fit_boosted(est, train: DataFrame, inputs: list[str], y: str, by_class: bool
         return model.transform(cells.vectors(at))
 
     return apply
+
+
+def _draws(rows: DataFrame, trees: int, seed: int, classes: int) -> DataFrame:
+    """(tree, cell, class, w, s): weight and weighted target of the rows that each tree draws, by cell (and class).
+
+    Every tree takes every row a Poisson(1) number of times, as MLlib's bagging does; the numbers repeat with the
+    partitions of the (written) rows."""
+    most = TASK_SUMS
+
+    def draw(batches):
+        import pyarrow as pa
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, TaskContext.get().partitionId()])
+        keys, total = {}, np.zeros((2, 64, trees))
+
+        def passed_on():
+            key, sums = np.repeat(np.fromiter(keys, np.int64, len(keys)), trees), total[:, :len(keys)].reshape(2, -1)
+            tree, some = np.tile(np.arange(trees), len(keys)), sums[0] > 0
+            return pa.RecordBatch.from_pydict({"tree": tree[some], "key": key[some], "w": sums[0][some], "s": sums[1][some]})
+
+        for b in batches:
+            key, y, weight = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for lo in range(0, len(key), 4096):
+                k, target, own = key[lo:lo + 4096], y[lo:lo + 4096], weight[lo:lo + 4096]
+                order = np.argsort(k, kind="stable")
+                k, target, own = k[order], target[order], own[order]
+                first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+                at = np.array([keys.setdefault(x, len(keys)) for x in k[first].tolist()])
+                if len(keys) > total.shape[1]:
+                    total = np.concatenate([total, np.zeros((2, max(len(keys), total.shape[1]), trees))], axis=1)
+                taken = rng.poisson(1.0, (len(k), trees)) * own[:, None]
+                total[0, at] += np.add.reduceat(taken, first, axis=0)
+                total[1, at] += np.add.reduceat(taken * target[:, None], first, axis=0)
+                if len(keys) * trees > most:
+                    yield passed_on()
+                    keys.clear()
+                    total[:] = 0
+        if keys:
+            yield passed_on()
+
+    key = F.col("cell") * classes + (F.col("y").cast("long") if classes > 1 else F.lit(0))
+    found = rows.select(key.alias("key"), "y", "weight").mapInArrow(draw, "tree long, key long, w double, s double")
+    return found.groupBy("tree", "key").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+
+
+def fit_forest(est, train: DataFrame, inputs: list[str], y: str, classes: int):
+    """The random forest of ``est`` on cells; ``classes``: their number, 0 for regression. One pass over the rows draws the
+    copies of all trees; a tree is then grown by one task from its sums by cell (at most ``MAX_CELLS``, and class)."""
+    weight = est.getWeightCol() if est.isDefined(est.weightCol) and est.getWeightCol() else None
+    if (est.getNumTrees() < 2 or not est.getBootstrap() or est.getMaxDepth() > MAX_FOREST_DEPTH or est.getFeatureSubsetStrategy() != "auto"
+            or est.getImpurity() != ("gini" if classes else "variance")):
+        return None
+    cells = _cells(est, train, inputs, y, classes > 0, weight)
+    if cells is None:
+        return None
+    d, bins, k, trees, depth, seed = len(inputs), cells.bins, max(classes, 1), est.getNumTrees(), est.getMaxDepth(), est.getSeed()
+    tried, least = int(np.ceil(np.sqrt(d) if classes else d / 3)), est.getMinInfoGain()
+
+    def grow(pdf):
+        import pandas as pd
+        tree, cell = int(pdf["tree"].iloc[0]), pdf["key"].to_numpy() // k
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, trees, tree])
+        parts = np.stack([cell // bins ** (d - 1 - f) % bins for f in range(d)])
+        if classes:
+            stats = np.zeros((len(cell), k))
+            stats[np.arange(len(cell)), pdf["key"].to_numpy() % k] = pdf["w"].to_numpy()
+        else:
+            stats = pdf[["w", "s"]].to_numpy()
+        size = (lambda t: t.sum(-1)) if classes else (lambda t: t[..., 0])
+
+        def score(t):  # what impurity leaves of the sum of squares: the larger, the purer
+            return (np.square(t).sum(-1) if classes else np.square(t[..., 1])) / np.where(size(t) > 0, size(t), 1)
+
+        at, found = np.ones(len(cell), np.int64), {}
+        for level in range(depth + 1):
+            names, node = np.unique(at, return_inverse=True)
+            n = len(names)
+            whole = np.stack([np.bincount(node, c, n) for c in stats.T], -1)
+            gain, feature, cut = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64)
+            allowed = rng.random((n, d)).argsort(1).argsort(1) < tried
+            for f in range(d if level < depth else 0):
+                left = np.stack([np.bincount(node * bins + parts[f], c, n * bins) for c in stats.T], -1).reshape(n, bins, -1).cumsum(1)[:, :-1]
+                right = whole[:, None] - left
+                here = (score(left) + score(right) - score(whole)[:, None]) / size(whole)[:, None]
+                here = np.where((size(left) > 0) & (size(right) > 0) & allowed[:, f, None], here, -np.inf)
+                best = here.argmax(1)
+                top = here[np.arange(n), best]
+                more = top > gain
+                gain[more], feature[more], cut[more] = top[more], f, best[more]
+            feature[(gain <= 0) | (gain < least)] = -1
+            for i, name in enumerate(names.tolist()):
+                value = whole[i] / size(whole[i]) if classes else whole[i, 1:] / whole[i, 0]
+                found[name] = [int(feature[i]), int(cut[i]), value.tolist()]
+            deeper = feature[node] >= 0
+            node, at, stats, parts = node[deeper], at[deeper], stats[deeper], parts[:, deeper]
+            if not len(at):
+                break
+            at = 2 * at + (parts[feature[node], np.arange(len(at))] > cut[node])
+        # Leaves of one parent that predict alike are one, as in MLlib's trees.
+        says = (lambda v: int(np.argmax(v))) if classes else (lambda v: v[0])
+        for name in sorted(found, reverse=True):
+            a, b = found.get(2 * name), found.get(2 * name + 1)
+            if found[name][0] >= 0 and a[0] < 0 and b[0] < 0 and says(a[2]) == says(b[2]):
+                found[name][0] = -1
+        return pd.DataFrame([(tree, name, *x) for name, x in found.items()], columns=["tree", "node", "feature", "cut", "value"])
+
+    drawn = _draws(cells.rows, trees, seed, k)
+    # As many rows as the trees have nodes.
+    nodes = drawn.groupBy("tree").applyInPandas(grow, "tree long, node long, feature long, cut long, value array<double>").collect()
+    grown: dict = {}
+    for r in nodes:
+        grown.setdefault(r["tree"], {})[r["node"]] = r
+    packed = []
+    for t in sorted(grown):  # per tree: place of the left child (the right one follows it; 0: leaf), feature, cut, value
+        order, todo = [], [1]
+        while todo:
+            name = todo.pop(0)
+            order.append(name)
+            if grown[t][name]["feature"] >= 0:
+                todo += [2 * name, 2 * name + 1]
+        place = {name: i for i, name in enumerate(order)}
+        rows = [grown[t][name] for name in order]
+        packed.append((np.array([place[2 * r["node"]] if r["feature"] >= 0 else 0 for r in rows]), np.array([r["feature"] for r in rows]),
+                       np.array([r["cut"] for r in rows]), np.array([r["value"] for r in rows], float)))
+
+    def answer(cell):
+        import pandas as pd
+        one, back = np.unique(cell.to_numpy(), return_inverse=True)
+        parts = np.stack([one // bins ** (d - 1 - f) % bins for f in range(d)]) if d else np.zeros((0, len(one)))
+        every, out = np.arange(len(one)), np.zeros((len(one), k))
+        for left, feature, cut, value in packed:
+            at = np.zeros(len(one), np.int64)
+            while (inner := left[at] > 0).any():
+                at = np.where(inner, left[at] + (parts[feature[at], every] > cut[at]), at)
+            out += value[at]
+        return pd.Series([*(out / len(packed))[back]])
+
+    told = F.pandas_udf(answer, "array<double>")
+
+    def apply(te: DataFrame) -> DataFrame:
+        out = te.withColumn("probability", told(cells.key()))
+        if not classes:
+            return out.withColumn("prediction", F.col("probability")[0]).drop("probability")
+        return out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
+
+    return apply

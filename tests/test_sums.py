@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.regression import FMRegressor, GBTRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import FMRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tabflow.operators import models as M
@@ -89,3 +91,51 @@ def test_bounds_are_nearest_to_equal_shares():
     assert S._between([1.0, 2.0, 3.0], None, 4) == [1.5, 2.5]
     assert S._between([float(x) for x in range(1, 6)], [10, 10, 10, 10, 10], 2) == [3.5]  # of two as near, the later
     assert S._between([float(x) for x in range(1, 51)], [100] * 50, 32)[:5] == [2.5, 3.5, 5.5, 6.5, 8.5]
+
+
+def _grown(est, d, y, classes, weight=None):
+    ready = M.prepare_train(d, ["a", "b", "c"], y, "regression", weight)
+    out = S.fit_forest(est, ready.rows, ["_f_a", "_f_b", "_f_c"], y, classes)(ready.rows)
+    want = est.fit(ready.rows).transform(ready.rows)
+    if not classes:
+        return [np.array([r.prediction for r in x.collect()]) for x in (out, want)]
+    want = want.withColumn("probability", vector_to_array("probability"))
+    return [(np.array([r.probability for r in x]), np.array([r.prediction for r in x])) for x in (out.collect(), want.collect())]
+
+
+def test_forest_on_cells_is_mllibs_but_for_its_draws(spark):
+    d = _stepped(spark)
+    est = RandomForestRegressor(featuresCol="features", labelCol="y", seed=42, numTrees=400, maxDepth=4)
+    got, want = _grown(est, d, "y", 0)
+    assert np.abs(got - want).mean() < 0.2 * want.std() and np.corrcoef(got, want)[0, 1] > 0.99
+    three = d.withColumn("z", F.when(F.col("y") > 100, 2.0).when(F.col("y") > 50, 1.0).otherwise(0.0)).withColumn("w", F.when(F.col("z") == 1, 3.0).otherwise(0.5))
+    for weight in (None, "w"):
+        est = RandomForestClassifier(featuresCol="features", labelCol="z", seed=42, numTrees=400, maxDepth=4, **({"weightCol": weight} if weight else {}))
+        (p, said), (q, told) = _grown(est, three, "z", 3, weight)
+        assert np.abs(p - q).mean() < 0.03 and np.abs(p.sum(1) - 1).max() < 1e-9 and (said == told).mean() > 0.95
+
+
+@pytest.mark.parametrize("task,y", [("regression", "y"), ("classification", "z")])
+def test_forest_reads_rows_once_for_all_trees(spark, monkeypatch, task, y):
+    def on_rows(self, dataset, params=None):
+        raise AssertionError("trees are grown on rows")
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", on_rows)
+    monkeypatch.setattr(RandomForestClassifier, "fit", on_rows)
+    d = _rows(spark, 2000).withColumn("z", (F.col("y") > 80).cast("int"))
+    runs = []
+    for sums in (S.TASK_SUMS, 5000):  # many passed on at once, or a few cells at a time
+        monkeypatch.setattr(S, "TASK_SUMS", sums)
+        got = M.run_candidates(spark, d, d, ["a", "b"], y, task, ["random_forest"]).collect()
+        assert {r.status for r in got} == {"success"}, got
+        runs.append({r.metric: r.value for r in got})
+    assert runs[0] == pytest.approx(runs[1], rel=1e-6)
+    assert runs[0].get("r2", 1) > 0.5 and runs[0].get("accuracy", 1) > 0.8
+
+
+def test_forests_beyond_cells_are_fitted_on_rows(spark, monkeypatch):
+    ready = M.prepare_train(_rows(spark), ["a", "b"], "y", "regression")
+    for more in ({"numTrees": 1}, {"bootstrap": False}, {"maxDepth": 20}, {"subsamplingRate": 0.5}, {"featureSubsetStrategy": "all"}):
+        assert S.fit_forest(RandomForestRegressor(featuresCol="features", labelCol="y", **more), ready.rows, ["_f_a", "_f_b"], "y", 0) is None
+    monkeypatch.setattr(S, "MAX_CELLS", 5)
+    assert S.fit_forest(RandomForestRegressor(featuresCol="features", labelCol="y"), ready.rows, ["_f_a", "_f_b"], "y", 0) is None
