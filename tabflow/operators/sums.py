@@ -165,12 +165,13 @@ class Cells:
         self.rows = train.select(self.key().alias("cell"), target.alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"))
         keys = ["cell", "y"] if by_class else ["cell"]
         table = self.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.sum("weight").alias("n"), F.avg("y").alias("mean"),
-                                             F.count(F.when(~F.isnan("y"), 1)).alias("known"))
-        self.table = table.select("cell", *self.parts(F.col("cell")), "count", "known", "n", (F.col("y") if by_class else F.col("mean")).alias("y")).checkpoint(eager=True)
-        got = self.table.agg(F.count(F.lit(1)), F.sum("count"), F.sum("known")).first()
+                                             F.count(F.when(~F.isnan("y"), 1)).alias("known"), F.count("y").alias("given"))
+        self.table = table.select("cell", *self.parts(F.col("cell")), "count", "known", "given", "n", (F.col("y") if by_class else F.col("mean")).alias("y")).checkpoint(eager=True)
+        got = self.table.agg(F.count(F.lit(1)), F.sum("count"), F.sum("known"), F.sum("given")).first()
         self.size = got[0]
         #: Whether cells can stand for the rows: few of them, and every target known.
         self.usable = 0 < got[0] <= MAX_CELLS and got[1] == got[2]
+        self.nulls = got[1] != got[3]
 
     def key(self) -> F.Column:
         return functools.reduce(lambda k, x: k * self.bins + x, (_bin(c, b).cast("long") for c, b in zip(self.inputs, self.bounds)), F.lit(0).cast("long"))
@@ -257,7 +258,7 @@ def fit_forest(est, train: DataFrame, inputs: list[str], y: str, classes: int):
             or est.getImpurity() != ("gini" if classes else "variance")):
         return None
     cells = _cells(est, train, inputs, y, classes > 0, weight)
-    if cells is None:
+    if cells is None or cells.nulls:  # MLlib tells of null targets
         return None
     d, bins, k, trees, depth, seed = len(inputs), cells.bins, max(classes, 1), est.getNumTrees(), est.getMaxDepth(), est.getSeed()
     tried, least = int(np.ceil(np.sqrt(d) if classes else d / 3)), est.getMinInfoGain()
