@@ -43,6 +43,7 @@ DEFAULT_ACCEPTANCE = {"accuracy": 0.70, "roc_auc": 0.70, "f1": 0.65}
 MAX_CYCLES = 3
 CALIBRATION_FOLDS = 3
 MIN_CALIBRATION_ROWS = 30  # of each class, so that every fold has some
+MERGED = 8
 CLASS_WEIGHT_MODELS = ("logistic_regression", "random_forest", "decision_tree", "svm")
 CYCLE_VARIANTS = {
     2: {"random_forest": {"numTrees": 300, "maxDepth": 12}, "logistic_regression": {"regParam": 0.02},
@@ -343,6 +344,12 @@ def _fit_sums(est, tr: DataFrame, inputs: list[str], y: str, n_classes: int) ->
     return None
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """The rows in no more partitions than can run at once, at most ``MERGED`` joined to one: for fits of hundreds of short passes."""
+    n = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // MERGED)))
+
+
 def fit_predict(cand: Candidate, train: DataFrame, test: DataFrame, features, label: str, task: str,
                 params: dict | None = None, weight_col: str | None = None, prepared: Prepared | None = None) -> DataFrame:
     """Train on ``train``, predict ``test``: ``(label, prediction[, prob_pos, probability])``."""
@@ -410,7 +417,8 @@ def fit_candidate(cand: Candidate, train: DataFrame, features, label: str, task:
             stages = ([StandardScaler(inputCol="features", outputCol="features_s", withMean=True, withStd=True)]
                       if cand.scaled else []) + [est]
             fit_cols = ["features", y] + ([weight_col] if weight_col and weight_col in tr.columns else [])
-            model = Pipeline(stages=stages).fit(tr.select(*fit_cols))
+            rows = tr.select(*fit_cols)
+            model = Pipeline(stages=stages).fit(_merged(rows) if cand.name == "neural_network" else rows)
             apply = model.transform
 
     def predict(test: DataFrame) -> DataFrame:

@@ -139,3 +139,22 @@ def test_forests_beyond_cells_are_fitted_on_rows(spark, monkeypatch):
         assert S.fit_forest(RandomForestRegressor(featuresCol="features", labelCol="y", **more), ready.rows, ["_f_a", "_f_b"], "y", 0) is None
     monkeypatch.setattr(S, "MAX_CELLS", 5)
     assert S.fit_forest(RandomForestRegressor(featuresCol="features", labelCol="y"), ready.rows, ["_f_a", "_f_b"], "y", 0) is None
+
+
+def test_forest_with_a_null_target_fails_as_before(spark):
+    d = _rows(spark).unionByName(spark.createDataFrame([(1.0, 0.1, 7.0, 0.0, None)], "a double, b double, c double, e double, y double"))
+    got = M.run_candidates(spark, d, d, ["a", "b"], "y", "regression", ["random_forest"]).collect()
+    assert [r.status for r in got] == ["failed"] and "Null" in got[0].error
+
+
+def test_neural_network_passes_have_few_tasks(spark, monkeypatch):
+    fit, seen = M.MultilayerPerceptronClassifier.fit, []
+
+    def on_few(self, dataset, params=None):
+        seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+        return fit(self.copy({self.maxIter: 2}), dataset, params)
+
+    monkeypatch.setattr(M.MultilayerPerceptronClassifier, "fit", on_few)
+    d = _rows(spark).withColumn("z", (F.col("y") > 80).cast("int")).repartition(40)
+    got = M.run_candidates(spark, d, d, ["a", "b"], "z", "classification", ["neural_network"]).collect()
+    assert seen == [(max(5, spark.sparkContext.defaultParallelism), 300)] and {r.status for r in got} == {"success"}, (seen, got)
