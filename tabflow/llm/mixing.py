@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabflow.llm.common import checked_broadcast, col, documents, free_name, written
+from tabflow.llm.common import checked_broadcast, col, documents, free_name, told_apart, written
 from tabflow.llm.packing import word_count
 
 SEED = "mix-1"
@@ -79,6 +79,53 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict, budget: int, ma
     return out.select(*levels, "have", "share")
 
 
+def _shares(rows: DataFrame, names: list[str], levels: list[str], weights: dict, fraction: tuple[int, int], max_epochs: int) -> tuple[DataFrame, int]:
+    """(names.., whole, rest) of the leaves of ``rows`` that get anything: whole epochs, and tokens of the next one; and the most
+    documents that a leaf has."""
+    for table in weights.values():
+        if any(not 0 <= int(w) <= MAX_WEIGHT for w in table.values()):
+            raise ValueError(f"weights must lie between 0 and {MAX_WEIGHT}")
+    leaves = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("docs")), "mix-leaves")
+    total = leaves.agg(F.sum("have"), F.max("docs")).first()
+    share = budgets(leaves, names, {n: weights.get(c, {}) for c, n in zip(levels, names)}, (total[0] or 0) * fraction[0] // fraction[1], max_epochs)
+    share = share.where("share > 0").select(*names, F.expr("share div have").alias("whole"), F.expr("share % have").alias("rest"))
+    return checked_broadcast(written(share, "mix-budgets")), int(total[1] or 0)
+
+
+def _order_key(seed: str, whole, doc_id) -> F.Column:
+    """The place of a document in the order of an epoch, 60 bits."""
+    text = F.concat(F.lit(seed + ":"), whole.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
+def _to_leaf(df: DataFrame, other: DataFrame, names: list[str], extra=()) -> DataFrame:
+    """``df`` with the further columns of ``other``, a table of leaves."""
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & df[n].eqNullSafe(other[n])
+    for e in extra:
+        cond = cond & (df[e] == other[e])
+    return df.join(other, cond).select(*(df[c] for c in df.columns), *(other[c] for c in other.columns if c not in names and c not in extra))
+
+
+def _cut_epoch(placed: DataFrame, names: list[str], most: int, seed: str) -> DataFrame:
+    """Documents of ``placed`` in reach of the ``rest`` of their leaf: an order key per document, and the token sums of its range
+    of the order (``in_range``) and of those before it (``before``)."""
+    bits = max(0, (most // RANGE_DOCS).bit_length())
+    part = placed.where("rest > 0").withColumn("key", _order_key(seed, F.col("whole"), F.col("doc_id")))
+    part = part.withColumn("range", F.shiftright("key", KEY_BITS - bits))
+    sums = part.groupBy(*names, "range").agg(F.sum("n_tokens").alias("in_range"))
+    before = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = checked_broadcast(written(sums.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))), "mix-ranges"))
+    return _to_leaf(part, sums, names, ["range"]).where("before < rest")
+
+
+def _room(part: DataFrame, names: list[str]) -> DataFrame:
+    """Documents of ranges, with the tokens that are ``left`` for each; those without any are left out."""
+    run = Window.partitionBy(*names, "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    return part.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(run), F.lit(0))).where("left > 0")
+
+
 def mix_sources(docs: DataFrame, levels: list[str], weights: dict, fraction: tuple[int, int] = (6, 10), max_epochs: int = 4,
                 seed: str = SEED, boundary: str = "cut", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, levels.., epoch, n_tokens, taken): what each epoch takes of each document (its first ``taken`` words).
@@ -86,44 +133,19 @@ def mix_sources(docs: DataFrame, levels: list[str], weights: dict, fraction: tup
     ``weights``: {level: {value: whole weight}}, unlisted values weigh 1. ``fraction`` of all tokens is the budget."""
     if boundary not in ("cut", "whole"):
         raise ValueError("boundary must be cut or whole")
-    for table in weights.values():
-        if any(not 0 <= int(w) <= MAX_WEIGHT for w in table.values()):
-            raise ValueError(f"weights must lie between 0 and {MAX_WEIGHT}")
     names = [f"level{i}" for i in range(len(levels))]
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), *(col(c).cast("string").alias(n) for c, n in zip(levels, names)),
                        word_count(col(text_col).cast("string")).alias("n_tokens"))
     rows = written(rows.where("n_tokens > 0"), "mix-tokens")
-    leaves = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("have"), F.count(F.lit(1)).alias("docs")), "mix-leaves")
-    total = leaves.agg(F.sum("have"), F.max("docs")).first()
-    share = budgets(leaves, names, {n: weights.get(c, {}) for c, n in zip(levels, names)}, (total[0] or 0) * fraction[0] // fraction[1], max_epochs)
-    share = share.where("share > 0").select(*names, F.expr("share div have").alias("whole"), F.expr("share % have").alias("rest"))
-    share = checked_broadcast(written(share, "mix-budgets"))
-
-    def to_leaf(df, other, extra=()):
-        cond = F.lit(True)
-        for n in names:
-            cond = cond & df[n].eqNullSafe(other[n])
-        for e in extra:
-            cond = cond & (df[e] == other[e])
-        return df.join(other, cond).select(*(df[c] for c in df.columns), *(other[c] for c in other.columns if c not in names and c not in extra))
-
-    placed = to_leaf(rows, share)
+    share, most = _shares(rows, names, levels, weights, fraction, max_epochs)
+    placed = _to_leaf(rows, share, names)
     full = placed.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, whole - 1)"))).select(
         "doc_id", *names, "epoch", "n_tokens", F.col("n_tokens").alias("taken"))
 
-    # The epoch that is cut: a 60-bit order key per document, token sums per range of it, and the range with the cut.
-    bits = max(0, (int(total[1] or 0) // RANGE_DOCS).bit_length())
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col("whole").cast("string"), F.lit(":"),
-                                            F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    part = placed.where("rest > 0").withColumn("key", key).withColumn("range", F.shiftright("key", KEY_BITS - bits))
-    sums = part.groupBy(*names, "range").agg(F.sum("n_tokens").alias("in_range"))
-    before = Window.partitionBy(*names).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = checked_broadcast(written(sums.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))), "mix-ranges"))
-    part = to_leaf(part, sums, ["range"]).where("before < rest")
+    # The epoch that is cut: whole ranges of its order before the cut, and of the range with the cut what has room.
+    part = _cut_epoch(placed, names, most, seed)
     inside = part.where("before + in_range <= rest").withColumn("taken", F.col("n_tokens"))
-    cut = part.where("before + in_range > rest")
-    run = Window.partitionBy(*names, "range").orderBy("key", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(run), F.lit(0))).where("left > 0")
+    cut = _room(part.where("before + in_range > rest"), names)
     cut = cut.withColumn("taken", F.least("left", "n_tokens") if boundary == "cut" else F.col("n_tokens"))
     cols = ["doc_id", *names, F.col("whole").alias("epoch"), "n_tokens", "taken"]
     chosen = full.unionByName(inside.select(*cols)).unionByName(cut.drop("left").select(*cols))
@@ -132,12 +154,35 @@ def mix_sources(docs: DataFrame, levels: list[str], weights: dict, fraction: tup
 
 
 def select_documents(docs: DataFrame, levels: list[str], weights: dict, fraction: tuple[int, int], seed: str = SEED,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that one epoch at most takes, whole (``levels`` may be columns made for the purpose)."""
-    chosen = mix_sources(docs, levels, weights, fraction, 1, seed, "whole", id_col, text_col)
-    key = free_name("_mix_id", docs.columns)
-    ids = checked_broadcast(written(chosen.select(F.col("doc_id").alias(key)).distinct(), "mix-chosen"))
-    return docs.join(ids, col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
+                     id_col: str = "doc_id", text_col: str = "text", max_epochs: int = 1) -> DataFrame:
+    """The rows of ``docs``, whole, each as often as epochs of its leaf take it (``levels`` may be columns made for the purpose).
+
+    Rows that share an id but not the text are documents of their own; of rows that share both, those of one leaf are taken
+    together. A row's epochs follow from the place in the order where its leaf's last epoch ends, so no ids are joined."""
+    rows, row, _ = told_apart(docs, id_col, text_col)
+    names = [f"level{i}" for i in range(len(levels))]
+    tokens = rows.select(col(row).alias("doc_id"), *(col(c).cast("string").alias(n) for c, n in zip(levels, names)),
+                         word_count(col(text_col).cast("string")).alias("n_tokens"))
+    tokens = written(tokens.where("n_tokens > 0"), "mix-tokens")
+    share, most = _shares(tokens, names, levels, weights, fraction, max_epochs)
+    last = _room(_cut_epoch(_to_leaf(tokens, share, names), names, most, seed).where("before + in_range >= rest"), names)
+    last = written(last.groupBy(*names).agg(F.max(F.struct("key", "doc_id")).alias("last")), "mix-ends")
+    cond = F.lit(True)
+    for n in names:
+        cond = cond & share[n].eqNullSafe(last[n])
+    ends = share.join(checked_broadcast(last), cond, "left").select(*(share[n] for n in names), "whole", "last.key", "last.doc_id")
+    inner = {n: free_name(f"_mix_{n}", rows.columns) for n in [*names, "whole", "key", "doc_id", "epochs"]}
+    ends = checked_broadcast(written(ends.toDF(*(inner[n] for n in ends.columns)), "mix-epochs"))
+    whole, key, end_id = (F.col(inner[n]) for n in ("whole", "key", "doc_id"))
+    cond = F.lit(True)
+    for c, n in zip(levels, names):
+        cond = cond & F.col(inner[n]).eqNullSafe(col(c).cast("string"))
+    own = _order_key(seed, whole, col(row))
+    once_more = F.coalesce((own < key) | ((own == key) & (col(row) <= end_id)), F.lit(False))
+    out = rows.where(col(text_col).cast("string").rlike(r"[^ \t-\r]")).join(ends, cond)
+    out = out.withColumn(inner["epochs"], whole + once_more.cast("long"))
+    out = out.where(F.col(inner["epochs"]) > 0).withColumn(inner["epochs"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(inner["epochs"]))))
+    return out.select(*(col(c) for c in docs.columns))
 
 
 #: Weights of the query: groups of sources, languages within a group, sources evenly within a language.

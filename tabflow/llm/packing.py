@@ -14,6 +14,8 @@ id and the length (or text) column are read, whatever other columns are called.
 
 from __future__ import annotations
 
+from itertools import chain, repeat
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,22 +66,31 @@ def pack_block(lengths: list[int], sizes: list[int], bin_cost: int) -> list[tupl
 
 
 def pack(docs: DataFrame, sizes=SIZES, bin_cost: int = BIN_COST, id_col: str = "doc_id", text_col: str = "text",
-         length_col: str | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+         length_col: str | None = None, block_items: int = BLOCK_ITEMS, epochs_col: str | None = None) -> DataFrame:
     """One row per piece: its tokens [start, start + n_tokens) of the document and its place in a bin.
 
-    ``bin_id`` is the id, piece and occurrence of the bin's first piece, so it is unique and repeatable."""
+    ``bin_id`` is the id, piece and occurrence of the bin's first piece, so it is unique and repeatable. With ``epochs_col``, how
+    often a document is used, a bin holds documents of equal epochs only; these are its last column and end its ``bin_id``."""
     import pandas as pd
     sizes = sorted(set(int(s) for s in sizes))
     if not sizes or sizes[0] < 1:
         raise ValueError("sizes must be positive")
     top = sizes[-1]
     n = col(length_col).cast("long") if length_col else word_count(col(text_col).cast("string")) + 1
-    items = docs.select(col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"))
-    pieces = items.select("doc_id", F.posexplode(F.expr(f"sequence(0L, n - 1, {top}L)")).alias("piece", "start"), "n").select(
-        "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int").alias("n_tokens"))
+    epochs = F.coalesce(col(epochs_col).cast("long"), F.lit(0)) if epochs_col else F.lit(1).cast("long")
+    items = docs.select(col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).alias("n"), epochs.alias("epochs"))
+    pieces = items.select("doc_id", F.posexplode(F.expr(f"sequence(0L, n - 1, {top}L)")).alias("piece", "start"), "n", "epochs").select(
+        "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("int").alias("n_tokens"),
+        *(["epochs"] if epochs_col else []))
+    schema = SCHEMA + (", epochs long" if epochs_col else "")
     total = items.count()
     shards = max(1, -(-total // (2 * block_items)))
 
+    given = [f.split()[0] for f in schema.split(", ")]
+
+    def apart(pdf):
+        return [x.reset_index(drop=True) for _, x in pdf.groupby("epochs")] if epochs_col else [pdf] if len(pdf) else []
+
     def run(batches):
         held, size = [], 0
 
@@ -96,15 +107,21 @@ def pack(docs: DataFrame, sizes=SIZES, bin_cost: int = BIN_COST, id_col: str = "
                     if b not in name:
                         who = "" if pd.isna(ids[k]) else int(ids[k])
                         name[b] = f"{who}.{int(part['piece'].iat[k])}.{int(part['copy'].iat[k])}"
+                        if epochs_col:
+                            name[b] += f".{int(part['epochs'].iat[k])}"
                     names.append(name[b])
                 yield part.assign(bin_id=names, bin_size=[final[b] for b, _ in where], bin_offset=[o for _, o in where],
-                                  bin_used=[used[b] for b, _ in where]).drop(columns="copy")
-
-        last, copy = None, 0
-        for pdf in batches:
+                                  bin_used=[used[b] for b, _ in where])[given]
+
+        last, copy, times = None, 0, None
+        for pdf in chain.from_iterable(map(apart, batches)):
+            if epochs_col and size and times != pdf["epochs"].iat[0]:
+                yield from emit(held)
+                held, size = [], 0
+            times = pdf["epochs"].iat[0] if epochs_col else None
             pdf["doc_id"] = pdf["doc_id"].astype("Int64")
             copies = []
-            for key in zip(pdf["doc_id"].fillna(-1).tolist(), pdf["doc_id"].isna().tolist(), pdf["piece"].tolist()):
+            for key in zip(pdf["doc_id"].fillna(-1).tolist(), pdf["doc_id"].isna().tolist(), pdf["piece"].tolist(), repeat(times)):
                 last, copy = (key, copy + 1) if key == last else (key, 0)
                 copies.append(copy)
             pdf["copy"] = copies
@@ -119,8 +136,8 @@ def pack(docs: DataFrame, sizes=SIZES, bin_cost: int = BIN_COST, id_col: str = "
             yield from emit(held)
 
     # Rows that repeat an id are dealt apart by nothing but their id: blocks, not shards, bound the memory.
-    return (pieces.repartition(shards, F.xxhash64("doc_id", "piece")).sortWithinPartitions("doc_id", "piece", "n_tokens")
-            .mapInPandas(run, SCHEMA))
+    return (pieces.repartition(shards, F.xxhash64("doc_id", "piece")).sortWithinPartitions(*(["epochs"] if epochs_col else []), "doc_id", "piece", "n_tokens")
+            .mapInPandas(run, schema))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

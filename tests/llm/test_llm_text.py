@@ -89,6 +89,22 @@ def test_mixing_edge_cases(spark):
     assert rows(kept, "doc_id") == [(1,), (1,), (None,)] and kept.columns[-1] == "n_tokens"
 
 
+def test_whole_rows_are_repeated_as_epochs_take_them(spark, monkeypatch):
+    rng = random.Random(12)
+    data = [(i, rng.choice(["x", "y", None]), rng.choice(["p", "q", None]), rng.choice([0, 1, 5, 30])) for i in range(200)]
+    weights = {"a": {"x": 5, "y": 0}, "b": {"p": 7, None: 3}}
+    for docs_per_range in (4, 20_000):
+        monkeypatch.setattr(mixing, "RANGE_DOCS", docs_per_range)
+        for num, den, epochs in ((9, 10, 1), (3, 2, 3), (50, 1, 2), (0, 1, 2)):
+            got = mixing.select_documents(mix_frame(spark, data), ["a", "b"], weights, (num, den), "s", max_epochs=epochs)
+            want = brute_mix(data, weights, num, den, epochs, "s")
+            assert rows(got, "doc_id") == sorted((x[0],) for x in want) and got.columns == mix_frame(spark, []).columns
+    # Rows of one id with different texts, and rows without an id, are told apart.
+    same = [(1, "x", "p", 3), (1, "x", "p", 4), (None, "x", "p", 5), (None, "x", "p", 6), (2, "x", "p", 0)]
+    lengths = sorted(len(r.text.split()) for r in mixing.select_documents(mix_frame(spark, same), ["a"], {}, (3, 2), max_epochs=4).collect())
+    assert set(lengths) == {3, 4, 5, 6} and 4 < len(lengths) < 8 and 27 <= sum(lengths) < 27 + 6
+
+
 def test_op3_sql(spark):
     same_as_sql(mixing.op3_mixing(spark, SF), mixing.OP3_SQL, SF)
 
@@ -371,6 +387,48 @@ def test_pipeline_stages_against_brute_force(spark):
     assert total == spots and packed
 
 
+def test_pipeline_mixes_to_the_weights_and_packs_a_document_once(spark):
+    import corpus_pipeline as pipe
+    rng = random.Random(13)
+    data = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randrange(5, 40))), rng.choices(["en", "de", "fr", "es"], [5, 3, 2, 1])[0],
+             f"s{rng.randrange(6)}", 1) for i in range(1200)]
+    data += [(None, "without an id", "en", "s0", 1), (7, "the same id", "en", "s0", 1), (5000, " ", "en", "s0", 1), (5001, None, "en", "s0", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipe.written(pipe.mixed(spark, df, SF), "t")
+    assert got.columns == df.columns
+    out = got.collect()
+    words, times = lambda r: len(r.text.split()), {}
+    for r in out:
+        times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+    total, by_domain, by_lang = sum(map(words, out)), {}, {}
+    for r in out:
+        d = int(r.source[1:]) % 3
+        by_domain[d] = by_domain.get(d, 0) + words(r) / total
+        by_lang[r.lang] = by_lang.get(r.lang, 0) + words(r) / total
+    for d, w in ((0, 0.5), (1, 0.3), (2, 0.2)):
+        assert abs(by_domain[d] - w) < 0.03
+    for lang, w in (("en", 0.6), ("de", 0.2), ("fr", 0.1), ("es", 0.1)):
+        assert abs(by_lang[lang] - w) < 0.03
+    assert abs(total / sum(words_of(r[1]) for r in data) - 2) < 0.05 and max(times.values()) <= 4
+    # Every row has one place, in sequences that are used as often as the row is in the mix.
+    places = pipe.packed(spark, got, SF).collect()
+    put = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens - 1, r.epochs) for r in places)
+    assert put == sorted((i is None, i or 0, words_of(t), n) for (i, t), n in times.items())
+    bins = {}
+    for r in places:
+        bins.setdefault(r.bin_id, []).append(r)
+    for b in bins.values():
+        assert len({(r.epochs, r.bin_size, r.bin_used) for r in b}) == 1 and sum(r.n_tokens for r in b) == b[0].bin_used <= b[0].bin_size
+        at = 0
+        for r in sorted(b, key=lambda r: r.bin_offset):
+            assert r.bin_offset == at
+            at += r.n_tokens
+
+
+def words_of(text):
+    return len((text or "").split())
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as pipe
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
