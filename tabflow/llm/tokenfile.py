@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 from pyspark import TaskContext
@@ -43,6 +43,8 @@ END_ID = 2
 VOCABULARY = 50_257
 #: Distinct pieces a worker remembers between texts.
 CACHE_PIECES = 1_500_000
+#: Characters of text that are cut into pieces at once.
+CHUNK_CHARS = 8 << 20
 MAGIC = b"TKM1"
 U32 = np.uint64(32)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -270,6 +272,7 @@ class Pieces:
         added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
         self.whole = ["\0", *added]
         self.blanks = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+        self.narrow = sum(c < "\x80" for c in self.blanks)
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
         self.odd = re.compile(r"[.,](?<![^\W_][.,])")
         self.blank = re.compile(r"\s")
@@ -321,10 +324,10 @@ class Pieces:
                 self.keep(part, np.concatenate(got), np.array([len(g) for g in got], np.int64))
         self.n = len(self.known)
 
-    def numbers(self, parts: list[list[str]]) -> np.ndarray:
+    def numbers(self, found) -> np.ndarray:
         """The number of every piece, those met for the first time encoded and kept."""
         try:
-            order = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+            order = np.fromiter(map(self.known.__getitem__, found), np.int64)
             if len(self.known) > self.n:
                 self.add([*islice(reversed(self.known), len(self.known) - self.n)][::-1])
         except BaseException:
@@ -334,16 +337,40 @@ class Pieces:
 
     def plain(self, text: str) -> bool:
         """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
-        if any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or text[:1] in (" ", "\n", "") or text[-1] in " \n":
+        if text[:1] in (" ", "\n", "") or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
             return False
         # Other blanks (tabs, no-break spaces...) may join a line break or a space.
-        return not any(c in text for c in self.blanks) and not self.odd.search(text)
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.plain(text):
-            parts = self.cut.split(text)
-            return ["\0" + parts[0], *(p[1:] for p in parts[1:])]
-        return ("\0" + text.replace(",", " \0,").replace(".", " \0.").replace("\n", " \0\n \0")).split(" ")
+        for c in self.blanks[:self.narrow] if text.isascii() else self.blanks:
+            if c in text:
+                return False
+        return not self.odd.search(text)
+
+    def placed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the pieces of all texts one after another, number of pieces per text).
+
+        Plain texts are cut by Arrow, and each of their distinct pieces is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
+        others = [self.cut.split(t) for t in compress(texts, ~plain)]
+        others = [["\0" + p[0], *(x[1:] for x in p[1:])] for p in others]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~plain] = [len(p) for p in others]
+        order = self.numbers(chain.from_iterable(others))
+        if not plain.any():
+            return order, sizes
+        cut = pa.array(["\0" + t for t in compress(texts, plain)], pa.large_string())
+        for mark, marked in ((",", " \0,"), (".", " \0."), ("\n", " \0\n \0")):
+            cut = pc.replace_substring(cut, mark, marked)
+        cut = pc.split_pattern(cut, " ")
+        sizes[plain] = np.diff(cut.offsets.to_numpy())
+        cut = cut.flatten().dictionary_encode()
+        own = self.numbers(cut.dictionary.to_numpy(zero_copy_only=False).tolist())[cut.indices.to_numpy()]
+        if plain.all():
+            return own, sizes
+        out, where = np.empty(len(own) + len(order), np.int64), np.repeat(plain, sizes)
+        out[where], out[~where] = own, order
+        return out, sizes
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
@@ -361,16 +388,22 @@ class Pieces:
                     got = got if end_id is None else np.append(got, np.uint32(end_id))
                     runs.append((got, np.array([len(got)], np.int64)))
             return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
-        parts = [self.pieces(t) for t in texts]
-        order = self.numbers(parts)
-        size = self.size[order]
-        at = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[order] - at[:-1], size) + np.arange(at[-1])]
-        ends = at[np.cumsum([len(x) for x in parts])] if parts else np.zeros(0, np.int64)
-        lens = np.diff(np.concatenate([[0], ends]))
-        if end_id is not None:
-            ids, lens = np.insert(ids, ends, end_id), lens + 1
-        return ids, lens
+        order, pieces = self.placed(texts)
+        runs, ends = [], np.concatenate([[0], np.cumsum(pieces)])
+        for lo in range(0, len(texts), 256):  # the places of few ids at once
+            last = ends[lo:lo + 257]
+            own = order[last[0]:last[-1]]
+            size = self.size[own]
+            at = np.concatenate([[0], np.cumsum(size)])
+            ids = self.flat[np.repeat(self.start[own] - at[:-1], size) + np.arange(at[-1])]
+            stop = at[last[1:] - last[0]]
+            lens = np.diff(np.concatenate([[0], stop]))
+            if end_id is not None:
+                ids, lens = np.insert(ids, stop, end_id), lens + 1
+            runs.append((ids, lens))
+        if not runs:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
 
 
 # --- files -----------------------------------------------------------------------------------------------------
@@ -394,11 +427,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield MAGIC + struct.pack("<I", vocabulary)
             at, held, wait = 8, [], 0
             for b in batches:
-                texts = b.column(1)
-                for lo in range(0, len(texts), 256):
-                    got, sizes = pieces.encode(texts.slice(lo, 256).to_pylist(), end_id)
-                    ids.append(np.array([-1 if x is None else x for x in b.column(0).slice(lo, 256).to_pylist()], np.int64))
-                    lens.append(np.stack([sizes, [x is not None for x in b.column(0).slice(lo, 256).to_pylist()]]))
+                texts, names = b.column(1).to_pylist(), b.column(0).to_pylist()
+                cuts, size = [0], 0
+                for k, t in enumerate(texts):
+                    size += len(t)
+                    if size >= CHUNK_CHARS or k == len(texts) - 1:
+                        cuts.append(k + 1)
+                        size = 0
+                for lo, hi in zip(cuts, cuts[1:]):
+                    got, sizes = pieces.encode(texts[lo:hi], end_id)
+                    ids.append(np.array([-1 if x is None else x for x in names[lo:hi]], np.int64))
+                    lens.append(np.stack([sizes, [x is not None for x in names[lo:hi]]]))
                     held.append(got)
                     wait += len(got)
                     total[0] += len(got)
