@@ -22,6 +22,29 @@ SF = "/root/testdata/sf0.001"
 
 # --- token files -----------------------------------------------------------------------------------------------
 
+def test_ids_of_a_chunk_of_odd_and_plain_texts_equal_the_librarys():
+    import random
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces, plain = tokenfile.Pieces(path), Tokenizer.from_file(path)
+    rng = random.Random(21)
+    bits = ["a", "Zeit", "é", "7", "_", ",", ".", "!", "'s", " ", " ", " ", "\n", "\t", "\u00a0", "\u3000", "漢", "\x1c", "\r", "²", "\u0301"]
+    texts = ["", " ", "\n", ",", "a,,b", "a!,b", "a_,b", "a ,b", "a\n,b", "a, b. c\nd", "x\0y", "a,", "a.\n", "<|endoftext|>, a"]
+    texts += ["".join(rng.choices(bits, k=rng.randrange(1, 25))) for _ in range(1500)]
+    texts += [" ".join(rng.choices(["Haus", "a,", "b.", "c", "d,e", "²."], k=9)) for _ in range(300)]
+    for again in range(2):  # all pieces new, then all known
+        ids, lens = pieces.encode(texts, 2)
+        want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert lens.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    # A chunk is cut by Arrow and looks every distinct piece up once.
+    pieces.clear()
+    seen = []
+    pieces.numbers, numbers = (lambda found: numbers(seen.append(found := list(found)) or found)), pieces.numbers
+    pieces.encode(["the same words, again and again"] * 50, None)
+    assert [len(x) for x in seen] == [len(set(seen[0]))] == [6]
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 3000])
 @pytest.mark.parametrize("kind", ["random", "same", "text"])
 def test_block_round_trip(n, kind):
