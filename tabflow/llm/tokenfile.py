@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 from pyspark import TaskContext
@@ -45,8 +45,6 @@ VOCABULARY = 50_257
 CACHE_PIECES = 1_500_000
 #: Characters of text that are cut into pieces at once.
 CHUNK_CHARS = 8 << 20
-#: Kinds of pieces: the last character is no letter or digit; a ``,`` or ``.`` after a cut; blanks inside, or nothing.
-ENDS_ODD, STARTS_MARK, HAS_BLANK = 1, 2, 4
 MAGIC = b"TKM1"
 U32 = np.uint64(32)
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -175,7 +173,7 @@ def encode_block(ids: np.ndarray, vocabulary: int = VOCABULARY) -> bytes:
         x = ids[starts[:m] + t]
         model.predict(m)
         hit2, hit1 = x == model.c2, x == model.c1
-        at = model.state3 + (2 - hit1.view(np.int8)) * ~hit2
+        at = model.state3 + np.where(hit2, 0, 2 - hit1)
         lo, ra = low[:m], rng[:m]
         ra >>= np.uint64(MIX_BITS)
         lo += ra * model.start.take(at)
@@ -273,7 +271,10 @@ class Pieces:
         self.tok.encode_special_tokens = special_as_text
         added = sorted(t.content for t in self.tok.get_added_tokens_decoder().values() if t.content)
         self.whole = ["\0", *added]
+        self.blanks = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+        self.narrow = sum(c < "\x80" for c in self.blanks)
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
+        self.odd = re.compile(r"[.,](?<![^\W_][.,])")
         self.blank = re.compile(r"\s")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.clear()
@@ -281,7 +282,6 @@ class Pieces:
     def clear(self):
         self.known = defaultdict(count().__next__)  # a piece looked up for the first time gets the next number
         self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.kind = np.zeros(1024, np.uint8)
         self.n = self.used = 0
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
@@ -301,16 +301,11 @@ class Pieces:
         numbers = np.arange(self.n, self.n + len(new))
         if len(self.known) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.known)), np.resize(self.size, 2 * len(self.known))
-            self.kind = np.resize(self.kind, 2 * len(self.known))
-        kind = np.fromiter((0 if p[-1:].isalnum() else ENDS_ODD for p in new), np.uint8, len(new))
-        kind[[k for k, p in enumerate(new) if p[:1] == "\0" and p[1:2] in (",", ".")]] |= STARTS_MARK
         texts = [p[1:] if p[:1] == "\0" else " " + p for p in new]
         # Pieces with blanks inside (or nothing) could run into the line breaks: those go one by one.
         alone = []
         if "" in new or "\0" in new or self.blank.search("".join(new)):
             alone = [k for k, p in enumerate(new) if not p or p == "\0" or self.blank.search(p)]
-            kind[[k for k in alone if new[k] != "\0\n"]] |= HAS_BLANK
-        self.kind[numbers] = kind
         if alone:
             got = self.ids_of([texts[k] for k in alone])
             self.keep(numbers[alone], np.concatenate(got), np.array([len(g) for g in got], np.int64))
@@ -340,41 +335,41 @@ class Pieces:
             raise
         return order
 
+    def plain(self, text: str) -> bool:
+        """Single spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit."""
+        if text[:1] in (" ", "\n", "") or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        # Other blanks (tabs, no-break spaces...) may join a line break or a space.
+        for c in self.blanks[:self.narrow] if text.isascii() else self.blanks:
+            if c in text:
+                return False
+        return not self.odd.search(text)
+
     def placed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the pieces of all texts one after another, number of pieces per text).
 
-        Arrow cuts the texts, and each of their distinct pieces is looked up once. This holds for plain texts, with single
-        spaces and line breaks between non-blanks only, and no ``,`` or ``.`` but after a letter or digit; other blanks (tabs,
-        no-break spaces...) may join a line break or a space. The other texts, told by the kinds of their pieces, are cut
-        again, before single spaces only."""
+        Plain texts are cut by Arrow, and each of their distinct pieces is looked up once."""
         import pyarrow as pa
         import pyarrow.compute as pc
-        if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # Texts that are seen at once not to be plain go as empty ones, which are not plain either.
-        cut = pa.array(["\0" if "  " in t or "\n\n" in t or "\t" in t else "\0" + t for t in texts], pa.large_string())
+        plain = np.fromiter(map(self.plain, texts), bool, len(texts))
+        others = [self.cut.split(t) for t in compress(texts, ~plain)]
+        others = [["\0" + p[0], *(x[1:] for x in p[1:])] for p in others]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[~plain] = [len(p) for p in others]
+        order = self.numbers(chain.from_iterable(others))
+        if not plain.any():
+            return order, sizes
+        cut = pa.array(["\0" + t for t in compress(texts, plain)], pa.large_string())
         for mark, marked in ((",", " \0,"), (".", " \0."), ("\n", " \0\n \0")):
             cut = pc.replace_substring(cut, mark, marked)
         cut = pc.split_pattern(cut, " ")
-        starts = cut.offsets.to_numpy()
-        sizes = np.diff(starts)
+        sizes[plain] = np.diff(cut.offsets.to_numpy())
         cut = cut.flatten().dictionary_encode()
-        order = self.numbers(cut.dictionary.to_numpy(zero_copy_only=False).tolist())[cut.indices.to_numpy()]
-        kind = self.kind[order]
-        odd = kind & HAS_BLANK
-        odd[1:] |= (kind[1:] & STARTS_MARK) & (kind[:-1] << 1)
-        odd = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
-        if not len(odd):
-            return order, sizes
-        parts = [self.cut.split(texts[k]) for k in odd]
-        parts = [["\0" + p[0], *(x[1:] for x in p[1:])] for p in parts]
-        own, plain = self.numbers(chain.from_iterable(parts)), np.ones(len(texts), bool)
-        plain[odd] = False
-        order = order[np.repeat(plain, sizes)]
-        sizes[odd] = [len(p) for p in parts]
-        where = np.repeat(plain, sizes)
-        out = np.empty(len(where), np.int64)
-        out[where], out[~where] = order, own
+        own = self.numbers(cut.dictionary.to_numpy(zero_copy_only=False).tolist())[cut.indices.to_numpy()]
+        if plain.all():
+            return own, sizes
+        out, where = np.empty(len(own) + len(order), np.int64), np.repeat(plain, sizes)
+        out[where], out[~where] = own, order
         return out, sizes
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:

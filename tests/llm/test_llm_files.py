@@ -42,7 +42,7 @@ def test_ids_of_a_chunk_of_odd_and_plain_texts_equal_the_librarys():
     seen = []
     pieces.numbers, numbers = (lambda found: numbers(seen.append(found := list(found)) or found)), pieces.numbers
     pieces.encode(["the same words, again and again"] * 50, None)
-    assert [len(x) for x in seen] == [len(set(seen[0]))] == [6]
+    assert [len(x) for x in seen if x] == [len(set(seen[-1]))] == [6]
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 3000])
