@@ -102,3 +102,67 @@ def test_search_writes_no_distance_per_pivot(spark):
     assert len(idx.pivots) == 30
     plan = N.knn_search(idx, _frame(spark, ref[:50]), "id", F.col("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert "_pd#" not in plan and "map<" not in plan
+
+
+def test_query_meets_a_bucket_once_however_many_cells(spark, monkeypatch):
+    """In 64 dimensions nearly all cells are within reach; a query is sent once per bucket of cells, not once per cell."""
+    rng = np.random.default_rng(8)
+    ref = [(i, v) for i, v in enumerate(rng.normal(size=(900, 64)))]
+    qry = [(1000 + i, v) for i, v in enumerate(rng.normal(size=(60, 64)))]
+    sent, scored = [], N._scored_top_k
+
+    def counted(qrows, *args, **kw):
+        sent.append(qrows.count())
+        return scored(qrows, *args, **kw)
+
+    monkeypatch.setattr(N, "_scored_top_k", counted)
+    assert _search(spark, ref, qry, n_pivots=200) == _brute(ref, qry, 5)
+    assert sum(sent) < 60 * 200 / 4
+
+
+def test_screen_keeps_near_ties_far_from_the_origin(spark):
+    """Distances far smaller than the vectors, equal and nearly equal ones: the order is that of the sums by coordinate."""
+    rng = np.random.default_rng(9)
+    grid = rng.integers(0, 3, size=(300, 6)) + 1e6
+    ref = [(i, v) for i, v in enumerate(grid)] + [(300 + i, grid[i] + rng.normal(scale=1e-9, size=6)) for i in range(100)]
+    qry = [(1000 + i, rng.integers(0, 3, size=6) + 1e6 + rng.normal(scale=1e-9, size=6)) for i in range(40)]
+    for kw in ({}, {"n_pivots": 9, "bucket_rows": 11, "bucket_queries": 4}):
+        assert _search(spark, ref, qry, k=7, **kw) == _brute(ref, qry, 7)
+
+
+def test_query_ids_repeat_or_are_null_and_vectors_miss_coordinates(spark):
+    rng = np.random.default_rng(10)
+    vecs = rng.normal(size=(200, 5)).round(1)
+    vecs[[3, 50, 51]] = np.nan
+    ref = spark.createDataFrame([(f"r{i:03d}", [float(x) for x in v]) for i, v in enumerate(vecs)], "id string, v array<float>")
+    asked = [(i, rng.normal(size=5).astype(np.float32)) for i in (1, 2, 2, 3, None)] + [(4, np.full(5, np.nan, dtype=np.float32))]
+    asked.append(asked[0])
+    qry = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in asked], "id bigint, v array<float>")
+    idx = N.build_index(ref, "id", F.col("v"), n_pivots=20, bucket_rows=40)
+    got = {}
+    for r in N.knn_search(idx, qry, "id", F.col("v")).orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["rid"], r["distance"]))
+    vecs, want = vecs.astype(np.float32).astype(np.float64), {}
+    for i in {1, 2, 3, None}:
+        pairs = []
+        for _, v in (a for a in asked if a[0] == i):
+            d2 = np.add.accumulate((v.astype(np.float64) - vecs) ** 2, axis=1)[:, -1]
+            pairs += [(d, f"r{j:03d}") for j, d in enumerate(d2) if np.isfinite(d)]
+        want[i] = [(rid, float(np.sqrt(d))) for d, rid in sorted(pairs)[:5]]
+    assert got == want  # a vector with a missing coordinate has no neighbours and is nobody's
+
+
+def test_cells_are_packed_into_buckets():
+    rng = np.random.default_rng(12)
+    pivots, sizes = rng.normal(size=(50, 8)), rng.integers(0, 30, size=50)
+    sizes[7] = 1000
+    first, parts = N._pack(pivots, sizes, 100)
+    assert parts[7] == 10 and (np.delete(parts, 7) == 1).all()
+    own = set(range(first[7], first[7] + 10))
+    held = {}
+    for c in range(50):
+        if c != 7:
+            assert first[c] not in own
+            held[first[c]] = held.get(first[c], 0) + sizes[c]
+    assert max(held.values()) <= 100 and len(held) < 20
+    assert sorted(own | held.keys()) == list(range(len(own) + len(held)))
